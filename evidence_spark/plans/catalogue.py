@@ -1,6 +1,491 @@
-"""Queries over the driver's tables and their SQL, by name."""
+"""Queries over the driver's tables by name: each applies one operator to whole tables. Their SQL is in oracle.py."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import bm25, chunking, curation, delta, fusion, guard, hybrid, identity, lifecycle, publication, tasks, vector
+from ..sources import views as V
+from .oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
+
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+
+#: Fixed values of the fixtures: mechanism rules by property, synonyms of corpus words, keywords that occur in the corpus.
+RULES = [("A", 1500.0, 60000.0, "R-A"), ("N", 1200.0, 1900.0, "R-N"), ("R", 0.0, 2000.0, "R-R")]
+SYNONYMS = [("the", "der"), ("the", "le"), ("of", "von"), ("and", "und")]
+CORPUS_KEYWORDS = {"REVISION_PUBLICATION": ("and", "ed", "zu"), "CURATION_COMMIT": ("the", "th", "ci"), "RETRIEVE": ("of", "in", "re", "que")}
+LINEAGE = [
+    (1, None, None, None, None, None, None, None), (2, True, None, None, None, None, None, None), (3, False, None, None, None, None, None, None), (4, True, True, True, "revision_of", None, None, None),
+    (5, True, True, False, "revision_of", None, None, None), (6, True, True, True, None, None, None, None), (7, True, True, True, "preprint_to_journal", None, "journal", "preprint"),
+    (8, True, True, True, "preprint_to_journal", None, "journal", "journal"), (9, True, None, None, "corrected_version", None, None, None), (10, True, True, True, "corrected_version", False, None, None), (11, None, None, None, "none", None, None, None),
+]
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(RULES, "property string, lo double, hi double, rule_id string")
+
+
+def curated(spark: SparkSession, d: str) -> curation.Curation:
+    new, existing = V.new_and_existing(spark, d)
+    return curation.curate(V.curation_documents(spark, d), new, existing, rules(spark))
+
+
+# --- chunks and retrieval ----------------------------------------------------------------------------------------------
+
+
+@query
+def chunk_text_windows(spark, d):
+    return chunking.chunk_text(V.plain_documents(spark, d)).select("ref_id", "idx", "chunk_id", "n_tokens", F.sha2("payload", 256).alias("payload_hash"))
+
+
+@query
+def chunk_document_summary(spark, d):
+    docs = V.plain_documents(spark, d).withColumn("summary", F.substring("text", 1, 240))
+    return chunking.chunk_summary(docs).select("ref_id", "chunk_id", "n_tokens", "payload")
+
+
+@query
+def chunk_evidence_card(spark, d):
+    return chunking.chunk_evidence_cards(V.assertions(spark, d)).select("ref_id", "chunk_id", "n_tokens", F.sha2("payload", 256).alias("payload_hash"))
+
+
+@query
+def chunk_table_card(spark, d):
+    n, r = V.table(spark, d, "nation"), V.table(spark, d, "region")
+    rows = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.array_join(F.array_sort(F.collect_list("n_name")), "\n").alias("rows_text"))
+    t = rows.select(F.concat(F.lit("T-"), "r_name").alias("ref_id"), F.lit("1").alias("page"), F.lit(None).cast("string").alias("section"), F.col("r_name").alias("table_id"), F.concat(F.lit("Nations of "), "r_name").alias("caption"), F.array(F.lit("nation"), F.lit("key")).alias("headers"), F.array().cast("array<string>").alias("units"), "rows_text")
+    return chunking.chunk_table(t).select("ref_id", "chunk_id", "n_tokens", "payload")
+
+
+@query
+def chunk_chart_card(spark, d):
+    r = V.table(spark, d, "region")
+    t = r.select(F.concat(F.lit("C-"), "r_name").alias("ref_id"), F.lit(None).cast("string").alias("page"), F.lit("figures").alias("section"), F.col("r_regionkey").cast("string").alias("chart_id"), F.when(F.col("r_regionkey") % 2 == 0, F.col("r_name")).alias("caption"), F.array().cast("array<string>").alias("axes"), F.array().cast("array<string>").alias("units"), F.lit(None).cast("string").alias("summary"))
+    return chunking.chunk_chart(t).select("ref_id", "chunk_id", "n_tokens", "payload")
+
+
+@query
+def bm25_term_stats(spark, d):
+    return bm25.term_stats(bm25.postings(V.chunks(spark, d)))
+
+
+@query
+def bm25_topk(spark, d):
+    return bm25.bm25_topk(V.queries(spark, d), V.chunks(spark, d), 10)
+
+
+@query
+def vector_topk(spark, d):
+    return vector.vector_topk(V.vector_queries(spark, d), V.vectors(spark, d), 10)
+
+
+@query
+def vector_filtered_topk(spark, d):
+    return vector.vector_topk(V.vector_queries(spark, d), V.vectors(spark, d), 5, same_label=True)
+
+
+def _channels(spark, d) -> DataFrame:
+    return hybrid.channel(bm25.bm25_topk(V.queries(spark, d), V.chunks(spark, d), 20, "fine"), "keyword").unionByName(hybrid.channel(bm25.bm25_topk(V.queries(spark, d), V.chunks(spark, d), 20), "any"))
+
+
+@query
+def rrf_fusion(spark, d):
+    return fusion.rrf(_channels(spark, d), 10)
+
+
+@query
+def hybrid_coarse_to_fine(spark, d):
+    return hybrid.hybrid_retrieve(V.queries(spark, d), V.chunks(spark, d)).hits.select("query_id", "chunk_id", "ref_id", "score", "rank")
+
+
+@query
+def hybrid_diagnostics(spark, d):
+    return hybrid.hybrid_retrieve(V.queries(spark, d), V.chunks(spark, d)).diagnostics
+
+
+@query
+def hybrid_vector_keyword(spark, d):
+    """Keyword and vector channels together; every fiftieth vector asks, with the benchmark text of the same number."""
+    asked = V.queries(spark, d).join(V.vector_queries(spark, d).select((F.col("query_id") / 50).cast("long").alias("query_id"), "embedding"), "query_id")
+    return hybrid.hybrid_retrieve(asked.select("query_id", "text"), V.chunks(spark, d), V.vectors(spark, d), asked.select("query_id", "embedding")).hits.select("query_id", "chunk_id", "ref_id", "score", "n_channels", "rank")
+
+
+@query
+def retrieval_metrics(spark, d):
+    hits = bm25.bm25_topk(V.queries(spark, d), V.chunks(spark, d), 10)
+    truth = V.queries(spark, d).select("query_id", F.concat(F.lit("DOC-"), "query_id").alias("ref_id"))
+    return fusion.retrieval_metrics(hits, truth)
+
+
+@query
+def query_expansion(spark, d):
+    return fusion.expand_queries(V.queries(spark, d), spark.createDataFrame(SYNONYMS, "term string, expansion string"))
+
+
+@query
+def rerank_scores(spark, d):
+    q, chunks = V.queries(spark, d), V.chunks(spark, d)
+    hits = bm25.bm25_topk(q, chunks, 10).join(F.broadcast(q.withColumnRenamed("text", "query")), "query_id")
+    # Hits are few, chunks many: only the hits' payloads pass the join.
+    hits = hits.join(chunks.select("chunk_id", "payload"), "chunk_id")
+    return fusion.rerank(hits, fusion.lexical_overlap(F.col("query"), F.col("payload"))).select("query_id", "chunk_id", "score", "rerank_score", "rank")
+
+
+def _visible_refs(spark, d) -> DataFrame:
+    states = lifecycle.latest_state(V.lifecycle(spark, d))
+    return lifecycle.eligibility(V.vectors(spark, d), states).where("visible").select("ref_id")
+
+
+@query
+def eligible_hits_progressive(spark, d):
+    ranked = bm25.ranked(vector.vector_candidates(V.vector_queries(spark, d), V.vectors(spark, d), 100_000), None, True)
+    return hybrid.eligible_hits(ranked, _visible_refs(spark, d), 30)
+
+
+# --- lifecycle ---------------------------------------------------------------------------------------------------------
+
+
+@query
+def lifecycle_latest_document_state(spark, d):
+    return lifecycle.latest_state(V.lifecycle(spark, d)).select("ref_id", "lifecycle_id", "status", "effective_version_id", "created_seq")
+
+
+@query
+def version_ancestors(spark, d):
+    return lifecycle.ancestors(V.versions(spark, d))
+
+
+@query
+def lifecycle_state_as_of_version(spark, d):
+    v = V.versions(spark, d)
+    return lifecycle.state_as_of(V.lifecycle(spark, d), v, v).select("version_id", "ref_id", "lifecycle_id", "status")
+
+
+@query
+def training_eligibility(spark, d):
+    return lifecycle.eligibility(V.plain_documents(spark, d), lifecycle.latest_state(V.lifecycle(spark, d)))
+
+
+@query
+def assertion_eligibility(spark, d):
+    docs = V.curation_documents(spark, d)
+    states = lifecycle.latest_state(V.lifecycle(spark, d).withColumn("ref_id", F.concat(F.lit("S"), F.substring("ref_id", 5, 10))))
+    own = V.assertions(spark, d).where("speculative_wording").select(F.col("id").alias("assertion_id"), F.when(F.col("confidence") == "hypothesis", "archived").when(F.col("confidence") == "medium", "superseded").otherwise("active").alias("status"))
+    return lifecycle.assertion_eligibility(V.assertions(spark, d), lifecycle.eligibility(docs, states), own.dropDuplicates(["assertion_id"])).groupBy("status", "visible").agg(F.count("*").alias("n"))
+
+
+@query
+def outbox_sequence(spark, d):
+    e = V.table(spark, d, "events").where("event_type != 'click'").select("event_id", "event_type")
+    return lifecycle.assign_sequence(e, ["event_id"], 1000)
+
+
+# --- curation ----------------------------------------------------------------------------------------------------------
+
+
+@query
+def completeness_check(spark, d):
+    return curation.completeness(V.curation_documents(spark, d), V.assertions(spark, d)).drop("issues")
+
+
+@query
+def completeness_issues(spark, d):
+    return curation.completeness(V.curation_documents(spark, d), V.assertions(spark, d)).select("ref_id", F.explode("issues").alias("code"))
+
+
+@query
+def conflict_pairs(spark, d):
+    return curation.conflicts(*V.new_and_existing(spark, d)).select("new_id", "existing_id", "conflict_type")
+
+
+@query
+def conflict_summary(spark, d):
+    return curation.conflicts(*V.new_and_existing(spark, d)).groupBy("conflict_type").agg(F.count("*").alias("n"))
+
+
+@query
+def mechanism_violations(spark, d):
+    return curation.mechanism_violations(V.new_and_existing(spark, d)[0], rules(spark))
+
+
+@query
+def quality_score(spark, d):
+    return curated(spark, d).quality
+
+
+@query
+def decide_assertions(spark, d):
+    return curated(spark, d).decisions
+
+
+@query
+def curation_report(spark, d):
+    return curated(spark, d).reports
+
+
+@query
+def commit_eligibility(spark, d):
+    return curation.commit_eligibility(curated(spark, d).reports)
+
+
+def _admitted(spark, d) -> DataFrame:
+    return curation.admit(curated(spark, d).decisions, V.new_and_existing(spark, d)[0])
+
+
+@query
+def admit_assertions(spark, d):
+    return _admitted(spark, d).select("id", "ref_id", "action", "visibility", "decided_confidence")
+
+
+@query
+def snapshot_manifest(spark, d):
+    return curation.snapshot_manifest(_admitted(spark, d).withColumn("assertion_hash", F.sha2(F.concat_ws("|", "id", "visibility", "decided_confidence"), 256)))
+
+
+@query
+def slot_key_duplicates(spark, d):
+    return curation.slot_duplicates(V.assertions(spark, d)).groupBy("ref_id").agg(F.count("*").alias("slots"), F.sum("n").alias("assertions"))
+
+
+@query
+def idempotent_snapshot_dedup(spark, d):
+    docs = V.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    return docs.groupBy("content_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("submissions"))
+
+
+@query
+def request_validation(spark, d):
+    a = V.new_and_existing(spark, d)[0]
+    decisions = curated(spark, d).decisions.where("action != 'reject'").unionByName(curated(spark, d).decisions.where("action = 'return_upstream'"))
+    return curation.request_errors(decisions, a)
+
+
+# --- identity and deltas -----------------------------------------------------------------------------------------------
+
+
+@query
+def normalize_identifiers(spark, d):
+    p = V.table(spark, d, "pages").select("page_id", F.concat(F.lit(" https://doi.org/10.1000/"), F.upper("url")).alias("doi"), F.concat(F.lit("  "), "url", F.lit(" ")).alias("sid"), F.concat(F.lit("A  Title\n"), F.upper("url")).alias("title"))
+    return p.select("page_id", T.work_doi(F.col("doi")).alias("work_doi"), T.cited_doi(F.col("doi")).alias("cited_doi"), T.stable_id(F.col("sid")).alias("stable_id"), T.ascii_work_title(F.col("title")).alias("title"), T.entity_id(F.lit("Page"), F.col("sid")).alias("entity"))
+
+
+@query
+def normalize_title_nfkc(spark, d):
+    return V.table(spark, d, "documents").select("doc_id", T.work_title(F.substring("text", 1, 80)).alias("title"))
+
+
+def _intake(spark, d) -> DataFrame:
+    s = identity.normalized(V.sources(spark, d), T.ascii_work_title(F.col("title")))
+    return identity.classify_intake(s.where("seq % 4 = 3"), identity.register(s.where("seq % 4 != 3")))
+
+
+@query
+def source_intake_classification(spark, d):
+    return _intake(spark, d)
+
+
+@query
+def explicit_lineage_classification(spark, d):
+    return identity.classify_lineage(spark.createDataFrame(LINEAGE, "case_id int, work_known boolean, prior_known boolean, prior_in_work boolean, relation string, doi_work_agrees boolean, kind string, prior_kind string"))
+
+
+@query
+def align_content_units(spark, d):
+    return delta.align_units(*V.units(spark, d))
+
+
+@query
+def alignment_errors(spark, d):
+    return delta.alignment_errors(*V.units(spark, d))
+
+
+@query
+def content_delta_plan(spark, d):
+    return delta.delta_plan(delta.align_units(*V.units(spark, d))).withColumn("extract", F.array_join("extract", ","))
+
+
+@query
+def carry_forward(spark, d):
+    return delta.carry_forward(delta.align_units(*V.units(spark, d)), V.unit_assertions(spark, d)[0])
+
+
+def _transitions(spark, d) -> DataFrame:
+    aligned = delta.align_units(*V.units(spark, d))
+    return delta.transitions(aligned, *V.unit_assertions(spark, d), delta.delta_plan(aligned))
+
+
+@query
+def assertion_transitions(spark, d):
+    return _transitions(spark, d)
+
+
+@query
+def revision_actions(spark, d):
+    return delta.revision_actions(_transitions(spark, d))
+
+
+# --- evidence and claims -----------------------------------------------------------------------------------------------
+
+
+def _records(spark, d) -> DataFrame:
+    """Hits with a confidence and evidence type that come from the chunk's id."""
+    first = F.substring("chunk_id", 1, 1)
+    confidence = F.when(first.isin("0", "1", "2"), "high").when(first.isin("3", "4"), "verified").when(first.isin("5", "6", "7"), "medium").when(first.isin("8", "9", "a", "b"), "hypothesis")
+    chunks = V.chunks(spark, d).select("chunk_id", "payload", F.when(F.substring("chunk_id", 2, 1) != "0", F.col("locator")).alias("locator"), confidence.alias("confidence"), F.when(F.substring("chunk_id", 3, 1) == "f", "Rumour").when(F.substring("chunk_id", 3, 1) == "e", " Graph ").alias("evidence_type"))
+    return guard.normalize_hits(bm25.bm25_topk(V.queries(spark, d), V.chunks(spark, d), 8), chunks)
+
+
+def _claims(spark, d, records: DataFrame) -> DataFrame:
+    """One claim for each query, anchored on its hits of rank 1 to 3 and, for every fifth, on a chunk that is not there."""
+    q = F.col("query_id")
+    ids = records.where("rank <= 3").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("ids"))
+    d_ = V.queries(spark, d).join(ids, "query_id", "left").withColumn("ids", F.when(q % 7 == 6, F.array().cast("array<string>")).otherwise(F.coalesce("ids", F.array().cast("array<string>"))))
+    ids = F.when(q % 5 == 0, F.concat("ids", F.array(F.lit("nowhere")))).otherwise(F.col("ids"))
+    one = lambda a, b: F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi"))
+    ranges = F.when(q % 6 == 0, F.array(one(5.0, 6.0), one(1.0, 2.0))).when(q % 6 == 1, F.array(one(4.0, 5.0), one(1.0, 3.0), one(2.0, 9.0)))
+    return d_.select(
+        q.alias("claim_id"), "query_id", ids.alias("anchor_chunk_ids"), ranges.alias("numeric_source_ranges"), (q % 3 == 0).alias("is_critical_numeric"), F.when(q % 4 == 0, F.concat(F.lit("sq"), q)).alias("coverage_key"),
+        (q % 11 == 10).alias("private_data_unauthorized"), F.when(q % 9 == 8, F.lit(False)).alias("mechanism_supported"), F.when(q % 8 == 7, F.lit(0.1)).otherwise(1.0).alias("calibrated_support"),
+        F.when(q % 2 == 0, F.concat(F.lit("DOC-"), q)).alias("cited_ref_id"), F.when(q % 3 != 1, F.concat(F.lit("10.1000/"), q % 5)).alias("cited_doi"), F.when(q % 4 != 1, F.lit("A Title")).alias("cited_title"), F.when(q % 2 == 1, F.concat(F.lit("A"), q)).alias("assertion_id"),
+    )
+
+
+def _guarded(spark, d):
+    records = _records(spark, d)
+    claims = _claims(spark, d, records)
+    return records, claims, guard.bind_anchors(claims, records)
+
+
+def _ref_metadata(spark, d) -> DataFrame:
+    k = F.col("doc_id")
+    return V.plain_documents(spark, d).where("doc_id % 10 != 9").select("ref_id", F.when(k % 2 == 0, F.lit("a  TITLE")).otherwise(F.lit("Another")).alias("title"), F.when(k % 3 != 0, F.concat(F.lit("https://doi.org/10.1000/"), k % 5)).alias("doi"))
+
+
+def _locators(spark, d) -> DataFrame:
+    return V.plain_documents(spark, d).where("doc_id % 4 != 3").select("ref_id", F.when(F.col("doc_id") % 4 == 2, F.lit("p.1")).otherwise(F.concat(F.lit(" "), "section")).alias("locator"))
+
+
+@query
+def evidence_normalization(spark, d):
+    return _records(spark, d).select("query_id", "rank", "chunk_id", "evidence_type", F.array_join("reasons", ",").alias("reasons"), "guardable", F.sha2("excerpt", 256).alias("excerpt_hash"))
+
+
+@query
+def coverage_by_subquery(spark, d):
+    keys = V.queries(spark, d).select(F.concat(F.lit("b"), (F.col("query_id") / 4).cast("long")).alias("bundle_id"), F.concat(F.lit("sq"), "query_id").alias("coverage_key"), "query_id")
+    return guard.coverage(keys, _records(spark, d))
+
+
+@query
+def claim_policy(spark, d):
+    _, claims, anchors = _guarded(spark, d)
+    return guard.claim_policy(claims, anchors).select("claim_id", "policy", "effective_confidence", "n_anchors")
+
+
+@query
+def claim_abstain(spark, d):
+    records, claims, anchors = _guarded(spark, d)
+    covered = records.where("guardable and query_id % 8 != 0").select("query_id", F.concat(F.lit("sq"), "query_id").alias("coverage_key"))
+    out = guard.claim_abstain(claims, guard.claim_policy(claims, anchors), covered)
+    return out.withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query
+def hallucination_h1(spark, d):
+    _, claims, anchors = _guarded(spark, d)
+    return guard.hallucination_h1(claims, anchors, _ref_metadata(spark, d), _locators(spark, d))
+
+
+@query
+def hallucination_h2(spark, d):
+    _, claims, anchors = _guarded(spark, d)
+    return guard.hallucination_h2(claims.withColumn("cited_ref_id", F.when(F.col("query_id") % 2 == 0, F.col("cited_ref_id"))), anchors, _ref_metadata(spark, d))
+
+
+@query
+def hallucination_h2_status(spark, d):
+    _, claims, _ = _guarded(spark, d)
+    return guard.h2_status(claims, _ref_metadata(spark, d))
+
+
+@query
+def hallucination_h3(spark, d):
+    _, claims, _ = _guarded(spark, d)
+    bad = V.queries(spark, d).where("query_id % 5 = 0").select(F.concat(F.lit("A"), "query_id").alias("id"))
+    return guard.hallucination_h3(claims, bad)
+
+
+@query
+def evidence_answer(spark, d):
+    return guard.answer(_records(spark, d), V.queries(spark, d))
+
+
+# --- tasks, publication, codecs, outbox --------------------------------------------------------------------------------
+
+
+def _tasks(spark, d) -> DataFrame:
+    return tasks.classify(V.queries(spark, d).select(F.col("query_id").alias("task_id"), "text")).withColumn("task_type", tasks.task_type(F.col("text"), CORPUS_KEYWORDS))
+
+
+@query
+def task_classification(spark, d):
+    return _tasks(spark, d).select("task_id", "task_type")
+
+
+@query
+def task_plan(spark, d):
+    return tasks.plan(_tasks(spark, d))
+
+
+def _packages(spark, d) -> DataFrame:
+    k = F.col("c_custkey")
+    c = V.table(spark, d, "customer").select(
+        F.concat(F.lit("P-"), k).alias("package_id"), (k % 17 == 0).alias("review_required"), F.when(k % 13 == 0, "review_required").when(k % 2 == 0, "delta_safe").otherwise("full_reextract_required").alias("mode"),
+        F.concat(F.lit("R"), k).alias("package_ref"), F.when(k % 19 != 0, F.concat(F.lit("R"), k)).alias("target_ref"), F.lit("fp1").alias("prior_fingerprint"), F.when(k % 23 == 0, "fp1").otherwise("fp2").alias("target_fingerprint"),
+        F.when(k % 29 != 0, F.lit("kbv-1")).alias("prior_version_id"), F.when(k % 7 == 0, "rejected").otherwise("successful").alias("report_status"), F.when(k % 5 == 0, None).when(k % 11 == 0, "denied").otherwise("approved").alias("approval_decision"),
+    )
+    c = c.withColumn("scope_hash", publication.scope_hash("package_id", "target_ref", "target_fingerprint"))
+    return c.withColumn("approval_scope", F.when(F.col("package_id").endswith("3"), F.lit("other")).otherwise(F.col("scope_hash")))
+
+
+@query
+def publication_gate(spark, d):
+    return publication.publication_gate(_packages(spark, d))
+
+
+@query
+def tamper_check(spark, d):
+    a = _admitted(spark, d)
+    recorded = curation.snapshot_manifest(a.withColumn("assertion_hash", F.when(F.col("id").endswith("7"), F.lit("x")).otherwise(F.col("assertion_hash"))))
+    return publication.tampered(a, recorded)
+
+
+@query
+def assertion_set_json_decode(spark, d):
+    from ..sources import codec
+
+    a = V.assertions(spark, d)
+    rows = a.select("ref_id", F.to_json(F.struct("id", F.struct(F.col("entity").alias("original_mention")).alias("subject"), "property", F.struct(F.col("value_num").alias("value"), "unit").alias("object"), F.when(F.col("confidence") != "medium", F.col("confidence")).alias("confidence"), F.when(F.col("locator") == "T5", F.lit("hearsay")).alias("source_claim_origin"))).alias("json"))
+    good, bad = codec.decode_assertions(rows)
+    return good.groupBy("ref_id").agg(F.count("*").alias("decoded"), F.count_if(F.col("confidence") == "medium").alias("medium")).join(bad.groupBy("ref_id").agg(F.count("*").alias("refused")), "ref_id", "full_outer").fillna(0)
+
+
+@query
+def outbox_stream(spark, d):
+    from ..sources.store import shared_path
+    from ..streaming import outbox
+
+    schema = V.table(spark, d, "events").schema
+    target, state = shared_path(spark, "outbox"), shared_path(spark, "outbox-state")
+    events = outbox.deduplicated(outbox.read_outbox(spark, f"{d}/events.parquet*", schema).select("event_id", "event_type", "user_id"))
+    outbox.deliver(events, state, outbox.append_to(target)).awaitTermination()
+    return spark.read.parquet(target).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("events"))
