@@ -6,13 +6,14 @@ import functools
 import re
 import tempfile
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-#: Words kept in a worker's cache of tokenized words; it is emptied when full, so memory stays bounded.
+#: Parts of words kept in a worker's cache of ids; as many again are kept of the ones before.
 CACHE_WORDS = 500_000
 
 
@@ -30,13 +31,10 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(StructType.fromJson(df.schema.jsonValue())).parquet(path)
     out._stored_at = path
     return out
@@ -73,82 +71,62 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: StructType | D
     return df.mapInArrow(run, schema)
 
 
+class _Parts(dict):
+    """Ids of parts, in two generations: when the young one is full it becomes the old one, and what is still used moves up."""
+
+    def __init__(self, tokenize, dtype: str):
+        self.tokenize, self.dtype, self.old = tokenize, dtype, {}
+        # The byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = iter(range(256, 512))
+        self.alphabet = [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            signs = part if part.isascii() else "".join(map(self.alphabet.__getitem__, part.encode()))
+            ids = array(self.dtype, [t.id for t in self.tokenize(signs)]).tobytes()
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[part] = ids
+        return ids
+
+
 class WordBpe:
     """Ids of whole texts by a word-level BPE tokenizer file of the tokenizers library.
 
-    No token of such a file crosses ASCII white space and its normalizer looks at no neighbour beyond it, so the ids of a
-    text are those of its white-space-free runs in turn. A run of ASCII splits further, as the file's own pattern does, into
-    contractions, letters, single digits and other signs. What the library says of each part is kept in a bounded cache.
+    The file's pattern parts a text into contractions, runs of letters, single digits and runs of other signs; white space
+    is dropped and no id crosses a part. For texts of ASCII and precomposed Latin letters, where normalising means lower
+    case alone, the same pattern runs here; the library's model encodes each part, once while it stays in a bounded cache.
+    Texts with any other sign, or with what looks like a special token, are encoded by the library as a whole.
     """
 
-    PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    LETTERS = "a-zß-öø-ÿ"
+    PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*").fullmatch
+    PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9\t-\r ]+").findall
 
-    def __init__(self, path: str, dtype: str = "<u4"):
-        import numpy as np
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.np, self.dtype, self.runs, self.parts = np, dtype, {}, {}
-        self.begun = b""
-
-    def _learn(self, cache: dict[bytes, bytes], strings: list[bytes]) -> None:
-        np, dtype = self.np, self.dtype
-        for k in range(0, len(strings), 20_000):
-            part = strings[k : k + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-            raw = np.fromiter((i for ids in found for i in ids), dtype).tobytes()
-            size, at = np.dtype(dtype).itemsize, 0
-            for w, ids in zip(part, found, strict=True):
-                cache[w] = raw[at : (at := at + size * len(ids))]
-
-    def _learn_runs(self, runs: list[bytes]) -> None:
-        known, safe, find = self.parts, self.SAFE, self.PARTS.findall
-        plain = [w for w in runs if safe(w) and b"<|" not in w]
-        self._learn(self.runs, [w for w in runs if not safe(w) or b"<|" in w])
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        split = list(map(find, map(bytes.lower, plain)))
-        self._learn(known, list(set().union(*split).difference(known)))
-        self.runs.update(zip(plain, [known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p)) for p in split], strict=True))
-
-    #: Graphic ASCII only: what else is ASCII may count as white space in the library's pattern.
-    SAFE = re.compile(rb"[!-~]+").fullmatch
+        self.parts = _Parts(self.tokenizer.model.tokenize, "I")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Per text the little-endian ids; null and empty texts give none."""
-        out, block, held = [], [], 0
-        for text in texts:
-            words = (text or "").encode().split()
-            if held and held + len(words) > CACHE_WORDS:
-                out += self._look_up(block)
-                block, held = [], 0
-            for k in range(CACHE_WORDS, len(words), CACHE_WORDS):  # a text may hold more words than the cache
-                block.append((words[k - CACHE_WORDS : k], False))
-                out += self._look_up(block)
-                block = []
-            block.append((words[(len(words) - 1) // CACHE_WORDS * CACHE_WORDS :] if words else words, True))
-            held += len(words)
-        return out + self._look_up(block)
-
-    def _look_up(self, block: list[tuple[list[bytes], bool]]) -> list[bytes]:
-        """The ids of the texts that end in this block; what has not ended waits in self.begun."""
-        if len(self.runs) > CACHE_WORDS:
-            self.runs.clear()
-        fresh = {w for words, _ in block for w in words}.difference(self.runs)
-        if fresh:
-            self._learn_runs(list(fresh))
-        known, out = self.runs.__getitem__, []
-        for words, ends in block:
-            ids = self.begun + b"".join(map(known, words))
-            self.begun = b"" if ends else ids
-            if ends:
-                out.append(ids)
+        """Per text the ids as little-endian unsigned 32-bit integers; null and empty texts give none."""
+        known, plain, find = self.parts.__getitem__, self.PLAIN, self.PARTS
+        out = [b"".join(map(known, find(t.lower()))) if t and plain(t) and "<|" not in t else None for t in texts]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for k in range(0, len(rest), 100):
+            part = rest[k : k + 100]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([texts[i] or "" for i in part], add_special_tokens=False), strict=True):
+                out[i] = array("I", e.ids).tobytes()
         return out
 
 
 @functools.cache
-def word_bpe(path: str, dtype: str = "<u4") -> WordBpe:
+def word_bpe(path: str) -> WordBpe:
     """One tokenizer and one cache for each worker process, whatever the number of its tasks."""
-    return WordBpe(path, dtype)
+    return WordBpe(path)

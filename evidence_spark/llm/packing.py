@@ -157,7 +157,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, window: int = WINDOW, op
     are packed as rows of their own. An empty table gives an empty result. keep_ids adds the column ids (little-endian
     32-bit). Sequence ids are unique but not consecutive.
     """
-    rows = materialize(keyed_text(docs).mapInArrow(_first_round(tokenizer, end, window, open_windows, keep_ids), PIECES), "pieces", ["left"])
+    rows = materialize(keyed_text(docs).mapInArrow(_first_round(tokenizer, end, window, open_windows, keep_ids), PIECES), "pieces")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if keep_ids else [])]
     done, left, level = rows.where("not left").select(columns), rows.where("left"), 1
     tasks = left.agg(F.max("task")).first()[0]
@@ -166,7 +166,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, window: int = WINDOW, op
         entries = left.select(F.floor(F.col("task") / MERGE).alias("group"), "doc_id", "start", "ids", "doc_tokens")
         entries = entries.repartitionByRange(groups, "group") if groups > 1 else entries.coalesce(1)
         entries = entries.sortWithinPartitions("group", "doc_id", "start").select("doc_id", "start", "ids", "doc_tokens")
-        rows = materialize(entries.mapInArrow(_merge_round(level, groups == 1, window, open_windows, keep_ids), PIECES), "pieces", ["left"])
+        rows = materialize(entries.mapInArrow(_merge_round(level, groups == 1, window, open_windows, keep_ids), PIECES), "pieces")
         done = done.unionByName(rows.where("not left").select(columns))
         if groups == 1:
             break
