@@ -15,6 +15,8 @@ from pyspark.sql.types import DataType, StructType
 
 #: Parts of words kept in a worker's cache of ids; as many again are kept of the ones before.
 CACHE_WORDS = 500_000
+#: Rows that a worker's function gets at a time.
+ROWS = 2500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +36,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)  # a task's buffers stay small
     out = spark.read.schema(StructType.fromJson(df.schema.jsonValue())).parquet(path)
     out._stored_at = path
     return out
@@ -65,8 +67,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: StructType | D
     def run(batches: Iterator) -> Iterator:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield from step(batch)
+            for at in range(0, batch.num_rows, ROWS):
+                yield from step(batch.slice(at, ROWS))
 
     return df.mapInArrow(run, schema)
 
