@@ -103,7 +103,7 @@ class Roots:
         return out
 
 
-STAGED = "kind string, doc_id long, n_tokens long, digests array<binary>, lengths array<int>, digest binary, width int, data binary"
+STAGED = "doc_id long, n_tokens long, digests array<binary>, lengths array<int>, digest binary, width int, data binary"
 
 
 def _encoder(path: str, end: int):
@@ -117,7 +117,7 @@ def _encoder(path: str, end: int):
 
         seen: set[bytes] = set()
         tail = np.array([end], "<u4").tobytes()
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary()]
         names = [x.split()[0] for x in STAGED.split(", ")]
 
         def step(batch):
@@ -143,8 +143,8 @@ def _encoder(path: str, end: int):
                 for col, value in zip(recipes, (doc_id, len(ids), digests, lengths), strict=True):
                     col.append(value)
             n, m = len(recipes[0]), len(chunks[0])
-            yield pa.RecordBatch.from_arrays([pa.array(["recipe"] * n), *(pa.array(c, t) for c, t in zip(recipes, kinds[1:5], strict=True)), *(pa.nulls(n, t) for t in kinds[5:])], names=names)
-            yield pa.RecordBatch.from_arrays([pa.array(["chunk"] * m, pa.string()), *(pa.nulls(m, t) for t in kinds[1:5]), *(pa.array(c, t) for c, t in zip(chunks, kinds[5:], strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(recipes, kinds[:4], strict=True)), *(pa.nulls(n, t) for t in kinds[4:])], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(m, t) for t in kinds[:4]), *(pa.array(c, t) for c, t in zip(chunks, kinds[4:], strict=True))], names=names)
 
         return step
 
@@ -203,12 +203,13 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end: i
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "token-store")
-    staged = materialize(map_rows(keyed_text(docs), _encoder(tokenizer, end), STAGED), "staged", ["kind"])
-    chunks = staged.where("kind = 'chunk'").select("digest", "width", "data")
+    staged = materialize(map_rows(keyed_text(docs), _encoder(tokenizer, end), STAGED), "staged")
+    # Recipes and chunks lie in one table with other columns each, so reading either reads no bytes of the other.
+    chunks = staged.where("digest is not null").select("digest", "width", "data")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     unique = chunks.repartition(parts, "digest").sortWithinPartitions("digest").mapInArrow(_unique, STORED)
     unique.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/chunks")
-    recipes = staged.where("kind = 'recipe'").select("doc_id", "n_tokens", "digests", "lengths")
+    recipes = staged.where("digests is not null").select("doc_id", "n_tokens", "digests", "lengths")
     recipes = recipes.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "digests").mapInArrow(_running, RECIPES)
     recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
     # One row for each part; their number is that of the shuffle's partitions, whatever the input's size.
@@ -282,55 +283,47 @@ def bad_parts(sums: DataFrame, path: str) -> DataFrame:
     return want.join(found, "part", "full_outer").where("not (n <=> want_n and root <=> want)").select("part")
 
 
-@functools.cache
-def _shift(n_bytes: int) -> tuple[int, ...]:
-    """CRC-32 of a string followed by n zero bytes, as a matrix: what each bit of the first CRC turns into."""
-
-    def times(m, v: int) -> int:
-        out = 0
-        for row in m:
-            if not v:
-                break
-            if v & 1:
-                out ^= row
-            v >>= 1
-        return out
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials over GF(2) modulo that of CRC-32, bits in reflected order."""
+    out, bit = 0, 1 << 31
+    while bit:
+        if a & bit:
+            out ^= b
+        bit >>= 1
+        b = b >> 1 ^ 0xEDB88320 if b & 1 else b >> 1
+    return out
 
-    one = (0xEDB88320, *(1 << k for k in range(31)))  # one zero bit
-    power, out = one, tuple(1 << k for k in range(32))
-    bits = 8 * n_bytes
-    while bits:
-        if bits & 1:
-            out = tuple(times(power, x) for x in out)
-        power = tuple(times(power, x) for x in power)
-        bits >>= 1
+
+@functools.cache
+def _power(n_bytes: int) -> int:
+    """x to the power of 8 n: what n further zero bytes multiply a CRC by."""
+    out, square = 1 << 31, 1 << 23  # x to the powers 0 and 8
+    while n_bytes:
+        if n_bytes & 1:
+            out = _times(square, out)
+        square = _times(square, square)
+        n_bytes >>= 1
     return out
 
 
 def crc32_join(left: int, right: int, right_bytes: int) -> int:
     """The CRC-32 of two strings, from those of each and the length of the second."""
-    out, k = right, 0
-    m = _shift(right_bytes)
-    while left:
-        if left & 1:
-            out ^= m[k]
-        left >>= 1
-        k += 1
-    return out
+    return _times(_power(right_bytes), left) ^ right
 
 
 def _joiner():
     import pyarrow as pa
 
     def step(batch):
-        crcs = []
-        for parts in batch.column(3).to_pylist():
-            crc = 0
-            for x in parts:
-                if x["crc"] is None:
-                    crc = None
-                    break
-                crc = crc32_join(crc, x["crc"], 4 * x["n"])
+        parts, crcs = batch.column(3), []
+        values = parts.flatten()
+        found, sizes = values.field("crc").to_pylist(), values.field("n").to_pylist()
+        at = 0
+        for n in parts.value_lengths().to_pylist():
+            crc = found[at]
+            for k in range(at + 1, at + n):
+                crc = crc32_join(crc, found[k], 4 * sizes[k])
+            at += n
             crcs.append(crc)
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
