@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Labels of chunk kinds inside a metadata prefix.
 KIND_LABELS = {"text": "文本", "table": "表格", "chart": "图表", "evidence_card": "证据卡片", "document_summary": "文档摘要"}
@@ -66,7 +67,7 @@ def entity_id(eddo_class: Column, mention: Column) -> Column:
     return F.when(name != "", F.concat(F.lit("eddo:"), F.lower(eddo_class), F.lit(":"), name))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def work_title(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """For identity: compatibility composition, white space collapsed, case folded; Spark has neither of the two foldings."""
     import unicodedata

@@ -24,23 +24,26 @@ def channel(frame: DataFrame, name: str) -> DataFrame:
 
 def hybrid_retrieve(
     queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, vector_queries: DataFrame | None = None, graph: DataFrame | None = None,
-    allowed: DataFrame | None = None, coarse_top_k: int = DEFAULT.coarse_top_k, fine_top_k: int = DEFAULT.fine_top_k, fallback: bool = True, config: Config = DEFAULT,
+    allowed: DataFrame | None = None, coarse_top_k: int = DEFAULT.coarse_top_k, fine_top_k: int = DEFAULT.fine_top_k, fallback: bool = True, config: Config = DEFAULT, visible: DataFrame | None = None,
 ) -> Retrieval:
     """Keyword and vector candidates on coarse chunks pick documents; fine chunks of those are fused.
 
     Fine channels are keyword, vector and graph (query_id, chunk_id, ref_id, rank); the graph takes no part in the coarse
     stage. A query without coarse hits falls back to all documents, or returns nothing where fallback is off. allowed:
-    (query_id, ref_id) pairs; None for no restriction. The BM25 index is scored once; both stages filter its scores.
+    (query_id, ref_id) pairs; None for no restriction. visible: references (ref_id) that any query may return; statistics
+    still cover the whole index. The BM25 index is scored once; both stages filter its scores.
     """
     scores = bm25.bm25_scores(queries, chunks, config)
     if allowed is not None:
         scores = scores.join(allowed, ["query_id", "ref_id"], "left_semi")
+    if visible is not None:
+        scores = scores.join(visible.select("ref_id"), "ref_id", "left_semi")
+        vectors = vectors.join(visible.select("ref_id"), "ref_id", "left_semi") if vectors is not None else None
     coarse = channel(bm25.ranked(scores.where("level = 'coarse'"), coarse_top_k), "keyword")
     dense = None
     if vectors is not None:
-        dense = vector.vector_candidates(vector_queries, vectors, max(coarse_top_k, fine_top_k))
-        if allowed is not None:
-            dense = dense.join(allowed, ["query_id", "ref_id"], "left_semi")
+        # Filters come before ranks: where references are restricted, exactly those pairs are scored.
+        dense = vector.vector_candidates(vector_queries, vectors, coarse_top_k) if allowed is None else vector.score_pairs(allowed, vector_queries, vectors)
         coarse = coarse.unionByName(channel(bm25.ranked(dense, coarse_top_k, True), "vector"))
     picked = fusion.rrf(coarse, coarse_top_k, config)
     status = queries.select("query_id").join(picked.groupBy("query_id").agg(F.count("*").alias("coarse_hits")), "query_id", "left").fillna(0, ["coarse_hits"])
@@ -51,7 +54,7 @@ def hybrid_retrieve(
         inside = inside.unionByName(fine.join(status.where("coarse_hits = 0").select("query_id"), "query_id", "left_semi"))
     found = channel(bm25.ranked(inside, fine_top_k), "keyword")
     if dense is not None:
-        near = dense.join(refs, ["query_id", "ref_id"], "left_semi")
+        near = vector.score_pairs(refs, vector_queries, vectors)
         found = found.unionByName(channel(bm25.ranked(near, fine_top_k, True), "vector"))
     if graph is not None:
         found = found.unionByName(channel(graph.join(refs, ["query_id", "ref_id"], "left_semi").where(F.col("rank") <= fine_top_k), "graph"))

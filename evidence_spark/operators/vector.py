@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import inner_product
+
 #: Queries in one pass over the vectors; more are answered in further passes.
 PASS = 4096
 #: Decimal digits of a score; ranks are taken on rounded scores, so that ties are ties in every order of summation.
@@ -55,6 +57,13 @@ def vector_candidates(queries: DataFrame, vectors: DataFrame, k: int, same_label
     return out
 
 
+def score_pairs(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """query_id, chunk_id, ref_id, score of the vectors of each (query_id, ref_id) pair: for restricted searches."""
+    q = queries.select("query_id", F.col("embedding").alias("_q"))
+    d = vectors.select("chunk_id", "ref_id", "embedding").join(pairs.select("query_id", "ref_id").distinct(), "ref_id").join(q, "query_id")
+    return d.select("query_id", "chunk_id", "ref_id", F.round(inner_product(F.col("_q"), F.col("embedding")), DIGITS).alias("score"))
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, same_label: bool = False) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     found = vector_candidates(queries, vectors, k, same_label)
