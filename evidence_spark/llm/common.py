@@ -73,6 +73,18 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: StructType | D
     return df.mapInArrow(run, schema)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def sole_cache(owner: str, clear: Callable[[], None]) -> None:
+    """A worker process serves the tasks of many stages; it keeps the cache of the operator in use and drops the others'."""
+    if owner not in _caches:
+        for other in _caches.values():
+            other()
+        _caches.clear()
+        _caches[owner] = clear
+
+
 class _Parts(dict):
     """Ids of parts, in two generations: when the young one is full it becomes the old one, and what is still used moves up."""
 
@@ -116,8 +128,13 @@ class WordBpe:
         self.tokenizer.no_padding()
         self.parts = _Parts(self.tokenizer.model.tokenize, "I")
 
+    def forget(self) -> None:
+        self.parts.clear()
+        self.parts.old.clear()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Per text the ids as little-endian unsigned 32-bit integers; null and empty texts give none."""
+        sole_cache("words", self.forget)
         known, plain, find = self.parts.__getitem__, self.PLAIN, self.PARTS
         out = [b"".join(map(known, find(t.lower()))) if t and plain(t) and "<|" not in t else None for t in texts]
         rest = [i for i, ids in enumerate(out) if ids is None]

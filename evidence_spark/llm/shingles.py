@@ -5,16 +5,16 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Bytes that part words: space and the controls 9 to 13. bytes.split() without arguments parts at exactly these.
+from .common import sole_cache
+
+#: Words of a shingle. Words are parted by space and the controls 9 to 13, just as bytes.split() does without arguments.
 WORDS = 5
 #: Slots of a signature.
 SLOTS = 128
 #: Words whose hashes a worker keeps; the table is emptied when full.
-WORD_CACHE = 400_000
+WORD_CACHE = 250_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_hashes: dict[bytes, int] = {}
-
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
@@ -37,6 +37,7 @@ def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
+    sole_cache("shingles", _hashes.clear)
     if len(_hashes) > WORD_CACHE:
         _hashes.clear()
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
@@ -80,7 +81,7 @@ def super_minhash(items: np.ndarray, slots: int = SLOTS, block: int = 2048) -> n
             if j == 0:
                 first = to
             if n > 64:
-                o = np.argsort(slot, kind="stable") if False else np.lexsort((rank, slot))
+                o = np.lexsort((rank, slot))
                 s = slot[o]
                 head = np.concatenate(([True], s[1:] != s[:-1]))
                 best[s[head]] = np.minimum(best[s[head]], rank[o][head])

@@ -9,7 +9,7 @@ from array import array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, map_rows
+from .common import keyed_text, map_rows, sole_cache
 
 SPACE = "▁"
 #: Chunks, and pairs of pieces, that a worker remembers; a full table is emptied.
@@ -85,6 +85,10 @@ class PieceBpe:
             last.append(piece)
         return counts
 
+    def forget(self) -> None:
+        self.chunks.clear()
+        self.pairs.clear()
+
     def split(self, text: str) -> list[str]:
         """The chunks of a text, each without its first space mark; the library puts one before the text."""
         words = text.replace(SPACE, " ").split(" ")
@@ -104,6 +108,7 @@ class PieceBpe:
         return found
 
     def count(self, text: str) -> int:
+        sole_cache("pieces", self.forget)
         words, known = self.split(text), self.chunks.get
         total = 0
         for word in words:
