@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import discard, keyed_text, map_rows, materialize, new_path
 
 #: Ids in the rolling window; ids between cuts on average (a power of two), at least and at most.
-ROLL, MEAN, LEAST, MOST = 16, 512, 128, 4096
+ROLL, MEAN, LEAST, MOST = 16, 1024, 256, 8192
 #: Digests that a task remembers, to hand on a chunk's bytes once; others are handed on again and dropped later.
 SEEN = 200_000
 
