@@ -187,7 +187,7 @@ def test_samples_follow_the_lattice():
 
     lat = piece_sampling.Lattice(queries.tokenizer("piece_bpe_32k.model"))
     chunks = lat.chunks("the cat")
-    lat.prepare(chunks)
+    lat.states(chunks)
 
     def paths(state):
         if not state:
@@ -197,7 +197,7 @@ def test_samples_follow_the_lattice():
                 for rest, more in paths(int(lat.next[c])):
                     yield (c, *rest), float(lat.logp[c]) + more
 
-    every = {sum((p for p, _ in combo), ()): sum(w for _, w in combo) for combo in itertools.product(*(list(paths(lat.start[c])) for c in chunks))}
+    every = {sum((p for p, _ in combo), ()): sum(w for _, w in combo) for combo in itertools.product(*(list(paths(x)) for x in lat.states(chunks)[0].tolist()))}
     p = {k: math.exp(v) for k, v in every.items()}
     assert abs(sum(p.values()) - 1) < 1e-9
     # Every way to cut the text into pieces is a path, and its probability goes with the product of its pieces' weights.
@@ -207,10 +207,11 @@ def test_samples_follow_the_lattice():
     def ways(t):
         return [[]] if not t else [[known[t[:n]], *w] for n in range(1, len(t) + 1) if t[:n] in known for w in ways(t[n:])]
 
-    want = {tuple(a + b): lat.weight[a + b].sum() for a in ways(chunks[0]) for b in ways(chunks[1])}
+    want = {tuple(a + b): lat.weight[a + b].sum() for a in ways("▁" + chunks[0]) for b in ways("▁" + chunks[1])}
     total = np.logaddexp.reduce(list(want.values()))
-    got = {tuple(lat.ids(np.array(k)).tolist()): v for k, v in every.items()}
+    got = {tuple(lat.ids(lat.token[list(k)]).tolist()): v for k, v in every.items()}
     assert got.keys() == want.keys() and all(abs(v - (want[k] - total)) < 1e-9 for k, v in got.items())
+    p = {tuple(lat.token[list(k)].tolist()): v for k, v in p.items()}
     first, second, weighted, n = Counter(), Counter(), 0.0, 20_000
     for found, bound in lat.sample_all([chunks] * n, list(range(n)), 3, 1):
         ids = [tuple(c.tolist()) for c, _, _ in found]
