@@ -25,7 +25,7 @@ def decode_tokens(tokens: Column) -> Column:
 
 def keyword_tokens(text: Column) -> Column:
     """Lower-cased words between white space, without blanks."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"\s+"), "")
 
 
 def _dash(c: Column) -> Column:

@@ -11,15 +11,16 @@ from ..config import DEFAULT, Config
 from ..functions.text import keyword_tokens
 
 
-def postings(chunks: DataFrame, tokenizer: Callable[[Column], Column] = keyword_tokens) -> DataFrame:
-    """chunk_id, ref_id, level, dl, term, tf. Terms are counted within the row, so nothing is shuffled."""
+def postings(chunks: DataFrame, tokenizer: Callable[[Column], Column] = keyword_tokens, terms: DataFrame | None = None) -> DataFrame:
+    """chunk_id, ref_id, level, dl, term, tf; with terms (term), of those alone: the others go before anything is shuffled.
+
+    The size of terms decides whether Spark broadcasts them.
+    """
     tokens = chunks.select("chunk_id", "ref_id", "level", tokenizer(F.col("payload")).alias("t"))
-    tokens = tokens.select("*", F.size("t").alias("dl"), F.array_sort("t").alias("s")).drop("t")
-    # Ends of equal runs in the sorted array give each term and its count.
-    ends = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == F.col("dl") - 1) | (F.get("s", i) != F.get("s", i + 1)))
-    runs = F.transform("ends", lambda e, k: F.struct(F.get("s", e).alias("term"), (e - F.coalesce(F.get("ends", k - 1), F.lit(-1))).alias("tf")))
-    tokens = tokens.where("dl > 0").withColumn("ends", ends).select("chunk_id", "ref_id", "level", "dl", F.explode(runs).alias("r"))
-    return tokens.select("chunk_id", "ref_id", "level", "dl", F.col("r.term").alias("term"), F.col("r.tf").cast("long").alias("tf"))
+    rows = tokens.select("chunk_id", "ref_id", "level", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    if terms is not None:
+        rows = rows.join(terms, "term", "left_semi")
+    return rows.groupBy("chunk_id", "ref_id", "level", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(chunks: DataFrame, tokenizer: Callable[[Column], Column] = keyword_tokens) -> DataFrame:
@@ -27,8 +28,12 @@ def corpus_stats(chunks: DataFrame, tokenizer: Callable[[Column], Column] = keyw
     return chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokenizer(F.col("payload")))).alias("avgdl"))
 
 
-def term_stats(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def term_stats(chunks: DataFrame, tokenizer: Callable[[Column], Column] = keyword_tokens) -> DataFrame:
+    """term, df (chunks), cf (occurrences): counted in one aggregation, without a table of postings."""
+    t = chunks.select(tokenizer(F.col("payload")).alias("t"))
+    each = t.select(F.explode("t").alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))
+    once = t.select(F.explode(F.array_distinct("t")).alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c"))
+    return each.unionByName(once).groupBy("term").agg(F.sum("d").alias("df"), F.sum("c").alias("cf"))
 
 
 def query_terms(queries: DataFrame, tokenizer: Callable[[Column], Column] = keyword_tokens) -> DataFrame:
@@ -43,7 +48,7 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame, config: Config = DEFAULT,
     aggregated over these alone, which is exact, and the one-row corpus statistics are joined as a scalar.
     """
     terms = query_terms(queries, tokenizer)
-    posts = postings(chunks, tokenizer).join(terms.select("term").distinct(), "term", "left_semi")
+    posts = postings(chunks, tokenizer, terms.select("term").distinct())
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(chunks, tokenizer)  # one row
     k1, b = F.lit(config.bm25_k1), F.lit(config.bm25_b)

@@ -75,7 +75,7 @@ def chunk_chart_card(spark, d):
 
 @query
 def bm25_term_stats(spark, d):
-    return bm25.term_stats(bm25.postings(V.chunks(spark, d)))
+    return bm25.term_stats(V.chunks(spark, d))
 
 
 @query
