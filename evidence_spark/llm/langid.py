@@ -1,4 +1,4 @@
-"""Language identification: script ranges narrow the candidates, Viterbi over word scores labels spans."""
+"""Language identification: script ranges narrow the candidates, Viterbi over the scores of words' pieces labels spans."""
 
 from __future__ import annotations
 
@@ -22,19 +22,37 @@ SCRIPTS = [
 SAMPLE = 20_000
 #: Hashed features of a language.
 FEATURES = 1 << 16
-#: Cost in nats of a change of language between two words.
+#: Cost in nats of a change of language between two pieces.
 SWITCH = 12.0
 #: Words whose scores a worker keeps, and words that are scored at a time.
 WORDS, SLICE = 250_000, 400_000
+#: Signs in a piece of a word, at most.
+PIECE = 40
 UNKNOWN = "und"
 
 
+@functools.lru_cache(1 << 14)
 def script_of(char: str) -> str:
     import bisect
 
     return SCRIPTS[bisect.bisect_right(SCRIPTS, (ord(char), "\U0010ffff")) - 1][1]
 
 
+def pieces_of(word: str) -> list[str]:
+    """A word cut where the script of its letters changes, and each part into consecutive pieces of at most PIECE signs."""
+    cuts = [0]
+    if not word.isascii() and max(word) >= "\u0370":  # below it all is Latin
+        last = None
+        for i, c in enumerate(word):
+            if c.isalpha() and (s := script_of(c)) != last:
+                if last is not None:
+                    cuts.append(i)
+                last = s
+    if len(cuts) == 1 and len(word) <= PIECE:
+        return [word]
+    return [word[i : min(i + PIECE, b)] for a, b in zip(cuts, [*cuts[1:], len(word)], strict=True) for i in range(a, b, PIECE)]
+
+
 def features(words: list[str]):
     """(bucket, word number) of the features of lower-cased words: the word itself and its marked runs of 2 to 4 signs."""
     import zlib
@@ -43,7 +61,7 @@ def features(words: list[str]):
 
     from .shingles import mix
 
-    marked = [f"<{w[:40]}>" for w in words]
+    marked = [f"<{w}>" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, marked), np.int64, len(marked)))
     buckets = [np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in marked], np.uint64)]
@@ -79,7 +97,11 @@ def _counter(languages: list[str]):
             found: dict[int, Counter] = {}
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found.setdefault(languages.index(lang), Counter()).update(text.lower().split())
-            for k, times in found.items():
+            for k, whole in found.items():
+                times = Counter()
+                for w, c in whole.items():
+                    for piece in pieces_of(w):
+                        times[piece] += c
                 words = [w for w in times if letters_of(w)[0]]
                 weights = np.array([times[w] for w in words], np.float64)
                 buckets, owner = features(words)
@@ -102,7 +124,7 @@ class Model:
     def __init__(self, languages: list[str], weights, scripts: dict[str, list[int]]):
         self.languages, self.weights, self.scripts = languages, weights, scripts
         self.rows: dict[str, int] = {}
-        self.scores = self.letters = None
+        self.scores = self.letters = self.counts = None
 
     def score(self, words: list[str]):
         """(scores by language, letters) of words. Languages that do not use a word's script are far below the others; a
@@ -128,27 +150,31 @@ class Model:
 
     def forget(self) -> None:
         self.rows.clear()
-        self.scores = self.letters = None
+        self.scores = self.letters = self.counts = None
 
     def look_up(self, words: list[str]):
-        """Row numbers of words in the score table."""
+        """Numbers of the first rows of words in the score table; the rows of a word's other pieces follow."""
         import numpy as np
 
         sole_cache("languages", self.forget)
-        if self.scores is None or len(self.rows) > WORDS:
+        if self.scores is None or len(self.letters) > WORDS:
             self.forget()
-            self.scores, self.letters = np.empty((0, len(self.languages))), np.empty(0, np.int64)
+            self.scores, self.letters, self.counts = np.empty((0, len(self.languages))), np.empty(0, np.int64), np.empty(0, np.int64)
         rows = self.rows
         fresh = list({w for w in words if w not in rows})
         if fresh:
-            rows.update(zip(fresh, range(len(rows), len(rows) + len(fresh)), strict=True))
-            for at in range(0, len(fresh), 50_000):
-                s, n = self.score(fresh[at : at + 50_000])
+            parts = [pieces_of(w) for w in fresh]
+            size = np.fromiter(map(len, parts), np.int64, len(parts))
+            rows.update(zip(fresh, (len(self.letters) + np.cumsum(size) - size).tolist(), strict=True))
+            self.counts = np.concatenate((self.counts, np.repeat(size, size)))
+            pieces = [p for part in parts for p in part]
+            for at in range(0, len(pieces), 50_000):
+                s, n = self.score(pieces[at : at + 50_000])
                 self.scores, self.letters = np.concatenate((self.scores, s)), np.concatenate((self.letters, n))
         return np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
 
     def label(self, scores) -> list[int]:
-        """Viterbi: the language of each word at the highest sum of scores less SWITCH for each change."""
+        """Viterbi: the language of each piece at the highest sum of scores less SWITCH for each change."""
         rows = scores.tolist()
         best, back = rows[0], []
         for row in rows[1:]:
@@ -162,13 +188,22 @@ class Model:
         return path[::-1]
 
     def labels(self, texts: list[str]):
-        """For each text: (language of each word, letters of each word). One language is kept throughout where no run of
-        words is worth a change: if no other language gains more than SWITCH over any run, no path with changes is better."""
+        """For each text: (language of each piece, letters of each piece); most words are one piece."""
+        return [(langs, letters) for langs, letters, _ in self.label_pieces(texts)]
+
+    def label_pieces(self, texts: list[str]):
+        """For each text: (language, letters, word number) of each piece. One language is kept throughout where no run of
+        pieces is worth a change: if no other language gains more than SWITCH over any run, no path with changes is better."""
         import numpy as np
 
         words = [t.split() for t in texts]
         sizes = np.array([len(w) for w in words])
         flat = self.look_up([w for part in words for w in part])
+        size = self.counts[flat]
+        before = np.concatenate(([0], np.cumsum(size)))
+        word_no = np.repeat(np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), size)
+        sizes = before[np.cumsum(sizes)] - before[np.cumsum(sizes) - sizes]
+        flat = np.repeat(flat - before[:-1], size) + np.arange(before[-1])
         letters, s = self.letters[flat], self.scores[flat]
         ends = np.cumsum(sizes)
         starts = ends - sizes
@@ -191,7 +226,7 @@ class Model:
             for i in np.flatnonzero(mixed).tolist():
                 a, b = starts[full[i]], ends[full[i]]
                 out[a:b] = self.label(s[a:b])
-        return [(out[a:b], letters[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return [(out[a:b], letters[a:b], word_no[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -247,14 +282,14 @@ def _predictor(shared, spans: bool):
             model = _loaded(shared.value)
             names, scores, runs = [], [], []
             for part in _slices(batch.column(1).to_pylist()):
-                for langs, letters in model.labels(part):
+                for langs, letters, word_no in model.label_pieces(part):
                     by = np.bincount(langs, letters, len(model.languages)) if len(langs) else np.zeros(1)
                     total = by.sum() if model.languages else 0
                     names.append(model.languages[int(by.argmax())] if total else UNKNOWN)
                     scores.append(float(by.max() / total) if total else 0.0)
                     if spans:
                         cuts = [0, *(np.flatnonzero(langs[1:] != langs[:-1]) + 1).tolist(), len(langs)] if len(langs) else [0]
-                        runs.append([{"first": a, "words": b - a, "lang": model.languages[langs[a]]} for a, b in zip(cuts, cuts[1:], strict=False)] if total else [])
+                        runs.append([{"first": int(word_no[a]), "words": int(word_no[b - 1] - word_no[a]) + 1, "lang": model.languages[langs[a]]} for a, b in zip(cuts, cuts[1:], strict=False)] if total else [])
             cols = [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             if spans:
                 kind = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("lang", pa.string())]))
@@ -269,9 +304,11 @@ def _predictor(shared, spans: bool):
 def predict(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score[, spans]), one row for each row of docs, from the text alone.
 
-    Words are parted by white space. The prediction is the language with the most letters under its spans, the score its
+    Words are parted by white space, and cut into pieces where their script changes and after every PIECE signs; all pieces
+    count. The prediction is the language with the most letters under its spans, the score its
     share of the text's letters. Null, empty and letterless texts are `und` with score 0, as is every text where nothing was
-    learned. Ties go to the language whose name sorts first. Equal texts get equal results. A span is (first word, words, lang).
+    learned. Ties go to the language whose name sorts first. Equal texts get equal results. A span is (first word, words, lang);
+    where the language changes within a word, the word belongs to both spans.
     """
     small = Model(model.languages, model.weights, model.scripts)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(small))  # FEATURES x languages x 4 bytes

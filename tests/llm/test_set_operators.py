@@ -206,6 +206,23 @@ def test_one_language_is_kept_only_where_that_is_best(model):
     assert isinstance(np.asarray(got), np.ndarray)
 
 
+def test_every_sign_of_a_long_word_counts(spark, model):
+    en, fr = (re.sub(r"\W+", "", spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(f"lang = '{x}' and n_chars > 3000").orderBy("doc_id").select("text").first()[0]) for x in ("en", "fr"))
+    mixed = "Smith" + "说这是一个很长的句子" * 30
+    rows = [(1, en[:40] + fr[:2000]), (2, f"a {en[:40]}{fr[:2000]} b")]
+    got = {r.doc_id: r for r in langid.predict(docs(spark, rows), model, spans=True).collect()}
+    assert [got[i].lang_pred for i in (1, 2)] == ["fr", "fr"]
+    assert all(s.first + s.words <= 3 for s in got[2].spans) and got[2].spans[-1].first + got[2].spans[-1].words == 3
+    taught = [(1, "the of and to in that it is was for " * 20, "en"), (2, "说这是一个很长的句子我们没有空格" * 20, "zh")]
+    small = langid.fit(spark.createDataFrame(taught, "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in langid.predict(docs(spark, [(1, mixed), (2, "说这是" + "theofandto" * 30)]), small, spans=True).collect()}
+    assert [got[i].lang_pred for i in (1, 2)] == ["zh", "en"]
+    assert [(s.first, s.words, s.lang) for s in got[1].spans] == [(0, 1, "en"), (0, 1, "zh")] and got[1].score == 300 / 305
+    for word in (mixed, "x" * 81, "12345" * 20 + "Ж" + "漢字かな", "é", "naïve-Жa", ""):
+        pieces = langid.pieces_of(word)
+        assert "".join(pieces) == word and all(len(p) <= 40 and len({langid.script_of(c) for c in p if c.isalpha()}) <= 1 for p in pieces)
+
+
 # --- the whole -----------------------------------------------------------------------------------------------------------
 
 
