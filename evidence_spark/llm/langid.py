@@ -192,8 +192,10 @@ class Model:
         return [(langs, letters) for langs, letters, _ in self.label_pieces(texts)]
 
     def label_pieces(self, texts: list[str]):
-        """For each text: (language, letters, word number) of each piece. One language is kept throughout where no run of
-        pieces is worth a change: if no other language gains more than SWITCH over any run, no path with changes is better."""
+        """For each text: (language, letters, word number) of each piece. One language, the lead, is kept throughout where no
+        path with changes can be better. Such a path either holds the lead somewhere, and then pays a change for each stretch
+        in another language, so one of them gains more than SWITCH over it; or m > 1 stretches in other languages cover the
+        text at m - 1 changes. If none gains more than SWITCH, the first and the last then gain more than SWITCH together."""
         import numpy as np
 
         words = [t.split() for t in texts]
@@ -215,14 +217,21 @@ class Model:
             out[:] = own
             mine = s[np.arange(len(flat)), own]
             mixed = np.zeros(len(full), bool)
+            head, tail = np.full(len(full), -np.inf), np.full(len(full), -np.inf)  # the most that one language gains over a prefix, over a suffix
             for k in range(len(self.languages)):
                 gain = s[:, k] - mine
                 # A drop between texts below all that a text can gain, so that runs end with their text.
                 drop = float(np.abs(gain).sum()) + 1 if len(full) < 2 else float(np.add.reduceat(np.abs(gain), starts[full]).max()) + 1
                 text_no = np.repeat(np.arange(len(full)), sizes[full])
-                total = np.cumsum(gain) - drop * text_no
+                plain = np.cumsum(gain)
+                base = plain[starts[full]] - gain[starts[full]]
+                foreign = lead != k
+                head = np.where(foreign, np.maximum(head, np.maximum.reduceat(plain, starts[full]) - base), head)
+                tail = np.where(foreign, np.maximum(tail, plain[ends[full] - 1] - np.minimum.reduceat(plain, starts[full])), tail)
+                total = plain - drop * text_no
                 low = np.minimum.accumulate(np.concatenate(([0.0], total[:-1])) - drop * np.concatenate(([0], (text_no[1:] != text_no[:-1]).astype(int))))
                 mixed |= np.maximum.reduceat(total - low, starts[full]) > SWITCH
+            mixed |= head + tail > SWITCH - 1e-6
             for i in np.flatnonzero(mixed).tolist():
                 a, b = starts[full[i]], ends[full[i]]
                 out[a:b] = self.label(s[a:b])

@@ -206,6 +206,29 @@ def test_one_language_is_kept_only_where_that_is_best(model):
     assert isinstance(np.asarray(got), np.ndarray)
 
 
+def test_two_languages_with_a_third_ahead():
+    """Neither part gains more than SWITCH over the lead, both together do."""
+    import numpy as np
+
+    rng, flagged = random.Random(4), 0
+    words = {"a": (0, -4, -1.5), "b": (-4, 0, -1.5), "c": (-3, -3, 0), "d": (-1.2, -4, 0), "e": (0, -0.5, -0.4)}
+    three = langid.Model(["A", "B", "C"], np.zeros((langid.FEATURES, 3), np.float32), {})
+    three.look_up(list(words))
+    for w, s in words.items():
+        three.scores[three.rows[w]] = s
+    assert three.labels(["a " * 6 + "b " * 6])[0][0].tolist() == [0] * 6 + [1] * 6
+    texts = ["a " * rng.randrange(8) + rng.choice(("", "c ", "e d ")) + "b " * rng.randrange(8) + "a " * rng.randrange(8) for _ in range(300)]
+    texts += [" ".join(rng.choices("abcde", (3, 3, 2, 1, 1), k=rng.randrange(1, 25))) for _ in range(300)]
+    for text, (got, _) in zip(texts, three.labels(texts), strict=True):
+        if text.strip():
+            s = three.scores[three.look_up(text.split())]
+            value = lambda path, s=s: sum(s[i, k] for i, k in enumerate(path)) - langid.SWITCH * sum(a != b for a, b in zip(path, path[1:], strict=False))
+            best = three.label(s)
+            flagged += 2 in s.sum(axis=0).argsort()[-1:] and len(set(best)) > 1
+            assert value(got.tolist()) >= value(best) - 1e-6
+    assert flagged > 10
+
+
 def test_every_sign_of_a_long_word_counts(spark, model):
     en, fr = (re.sub(r"\W+", "", spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(f"lang = '{x}' and n_chars > 3000").orderBy("doc_id").select("text").first()[0]) for x in ("en", "fr"))
     mixed = "Smith" + "说这是一个很长的句子" * 30
