@@ -93,12 +93,14 @@ def _build_shards(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    def packed(shard: int, rows: list[tuple[bytes, int, int]]):
+    def packed(shard: int, rows: list[tuple[bytes, int | None, int]]):
         seeds, slots = build([r[0] for r in rows])
         at = np.argsort(slots)
         held = b"".join(rows[i][0] for i in at)
-        winners, copies = (np.array([rows[i][k] for i in at], "<i8").tobytes() for k in (1, 2))
-        return pa.RecordBatch.from_pylist([{"shard": shard, "n": len(rows), "seeds": seeds, "digests": held, "winners": winners, "copies": copies}])
+        winners = np.array([rows[i][1] or 0 for i in at], "<i8").tobytes()
+        known = np.array([rows[i][1] is not None for i in at], bool).tobytes()
+        copies = np.array([rows[i][2] for i in at], "<i8").tobytes()
+        return pa.RecordBatch.from_pylist([{"shard": shard, "n": len(rows), "seeds": seeds, "digests": held, "winners": winners, "known": known, "copies": copies}])
 
     shard, rows = None, []
     for batch in batches:
@@ -112,7 +114,7 @@ def _build_shards(batches: Iterator) -> Iterator:
         yield packed(shard, rows)
 
 
-INDEX = "shard long, n long, seeds binary, digests binary, winners binary, copies binary"
+INDEX = "shard long, n long, seeds binary, digests binary, winners binary, known binary, copies binary"
 
 
 def shard_of(d: Column, shards: int) -> Column:
@@ -122,7 +124,7 @@ def shard_of(d: Column, shards: int) -> Column:
 def build_index(distinct: DataFrame, shards: int) -> DataFrame:
     """The index of (digest, winner, copies) rows with distinct digests: one row for each shard.
 
-    A slot holds the full digest, the winner's locator (its doc_id) and how many rows have the digest.
+    A slot holds the full digest, the winner's locator (its doc_id), whether it has one, and how many rows have the digest.
     """
     rows = distinct.select(shard_of(F.col("digest"), shards).alias("shard"), "digest", "winner", "copies")
     return rows.repartition("shard").sortWithinPartitions("shard", "digest").mapInArrow(_build_shards, INDEX)
@@ -144,7 +146,7 @@ def _look_up(batches: Iterator) -> Iterator:
             if part.column(1)[0].as_py() == 0:
                 shard, row = part.column(0)[0].as_py(), part.slice(0, 1).to_pylist()[0]
                 n, seeds, held = row["n"], row["seeds"], row["digests"]
-                winners, copies = np.frombuffer(row["winners"], "<i8"), np.frombuffer(row["copy_counts"], "<i8")
+                winners, known, copies = (np.frombuffer(row[c], t) for c, t in (("winners", "<i8"), ("known", bool), ("copy_counts", "<i8")))
                 part = part.slice(1)
             if not part.num_rows:
                 continue
@@ -154,7 +156,7 @@ def _look_up(batches: Iterator) -> Iterator:
             else:
                 slots = find(seeds, n, wanted).tolist()
                 found = [held[32 * s : 32 * s + 32] == d for s, d in zip(slots, wanted, strict=True)]
-                won = [int(winners[s]) if ok else None for s, ok in zip(slots, found, strict=True)]
+                won = [int(winners[s]) if ok and known[s] else None for s, ok in zip(slots, found, strict=True)]
                 times = [int(copies[s]) if ok else None for s, ok in zip(slots, found, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), part.column(4), pa.array(won, pa.int64()), pa.array(times, pa.int64())], names=["digest", "winner", "copies", "old_winner", "old_copies"])
 
@@ -164,9 +166,9 @@ def look_up(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
 
     A nonmember's slot holds some other digest; the bytes of both are compared, so none passes for a member.
     """
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("n", "long"), ("seeds", "binary"), ("digests", "binary"), ("winners", "binary"), ("copy_counts", "binary"))]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("n", "long"), ("seeds", "binary"), ("digests", "binary"), ("winners", "binary"), ("known", "binary"), ("copy_counts", "binary"))]
     asked = rows.select(shard_of(F.col("digest"), shards).alias("shard"), F.lit(1).alias("kind"), "digest", "winner", "copies", *none)
-    held = index.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("winner"), F.lit(None).cast("long").alias("copies"), "n", "seeds", "digests", "winners", F.col("copies").alias("copy_counts"))
+    held = index.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("winner"), F.lit(None).cast("long").alias("copies"), "n", "seeds", "digests", "winners", "known", F.col("copies").alias("copy_counts"))
     both = held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind")
     return both.mapInArrow(_look_up, "digest binary, winner long, copies long, old_winner long, old_copies long")
 
@@ -199,6 +201,8 @@ def dedupe(docs: DataFrame, history: Column | None = None, shard: int = SHARD) -
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all of their columns; of rows that repeat a kept doc_id each stays."""
-    kept = dedupe(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of docs that stay, with all of their columns; of rows that repeat a kept doc_id each stays.
+    Rows without a doc_id are told apart by their text."""
+    doc_id = F.col("doc_id").cast("long")
+    kept = dedupe(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.when(F.col("doc_id").isNull(), F.unhex("text_sha256")).alias("_kept_text")).distinct()
+    return docs.join(kept, doc_id.eqNullSafe(F.col("_kept_id")) & F.when(doc_id.isNull(), digest(F.col("text"))).eqNullSafe(F.col("_kept_text")), "left_semi")

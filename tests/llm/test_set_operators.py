@@ -127,6 +127,22 @@ def test_exact_dedup(spark):
     assert exact_dedup.dedupe(docs(spark, [])).collect() == []
 
 
+def test_exact_dedup_of_null_ids(spark):
+    rows = [(None, "alone"), (None, "twice"), (None, "twice"), (None, "beside"), (5, "beside"), (0, "zero"), (None, "zero"), (7, "other")] + [(i, f"t{i}") for i in range(20, 40)]
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    want = []
+    for t, ids in groups.items():
+        keep = min((i for i in ids if i is not None), default=None)
+        want += [(i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()) for i in ids]
+    for history in (None, F.lit(True), F.lit(False), F.col("doc_id").isNull(), F.col("doc_id").isNotNull()):
+        got = [tuple(r) for r in exact_dedup.dedupe(docs(spark, rows), history=history).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+    kept = exact_dedup.drop_copies(docs(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(((i, t) for i, t in rows if i == min((j for j in groups[t] if j is not None), default=None)), key=repr)
+
+
 def test_minimal_perfect_hash():
     rng = random.Random(1)
     for n in (0, 1, 2, 1000, 5000):
