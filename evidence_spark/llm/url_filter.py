@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_rows
 from .components import connected_components
 
 #: (host, path, verdict): fits the host and its subdomains where the url's path starts with the rule's.
@@ -12,8 +13,11 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 #: Rules are written into the plan as literals, so there may be no more than this.
 MAX_RULES = 2000
 
-CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
-REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*([^\"'\s>]+)"
+#: An attribute's value, with the quote that opens it.
+VALUE = r"""("[^">]*|'[^'>]*|[^"'\s>]+)"""
+#: The href of a link with canonical among the tokens of its rel, the content of a refresh.
+CANONICAL = r"""(?is)<link\b(?=[^>]*(?<![\w-])rel\s*=\s*(?:"(?:[^">]*\s)?canonical[\s"]|'(?:[^'>]*\s)?canonical[\s']|canonical[\s/>]))[^>]*?(?<![\w-])href\s*=\s*""" + VALUE
+REFRESH = r"""(?is)<meta\b(?=[^>]*(?<![\w-])http-equiv\s*=\s*["']?\s*refresh\b)[^>]*?(?<![\w-])content\s*=\s*""" + VALUE
 
 
 def ascii_lower(c: Column) -> Column:
@@ -57,11 +61,42 @@ def resolve(base: Column, href: Column) -> Column:
     return F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), h).when(F.startswith(h, F.lit("//")), F.concat(scheme, F.lit(":"), h)).when(F.startswith(h, F.lit("/")), F.concat(root, h)).otherwise(beside)
 
 
+def _hrefs():
+    """(url, values of canonical links, values of refreshes) to (url, href). Character references are replaced as in HTML: a
+    name needs its semicolon before a letter, a digit or =. Blanks become %20, line breaks and tabs go."""
+    import html
+    import re
+
+    import pyarrow as pa
+
+    reference = re.compile(r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);?|([A-Za-z][A-Za-z0-9]*)(;|(?![A-Za-z0-9=])))")
+    goes = re.compile(r"\burl\s*=\s*(.*)", re.I | re.S)
+
+    def plain(value):
+        value = value[1:] if value[0] in "\"'" else value
+        return reference.sub(lambda m: html.entities.html5.get(m[1] + m[2], m[0]) if m[1] else html.unescape(m[0]), value)
+
+    def target(value):
+        to = (m := goes.search(plain(value))) and m[1]
+        return to[1:].partition(to[0])[0] if to and to[0] in "\"'" else to or ""
+
+    def step(batch):
+        urls, hrefs = [], []
+        for url, links, refreshes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = [re.sub(r"[\t\n\r]", "", h.strip(" \t\n\f\r")).replace(" ", "%20") for h in [*map(plain, links), *map(target, refreshes)]]
+            hrefs += [h for h in found if h]
+            urls += [url] * (len(hrefs) - len(urls))
+        yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(hrefs, pa.string())], names=["url", "href"])
+
+    return step
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """(url, to): one row for each canonical link and each refresh in a page's html, resolved against its url."""
-    found = F.concat(F.regexp_extract_all("html", F.lit(CANONICAL), 1), F.regexp_extract_all("html", F.lit(REFRESH), 1))
+    found = [F.regexp_extract_all("html", F.lit(p), 1).alias(n) for p, n in ((CANONICAL, "links"), (REFRESH, "refreshes"))]
     rows = pages.where(F.col("html").isNotNull() & F.col("url").isNotNull() & F.col("html").rlike(r"(?i)canonical|http-equiv"))
-    return rows.select("url", F.explode(found).alias("href")).select("url", resolve(F.col("url"), F.col("href")).alias("to"))
+    hrefs = map_rows(rows.select("url", *found).where(F.size("links") + F.size("refreshes") > 0), _hrefs, "url string, href string")
+    return hrefs.select("url", resolve(F.col("url"), F.col("href")).alias("to"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:

@@ -175,6 +175,23 @@ def test_blocks_reach_aliases(spark):
     assert url_filter.judge_urls(df.limit(0)).collect() == []
 
 
+def test_forms_of_links(spark):
+    forms = {
+        "<meta http-equiv=\"refresh\" content=\"0; url='https://b.net/y'\">": "https://b.net/y", "<META content='5;URL=\"https://b.net/y\"' HTTP-EQUIV='Refresh'>": "https://b.net/y",
+        "<meta http-equiv=refresh content=0;url=https://b.net/y>": "https://b.net/y", '<meta http-equiv="refresh" content="0; url=https://b.net/it\'s">': "https://b.net/it's",
+        '<meta http-equiv="refresh" content="0; url=&#39;https://b.net/y?a=1&amp;b=2&#39;">': "https://b.net/y?a=1&b=2", '<meta http-equiv="refresh" content="0; url= https://b.net/y ">': "https://b.net/y",
+        '<link rel="nofollow canonical" href="https://b.net/y">': "https://b.net/y", "<link href='https://b.net/y' rel='canonical alternate'>": "https://b.net/y", "<link rel=canonical href=https://b.net/y>": "https://b.net/y",
+        '<link rel="canonical" href="https://b.net/?a=1&amp;b=2">': "https://b.net/?a=1&b=2", '<link rel="canonical" href="https://b.net/?a=1&copy=2&#x26;c&amp;lt;">': "https://b.net/?a=1&copy=2&c&lt;", '<link rel="canonical" href="/y?q=it\'s"/>': "https://a.net/y?q=it's",
+        '<link rel="canonical-not" href="https://b.net/y">': None, '<link rel="next" href="https://b.net/canonical">': None, '<link rel="canonical" href="">': None, '<meta http-equiv="refresh" content="5">': None, '<meta http-equiv="refresh" content="0; url=">': None,
+    }
+    df = spark.createDataFrame([(f"https://a.net/{i}", h) for i, h in enumerate(forms)], "url string, html string")
+    got = {r.url: r.to for r in url_filter.page_links(df).collect()}
+    for i, (form, want) in enumerate(forms.items()):
+        assert got.get(f"https://a.net/{i}") == want, form
+    pages = [(1, "https://a.net/?a=1&b=2", "<meta http-equiv='refresh' content='0; url=\"https://shop.com/de/1\"'>"), (2, "https://c.net/", '<link rel="x canonical" href="https://a.net/?a=1&amp;b=2">')]
+    assert [r.verdict for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()] == ["block"] * 2
+
+
 # --- op5 ---------------------------------------------------------------------------------------------------------------
 
 
