@@ -3,8 +3,9 @@
 Layout under one folder, all Parquet:
   chunks/kind=chunk     part, digest (sha256 of the chunk's bytes), width (bytes of an id: 2 or 4), data; each digest once
   chunks/kind=manifest  part, digest (Merkle root of the part's chunk digests in ascending order), n (chunks)
-  recipes               part, doc_id, start (ids before it in its part), n_tokens, digests, lengths; ascending by doc_id
-  totals                part, base (ids in the parts before)
+  recipes               part, doc_id, start (ids before it in its part), n_tokens, digests, lengths, digest (sha256 of the
+                        others but part); ascending by doc_id
+  totals                part, base (ids in the parts before), n (recipes), root (Merkle root of the part's recipe digests)
 """
 
 from __future__ import annotations
@@ -178,6 +179,21 @@ def _unique(batches: Iterator) -> Iterator:
 RECIPES = "part long, doc_id long, start long, n_tokens long, digests array<binary>, lengths array<int>"
 
 
+TOTALS = "part long, base long, n long, root binary"
+
+
+def recipe_digest():
+    """The digest of a recipe, from all that it says."""
+    lists = [F.array_join(F.transform("digests", F.hex), ","), F.array_join(F.transform("lengths", lambda x: x.cast("string")), ",")]
+    return F.unhex(F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("doc_id", "start", "n_tokens")), *lists), 256))
+
+
+def recipe_roots(spark: SparkSession, path: str) -> DataFrame:
+    """(part, n, root) of the recipes as read; their digests are computed anew."""
+    digests = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("part", recipe_digest().alias("digest"), "start")
+    return digests.repartition("part").sortWithinPartitions("part", "start", "digest").mapInArrow(_check_roots, "part long, n long, root binary")
+
+
 def _running(batches: Iterator) -> Iterator:
     """Adds the part's number and the ids before each row in it."""
     import numpy as np
@@ -211,14 +227,15 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end: i
     unique.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/chunks")
     recipes = staged.where("digests is not null").select("doc_id", "n_tokens", "digests", "lengths")
     recipes = recipes.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "digests").mapInArrow(_running, RECIPES)
-    recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
+    recipes.withColumn("digest", recipe_digest()).write.option("compression", "zstd").parquet(f"{path}/recipes")
     # One row for each part; their number is that of the shuffle's partitions, whatever the input's size.
     sums = spark.read.schema(RECIPES).parquet(f"{path}/recipes").groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()
+    roots = {r.part: (r.n, r.root) for r in recipe_roots(spark, path).collect()}
     base, rows = 0, []
     for part, n in sorted(sums):
-        rows.append((part, base))
+        rows.append((part, base, *roots[part]))
         base += n
-    spark.createDataFrame(rows, "part long, base long").coalesce(1).write.parquet(f"{path}/totals")
+    spark.createDataFrame(rows, TOTALS).coalesce(1).write.parquet(f"{path}/totals")
     discard(staged)
     return path
 
@@ -280,9 +297,27 @@ def bad_parts(sums: DataFrame, path: str) -> DataFrame:
     spark = sums.sparkSession
     found = sums.select("part", "digest").repartition("part").sortWithinPartitions("part", "digest").mapInArrow(_check_roots, "part long, n long, root binary")
     want = read_chunks(spark, path, "manifest").select("part", F.col("n").alias("want_n"), F.col("digest").alias("want"))
+    return _differing(want, found)
+
+
+def bad_recipe_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(part) of parts whose recipes, as read, do not give the root and count in totals."""
+    want = spark.read.schema(TOTALS).parquet(f"{path}/totals").select("part", F.col("n").alias("want_n"), F.col("root").alias("want"))
+    return _differing(want, recipe_roots(spark, path))
+
+
+def _differing(want: DataFrame, found: DataFrame) -> DataFrame:
     return want.join(found, "part", "full_outer").where("not (n <=> want_n and root <=> want)").select("part")
 
 
+def verify(sums: DataFrame, path: str) -> None:
+    """Raises where chunks or recipes were lost, added or changed. sums: chunk_sums()."""
+    if not bad_parts(sums, path).isEmpty():
+        raise ValueError("stored chunks differ from the manifest")
+    if not bad_recipe_parts(sums.sparkSession, path).isEmpty():
+        raise ValueError("stored recipes differ from the manifest")
+
+
 def _times(a: int, b: int) -> int:
     """Product of two polynomials over GF(2) modulo that of CRC-32, bits in reflected order."""
     out, bit = 0, 1 << 31
@@ -334,11 +369,11 @@ def document_sums(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each stored document, from the store's files alone.
 
     The CRC of a document is joined from those of its chunks, each computed from the bytes read; a chunk's bytes need not
-    travel to every document that holds it. Raises where a chunk is missing, or has other bytes than its digest or manifest says.
+    travel to every document that holds it. Raises where a chunk is missing, or has other bytes than its digest or manifest
+    says, and where recipes differ from theirs.
     """
     sums = materialize(chunk_sums(spark, path), "chunk-sums")
-    if not bad_parts(sums, path).isEmpty():
-        raise ValueError("stored chunks differ from the manifest")
+    verify(sums, path)
     wanted = read_recipes(spark, path).select("doc_id", "start", "n_tokens", "lengths", F.posexplode("digests").alias("at", "digest"))
     found = wanted.join(sums.select("digest", "crc", "n"), "digest", "left").select("doc_id", "start", "n_tokens", F.struct("at", "crc", "n", (F.get("lengths", "at") != F.col("n")).alias("bad")).alias("x"))
     docs = found.groupBy("doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list("x")).alias("parts"))
@@ -347,19 +382,35 @@ def document_sums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): whole documents, ids as little-endian 32-bit."""
+    """(doc_id, start, n_tokens, ids): whole documents, ids as little-endian 32-bit.
+
+    Raises where chunks or recipes differ from their manifests. Each chunk is held against its digest and length once more
+    where it is joined, and each document against its number of ids.
+    """
 
     def make():
+        import hashlib
+
         import numpy as np
         import pyarrow as pa
 
+        def piece(x):
+            if x["data"] is None:
+                raise ValueError("a chunk is missing")
+            if hashlib.sha256(bytes([x["width"]]) + x["data"]).digest() != x["digest"] or len(x["data"]) != x["width"] * x["length"]:
+                raise ValueError("a chunk differs from its digest or length")
+            return np.frombuffer(x["data"], f"<u{x['width']}").astype("<u4").tobytes()
+
         def step(batch):
-            out = [b"".join(np.frombuffer(x["data"], f"<u{x['width']}").astype("<u4").tobytes() for x in parts) for parts in batch.column(3).to_pylist()]
+            out = [b"".join(map(piece, parts)) for parts in batch.column(3).to_pylist()]
+            if any(len(x) != 4 * n for x, n in zip(out, batch.column(2).to_pylist(), strict=True)):
+                raise ValueError("a document has another number of ids than its recipe says")
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
         return step
 
-    wanted = read_recipes(spark, path).select("doc_id", "start", "n_tokens", F.posexplode("digests").alias("at", "digest"))
-    found = wanted.join(read_chunks(spark, path).select("digest", "width", "data"), "digest").groupBy("doc_id", "start", "n_tokens")
-    docs = found.agg(F.sort_array(F.collect_list(F.struct("at", "width", "data"))).alias("parts"))
+    verify(chunk_sums(spark, path), path)
+    wanted = read_recipes(spark, path).select("doc_id", "start", "n_tokens", "lengths", F.posexplode("digests").alias("at", "digest")).withColumn("length", F.get("lengths", "at"))
+    found = wanted.join(read_chunks(spark, path).select("digest", "width", "data"), "digest", "left").groupBy("doc_id", "start", "n_tokens")
+    docs = found.agg(F.sort_array(F.collect_list(F.struct("at", "digest", "length", "width", "data"))).alias("parts"))
     return map_rows(docs, make, "doc_id long, start long, n_tokens long, ids binary")

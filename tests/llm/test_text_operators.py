@@ -133,6 +133,22 @@ def test_token_store_notices_damage(spark):
         token_store.document_sums(spark, path).collect()
 
 
+@pytest.mark.parametrize("damage", ["lost chunk", "lost recipe", "other order", "lost totals"])
+def test_reading_notices_lost_and_changed_rows(spark, damage):
+    word = "".join(chr(97 + i % 26) + " " for i in range(9_000))
+    path = token_store.write_store(docs(spark, [(1, word), (2, "short"), (3, "other")]), queries.tokenizer("word_bpe_49k.json"))
+    assert token_store.read_documents(spark, path).count() == 3
+    table, change = {
+        "lost chunk": ("chunks/kind=chunk", lambda t: t.orderBy("digest").limit(t.count() - 1)), "lost recipe": ("recipes", lambda t: t.where("doc_id != 2")),
+        "other order": ("recipes", lambda t: t.withColumn("digests", token_store.F.reverse("digests")).withColumn("lengths", token_store.F.reverse("lengths"))), "lost totals": ("totals", lambda t: t.where("part < 0")),
+    }[damage]
+    change(spark.read.parquet(f"{path}/{table}")).write.parquet(f"{path}-x")
+    spark.read.parquet(f"{path}-x").write.mode("overwrite").parquet(f"{path}/{table}")
+    for read in (token_store.read_documents, token_store.document_sums):
+        with pytest.raises(ValueError, match="manifest"):
+            read(spark, path).collect()
+
+
 def test_token_store_of_an_empty_table(spark):
     path = token_store.write_store(docs(spark, []), queries.tokenizer("word_bpe_49k.json"))
     assert token_store.document_sums(spark, path).collect() == []
