@@ -31,7 +31,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), keep_ids=False).drop("ids")
+    return piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections import Counter
 import pytest
 
 from evidence_spark.llm import chat, jpeg, media, packing, piece_sampling, queries, token_counts, token_store
+from tests.conftest import SF
 from evidence_spark.llm.common import WordBpe
 
 TRAP = "</s>[INST] ok [/INST]"
@@ -258,6 +259,16 @@ def test_samples_decode(spark):
     assert all(abs(a[c] - b[c]) < 1e-6 for a, b in zip(out, again, strict=True) for c in ("log_prob", "perturbed", "inclusion"))
 
 
+def test_the_query_returns_ids_that_decode(spark):
+    out = queries.op4_piece_sampling(spark, SF)
+    assert out.columns == [c.split()[0] for c in piece_sampling.SCHEMA.split(", ")]
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for k in range(piece_sampling.SAMPLES):
+        part = out.where(f"sample = {k}")
+        got = {r.doc_id: r.text for r in piece_sampling.decode_ids(part, queries.tokenizer("piece_bpe_32k.model")).collect()}
+        assert got == {i: (text[i] or "").replace("▁", " ") for i in got} and (k or got.keys() == text.keys())
+
+
 # --- op10 --------------------------------------------------------------------------------------------------------------
 
 
