@@ -280,7 +280,7 @@ def normalize_identifiers(spark, d):
 
 @query
 def normalize_title_nfkc(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", T.work_title(F.substring("text", 1, 80)).alias("title"))
+    return V.table(spark, d, "documents").select("doc_id", T.work_title(F.col("text")).alias("title"))
 
 
 def _intake(spark, d) -> DataFrame:

@@ -248,6 +248,19 @@ def test_intake_precedence(spark):
     assert got == {10: "exact_replay", 11: "identity_conflict", 12: "same_work_new_version", 13: "identity_conflict", 14: "same_work_new_version", 15: "review_required", 16: "new_work"}
 
 
+def test_whole_texts_are_normalised_as_titles(spark, tmp_path):
+    import unicodedata
+
+    from evidence_spark.plans.catalogue import QUERIES
+
+    texts = [None, "", " \t\u3000", "x" * 79 + " Ｆｕｌｌ  Straße\n ﬁn ", "A  Study\u00a0Of " * 40, "é" * 100 + "E\u0301Ǆ"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sf = "/root/testdata/sf0.001"
+    for d, rows in ((str(tmp_path), dict(enumerate(texts))), (sf, {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()})):
+        want = {i: " ".join(unicodedata.normalize("NFKC", t or "").split()).casefold() or None for i, t in rows.items()}
+        assert {r.doc_id: r.title for r in QUERIES["normalize_title_nfkc"](spark, d).collect()} == want
+
+
 # --- deltas ------------------------------------------------------------------------------------------------------------
 
 
