@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-#: Labels of chunk kinds inside a metadata prefix.
-KIND_LABELS = {"text": "文本", "table": "表格", "chart": "图表", "evidence_card": "证据卡片", "document_summary": "文档摘要"}
+#: Labels of chunk kinds inside a metadata prefix; another kind is its own label.
+KIND_LABELS = {"text": "文本", "table": "表", "chart": "图", "evidence_card": "证据卡"}
 
 
 def word_tokens(text: Column) -> Column:
@@ -23,6 +23,27 @@ def decode_tokens(tokens: Column) -> Column:
     return F.array_join(tokens, "")
 
 
+def mixed_tokens(text: Column) -> Column:
+    """For corpora that mix scripts: runs of Latin letters and digits, each Han, kana or Hangul sign, each other sign that is
+    no white space; case stays. A stand-in for a dictionary's segmentation, which needs a dictionary."""
+    return F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9]+(?:\.[0-9]+)?%?|\p{IsHan}|\p{IsHiragana}|\p{IsKatakana}|\p{IsHangul}|[^\sA-Za-z0-9])"), 1)
+
+
+def float_text(x: Column) -> Column:
+    """A double as its shortest decimal text: positional from 1e-4 up to 1e16, else with an exponent of two digits at least.
+    Digits are Java's, which before JDK 19 gives a few doubles one more than needed; they always read back as the same double."""
+    s = x.cast("string")
+    sign, bare = F.when(F.startswith(s, F.lit("-")), F.lit("-")).otherwise(F.lit("")), F.regexp_replace(s, "^-", "")
+    e = F.regexp_extract(bare, "E(-?[0-9]+)$", 1).cast("int")
+    digits = F.regexp_replace(F.regexp_replace(bare, "E.*$", ""), r"(\.0)?$", "")
+    figures = F.replace(digits, F.lit("."), F.lit(""))
+    whole = F.concat(F.rpad(figures, F.greatest(e + 1, F.length(figures)), "0"))
+    large = F.concat(F.substr(whole, F.lit(1), e + 1), F.lit("."), F.coalesce(F.nullif(F.substr(whole, e + 2), F.lit("")), F.lit("0")))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), figures)
+    power = F.concat(digits, F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
+    return F.when(~F.contains(s, F.lit("E")), s).otherwise(F.concat(sign, F.when((e >= 0) & (e < 16), large).when((e < 0) & (e >= -4), small).otherwise(power)))
+
+
 def keyword_tokens(text: Column) -> Column:
     """Lower-cased words between white space, without blanks."""
     return F.array_remove(F.split(F.lower(text), r"\s+"), "")
@@ -33,12 +54,12 @@ def _dash(c: Column) -> Column:
 
 
 def metadata_prefix(ref_id: Column, page: Column, section: Column, kind: str) -> Column:
-    return F.concat(F.lit("["), ref_id, F.lit("|"), _dash(page), F.lit("|"), _dash(section), F.lit(f"|type({KIND_LABELS[kind]})]"))
+    return F.concat(F.lit("["), ref_id, F.lit("|"), _dash(page), F.lit("|"), _dash(section), F.lit(f"|type({KIND_LABELS.get(kind, kind)})]"))
 
 
 def chunk_id(ref_id: Column, page: Column, section: Column, kind: Column, body: Column) -> Column:
     """The same document position and content give the same id."""
-    parts = [ref_id, F.coalesce(page, F.lit("")), F.coalesce(section, F.lit("")), kind, F.substring(F.sha2(body, 256), 1, 16)]
+    parts = [F.coalesce(ref_id, F.lit("")), _dash(page), _dash(section), kind, F.substring(F.sha2(body, 256), 1, 16)]
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 24)
 
 

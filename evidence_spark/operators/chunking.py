@@ -38,14 +38,15 @@ def chunk_text(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def _single(docs: DataFrame, level: str, kind: str, payload: Column, locator: Column, ident: Column, prefixed: bool = True) -> DataFrame:
-    text = F.concat(T.metadata_prefix(F.col("ref_id"), F.col("page"), F.col("section"), kind), F.lit("\n"), payload) if prefixed else payload
-    cid = T.chunk_id(F.col("ref_id"), F.col("page"), F.col("section"), F.concat(F.lit(f"{kind}:"), ident), payload)
+    text = F.concat(T.metadata_prefix(F.col("ref_id"), F.col("page"), F.col("section"), kind), F.lit(" "), payload) if prefixed else payload
+    cid = T.chunk_id(F.col("ref_id"), F.col("page"), F.col("section"), ident, payload)
     return docs.select(*_row(F.col("ref_id"), level, kind, text, F.col("page"), F.col("section"), locator, F.lit(0), F.size(T.word_tokens(text)), cid))
 
 
 def chunk_summary(docs: DataFrame) -> DataFrame:
-    """One coarse chunk for each (ref_id, page, section, summary), its text as it is."""
-    return _single(docs, "coarse", "document_summary", F.col("summary"), F.lit("summary"), F.lit("0"), prefixed=False)
+    """One coarse chunk for each (ref_id, page, summary), its text as it is, without section and locator."""
+    none = F.lit(None).cast("string")
+    return _single(docs.select("ref_id", "page", none.alias("section"), "summary"), "coarse", "document_summary", F.col("summary"), none, F.lit("summary"), prefixed=False)
 
 
 def _lines(*pairs: tuple[str, Column]) -> Column:
@@ -53,21 +54,28 @@ def _lines(*pairs: tuple[str, Column]) -> Column:
 
 
 def chunk_table(tables: DataFrame) -> DataFrame:
-    """One chunk for each table (ref_id, page, section, table_id, caption, headers, units, rows_text); never cut."""
-    body = _lines(("Caption", F.col("caption")), ("Headers", F.array_join("headers", " | ")), ("Units", F.array_join("units", " | ")), ("Rows", F.col("rows_text")))
-    return _single(tables, "fine", "table", F.when(body == "", F.concat(F.lit("Table "), "table_id")).otherwise(body), F.col("table_id"), F.col("table_id"))
+    """One chunk for each table (ref_id, page, section, table_id, caption, headers, units, row_summary); never cut."""
+    body = _lines(("Caption", F.col("caption")), ("Headers", F.array_join("headers", ", ")), ("Units", F.array_join("units", ", ")), ("Rows", F.col("row_summary")))
+    ident = F.concat(F.lit("table:"), "table_id")
+    return _single(tables, "fine", "table", F.when(body == "", F.concat(F.lit("Table "), "table_id")).otherwise(body), F.col("table_id"), ident)
 
 
 def chunk_chart(charts: DataFrame) -> DataFrame:
-    """One chunk for each chart (ref_id, page, section, chart_id, caption, axes, units, summary)."""
-    body = _lines(("Caption", F.col("caption")), ("Axes", F.array_join("axes", " | ")), ("Units", F.array_join("units", " | ")), ("Summary", F.col("summary")))
-    return _single(charts, "fine", "chart", F.when(body == "", F.concat(F.lit("Chart "), "chart_id")).otherwise(body), F.col("chart_id"), F.col("chart_id"))
+    """One chunk for each chart (ref_id, page, section, chart_id, caption, axes, units, summary), all of them texts."""
+    body = _lines(("Caption", F.col("caption")), ("Axes", F.col("axes")), ("Units", F.col("units")), ("Summary", F.col("summary")))
+    ident = F.concat(F.lit("chart:"), "chart_id")
+    return _single(charts, "fine", "chart", F.when(body == "", F.concat(F.lit("Chart "), "chart_id")).otherwise(body), F.col("chart_id"), ident)
 
 
 def chunk_evidence_cards(assertions: DataFrame) -> DataFrame:
-    """One chunk for each assertion; its locator serves as section."""
-    value = F.coalesce((F.floor(F.col("value_num") * 1e6).cast("decimal(24,0)") * F.lit("0.000001").cast("decimal(6,6)")).cast("decimal(30,6)").cast("string"), F.col("value_text"), F.lit("None"))
-    conditions = F.array_join(F.transform("conditions", lambda c: F.concat_ws(" ", F.concat(c["eddo_class"], F.lit("="), c["value"]), c["unit"])), "; ")
-    lines = _lines(("Subject", F.col("entity")), ("Property", F.col("property")), ("Value", F.concat_ws(" ", value, "unit")), ("Conditions", conditions), ("Ref", F.col("ref_id")), ("Locator", F.col("locator")), ("Confidence", F.col("confidence")))
+    """One chunk for each assertion; its locator serves as section. A range shows as [lo, hi]."""
+    pair = F.concat(F.lit("["), T.float_text(F.col("value_lo")), F.lit(", "), T.float_text(F.col("value_hi")), F.lit("]"))
+    value = F.coalesce(T.float_text(F.col("value_num")), pair, F.col("value_text"), F.lit("None"))
+    conditions = F.array_join(F.transform("conditions", lambda c: F.concat(F.coalesce(c["eddo_class"], F.lit("")), F.lit("="), F.coalesce(c["value"], F.lit("None")), F.coalesce(c["unit"], F.lit("")))), "; ")
+    line = lambda label, c: F.concat(F.lit(f"{label}: "), F.coalesce(c, F.lit("")))
+    lines = F.concat_ws(
+        "\n", line("Subject", F.col("entity")), line("Property", F.col("property")), F.rtrim(F.concat(F.lit("Value: "), value, F.lit(" "), F.coalesce("unit", F.lit("")))), F.when(F.size("conditions") > 0, F.concat(F.lit("Conditions: "), conditions)),
+        line("Ref", F.col("ref_id")), F.concat(F.lit("Locator: "), F.coalesce(F.nullif("locator", F.lit("")), F.lit("-"))), line("Confidence", F.col("confidence")),
+    )
     d = assertions.select("ref_id", F.lit(None).cast("string").alias("page"), F.col("locator").alias("section"), "id", "locator", lines.alias("card"))
-    return _single(d, "fine", "evidence_card", F.col("card"), F.col("locator"), F.col("id"))
+    return _single(d, "fine", "evidence_card", F.col("card"), F.col("locator"), F.concat(F.lit("evidence:"), "id"))

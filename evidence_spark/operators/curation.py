@@ -68,7 +68,8 @@ def conditions_compatible(a: Column, b: Column) -> Column:
     """Sorted entries (class, (value, unit)): equal classes and units; values equal as numbers within 1e-9, else as text."""
 
     def same(x: Column, y: Column) -> Column:
-        nx, ny = F.try_to_number(x["value"]["v"], F.lit("S999999999999.999999999")).cast("double"), F.try_to_number(y["value"]["v"], F.lit("S999999999999.999999999")).cast("double")
+        number = lambda v: F.when(F.trim(v).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.trim(v).try_cast("double"))
+        nx, ny = number(x["value"]["v"]), number(y["value"]["v"])
         value = F.when(nx.isNotNull() & ny.isNotNull(), F.abs(nx - ny) <= 1e-9).otherwise(F.lower(F.trim(x["value"]["v"])).eqNullSafe(F.lower(F.trim(y["value"]["v"]))))
         return (x["key"] == y["key"]) & x["value"]["u"].eqNullSafe(y["value"]["u"]) & value
 
@@ -98,8 +99,15 @@ def conflicts(new: DataFrame, existing: DataFrame, config: Config = DEFAULT) ->
 
 def mechanism_violations(assertions: DataFrame, rules: DataFrame) -> DataFrame:
     """id, ref_id, rule_id of assertions beyond the bounds (lo, hi; null for none) of a rule for their property."""
-    r = F.broadcast(rules)  # hand-written rules, one for each property and bound
-    return assertions.join(r, "property").where("value_num < lo or value_num > hi").select("id", "ref_id", "rule_id")
+    return assertions.join(rules, "property").where("value_num < lo or value_num > hi").select("id", "ref_id", "rule_id")
+
+
+def rejected_sets(assertions: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """id, ref_id, rule_id from the verdicts (ref_id, ok, violated, rule_id) of a validator of whole documents: the violated
+    ids, or all of a document's assertions where a verdict names none."""
+    bad = verdicts.where("not ok")
+    named = bad.where("size(violated) > 0").select(F.explode("violated").alias("id"), "ref_id", "rule_id")
+    return named.unionByName(assertions.join(bad.where("coalesce(size(violated), 0) <= 0").select("ref_id", "rule_id"), "ref_id").select("id", "ref_id", "rule_id"))
 
 
 def conflict_flags(found: DataFrame, violations: DataFrame | None = None) -> DataFrame:
@@ -201,7 +209,7 @@ def curate(documents: DataFrame, new: DataFrame, existing: DataFrame, rules: Dat
 
 
 #: Where an admitted assertion may be seen, by action; rejected and returned ones are not admitted.
-VISIBILITY = {"accept": "formal", "downgrade": "hypothesis", "pending_review": "pending"}
+VISIBILITY = {"accept": "active", "downgrade": "downgraded", "pending_review": "pending", "supersede": "superseded"}
 
 
 def admit(decisions: DataFrame, assertions: DataFrame) -> DataFrame:
@@ -210,21 +218,56 @@ def admit(decisions: DataFrame, assertions: DataFrame) -> DataFrame:
     for action, v in VISIBILITY.items():
         visible = F.when(F.col("action") == action, F.lit(v)).otherwise(visible)
     d = decisions.select(F.col("assertion_id").alias("id"), "action", F.col("confidence").alias("decided_confidence"), visible.alias("visibility")).where("visibility is not null")
-    return assertions.join(d, "id").withColumn("assertion_hash", assertion_hash())
+    return assertions.join(d, "id").withColumn("assertion_hash", assertion_hash(assertions))
+
+
+#: What a hash of an assertion covers, by purpose. Columns that a frame lacks count as null.
+SUBJECT = ("eddo_class", "entity", "property")
+VALUE = ("value_type", "value_num", "value_lo", "value_hi", "value_text", "unit", "uncertainty")
+MARKS = ("missing_unit", "speculative_wording", "chart_quality_low")
+COMMITTED = ("id", "ref_id", *SUBJECT, "mention", *VALUE, "locator", "sentence", "claim_type", "source_claim_origin", "quality")
 
 
-def slot_key() -> Column:
+def _hash(assertions: DataFrame, columns: tuple[str, ...], length: int = 64) -> Column:
+    """Doubles count with all of their digits."""
+    have = set(assertions.columns)
+    parts = [F.col(c) if c in have else F.lit(None).cast("string") for c in columns]
+    return hashing.canonical_hash(*parts, hashing.conditions_text(F.col("conditions")), length=length)
+
+
+def slot_key(assertions: DataFrame) -> Column:
     """What an assertion is about: class and entity, property, conditions, claim and value type; not its value or origin."""
-    return hashing.canonical_hash(F.col("entity"), F.col("property"), hashing.conditions_text(F.col("conditions")), F.col("claim_type"), F.col("value_type"), length=16)
+    return _hash(assertions, (*SUBJECT, "claim_type", "value_type"), 16)
+
+
+def assertion_hash(assertions: DataFrame) -> Column:
+    """What a commit records of an assertion."""
+    return _hash(assertions, COMMITTED)
+
+
+def material_hash(assertions: DataFrame) -> Column:
+    """What a publication compares: all that was committed, confidence and marks."""
+    return _hash(assertions, (*COMMITTED, "confidence", *MARKS))
+
+
+def semantic_hash(assertions: DataFrame) -> Column:
+    """What an assertion says, wherever it stands: not its id, reference, locator, confidence or quality."""
+    return _hash(assertions, (*SUBJECT, "mention", *VALUE, "claim_type", "source_claim_origin", *MARKS), 16)
+
+
+def decision_hash() -> Column:
+    """What was decided: id, action, decided_confidence, visibility."""
+    return hashing.canonical_hash(*(F.col(c) for c in ("id", "action", "decided_confidence", "visibility")))
 
 
-def assertion_hash() -> Column:
-    return hashing.canonical_hash(*(F.col(c) for c in ("id", "ref_id", "entity", "property", "value_type", "unit", "value_text", "claim_type", "source_claim_origin", "confidence", "locator")), F.round("value_num", 6).cast("decimal(30,6)"), hashing.conditions_text(F.col("conditions")))
+def metadata_hash(metadata: Column) -> Column:
+    authors = hashing.packed(F.size(metadata["authors"]), F.array_join(F.transform(metadata["authors"], lambda a: hashing.packed(a)), ""))
+    return hashing.canonical_hash(metadata["title"], authors, *(metadata[c] for c in ("year", "source", "doi", "stable_id")))
 
 
 def slot_duplicates(assertions: DataFrame) -> DataFrame:
     """ref_id, slot_key, n of slots that a document fills more than once."""
-    return assertions.select("ref_id", slot_key().alias("slot_key")).groupBy("ref_id", "slot_key").agg(F.count("*").alias("n")).where("n > 1")
+    return assertions.select("ref_id", slot_key(assertions).alias("slot_key")).groupBy("ref_id", "slot_key").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def commit_eligibility(reports: DataFrame) -> DataFrame:
@@ -244,5 +287,5 @@ def request_errors(decisions: DataFrame, assertions: DataFrame) -> DataFrame:
 
 
 def snapshot_manifest(admitted: DataFrame) -> DataFrame:
-    """ref_id, n_assertions, content_hash: the hash of the sorted hashes of what was admitted."""
-    return admitted.groupBy("ref_id").agg(F.count("*").alias("n_assertions"), hashing.set_hash(F.collect_list("assertion_hash")).alias("content_hash"))
+    """ref_id, n_assertions, content_hash: the hash of what was admitted, in whatever order."""
+    return admitted.groupBy("ref_id").agg(F.count("*").alias("n_assertions"), hashing.set_hash(F.col("assertion_hash")).alias("content_hash"))

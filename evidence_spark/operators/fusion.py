@@ -22,7 +22,7 @@ def rrf(candidates: DataFrame, top_k: int | None = None, config: Config = DEFAUL
 
 def rerank(hits: DataFrame, scorer: Column, top_k: int | None = None) -> DataFrame:
     """Hits with rerank_score and a new rank; score stays. A scorer that gives no finite number is an error."""
-    s = F.when(scorer.isNull() | F.isnan(scorer), F.raise_error(F.lit("the reranker gave no finite score"))).otherwise(scorer)
+    s = F.when(scorer.isNull() | F.isnan(scorer) | (F.abs(scorer) == float("inf")), F.raise_error(F.lit("the reranker gave no finite score"))).otherwise(scorer)
     w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "chunk_id")
     out = hits.withColumn("rerank_score", F.round(s, 9)).withColumn("rank", F.row_number().over(w).cast("long"))
     return out if top_k is None else out.where(F.col("rank") <= top_k)
@@ -44,5 +44,5 @@ def retrieval_metrics(hits: DataFrame, labels: DataFrame) -> DataFrame:
 def expand_queries(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Query texts followed by the expansions (term, expansion) of their words, in the order of the expansions' names."""
     words = queries.select("query_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("term"))
-    extra = words.join(F.broadcast(synonyms), "term").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("expansion")), " ").alias("extra"))
+    extra = words.join(synonyms, "term").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("expansion")), " ").alias("extra"))
     return queries.join(extra, "query_id", "left").select("query_id", F.concat_ws(" ", "text", "extra").alias("text"))

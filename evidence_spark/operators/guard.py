@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, EVIDENCE_TYPES, Config
+from ..config import CONFIDENCE, DEFAULT, EVIDENCE_TYPES, Config
 from ..functions import hashing, intervals
 from ..functions import text as T
 
@@ -134,15 +134,25 @@ def hallucination_h2(claims: DataFrame, anchors: DataFrame, ref_metadata: DataFr
     return d.select("claim_id", F.explode(found).alias("finding"), "ref_id")
 
 
-def h2_status(claims: DataFrame, ref_metadata: DataFrame) -> DataFrame:
-    """claim_id, h2_checked, h2_status: whether what was cited could be compared at all."""
+def h2_status(claims: DataFrame, ref_metadata: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """claim_id, h2_checked, h2_status: whether what was cited could be compared at all.
+
+    A claim cites if any of cited_ref_id, cited_doi and cited_title is there. A cited DOI or title needs the same of the
+    reference's metadata: without metadata, a reference id included, or with none of what is asked, it is unavailable; with
+    both asked and one lacking, partial. records: where a claim's query retrieved none, nothing could be checked.
+    """
     given = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
     d = claims.join(ref_metadata.select(F.col("ref_id").alias("cited_ref_id"), "title", "doi", F.lit(True).alias("known")), "cited_ref_id", "left")
     doi, title = given(F.col("cited_doi")), given(F.col("cited_title"))
+    cites = F.col("cited_ref_id").isNotNull() | F.col("cited_doi").isNotNull() | F.col("cited_title").isNotNull()
     lacks = (doi & ~given(F.col("doi"))) | (title & ~given(F.col("title")))
+    empty = F.lit(False)
+    if records is not None:
+        d = d.join(records.select("query_id", F.lit(True).alias("retrieved")).distinct(), "query_id", "left")
+        empty = F.col("retrieved").isNull()
     status = (
-        F.when(F.col("cited_ref_id").isNull() & (F.size("anchor_chunk_ids") == 0), "not_applicable").when(F.col("cited_ref_id").isNull() | (~doi & ~title), "checked")
-        .when(F.col("known").isNull(), "metadata_unavailable").when(~lacks, "checked").when(doi & title, "partial").otherwise("metadata_unavailable")
+        F.when(empty, "metadata_unavailable").when(~cites & (F.size("anchor_chunk_ids") == 0), "not_applicable").when(~doi & ~title, "checked").when(F.col("known").isNull(), "metadata_unavailable")
+        .when(~lacks, "checked").when(doi & title, "partial").otherwise("metadata_unavailable")
     )
     return d.select("claim_id", (status == "checked").alias("h2_checked"), status.alias("h2_status"))
 
@@ -159,11 +169,15 @@ def hallucination_h3(claims: DataFrame, violations: DataFrame | None) -> DataFra
 
 
 def answer(records: DataFrame, queries: DataFrame, top: int = 3) -> DataFrame:
-    """query_id, status, n_claims, anchors: an answer from the first guardable records whose policy allows facts, else abstain.
+    """query_id, status, n_claims, anchors: an answer from the validated claims of the first records, else abstain.
 
-    Each of the first `top` guardable records makes a claim anchored on itself; only claims of high confidence are answered.
+    Each of the first `top` records, guardable or not, makes a claim of its excerpt, anchored on itself; a record without
+    text ends the attempt. Claims then go through the guard: only those on a guardable record of high confidence may state
+    facts. A query without a guardable record abstains before any claim is made.
     """
-    firsts = records.where("guardable").groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "confidence"))), 1, top).alias("r"))
-    ok = F.filter("r", lambda x: intervals.confidence_rank(x["confidence"]) >= 2)
-    d = queries.select("query_id").join(firsts, "query_id", "left").withColumn("ok", F.coalesce(ok, F.array()))
-    return d.select("query_id", F.when(F.size("ok") > 0, "answered").otherwise("abstained").alias("status"), F.size("ok").cast("long").alias("n_claims"), F.array_join(F.transform("ok", lambda x: x["chunk_id"]), ",").alias("anchors"))
+    first = F.slice(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "confidence", "guardable", "excerpt"))), 1, top)
+    g = records.groupBy("query_id").agg(F.bool_or("guardable").alias("covered"), first.alias("r"))
+    ok = F.filter("r", lambda x: x["guardable"] & (intervals.confidence_rank(x["confidence"]) >= CONFIDENCE.index("high")))
+    silent = F.exists("r", lambda x: F.coalesce(x["excerpt"], F.lit("")) == "")
+    d = queries.select("query_id").join(g.select("query_id", F.when(F.col("covered") & ~silent, ok).alias("ok")), "query_id", "left").withColumn("ok", F.coalesce("ok", F.array()))
+    return d.select("query_id", F.when(F.size("ok") > 0, "answered").otherwise("abstain").alias("status"), F.size("ok").cast("long").alias("n_claims"), F.array_join(F.transform("ok", lambda x: x["chunk_id"]), ",").alias("anchors"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..tables import written
 from . import bm25, fusion, vector
 
 
@@ -16,6 +18,7 @@ class Retrieval:
     hits: DataFrame
     coarse: DataFrame
     diagnostics: DataFrame
+    channels: DataFrame
 
 
 def channel(frame: DataFrame, name: str) -> DataFrame:
@@ -23,39 +26,53 @@ def channel(frame: DataFrame, name: str) -> DataFrame:
 
 
 def hybrid_retrieve(
-    queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, vector_queries: DataFrame | None = None, graph: DataFrame | None = None,
+    queries: DataFrame, chunks: DataFrame | bm25.Index, vectors: DataFrame | None = None, vector_queries: DataFrame | None = None, graph: DataFrame | None = None,
     allowed: DataFrame | None = None, coarse_top_k: int = DEFAULT.coarse_top_k, fine_top_k: int = DEFAULT.fine_top_k, fallback: bool = True, config: Config = DEFAULT, visible: DataFrame | None = None,
 ) -> Retrieval:
     """Keyword and vector candidates on coarse chunks pick documents; fine chunks of those are fused.
 
     Fine channels are keyword, vector and graph (query_id, chunk_id, ref_id, rank); the graph takes no part in the coarse
     stage. A query without coarse hits falls back to all documents, or returns nothing where fallback is off. allowed:
-    (query_id, ref_id) pairs; None for no restriction. visible: references (ref_id) that any query may return; statistics
-    still cover the whole index. The BM25 index is scored once; both stages filter its scores.
+    (query_id, ref_id) pairs; None for no restriction. visible: references (ref_id) that any query may return; statistics and
+    ranks still cover the whole index, and each channel goes as deep as it must (see progressive). chunks: chunks, which are
+    indexed once for both stages, or a stored index. What the coarse stage picks is written, as both stages and the
+    diagnostics read it.
     """
-    scores = bm25.bm25_scores(queries, chunks, config)
+    search = bm25.searcher(queries, chunks, config)
+    if allowed is not None and visible is not None:
+        allowed = allowed.join(visible.select("ref_id"), "ref_id", "left_semi")
+
+    def cut(scores: DataFrame, k: int, keep: bool = False) -> DataFrame:
+        return bm25.ranked(scores, k, keep) if visible is None else eligible_hits(bm25.ranked(scores, None, keep), visible, k, config)
+
+    def wide(find, asked: DataFrame, k: int) -> DataFrame:
+        return find(asked, k) if visible is None else progressive(find, asked, visible, k, config)
+
+    def keyword(level: str):
+        return lambda asked, k: search.top(k, level, queries=asked)
+
     if allowed is not None:
-        scores = scores.join(allowed, ["query_id", "ref_id"], "left_semi")
-    if visible is not None:
-        scores = scores.join(visible.select("ref_id"), "ref_id", "left_semi")
-        vectors = vectors.join(visible.select("ref_id"), "ref_id", "left_semi") if vectors is not None else None
-    coarse = channel(bm25.ranked(scores.where("level = 'coarse'"), coarse_top_k), "keyword")
-    dense = None
+        coarse = channel(cut(search.pairs(allowed, "coarse"), coarse_top_k), "keyword")
+    else:
+        coarse = channel(wide(keyword("coarse"), queries, coarse_top_k), "keyword")
     if vectors is not None:
         # Filters come before ranks: where references are restricted, exactly those pairs are scored.
-        dense = vector.vector_candidates(vector_queries, vectors, coarse_top_k) if allowed is None else vector.score_pairs(allowed, vector_queries, vectors)
-        coarse = coarse.unionByName(channel(bm25.ranked(dense, coarse_top_k, True), "vector"))
-    picked = fusion.rrf(coarse, coarse_top_k, config)
+        if allowed is not None:
+            dense = cut(vector.score_pairs(allowed, vector_queries, vectors), coarse_top_k, True)
+        else:
+            near = lambda asked, k: vector.vector_topk(vector_queries.join(asked.select("query_id"), "query_id", "left_semi"), vectors, k)
+            dense = wide(near, vector_queries, coarse_top_k)
+        coarse = coarse.unionByName(channel(dense, "vector"))
+    picked = written(fusion.rrf(coarse, coarse_top_k, config), "coarse-hits")
     status = queries.select("query_id").join(picked.groupBy("query_id").agg(F.count("*").alias("coarse_hits")), "query_id", "left").fillna(0, ["coarse_hits"])
     refs = picked.select("query_id", "ref_id").distinct()
-    fine = scores.where("level = 'fine'")
-    inside = fine.join(refs, ["query_id", "ref_id"], "left_semi")
-    if fallback:
-        inside = inside.unionByName(fine.join(status.where("coarse_hits = 0").select("query_id"), "query_id", "left_semi"))
-    found = channel(bm25.ranked(inside, fine_top_k), "keyword")
-    if dense is not None:
-        near = vector.score_pairs(refs, vector_queries, vectors)
-        found = found.unionByName(channel(bm25.ranked(near, fine_top_k, True), "vector"))
+    found = channel(cut(search.pairs(refs, "fine"), fine_top_k), "keyword")
+    lost = status.where("coarse_hits = 0").select("query_id")
+    if fallback and not lost.isEmpty():
+        rest = cut(search.pairs(allowed.join(lost, "query_id", "left_semi"), "fine"), fine_top_k) if allowed is not None else wide(keyword("fine"), lost, fine_top_k)
+        found = found.unionByName(channel(rest, "keyword"))
+    if vectors is not None:
+        found = found.unionByName(channel(cut(vector.score_pairs(refs, vector_queries, vectors), fine_top_k, True), "vector"))
     if graph is not None:
         found = found.unionByName(channel(graph.join(refs, ["query_id", "ref_id"], "left_semi").where(F.col("rank") <= fine_top_k), "graph"))
     hits = fusion.rrf(found, fine_top_k, config)
@@ -63,7 +80,32 @@ def hybrid_retrieve(
     diagnostics = status.join(counts, "query_id", "left").fillna(0, ["fine_hits"]).select(
         "query_id", "coarse_hits", "fine_hits", F.when(F.col("coarse_hits") > 0, "ok").when(F.lit(fallback), "fallback").otherwise("empty").alias("coarse_status"), ((F.col("coarse_hits") == 0) & F.lit(fallback)).alias("fallback_used")
     )
-    return Retrieval(hits, picked, diagnostics)
+    channels = found.groupBy("query_id", "channel").agg(F.count("*").alias("candidates"))
+    return Retrieval(hits, picked, diagnostics, channels)
+
+
+def progressive(find: Callable[[DataFrame, int], DataFrame], queries: DataFrame, eligible: DataFrame, target: int, config: Config = DEFAULT, hidden: DataFrame | None = None) -> DataFrame:
+    """Eligible rows of a search that widens until each query has target of them: query_id, chunk_id, ref_id, rank.
+
+    find(queries, depth) gives ranked rows. The depth starts at first_depth and doubles for the queries that still lack
+    eligible rows while the search fills it; at the deepest that is an error. Ranks keep their gaps. hidden: assertions (assertion_id) whose
+    chunks are not eligible, where the rows name one. A round asks only for what is lacking, never for all pairs.
+    """
+    asked, depth, out = queries.select("query_id").distinct(), config.first_depth, None
+    while True:
+        rows = written(find(asked, depth), "search-round")
+        good = rows.join(eligible.select("ref_id").distinct(), "ref_id", "left_semi")
+        if hidden is not None and "assertion_id" in rows.columns:
+            good = good.join(hidden.select("assertion_id").distinct(), "assertion_id", "left_anti")
+        size = rows.groupBy("query_id").agg(F.count("*").alias("size")).join(good.groupBy("query_id").agg(F.count("*").alias("good")), "query_id", "left")
+        lacking = written(size.where(f"size >= {depth} and coalesce(good, 0) < {target}").select("query_id"), "search-lacking")
+        good = good.join(lacking, "query_id", "left_anti").select("query_id", "chunk_id", "ref_id", "rank")
+        out = good if out is None else out.unionByName(good)
+        if lacking.isEmpty():
+            return out
+        if 2 * depth > config.deepest:
+            raise RuntimeError("too few eligible rows within the deepest search")
+        asked, depth = lacking, 2 * depth
 
 
 def eligible_hits(ranked: DataFrame, eligible: DataFrame, target: int, config: Config = DEFAULT) -> DataFrame:

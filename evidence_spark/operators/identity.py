@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import hashing
 from ..functions import text as T
 
 
@@ -19,29 +20,52 @@ def _works(registry: DataFrame, key: str, out: str) -> DataFrame:
     return rows.agg(F.min("work_id").alias(f"{out}_lo"), F.max("work_id").alias(f"{out}_hi"))
 
 
+EXPLICIT = ("explicit_work_id", "explicit_prior_version_id", "explicit_relation", "source_kind")
+RECORD = ("source_version_id", "prior_source_version_id", "relation", "source_kind")
+
+
+def _with(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    return df.select("*", *(F.lit(None).cast("string").alias(c) for c in columns if c not in df.columns))
+
+
 def classify_intake(candidates: DataFrame, registry: DataFrame) -> DataFrame:
-    """seq, disposition, work_id, conflict_reason of normalized candidates against normalized registry rows
-    (ref_id, source_fingerprint, work_id, source_version_id, norm_*).
+    """seq, disposition, work_id, relation, conflict_reason of normalized candidates against normalized registry rows
+    (ref_id, source_fingerprint, work_id, norm_* and, where lineage counts, source_version_id, prior_source_version_id,
+    relation, source_kind; (ref_id, source_fingerprint) and source_version_id are unique).
 
-    Precedence: the same ref and fingerprint is an exact replay, unless its metadata contradict; an identifier of several
-    works, or two identifiers of different works, conflict; then DOI, then stable id name the work; a title alone asks for
-    review. Each lookup is an equi-join with a table that has one row for each key value.
+    Precedence: the same ref and fingerprint is an exact replay, unless the lineage or the metadata that it states contradict
+    what is known. An identifier of several works, or two identifiers of different works, conflict. Then a stated lineage
+    decides (a work, a prior version or a relation other than none; see _lineage), then DOI, then stable id; a title alone asks
+    for review. relation is what a stated lineage amounts to. Each lookup is an equi-join with one row for each key value.
     """
-    known = registry.select("ref_id", "source_fingerprint", F.col("work_id").alias("k_work"), F.col("norm_doi").alias("k_doi"), F.col("norm_title").alias("k_title"), F.col("norm_stable").alias("k_stable"))
-    c = candidates.join(known, ["ref_id", "source_fingerprint"], "left")
+    c, r = _with(candidates, EXPLICIT), _with(registry, RECORD)
+    known = r.select("ref_id", "source_fingerprint", *(F.col(x).alias(f"k_{x}") for x in ("work_id", "norm_doi", "norm_title", "norm_stable", "prior_source_version_id", "relation", "source_kind")))
+    c = c.join(known, ["ref_id", "source_fingerprint"], "left")
     for key, out in (("norm_doi", "doi"), ("norm_stable", "sid"), ("norm_title", "ttl")):
-        c = c.join(_works(registry, key, out), key, "left")
-    differs = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
-    contradiction = differs("norm_doi", "k_doi") | differs("norm_stable", "k_stable") | differs("norm_title", "k_title")
-    result = lambda d, w, why=None: F.struct(F.lit(d).alias("disposition"), w.alias("work_id"), F.lit(why).cast("string").alias("conflict_reason"))
-    none = F.lit(None).cast("string")
-    replay = F.col("k_work").isNotNull()
+        c = c.join(_works(r, key, out), key, "left")
+    c = c.join(r.select(F.col("work_id").alias("explicit_work_id"), F.lit(True).alias("work_known")).distinct(), "explicit_work_id", "left")
+    c = c.join(r.select(F.col("source_version_id").alias("explicit_prior_version_id"), F.col("work_id").alias("p_work"), F.col("source_kind").alias("p_kind")), "explicit_prior_version_id", "left")
+    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
+    result = lambda d, w, why=None, rel=None: F.struct(F.lit(d).alias("disposition"), w.alias("work_id"), (F.lit(None).cast("string") if rel is None else rel).alias("relation"), F.lit(why).cast("string").alias("conflict_reason"))
+    none, work, prior, rel = F.lit(None).cast("string"), F.col("explicit_work_id"), F.col("explicit_prior_version_id"), F.col("explicit_relation")
+    replay = F.col("k_work_id").isNotNull()
+    k = F.col("k_work_id")
+    replays = (
+        ("work not found on replay", work.isNotNull() & F.col("work_known").isNull()), ("work contradicts replay", work.isNotNull() & (work != k)),
+        ("prior not found on replay", prior.isNotNull() & F.col("p_work").isNull()), ("prior of another work on replay", prior.isNotNull() & (F.col("p_work") != k)),
+        ("prior contradicts replay", prior.isNotNull() & ~prior.eqNullSafe(F.col("k_prior_source_version_id"))), ("relation contradicts replay", rel.isNotNull() & ~rel.eqNullSafe(F.coalesce("k_relation", F.lit("none")))),
+        ("kind contradicts replay", both("source_kind", "k_source_kind")), ("material contradiction on replay", both("norm_doi", "k_norm_doi") | both("norm_stable", "k_norm_stable") | both("norm_title", "k_norm_title")),
+    )
+    stated = work.isNotNull() | prior.isNotNull() | (rel.isNotNull() & (rel != "none"))
+    wrong, resolved, relation = _lineage()
     ladder = [
-        (replay & contradiction, result("identity_conflict", F.col("k_work"), "material contradiction on replay")),
-        (replay, result("exact_replay", F.col("k_work"))),
+        *((replay & F.coalesce(when, F.lit(False)), result("identity_conflict", k, why)) for why, when in replays),
+        (replay, result("exact_replay", k)),
         (F.col("doi_lo") != F.col("doi_hi"), result("identity_conflict", none, "doi of several works")),
         (F.col("sid_lo") != F.col("sid_hi"), result("identity_conflict", none, "stable id of several works")),
         (F.col("doi_lo") != F.col("sid_lo"), result("identity_conflict", none, "doi and stable id of different works")),
+        *((stated & F.coalesce(when, F.lit(False)), result("identity_conflict", none, why)) for why, when in wrong),
+        (stated, result("same_work_new_version", resolved, rel=relation)),
         (F.col("doi_lo").isNotNull(), result("same_work_new_version", F.col("doi_lo"))),
         (F.col("sid_lo").isNotNull(), result("same_work_new_version", F.col("sid_lo"))),
         (F.col("ttl_lo").isNotNull(), result("review_required", none)),
@@ -50,30 +74,69 @@ def classify_intake(candidates: DataFrame, registry: DataFrame) -> DataFrame:
     return c.select("seq", F.coalesce(*(F.when(when, out) for when, out in ladder)).alias("r")).select("seq", "r.*")
 
 
-def register(candidates: DataFrame) -> DataFrame:
-    """A registry from a history: the first row of each (ref_id, fingerprint) is a version, its work named by the first
-    version that has the same DOI, else the same stable id, else by itself."""
-    first = Window.partitionBy("ref_id", "source_fingerprint").orderBy("seq")
-    v = candidates.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    for key, out in (("norm_doi", "by_doi"), ("norm_stable", "by_sid")):
-        v = v.join(v.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias(out)), key, "left")
-    return v.withColumn("work_id", F.concat(F.lit("W-"), F.coalesce("by_doi", "by_sid", "seq"))).withColumn("source_version_id", F.concat(F.lit("SV-"), "seq"))
-
-
-def classify_lineage(cases: DataFrame) -> DataFrame:
-    """case_id, disposition, relation for candidates with an explicit lineage.
-
-    cases: work_known, prior_known, prior_in_work (booleans; null: not given), relation, doi_work_agrees, kind, prior_kind.
-    Naming an unknown work or version, a version of another work or a work that its DOI contradicts is a conflict; a
-    preprint-to-journal relation needs a preprint before and a journal now; a relation without a version to relate to
-    asks for review; a work alone makes explicit_same_work.
+def _lineage() -> tuple[list[tuple[str, Column]], Column, Column]:
+    """What is wrong with a stated lineage (first that applies), the work it names and its relation.
+
+    A relation of none beside a work or a version contradicts itself. A relation alone names nothing. An unknown work or
+    version, a version of another work, and identifiers of another work than the one named conflict. Revisions, corrections and
+    steps from preprint to journal need the version before, the last also a preprint there and a journal here. Without a
+    relation, a version means a revision and a work alone the same work.
     """
-    no = lambda c: F.col(c).eqNullSafe(F.lit(False))
-    rel, prior = F.col("relation"), F.col("prior_known").isNotNull()
-    wrong_kind = (rel == "preprint_to_journal") & ~((F.col("prior_kind") == "preprint") & (F.col("kind") == "journal"))
-    disposition = (
-        F.when(no("work_known") | no("prior_known") | no("prior_in_work") | no("doi_work_agrees"), "identity_conflict").when(prior & wrong_kind, "identity_conflict")
-        .when(rel.isNotNull() & (rel != "none") & (rel != "explicit_same_work") & ~prior, "review_required").otherwise("same_work_new_version")
+    work, prior, rel = F.col("explicit_work_id"), F.col("explicit_prior_version_id"), F.col("explicit_relation")
+    resolved = F.coalesce(work, F.col("p_work"))
+    relation = F.coalesce(rel, F.when(prior.isNotNull(), F.lit("revision_of")).otherwise(F.lit("explicit_same_work")))
+    journal = relation == "preprint_to_journal"
+    wrong = [
+        ("none contradicts stated lineage", (rel == "none") & (work.isNotNull() | prior.isNotNull())),
+        ("relation without target", work.isNull() & prior.isNull()),
+        ("work not found", work.isNotNull() & F.col("work_known").isNull()),
+        ("prior not found", prior.isNotNull() & F.col("p_work").isNull()),
+        ("prior of another work", prior.isNotNull() & (F.col("p_work") != work)),
+        ("doi of another work", F.col("doi_lo") != resolved),
+        ("stable id of another work", F.col("sid_lo") != resolved),
+        ("relation needs a prior", relation.isin("preprint_to_journal", "revision_of", "corrected_version") & prior.isNull()),
+        ("prior is no preprint", journal & ~F.col("p_kind").eqNullSafe(F.lit("preprint"))),
+        ("candidate is no journal", journal & ~F.col("source_kind").eqNullSafe(F.lit("journal"))),
+    ]
+    return wrong, resolved, relation
+
+
+def proceed(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Registry rows of the candidates that may be registered: new works and new versions of known ones.
+
+    A version's id comes from ref, fingerprint and work; a new work's from ref and fingerprint. An omitted relation is stored
+    as a revision of a known work, or as none.
+    """
+    c = _with(candidates, EXPLICIT).join(decisions.where("disposition in ('new_work', 'same_work_new_version')").select("seq", "disposition", F.col("work_id").alias("named")), "seq")
+    new = F.col("disposition") == "new_work"
+    c = c.withColumn("work_id", F.when(new, hashing.canonical_hash(F.lit("new_work"), F.col("ref_id"), F.col("source_fingerprint"), length=16)).otherwise(F.col("named")))
+    relation = F.coalesce("explicit_relation", F.when(new, F.lit("none")).otherwise(F.lit("revision_of")))
+    none = F.lit(None).cast("string")
+    return c.select(
+        hashing.canonical_hash(F.col("ref_id"), F.col("source_fingerprint"), F.col("work_id"), length=16).alias("source_version_id"), "work_id", "ref_id", "source_fingerprint", "norm_doi", "norm_title", "norm_stable",
+        "source_kind", relation.alias("relation"), F.col("explicit_prior_version_id").alias("prior_source_version_id"), none.alias("kb_version_id"), none.alias("snapshot_id"),
     )
-    relation = F.when(rel.isNotNull() & (rel != "none"), rel).when(prior, F.lit("revision_of")).otherwise("explicit_same_work")
-    return cases.select("case_id", disposition.alias("disposition"), F.when(disposition == "same_work_new_version", relation).alias("relation"))
+
+
+def finalize_bind(registry: DataFrame, commits: DataFrame) -> DataFrame:
+    """The registry with the published version and snapshot of its rows. commits: source_version_id, status, version_id,
+    snapshot_id. Binding a row anew to something else, or on a commit that is not published, is an error."""
+    b = commits.select("source_version_id", "status", F.col("version_id").alias("_v"), F.col("snapshot_id").alias("_s"))
+    d = registry.join(b, "source_version_id", "left")
+    bad = F.when(~F.col("status").isin("published", "idempotent_hit"), F.raise_error(F.lit("a source version binds to published commits only")))
+    bad = bad.when(F.col("_v").isNotNull() & (F.col("kb_version_id") != F.col("_v")), F.raise_error(F.lit("a source version is bound to another version")))
+    return d.withColumn("kb_version_id", F.coalesce(bad.cast("string"), "kb_version_id", "_v")).withColumn("snapshot_id", F.coalesce("snapshot_id", "_s")).drop("status", "_v", "_s")
+
+
+def register(candidates: DataFrame) -> DataFrame:
+    """A registry from a history in the order of seq, of rows with a (ref_id, fingerprint) of their own that state a DOI, or a
+    stable id, or a title, but one of these alone.
+
+    Rows of one DOI, or one stable id, are versions of the work that the first of them names. Of rows with a title alone the
+    first is a work; the others ask for review and are not registered, as is a title that is not known otherwise.
+    """
+    key = F.coalesce(F.concat(F.lit("d"), "norm_doi"), F.concat(F.lit("s"), "norm_stable"), F.concat(F.lit("t"), "norm_title"), F.concat(F.lit("n"), "seq"))
+    v = _with(candidates, EXPLICIT).withColumn("_k", key)
+    first = v.groupBy("_k").agg(F.min("seq").alias("_first"))
+    v = v.join(first, "_k").where(F.col("norm_doi").isNotNull() | F.col("norm_stable").isNotNull() | (F.col("seq") == F.col("_first"))).drop("_k")
+    return v.withColumn("work_id", F.concat(F.lit("W-"), "_first")).withColumn("source_version_id", F.concat(F.lit("SV-"), "seq")).withColumn("relation", F.when(F.col("seq") == F.col("_first"), "none").otherwise("revision_of")).drop("_first")

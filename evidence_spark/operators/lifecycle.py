@@ -6,25 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import HIDDEN_STATES
+from ..tables import written
 
 
-def ancestors(versions: DataFrame) -> DataFrame:
-    """version_id, ancestor_id, distance: each version, itself and all before it. Cycles end where they close.
+def ancestors(versions: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    """version_id, ancestor_id, distance: each version (of at, if given), itself and all before it. Cycles end where they close.
 
-    Pointers are doubled, so a chain of n versions takes log2(n) joins rather than n rounds of recursion.
+    Pointers are doubled, so a chain of n versions takes log2(n) rounds; each round is written, so that the plan of a round
+    reads two tables whatever the number of rounds. Only the versions asked for have their ancestors listed.
     """
-    step = versions.where("prior_version_id is not null").select(F.col("version_id").alias("v"), F.col("prior_version_id").alias("a"), F.lit(1).cast("long").alias("distance"))
-    known = versions.select(F.col("version_id").alias("v"), F.col("version_id").alias("a"), F.lit(0).cast("long").alias("distance"))
-    longest = versions.count()
+    start = (versions if at is None else at).select(F.col("version_id").alias("v")).distinct()
+    known = start.select("v", F.col("v").alias("a"), F.lit(0).cast("long").alias("distance"))
+    jump = versions.where("prior_version_id is not null").select(F.col("version_id").alias("a"), F.col("prior_version_id").alias("to")).distinct()
     reach = 1
-    jump = step
-    while reach <= longest:
-        # known holds distances below reach, jump those of exactly reach.
-        more = known.alias("k").join(jump.alias("j"), F.col("k.a") == F.col("j.v")).select(F.col("k.v"), F.col("j.a"), (F.col("k.distance") + F.col("j.distance")).alias("distance"))
-        known = known.unionByName(more)
-        jump = jump.alias("x").join(jump.alias("y"), F.col("x.a") == F.col("y.v")).select(F.col("x.v"), F.col("y.a"), (F.col("x.distance") + F.col("y.distance")).alias("distance"))
+    while True:
+        # known holds distances below reach, jump leads reach versions back.
+        known = written(known.unionByName(known.join(jump, "a").select("v", F.col("to").alias("a"), (F.col("distance") + reach).alias("distance"))).groupBy("v", "a").agg(F.min("distance").alias("distance")), "ancestors")
+        jump = written(jump.join(jump.select(F.col("a").alias("to"), F.col("to").alias("next")), "to").where("a != next").select("a", F.col("next").alias("to")), "jumps")
         reach *= 2
-    return known.groupBy(F.col("v").alias("version_id"), F.col("a").alias("ancestor_id")).agg(F.min("distance").alias("distance"))
+        if jump.join(known.select("a").distinct(), "a", "left_semi").isEmpty() or known.where(f"distance >= {reach // 2}").isEmpty():
+            return known.select(F.col("v").alias("version_id"), F.col("a").alias("ancestor_id"), "distance")
 
 
 def latest_state(records: DataFrame, key: str = "ref_id") -> DataFrame:
@@ -35,7 +36,7 @@ def latest_state(records: DataFrame, key: str = "ref_id") -> DataFrame:
 
 def state_as_of(records: DataFrame, versions: DataFrame, at: DataFrame, key: str = "ref_id") -> DataFrame:
     """The same for each version_id of at: only records bound to it or to an ancestor count."""
-    scope = ancestors(versions).join(at.select("version_id").distinct(), "version_id", "left_semi").select("version_id", F.col("ancestor_id").alias("effective_version_id"))
+    scope = ancestors(versions, at).select("version_id", F.col("ancestor_id").alias("effective_version_id"))
     # One candidate for each key and bound version comes first, so that the join sees those alone.
     last = records.where("effective_version_id is not null").groupBy(key, "effective_version_id").agg(F.max_by(F.struct("lifecycle_id", "status", "reason", "created_seq"), F.struct("created_seq", "lifecycle_id")).alias("r"))
     seen = last.select(key, "effective_version_id", "r.*").join(scope, "effective_version_id")
@@ -62,12 +63,13 @@ def assertion_eligibility(assertions: DataFrame, documents: DataFrame, states: D
 def assign_sequence(records: DataFrame, order: list[str], after: int = 0) -> DataFrame:
     """created_seq for an append: consecutive from the store's last number on, in the given order.
 
-    Offsets of range partitions are summed first, so the rows are not brought into one task.
+    The ranged rows are written with the number of their partition and numbered from there, so the offsets, sums over one row
+    for each partition, always fit the rows, and no task gets them all. An empty table gives an empty one.
     """
-    sorted_rows = records.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    local = sorted_rows.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)).cast("long"))
-    sizes = local.groupBy("_p").agg(F.max("_n").alias("_size"))  # one row for each partition
+    ranged = written(records.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_size"))  # one row for each partition
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    local = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)).cast("long"))
     return local.join(F.broadcast(starts.select("_p", "_start")), "_p").withColumn("created_seq", F.lit(after) + F.col("_start") + F.col("_n")).drop("_p", "_n", "_start")
 
 
@@ -76,6 +78,16 @@ def chain_versions(snapshots: DataFrame) -> DataFrame:
     return snapshots.withColumn("prior_version_id", F.lag("version_id").over(Window.partitionBy("ref_id").orderBy("created_seq")))
 
 
+def bind_effective_version(records: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Lifecycle records with the version from which on they count. bindings: lifecycle_id, version_id. A record that is not
+    bound yet is seen by nobody; binding one anew to another version, or an unknown record, is an error."""
+    b = bindings.select("lifecycle_id", F.col("version_id").alias("_v")).distinct()
+    d = records.join(b, "lifecycle_id", "full_outer")
+    wrong = F.when(F.col("ref_id").isNull() & F.col("_v").isNotNull(), F.raise_error(F.lit("no such lifecycle record")))
+    wrong = wrong.when(F.col("effective_version_id") != F.col("_v"), F.raise_error(F.lit("a lifecycle record is bound to another version")))
+    return d.withColumn("effective_version_id", F.coalesce(wrong.cast("string"), "effective_version_id", "_v")).select(*records.columns)
+
+
 def risk_gate(records: DataFrame) -> DataFrame:
     """Adds allowed: a retraction needs a verified trigger; all else high confidence, several sources and no controversy."""
     ok = F.when(F.col("reason") == "retraction", F.col("verified_trigger")).otherwise(F.col("high_confidence") & F.col("multi_source") & ~F.col("controversy"))

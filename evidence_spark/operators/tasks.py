@@ -14,19 +14,23 @@ KEYWORDS = {
     "CURATION_COMMIT": ("curate", "curation", "commit", "assertion", "ingest", "策审", "策审", "入库", "提交", "断言"),
     "RETRIEVE": ("retrieve", "search", "evidence", "find", "lookup", "检索", "搜索", "证据", "查找"),
 }
-#: Steps of each type, in order; each depends on the one before.
-STEPS = {"RETRIEVE": ("retrieve", "validate", "answer"), "CURATION_COMMIT": ("decode", "curate", "gate", "commit"), "REVISION_PUBLICATION": ("intake", "delta", "package", "approve", "publish")}
+#: Steps of each type, in order; each depends on the one before.
+STEPS = {"RETRIEVE": ("retrieve",), "CURATION_COMMIT": ("retrieve", "curation", "commit"), "REVISION_PUBLICATION": ("revision",)}
 
 
 def task_type(text: Column, keywords: dict[str, tuple[str, ...]] = KEYWORDS) -> Column:
     """The type with the most votes; an exact type name counts at once; null for blank texts and those without a keyword."""
-    low, name = F.lower(text), F.upper(F.trim(text))
-    votes = {t: sum((F.contains(low, F.lit(k)).cast("int") for k in words), F.lit(0)) for t, words in keywords.items()}
-    best = F.greatest(*votes.values())
-    out = F.lit(None).cast("string")
-    for t in reversed(list(keywords)):
-        out = F.when(votes[t] == best, F.lit(t)).otherwise(out)
-    return F.when(name.isin(*keywords), name).when(best > 0, out)
+    name, types = F.upper(F.trim(text)), F.array(*map(F.lit, keywords))
+
+    def of(low: Column) -> Column:
+        return F.array(*(F.aggregate(F.array(*map(F.lit, words)), F.lit(0), lambda n, w: n + F.contains(low, w).cast("int")) for words in keywords.values()))
+
+    def first(votes: Column) -> Column:
+        best = F.array_max(votes)
+        return F.when(best > 0, F.element_at(types, F.array_position(votes, best).cast("int")))
+
+    voted = F.get(F.transform(F.transform(F.array(F.lower(text)), of), first), 0)
+    return F.when(name.isin(*keywords), name).otherwise(voted)
 
 
 def classify(tasks: DataFrame) -> DataFrame:
@@ -34,8 +38,8 @@ def classify(tasks: DataFrame) -> DataFrame:
 
 
 def plan(tasks: DataFrame) -> DataFrame:
-    """One row for each step of a classified task: position, step, depends_on."""
-    steps = F.create_map(*(x for t, s in STEPS.items() for x in (F.lit(t), F.array(*map(F.lit, s)))))
+    """One row for each step of a classified task: position, step, depends_on; a step is named step-<number>-<name>."""
+    steps = F.create_map(*(x for t, s in STEPS.items() for x in (F.lit(t), F.array(*(F.lit(f"step-{k + 1}-{name}") for k, name in enumerate(s))))))
     d = tasks.where("task_type is not null").withColumn("steps", F.element_at(steps, F.col("task_type")))
     d = d.select("task_id", "task_type", "steps", F.posexplode("steps").alias("position", "step"))
     return d.select("task_id", "task_type", F.col("position").cast("long").alias("position"), "step", F.get("steps", F.col("position") - 1).alias("depends_on"))

@@ -1,58 +1,74 @@
-"""Exact inner-product search: blocks of vectors times the block of queries, and a top-k from each task."""
+"""Exact inner-product search: blocks of vectors times a block of queries, and a top-k from each task."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.vectors import inner_product
+from .best import FOUND, Best
+from .bm25 import ranked
 
-#: Queries in one pass over the vectors; more are answered in further passes.
-PASS = 4096
+#: Queries in one pass over the vectors; more are answered in further passes. Scores that a task holds at a time.
+PASS, CELLS = 4096, 4_000_000
 #: Decimal digits of a score; ranks are taken on rounded scores, so that ties are ties in every order of summation.
 DIGITS = 6
 
 
-def _search(ids: list, matrix, labels: list | None, k: int):
+def _search(ids, matrix, labels, k: int):
+    """ids and labels are Arrow arrays, labels None where they do not count."""
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            lists = batch.column(2)
-            x = lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-            scores = np.round(matrix @ x.T, DIGITS)
-            if labels is not None:
-                own = np.array(batch.column(3).to_pylist(), dtype=object)
-                scores = np.where(np.array(labels, dtype=object)[:, None] == own[None, :], scores, -np.inf)
-            m = min(k, batch.num_rows)
-            cut = np.partition(scores, batch.num_rows - m, axis=1)[:, batch.num_rows - m]
-            q, r = np.nonzero((scores >= cut[:, None]) & (scores > -np.inf))  # ties at the cut stay, the final rank breaks them
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()], pa.int64()), batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r)), pa.array(scores[q, r])], names=["query_id", "chunk_id", "ref_id", "score"])
+        import pyarrow.compute as pc
+
+        if not len(ids):
+            return
+        best, step = Best(len(ids), k), max(16, CELLS // len(ids))
+        codes = None
+        if labels is not None:
+            kinds = pc.unique(labels)
+            codes = pc.index_in(labels, value_set=kinds).to_numpy(zero_copy_only=False)
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
+                scores = np.round(x @ matrix.T, DIGITS)
+                if codes is not None:
+                    own = pc.index_in(batch.column(3).cast(labels.type), value_set=kinds).fill_null(-1).to_numpy(zero_copy_only=False)
+                    scores[own[:, None] != codes[None, :]] = -np.inf
+                best.add(scores, batch.column(0), batch.column(1))
+        yield from best.batches(ids)
 
     return run
 
 
 def vector_candidates(queries: DataFrame, vectors: DataFrame, k: int, same_label: bool = False) -> DataFrame:
-    """query_id, chunk_id, ref_id, score: for each query at least its k best vectors of each batch.
+    """query_id, chunk_id, ref_id, score: for each query the k best vectors of each task.
 
     A stated set of queries against all vectors, in blocks: PASS queries of d values at a time are sent to the tasks.
-    same_label keeps vectors with the query's label only, before the cut, so sparse labels are found as well.
+    same_label keeps vectors with the query's label only, before the cut, so sparse labels are found as well. Query ids may be
+    of any type. Null vectors have no score.
     """
     import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    total, out = queries.count(), None
+    kind = queries.schema["query_id"].dataType
+    schema = StructType([StructField("query_id", kind), *StructType.fromDDL(FOUND)])
+    asked = queries.where("embedding is not null")
+    total, out = asked.count(), None
     passes = max(1, -(-total // PASS))
     for p in range(passes):
-        part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
+        part = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
         rows = part.select("query_id", "embedding", *(["label"] if same_label else [])).collect()  # about PASS rows
         matrix = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
         columns = ["chunk_id", "ref_id", "embedding", *(["label"] if same_label else [])]
-        found = vectors.where("embedding is not null").select(columns).mapInArrow(_search([r[0] for r in rows], matrix, [r[2] for r in rows] if same_label else None, k), "query_id long, chunk_id string, ref_id string, score double")
+        labels = pa.array([r[2] for r in rows], to_arrow_type(queries.schema["label"].dataType)) if same_label else None
+        found = vectors.where("embedding is not null").select(columns).mapInArrow(_search(pa.array([r[0] for r in rows], to_arrow_type(kind)), matrix, labels, k), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -65,6 +81,4 @@ def score_pairs(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> Dat
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, same_label: bool = False) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    found = vector_candidates(queries, vectors, k, same_label)
-    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return ranked(vector_candidates(queries, vectors, k, same_label), k, True)

@@ -6,23 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bm25, chunking, curation, delta, fusion, guard, hybrid, identity, lifecycle, publication, tasks, vector
+from ..operators import bm25, chunking, curation, delta, evidence, fusion, guard, hybrid, identity, lifecycle, publication, tasks, vector
 from ..sources import views as V
+from ..sources.store import Store
+from ..tables import new_path, written
 from .oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
 
 QUERIES: dict = {}
 
-#: Fixed values of the fixtures: mechanism rules by property, synonyms of corpus words, keywords that occur in the corpus.
+#: Fixed values of the fixtures: mechanism rules by property, synonyms of corpus words.
 RULES = [("A", 1500.0, 60000.0, "R-A"), ("N", 1200.0, 1900.0, "R-N"), ("R", 0.0, 2000.0, "R-R")]
 SYNONYMS = [("the", "der"), ("the", "le"), ("of", "von"), ("and", "und")]
-CORPUS_KEYWORDS = {"REVISION_PUBLICATION": ("and", "ed", "zu"), "CURATION_COMMIT": ("the", "th", "ci"), "RETRIEVE": ("of", "in", "re", "que")}
-LINEAGE = [
-    (1, None, None, None, None, None, None, None), (2, True, None, None, None, None, None, None), (3, False, None, None, None, None, None, None), (4, True, True, True, "revision_of", None, None, None),
-    (5, True, True, False, "revision_of", None, None, None), (6, True, True, True, None, None, None, None), (7, True, True, True, "preprint_to_journal", None, "journal", "preprint"),
-    (8, True, True, True, "preprint_to_journal", None, "journal", "journal"), (9, True, None, None, "corrected_version", None, None, None), (10, True, True, True, "corrected_version", False, None, None), (11, None, None, None, "none", None, None, None),
-]
 
 
 def query(f):
@@ -61,15 +57,15 @@ def chunk_evidence_card(spark, d):
 @query
 def chunk_table_card(spark, d):
     n, r = V.table(spark, d, "nation"), V.table(spark, d, "region")
-    rows = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.array_join(F.array_sort(F.collect_list("n_name")), "\n").alias("rows_text"))
-    t = rows.select(F.concat(F.lit("T-"), "r_name").alias("ref_id"), F.lit("1").alias("page"), F.lit(None).cast("string").alias("section"), F.col("r_name").alias("table_id"), F.concat(F.lit("Nations of "), "r_name").alias("caption"), F.array(F.lit("nation"), F.lit("key")).alias("headers"), F.array().cast("array<string>").alias("units"), "rows_text")
+    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.array_join(F.array_sort(F.collect_list("n_name")), "\n").alias("row_summary"))
+    t = rows.select(F.concat(F.lit("T-"), "r_name").alias("ref_id"), F.lit("1").alias("page"), F.lit(None).cast("string").alias("section"), F.col("r_name").alias("table_id"), F.concat(F.lit("Nations of "), "r_name").alias("caption"), F.array(F.lit("nation"), F.lit("key")).alias("headers"), F.array().cast("array<string>").alias("units"), "row_summary")
     return chunking.chunk_table(t).select("ref_id", "chunk_id", "n_tokens", "payload")
 
 
 @query
 def chunk_chart_card(spark, d):
-    r = V.table(spark, d, "region")
-    t = r.select(F.concat(F.lit("C-"), "r_name").alias("ref_id"), F.lit(None).cast("string").alias("page"), F.lit("figures").alias("section"), F.col("r_regionkey").cast("string").alias("chart_id"), F.when(F.col("r_regionkey") % 2 == 0, F.col("r_name")).alias("caption"), F.array().cast("array<string>").alias("axes"), F.array().cast("array<string>").alias("units"), F.lit(None).cast("string").alias("summary"))
+    r, none = V.table(spark, d, "region"), F.lit(None).cast("string")
+    t = r.select(F.concat(F.lit("C-"), "r_name").alias("ref_id"), none.alias("page"), F.lit("figures").alias("section"), F.col("r_regionkey").cast("string").alias("chart_id"), F.when(F.col("r_regionkey") % 2 == 0, F.col("r_name")).alias("caption"), F.when(F.col("r_regionkey") % 4 == 0, F.lit("x: nation, y: key")).alias("axes"), F.lit("").alias("units"), none.alias("summary"))
     return chunking.chunk_chart(t).select("ref_id", "chunk_id", "n_tokens", "payload")
 
 
@@ -94,7 +90,8 @@ def vector_filtered_topk(spark, d):
 
 
 def _channels(spark, d) -> DataFrame:
-    return hybrid.channel(bm25.bm25_topk(V.queries(spark, d), V.chunks(spark, d), 20, "fine"), "keyword").unionByName(hybrid.channel(bm25.bm25_topk(V.queries(spark, d), V.chunks(spark, d), 20), "any"))
+    search = bm25.searcher(V.queries(spark, d), V.chunks(spark, d))
+    return hybrid.channel(search.top(20, "fine"), "keyword").unionByName(hybrid.channel(search.top(20), "any"))
 
 
 @query
@@ -134,7 +131,7 @@ def query_expansion(spark, d):
 @query
 def rerank_scores(spark, d):
     q, chunks = V.queries(spark, d), V.chunks(spark, d)
-    hits = bm25.bm25_topk(q, chunks, 10).join(F.broadcast(q.withColumnRenamed("text", "query")), "query_id")
+    hits = bm25.bm25_topk(q, chunks, 10).join(q.withColumnRenamed("text", "query"), "query_id")
     # Hits are few, chunks many: only the hits' payloads pass the join.
     hits = hits.join(chunks.select("chunk_id", "payload"), "chunk_id")
     return fusion.rerank(hits, fusion.lexical_overlap(F.col("query"), F.col("payload"))).select("query_id", "chunk_id", "score", "rerank_score", "rank")
@@ -147,8 +144,9 @@ def _visible_refs(spark, d) -> DataFrame:
 
 @query
 def eligible_hits_progressive(spark, d):
-    ranked = bm25.ranked(vector.vector_candidates(V.vector_queries(spark, d), V.vectors(spark, d), 100_000), None, True)
-    return hybrid.eligible_hits(ranked, _visible_refs(spark, d), 30)
+    asked, vectors = V.vector_queries(spark, d), V.vectors(spark, d)
+    find = lambda some, k: vector.vector_topk(asked.join(some, "query_id", "left_semi"), vectors, k)
+    return hybrid.progressive(find, asked, _visible_refs(spark, d), 30)
 
 
 # --- lifecycle ---------------------------------------------------------------------------------------------------------
@@ -180,12 +178,12 @@ def assertion_eligibility(spark, d):
     docs = V.curation_documents(spark, d)
     states = lifecycle.latest_state(V.lifecycle(spark, d).withColumn("ref_id", F.concat(F.lit("S"), F.substring("ref_id", 5, 10))))
     own = V.assertions(spark, d).where("speculative_wording").select(F.col("id").alias("assertion_id"), F.when(F.col("confidence") == "hypothesis", "archived").when(F.col("confidence") == "medium", "superseded").otherwise("active").alias("status"))
-    return lifecycle.assertion_eligibility(V.assertions(spark, d), lifecycle.eligibility(docs, states), own.dropDuplicates(["assertion_id"])).groupBy("status", "visible").agg(F.count("*").alias("n"))
+    return lifecycle.assertion_eligibility(V.assertions(spark, d), lifecycle.eligibility(docs, states), own.dropDuplicates(["assertion_id"]))
 
 
 @query
 def outbox_sequence(spark, d):
-    e = V.table(spark, d, "events").where("event_type != 'click'").select("event_id", "event_type")
+    e = V.table(spark, d, "events").select("event_id", "event_type")
     return lifecycle.assign_sequence(e, ["event_id"], 1000)
 
 
@@ -253,7 +251,7 @@ def snapshot_manifest(spark, d):
 
 @query
 def slot_key_duplicates(spark, d):
-    return curation.slot_duplicates(V.assertions(spark, d)).groupBy("ref_id").agg(F.count("*").alias("slots"), F.sum("n").alias("assertions"))
+    return curation.slot_duplicates(V.assertions(spark, d))
 
 
 @query
@@ -265,8 +263,8 @@ def idempotent_snapshot_dedup(spark, d):
 @query
 def request_validation(spark, d):
     a = V.new_and_existing(spark, d)[0]
-    decisions = curated(spark, d).decisions.where("action != 'reject'").unionByName(curated(spark, d).decisions.where("action = 'return_upstream'"))
-    return curation.request_errors(decisions, a)
+    decisions = written(curated(spark, d).decisions, "decisions")
+    return curation.request_errors(decisions.where("action != 'reject'").unionByName(decisions.where("action = 'return_upstream'")), a)
 
 
 # --- identity and deltas -----------------------------------------------------------------------------------------------
@@ -283,24 +281,44 @@ def normalize_title_nfkc(spark, d):
     return V.table(spark, d, "documents").select("doc_id", T.work_title(F.col("text")).alias("title"))
 
 
-def _intake(spark, d) -> DataFrame:
-    s = identity.normalized(V.sources(spark, d), T.ascii_work_title(F.col("title")))
-    return identity.classify_intake(s.where("seq % 4 = 3"), identity.register(s.where("seq % 4 != 3")))
+def _registry(spark, d) -> DataFrame:
+    return written(identity.register(identity.normalized(V.history(spark, d), T.ascii_work_title(F.col("title")))), "registry")
+
+
+def _submitted(rows: DataFrame) -> DataFrame:
+    return identity.normalized(rows, T.ascii_work_title(F.col("title")))
 
 
 @query
 def source_intake_classification(spark, d):
-    return _intake(spark, d)
+    return identity.classify_intake(_submitted(V.submissions(spark, d)), _registry(spark, d))
 
 
 @query
 def explicit_lineage_classification(spark, d):
-    return identity.classify_lineage(spark.createDataFrame(LINEAGE, "case_id int, work_known boolean, prior_known boolean, prior_in_work boolean, relation string, doi_work_agrees boolean, kind string, prior_kind string"))
+    return identity.classify_intake(_submitted(V.lineage_submissions(spark, d)), _registry(spark, d))
+
+
+@query
+def source_registration(spark, d):
+    """The registry rows that the submissions with a stated lineage give."""
+    rows = _submitted(V.lineage_submissions(spark, d))
+    new = identity.proceed(rows, identity.classify_intake(rows, _registry(spark, d)))
+    return new.select("ref_id", "work_id", "relation", "prior_source_version_id", "source_kind", "norm_doi", "norm_stable")
+
+
+def _aligned(spark, d) -> DataFrame:
+    units = V.units(spark, d)
+    return delta.valid_pairs(delta.align_units(*units), delta.alignment_errors(*units))
+
+
+def _plan(spark, d, aligned: DataFrame) -> DataFrame:
+    return delta.delta_plan(aligned, delta.unsafe_pairs(V.units(spark, d)[0], V.unit_assertions(spark, d)[0], V.resets(spark, d)))
 
 
 @query
 def align_content_units(spark, d):
-    return delta.align_units(*V.units(spark, d))
+    return _aligned(spark, d)
 
 
 @query
@@ -310,17 +328,22 @@ def alignment_errors(spark, d):
 
 @query
 def content_delta_plan(spark, d):
-    return delta.delta_plan(delta.align_units(*V.units(spark, d))).withColumn("extract", F.array_join("extract", ","))
+    return _plan(spark, d, _aligned(spark, d)).withColumn("extract", F.array_join("extract", ","))
+
+
+@query
+def extraction_requests(spark, d):
+    return delta.extraction_requests(_plan(spark, d, _aligned(spark, d)), V.units(spark, d)[1])
 
 
 @query
 def carry_forward(spark, d):
-    return delta.carry_forward(delta.align_units(*V.units(spark, d)), V.unit_assertions(spark, d)[0])
+    return delta.carry_forward(_aligned(spark, d), V.unit_assertions(spark, d)[0])
 
 
 def _transitions(spark, d) -> DataFrame:
-    aligned = delta.align_units(*V.units(spark, d))
-    return delta.transitions(aligned, *V.unit_assertions(spark, d), delta.delta_plan(aligned))
+    aligned = written(_aligned(spark, d), "aligned")
+    return delta.transitions(aligned, *V.unit_assertions(spark, d), _plan(spark, d, aligned))
 
 
 @query
@@ -333,6 +356,15 @@ def revision_actions(spark, d):
     return delta.revision_actions(_transitions(spark, d))
 
 
+@query
+def revision_packages(spark, d):
+    """Packages of the customers' revisions; those whose registry rows don't bear out the intent have an error."""
+    packages, registry = V.publications(spark, d)[:2]
+    intents = packages.select(F.col("package_id").alias("pair_id"), "work_id", "prior_id", "new_id", "relation")
+    versions = registry.withColumn("source_kind", F.lit("journal"))
+    return delta.packages(intents, versions).select("pair_id", F.col("package_id").isNotNull().alias("built"), "prior_ref", "new_ref", "lifecycle_reason", "error")
+
+
 # --- evidence and claims -----------------------------------------------------------------------------------------------
 
 
@@ -341,7 +373,7 @@ def _records(spark, d) -> DataFrame:
     first = F.substring("chunk_id", 1, 1)
     confidence = F.when(first.isin("0", "1", "2"), "high").when(first.isin("3", "4"), "verified").when(first.isin("5", "6", "7"), "medium").when(first.isin("8", "9", "a", "b"), "hypothesis")
     chunks = V.chunks(spark, d).select("chunk_id", "payload", F.when(F.substring("chunk_id", 2, 1) != "0", F.col("locator")).alias("locator"), confidence.alias("confidence"), F.when(F.substring("chunk_id", 3, 1) == "f", "Rumour").when(F.substring("chunk_id", 3, 1) == "e", " Graph ").alias("evidence_type"))
-    return guard.normalize_hits(bm25.bm25_topk(V.queries(spark, d), V.chunks(spark, d), 8), chunks)
+    return written(guard.normalize_hits(bm25.bm25_topk(V.queries(spark, d), V.chunks(spark, d), 8), chunks), "records")
 
 
 def _claims(spark, d, records: DataFrame) -> DataFrame:
@@ -413,8 +445,8 @@ def hallucination_h2(spark, d):
 
 @query
 def hallucination_h2_status(spark, d):
-    _, claims, _ = _guarded(spark, d)
-    return guard.h2_status(claims, _ref_metadata(spark, d))
+    records, claims, _ = _guarded(spark, d)
+    return guard.h2_status(claims, _ref_metadata(spark, d), records.where("query_id % 23 != 22"))
 
 
 @query
@@ -433,7 +465,7 @@ def evidence_answer(spark, d):
 
 
 def _tasks(spark, d) -> DataFrame:
-    return tasks.classify(V.queries(spark, d).select(F.col("query_id").alias("task_id"), "text")).withColumn("task_type", tasks.task_type(F.col("text"), CORPUS_KEYWORDS))
+    return tasks.classify(V.task_texts(spark, d))
 
 
 @query
@@ -446,27 +478,20 @@ def task_plan(spark, d):
     return tasks.plan(_tasks(spark, d))
 
 
-def _packages(spark, d) -> DataFrame:
-    k = F.col("c_custkey")
-    c = V.table(spark, d, "customer").select(
-        F.concat(F.lit("P-"), k).alias("package_id"), (k % 17 == 0).alias("review_required"), F.when(k % 13 == 0, "review_required").when(k % 2 == 0, "delta_safe").otherwise("full_reextract_required").alias("mode"),
-        F.concat(F.lit("R"), k).alias("package_ref"), F.when(k % 19 != 0, F.concat(F.lit("R"), k)).alias("target_ref"), F.lit("fp1").alias("prior_fingerprint"), F.when(k % 23 == 0, "fp1").otherwise("fp2").alias("target_fingerprint"),
-        F.when(k % 29 != 0, F.lit("kbv-1")).alias("prior_version_id"), F.when(k % 7 == 0, "rejected").otherwise("successful").alias("report_status"), F.when(k % 5 == 0, None).when(k % 11 == 0, "denied").otherwise("approved").alias("approval_decision"),
-    )
-    c = c.withColumn("scope_hash", publication.scope_hash("package_id", "target_ref", "target_fingerprint"))
-    return c.withColumn("approval_scope", F.when(F.col("package_id").endswith("3"), F.lit("other")).otherwise(F.col("scope_hash")))
-
-
 @query
 def publication_gate(spark, d):
-    return publication.publication_gate(_packages(spark, d))
+    return publication.publication_gate(*V.publications(spark, d), F.concat_ws("/", "package_id", "source_ref", "source_fingerprint"))
 
 
 @query
 def tamper_check(spark, d):
-    a = _admitted(spark, d)
-    recorded = curation.snapshot_manifest(a.withColumn("assertion_hash", F.when(F.col("id").endswith("7"), F.lit("x")).otherwise(F.col("assertion_hash"))))
-    return publication.tampered(a, recorded)
+    """Documents of which an assertion was changed after its snapshot: a mark, an uncertainty, or the last digit of a value."""
+    a = written(_admitted(spark, d), "admitted")
+    recorded = curation.snapshot_manifest(a)
+    value = F.when(F.col("id").endswith("7"), F.col("value_num") * (1 + 1e-15)).otherwise(F.col("value_num"))
+    spread = F.when(F.col("id").endswith("13"), F.col("uncertainty") + 1e-9).otherwise(F.col("uncertainty"))
+    now = a.withColumn("value_num", value).withColumn("uncertainty", spread)
+    return publication.tampered(now.withColumn("assertion_hash", curation.assertion_hash(now)), recorded)
 
 
 @query
@@ -476,7 +501,33 @@ def assertion_set_json_decode(spark, d):
     a = V.assertions(spark, d)
     rows = a.select("ref_id", F.to_json(F.struct("id", F.struct(F.col("entity").alias("original_mention")).alias("subject"), "property", F.struct(F.col("value_num").alias("value"), "unit").alias("object"), F.when(F.col("confidence") != "medium", F.col("confidence")).alias("confidence"), F.when(F.col("locator") == "T5", F.lit("hearsay")).alias("source_claim_origin"))).alias("json"))
     good, bad = codec.decode_assertions(rows)
-    return good.groupBy("ref_id").agg(F.count("*").alias("decoded"), F.count_if(F.col("confidence") == "medium").alias("medium")).join(bad.groupBy("ref_id").agg(F.count("*").alias("refused")), "ref_id", "full_outer").fillna(0)
+    none = F.lit(None)
+    refused = bad.select("ref_id", F.get_json_object("json", "$.id").alias("id"), F.array_join("errors", ",").alias("errors"))
+    return good.select("ref_id", "id", "entity", "property", "value_num", "unit", "confidence", "source_claim_origin", none.cast("string").alias("errors")).unionByName(
+        refused.select("ref_id", "id", none.cast("string").alias("entity"), none.cast("string").alias("property"), none.cast("double").alias("value_num"), none.cast("string").alias("unit"), none.cast("string").alias("confidence"), none.cast("string").alias("source_claim_origin"), "errors")
+    )
+
+
+@query
+def commit_documents(spark, d):
+    """Commits every admitted document, twice, into a store of its own: the versions, their chain and the replays."""
+    done = curated(spark, d)
+    ok = curation.commit_eligibility(done.reports).where("publishable").select("ref_id", F.concat(F.lit("fp-"), "ref_id").alias("fingerprint"))
+    admitted = written(curation.admit(done.decisions, V.new_and_existing(spark, d)[0]), "admitted")
+    sources = written(ok.join(admitted.select("ref_id").distinct(), "ref_id", "left_semi"), "sources")
+    store = Store(spark, new_path(spark, "store"))
+    store.commit_all(sources, admitted)
+    again = store.commit_all(sources, admitted)
+    v = store.table("versions").join(store.table("snapshots").select("snapshot_id", "n_assertions"), "snapshot_id")
+    return v.join(again.select("ref_id", "status"), "ref_id").select("ref_id", "version_id", "prior_version_id", "seq", "n_assertions", "status")
+
+
+@query
+def evidence_bundles(spark, d):
+    """Bundles of requests with subqueries, restricted references and required keys."""
+    requests, chunks = V.requests(spark, d), V.chunks(spark, d).withColumn("confidence", F.lit("high")).withColumn("evidence_type", F.lit(None).cast("string"))
+    b = evidence.retrieve(requests, chunks).bundles
+    return b.select("request_id", "abstain", F.array_join("reasons", ",").alias("reasons"), F.array_join("missing_keys", ",").alias("missing_keys"), "record_count", "guardable_count")
 
 
 @query

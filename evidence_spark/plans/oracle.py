@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from ..operators.tasks import KEYWORDS, STEPS
+from ..sources.views import PHRASES
+
 # --- views -------------------------------------------------------------------------------------------------------------
 
 DOCS = "docs AS (SELECT 'DOC-' || doc_id AS ref_id, doc_id, text, source AS section, lang AS page FROM documents)"
@@ -12,7 +15,7 @@ def prefix(kind: str) -> str:
 
 
 def chunk_id(kind: str, body: str) -> str:
-    return f"substr(sha256(ref_id || '|' || coalesce(page, '') || '|' || coalesce(section, '') || '|' || {kind} || '|' || substr(sha256({body}), 1, 16)), 1, 24)"
+    return f"substr(sha256(ref_id || '|' || coalesce(nullif(page, ''), '-') || '|' || coalesce(nullif(section, ''), '-') || '|' || {kind} || '|' || substr(sha256({body}), 1, 16)), 1, 24)"
 
 
 def n_tokens(text: str) -> str:
@@ -28,8 +31,8 @@ win AS (SELECT ref_id, section, page, prefix, idx, t[idx * step + 1 : idx * step
 fine AS (SELECT ref_id, section, page, idx, {chunk_id("'text:' || idx", "array_to_string(w, '')")} AS chunk_id, len(w) AS n_tokens, prefix || ' ' || array_to_string(w, '') AS payload FROM win)"""
 
 CHUNKS = f"""{WINDOWS},
-coarse AS (SELECT ref_id, section, page, {chunk_id("'document_summary:0'", "text[1:240]")} AS chunk_id, {n_tokens("text[1:240]")} AS n_tokens, text[1:240] AS payload FROM docs),
-chunks AS (SELECT ref_id, chunk_id, 'fine' AS level, payload, coalesce(section, page) AS locator FROM fine UNION ALL SELECT ref_id, chunk_id, 'coarse', payload, 'summary' FROM coarse)"""
+coarse AS (SELECT ref_id, page, {chunk_id("'summary'", "text[1:240]")} AS chunk_id, {n_tokens("text[1:240]")} AS n_tokens, text[1:240] AS payload FROM (SELECT ref_id, NULL::VARCHAR AS section, page, text FROM docs)),
+chunks AS (SELECT ref_id, chunk_id, 'fine' AS level, payload, coalesce(section, page) AS locator FROM fine UNION ALL SELECT ref_id, chunk_id, 'coarse', payload, NULL FROM coarse)"""
 
 
 def words(text: str) -> str:
@@ -143,32 +146,82 @@ REPORT = """rep0 AS (SELECT ref_id, count(*) AS n, count(*) FILTER (action = 'ac
 rep1 AS (SELECT d.ref_id, coalesce(n, 0) AS n, coalesce(n_accept, 0) AS n_accept, coalesce(n_downgrade, 0) AS n_downgrade, coalesce(n_pending_review, 0) AS n_pending_review, coalesce(n_reject, 0) AS n_reject, coalesce(n_return_upstream, 0) AS n_return_upstream, total FROM cdocs d LEFT JOIN rep0 USING (ref_id) LEFT JOIN quality USING (ref_id)),
 report AS (SELECT *, CASE WHEN n_return_upstream > 0 THEN 'return_upstream' WHEN n = 0 THEN 'no_assertions' WHEN n_accept = n THEN 'successful' WHEN n_reject = n THEN 'rejected' WHEN n_pending_review > 0 THEN 'pending_review' WHEN n_downgrade > 0 THEN 'downgraded' ELSE 'partial' END AS report_status FROM rep1)"""
 CURATE = f"{CURATION}, {complete('WHERE is_new')}, {FLAGS}, {QUALITY}, {DECIDE}, {REPORT}"
-ADMITTED = f"{CURATE}, adm AS (SELECT assertion_id AS id, ref_id, action, confidence AS decided_confidence, CASE action WHEN 'accept' THEN 'formal' WHEN 'downgrade' THEN 'hypothesis' ELSE 'pending' END AS visibility FROM decisions WHERE action IN ('accept', 'downgrade', 'pending_review'))"
+ADMITTED = f"{CURATE}, adm AS (SELECT assertion_id AS id, ref_id, action, confidence AS decided_confidence, CASE action WHEN 'accept' THEN 'active' WHEN 'downgrade' THEN 'downgraded' ELSE 'pending' END AS visibility FROM decisions WHERE action IN ('accept', 'downgrade', 'pending_review'))"
+
+def set_hash(x: str) -> str:
+    """Of an aggregate: count, and the sums of four pieces of 60 bits of the items' digests."""
+    sums = ", ".join(f"coalesce(sum(('0x' || substr(sha256({x}), {15 * k + 1}, 15))::BIGINT), 0)::VARCHAR" for k in range(4))
+    return f"sha256(concat_ws(',', count({x})::VARCHAR, {sums}))"
+
+
+def packed(*columns: str) -> str:
+    return " || ',' || ".join(f"coalesce(length(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')" for c in columns)
+
 
 # --- identity and deltas -----------------------------------------------------------------------------------------------
 
-SOURCES = r"""src AS (SELECT doc_id AS seq, 'REF-' || substr(sha256(text), 1, 8) AS ref_id, sha256(text) AS fp, CASE WHEN doc_id % 3 = 0 THEN '10.1000/' || (n_chars % 400) END AS doi,
-  CASE WHEN doc_id % 5 = 0 THEN 'ST-' || (n_chars % 300) END AS sid, nullif(lower(trim(regexp_replace(text[1:40], '\s+', ' ', 'g'))), '') AS ttl FROM documents),
-hist AS (SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY ref_id, fp ORDER BY seq) AS n FROM src WHERE seq % 4 <> 3) WHERE n = 1),
-reg AS (SELECT *, 'W-' || coalesce(CASE WHEN doi IS NOT NULL THEN min(seq) OVER (PARTITION BY doi) END, CASE WHEN sid IS NOT NULL THEN min(seq) OVER (PARTITION BY sid) END, seq) AS work_id FROM hist),
-bd AS (SELECT doi, min(work_id) AS lo, max(work_id) AS hi FROM reg WHERE doi IS NOT NULL GROUP BY doi), bs AS (SELECT sid, min(work_id) AS lo, max(work_id) AS hi FROM reg WHERE sid IS NOT NULL GROUP BY sid), bt AS (SELECT ttl, min(work_id) AS lo FROM reg WHERE ttl IS NOT NULL GROUP BY ttl),
-cand AS (SELECT c.seq, r.work_id AS kw, coalesce(c.doi <> r.doi, false) OR coalesce(c.sid <> r.sid, false) OR coalesce(c.ttl <> r.ttl, false) AS contra, bd.lo AS dl, bd.hi AS dh, bs.lo AS sl, bs.hi AS sh, bt.lo AS tl
-  FROM src c LEFT JOIN reg r ON r.ref_id = c.ref_id AND r.fp = c.fp LEFT JOIN bd ON bd.doi = c.doi LEFT JOIN bs ON bs.sid = c.sid LEFT JOIN bt ON bt.ttl = c.ttl WHERE c.seq % 4 = 3)"""
-UNITS = """up AS (SELECT conv_id AS pair_id, 'U' || turn AS unit_id, sha256(role) AS h, 'A' || conv_id || '.' || turn AS aid, role, sha256(text) AS ph FROM conversations WHERE conv_id % 2 = 0),
-un AS (SELECT conv_id - 1 AS pair_id, 'U' || turn AS unit_id, sha256(role) AS h, CASE WHEN turn = 3 THEN 'U9' END AS claim, 'A' || conv_id || '.' || turn AS aid, role, sha256(text) AS ph FROM conversations WHERE conv_id % 2 = 1),
+SOURCES = r"""hist AS (SELECT doc_id AS seq, 'REF-' || doc_id AS ref_id, sha256(text) AS fp, CASE WHEN doc_id % 2 = 0 THEN 'preprint' ELSE 'journal' END AS kind,
+  CASE WHEN doc_id % 3 = 0 THEN '10.1000/' || (n_chars % 400) END AS doi, CASE WHEN doc_id % 3 = 1 THEN 'ST-' || (n_chars % 300) END AS sid, CASE WHEN doc_id % 3 = 2 THEN nullif(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '') END AS ttl FROM documents),
+firsts AS (SELECT *, min(seq) OVER (PARTITION BY doi, sid, ttl) AS first FROM hist),
+reg AS (SELECT *, 'W-' || first AS work_id, 'SV-' || seq AS svid, CASE WHEN seq = first THEN 'none' ELSE 'revision_of' END AS rel FROM firsts WHERE doi IS NOT NULL OR sid IS NOT NULL OR seq = first),
+sub AS (SELECT doc_id AS seq, CASE WHEN doc_id % 8 <= 2 THEN 'REF-' ELSE 'NEW-' END || doc_id AS ref_id, sha256(text) AS fp, CASE WHEN doc_id % 2 = 0 THEN 'preprint' ELSE 'journal' END AS kind,
+  nullif(lower(trim(regexp_replace(CASE WHEN doc_id % 8 = 5 THEN '  ' || text || chr(10) WHEN doc_id % 8 = 2 THEN 'Another title' WHEN doc_id % 8 = 0 AND doc_id % 3 = 2 THEN text END, '\s+', ' ', 'g'))), '') AS ttl,
+  CASE WHEN doc_id % 8 = 0 THEN CASE WHEN doc_id % 3 = 0 THEN '10.1000/' || (n_chars % 400) END WHEN doc_id % 8 IN (1, 7) THEN '10.9/' || doc_id WHEN doc_id % 8 IN (3, 6) THEN '10.1000/' || (n_chars % 400) END AS doi,
+  CASE WHEN doc_id % 8 = 0 THEN CASE WHEN doc_id % 3 = 1 THEN 'ST-' || (n_chars % 300) END WHEN doc_id % 8 IN (4, 6) THEN 'ST-' || (n_chars % 300) END AS sid, NULL::VARCHAR AS ework, NULL::VARCHAR AS eprior, NULL::VARCHAR AS erel FROM documents),
+lin AS (SELECT doc_id AS seq, CASE WHEN doc_id % 11 = 0 THEN 'REF-' ELSE 'NEW-' END || doc_id AS ref_id, sha256(text) AS fp, CASE WHEN doc_id % 2 = 0 THEN 'preprint' ELSE 'journal' END AS kind, NULL::VARCHAR AS ttl,
+  CASE WHEN doc_id % 7 = 0 THEN '10.1000/' || (n_chars % 400) END AS doi, CASE WHEN doc_id % 7 = 1 THEN 'ST-' || (n_chars % 300) END AS sid,
+  CASE WHEN doc_id % 5 = 0 THEN 'W-' || doc_id WHEN doc_id % 5 = 1 THEN 'W-' || (doc_id + 1) WHEN doc_id % 25 = 2 THEN 'W-none' END AS ework,
+  CASE WHEN doc_id % 10 < 4 THEN 'SV-' || doc_id WHEN doc_id % 10 = 4 THEN 'SV-' || (doc_id + 1) WHEN doc_id % 50 = 5 THEN 'SV-none' END AS eprior,
+  [NULL, 'none', 'revision_of', 'preprint_to_journal', 'corrected_version', 'explicit_same_work'][(doc_id % 6 + 1)::INT] AS erel FROM documents)"""
+
+
+def intake(rows: str) -> str:
+    """Decisions on rows, rule by rule as the registry's owner states them."""
+    return f"""{SOURCES},
+seen AS (SELECT c.*, k.work_id AS kw, k.rel AS krel, c.kind <> k.kind AS kdiff, coalesce(c.doi <> k.doi, false) OR coalesce(c.sid <> k.sid, false) OR coalesce(c.ttl <> k.ttl, false) AS mdiff,
+  (SELECT min(work_id) FROM reg r WHERE r.doi = c.doi) AS dw, (SELECT max(work_id) FROM reg r WHERE r.doi = c.doi) AS dw2, (SELECT min(work_id) FROM reg r WHERE r.sid = c.sid) AS sw, (SELECT max(work_id) FROM reg r WHERE r.sid = c.sid) AS sw2,
+  EXISTS (SELECT 1 FROM reg r WHERE r.ttl = c.ttl) AS tknown, EXISTS (SELECT 1 FROM reg r WHERE r.work_id = c.ework) AS wknown, p.work_id AS pw, p.kind AS pkind
+  FROM {rows} c LEFT JOIN reg k ON k.ref_id = c.ref_id AND k.fp = c.fp LEFT JOIN reg p ON p.svid = c.eprior),
+named AS (SELECT *, coalesce(ework, pw) AS w, coalesce(erel, CASE WHEN eprior IS NOT NULL THEN 'revision_of' ELSE 'explicit_same_work' END) AS r, ework IS NOT NULL OR eprior IS NOT NULL OR coalesce(erel, 'none') <> 'none' AS stated FROM seen),
+why AS (SELECT *, CASE WHEN kw IS NOT NULL THEN CASE
+    WHEN ework IS NOT NULL AND NOT wknown THEN 'work not found on replay' WHEN ework <> kw THEN 'work contradicts replay' WHEN eprior IS NOT NULL AND pw IS NULL THEN 'prior not found on replay' WHEN pw <> kw THEN 'prior of another work on replay'
+    WHEN eprior IS NOT NULL THEN 'prior contradicts replay' WHEN erel <> krel THEN 'relation contradicts replay' WHEN kdiff THEN 'kind contradicts replay' WHEN mdiff THEN 'material contradiction on replay' END
+  WHEN dw <> dw2 THEN 'doi of several works' WHEN sw <> sw2 THEN 'stable id of several works' WHEN dw <> sw THEN 'doi and stable id of different works'
+  WHEN stated THEN CASE WHEN erel = 'none' AND (ework IS NOT NULL OR eprior IS NOT NULL) THEN 'none contradicts stated lineage' WHEN ework IS NULL AND eprior IS NULL THEN 'relation without target' WHEN ework IS NOT NULL AND NOT wknown THEN 'work not found'
+    WHEN eprior IS NOT NULL AND pw IS NULL THEN 'prior not found' WHEN pw <> ework THEN 'prior of another work' WHEN dw <> w THEN 'doi of another work' WHEN sw <> w THEN 'stable id of another work'
+    WHEN eprior IS NULL AND r IN ('revision_of', 'corrected_version', 'preprint_to_journal') THEN 'relation needs a prior' WHEN r = 'preprint_to_journal' AND pkind <> 'preprint' THEN 'prior is no preprint' WHEN r = 'preprint_to_journal' AND kind <> 'journal' THEN 'candidate is no journal' END END AS conflict_reason FROM named),
+intake AS (SELECT *, CASE WHEN conflict_reason IS NOT NULL THEN 'identity_conflict' WHEN kw IS NOT NULL THEN 'exact_replay' WHEN stated OR dw IS NOT NULL OR sw IS NOT NULL THEN 'same_work_new_version' WHEN tknown THEN 'review_required' ELSE 'new_work' END AS disposition,
+  CASE WHEN kw IS NOT NULL THEN kw WHEN conflict_reason IS NOT NULL THEN NULL WHEN stated THEN w ELSE coalesce(dw, sw) END AS work_id, CASE WHEN kw IS NULL AND conflict_reason IS NULL AND stated THEN r END AS relation FROM why)"""
+
+
+UNITS = """c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, conv_id * 10 + turn AS k FROM conversations),
+up AS (SELECT conv_id AS pair_id, 'U' || turn AS unit_id, sha256(role || chr(10) || text) AS h FROM c),
+un AS (SELECT conv_id AS pair_id, CASE WHEN k % 5 = 1 THEN 'N' ELSE 'U' END || turn AS unit_id, sha256(role || chr(10) || text || CASE WHEN k % 3 = 0 THEN ' (rev)' ELSE '' END) AS h, CASE WHEN k % 5 = 1 THEN CASE WHEN conv_id % 13 = 5 THEN 'U99' WHEN conv_id % 17 = 3 THEN 'U0' ELSE 'U' || turn END END AS claim, 'L' || turn AS locator FROM c WHERE k % 7 <> 3
+  UNION ALL SELECT conv_id, 'X' || turn, sha256(role || chr(10) || reverse(text)), NULL, 'X' || turn FROM c WHERE k % 11 = 0),
+pa AS (SELECT conv_id AS pair_id, CASE WHEN conv_id % 19 = 4 AND turn = 1 THEN 'U77' ELSE 'U' || turn END AS unit_id, 'A' || conv_id || '.' || turn || '.' || n AS aid, CASE WHEN n = 1 OR k % 4 = 0 THEN role ELSE 'note' END AS slot, sha256(text) AS ph FROM c, (VALUES (1), (2)) v(n)),
+na AS (SELECT conv_id AS pair_id, CASE WHEN k % 5 = 1 THEN 'N' ELSE 'U' END || turn AS unit_id, 'B' || conv_id || '.' || turn || '.' || n AS aid, CASE WHEN n = 1 THEN role WHEN k % 8 = 2 THEN 'other' ELSE 'note' END AS slot FROM c, (VALUES (1), (2)) v(n) WHERE k % 7 <> 3
+  UNION ALL SELECT conv_id, 'X' || turn, 'X' || conv_id || '.' || turn || '.' || n, CASE WHEN n = 1 THEN role WHEN k % 8 = 2 THEN 'other' ELSE 'note' END FROM c, (VALUES (1), (2)) v(n) WHERE k % 11 = 0),
+err AS (SELECT un.pair_id, up.unit_id AS unit, 'claimed_twice' AS error FROM un JOIN up ON up.pair_id = un.pair_id AND up.unit_id = coalesce(claim, un.unit_id) GROUP BY ALL HAVING count(*) > 1
+  UNION ALL SELECT DISTINCT pair_id, claim, 'unknown_prior' FROM un WHERE claim IS NOT NULL AND (pair_id, claim) NOT IN (SELECT pair_id, unit_id FROM up)
+  UNION ALL SELECT pair_id, unit_id, 'repeated_prior' FROM up GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT pair_id, unit_id, 'repeated_unit' FROM (SELECT pair_id, unit_id FROM un) GROUP BY ALL HAVING count(*) > 1),
 al AS (SELECT coalesce(p.pair_id, n.pair_id) AS pair_id, p.unit_id AS prior_unit, n.unit_id AS unit, CASE WHEN p.unit_id IS NULL THEN 'added' WHEN n.unit_id IS NULL THEN 'removed' WHEN p.h = n.h THEN 'unchanged' ELSE 'modified' END AS category
-  FROM un n FULL JOIN up p ON p.pair_id = n.pair_id AND p.unit_id = coalesce(n.claim, n.unit_id)),
-plan AS (SELECT pair_id, count(*) FILTER (category = 'unchanged') AS n_unchanged, count(*) FILTER (category = 'modified') AS n_modified, count(*) FILTER (category = 'added') AS n_added, count(*) FILTER (category = 'removed') AS n_removed,
-  CASE WHEN count(*) FILTER (category IN ('unchanged', 'modified')) = 0 THEN 'full_reextract_required' ELSE 'delta_safe' END AS mode, coalesce(string_agg(unit, ',' ORDER BY unit) FILTER (category IN ('modified', 'added')), '') AS extract FROM al GROUP BY pair_id),
-carried AS (SELECT al.pair_id, al.unit, up.aid AS assertion_id, up.aid || '@' || substr(sha256(al.pair_id || '|' || al.unit || '|' || up.aid), 1, 12) AS carried_id, up.role AS slot_key, up.ph AS payload_hash FROM al JOIN up ON up.pair_id = al.pair_id AND up.unit_id = al.prior_unit WHERE category = 'unchanged')"""
-MOVES = f"""{UNITS}, full_ AS (SELECT pair_id FROM plan WHERE mode = 'full_reextract_required'), safe AS (SELECT * FROM al WHERE pair_id NOT IN (SELECT pair_id FROM full_)),
-mp AS (SELECT s.pair_id, s.unit, role, count(*) AS no, min(aid) AS old_id FROM safe s JOIN up ON up.pair_id = s.pair_id AND up.unit_id = s.prior_unit WHERE category = 'modified' GROUP BY ALL),
-mn AS (SELECT s.pair_id, s.unit, role, count(*) AS nn, min(aid) AS new_id FROM safe s JOIN un ON un.pair_id = s.pair_id AND un.unit_id = s.unit WHERE category = 'modified' GROUP BY ALL),
-moves AS (SELECT pair_id, 'supersede' AS action, assertion_id AS old_id, carried_id AS new_id FROM carried WHERE pair_id NOT IN (SELECT pair_id FROM full_)
-  UNION ALL SELECT coalesce(mp.pair_id, mn.pair_id), CASE WHEN no > 1 OR nn > 1 THEN 'review_required' WHEN new_id IS NULL THEN 'archive' WHEN old_id IS NULL THEN 'added' ELSE 'supersede' END, old_id, new_id FROM mp FULL JOIN mn ON mp.pair_id = mn.pair_id AND mp.unit = mn.unit AND mp.role = mn.role
-  UNION ALL SELECT s.pair_id, 'archive', aid, NULL FROM safe s JOIN up ON up.pair_id = s.pair_id AND up.unit_id = s.prior_unit WHERE category = 'removed'
-  UNION ALL SELECT s.pair_id, 'added', NULL, aid FROM safe s JOIN un ON un.pair_id = s.pair_id AND un.unit_id = s.unit WHERE category = 'added'
-  UNION ALL SELECT pair_id, 'archive', aid, NULL FROM up WHERE pair_id IN (SELECT pair_id FROM full_) UNION ALL SELECT pair_id, 'added', NULL, aid FROM un WHERE pair_id IN (SELECT pair_id FROM full_))"""
+  FROM un n FULL JOIN up p ON p.pair_id = n.pair_id AND p.unit_id = coalesce(n.claim, n.unit_id) WHERE coalesce(p.pair_id, n.pair_id) NOT IN (SELECT pair_id FROM err)),
+unsafe AS (SELECT DISTINCT conv_id AS pair_id, 'segmentation_reset' AS reason FROM c WHERE conv_id % 23 = 6 UNION ALL SELECT DISTINCT pair_id, 'unresolved_unit' FROM pa WHERE pair_id % 23 <> 6 AND (pair_id, unit_id) NOT IN (SELECT pair_id, unit_id FROM up)),
+plan0 AS (SELECT al.*, reason FROM al LEFT JOIN unsafe USING (pair_id)),
+plan AS (SELECT pair_id, count(*) FILTER (category = 'unchanged' AND reason IS NULL) AS n_unchanged, count(*) FILTER (category = 'modified' AND reason IS NULL) AS n_modified, count(*) FILTER (category = 'added' AND reason IS NULL) AS n_added, count(*) FILTER (category = 'removed' AND reason IS NULL) AS n_removed,
+  CASE WHEN any_value(reason) IS NULL THEN 'delta_safe' ELSE 'full_reextract_required' END AS mode, any_value(reason) AS reason, coalesce(string_agg(unit, ',' ORDER BY unit) FILTER (category IN ('modified', 'added') OR reason IS NOT NULL), '') AS extract FROM plan0 GROUP BY pair_id),
+carried AS (SELECT al.pair_id, al.unit, aid AS assertion_id, aid || '@' || substr(sha256(al.pair_id || '|' || al.unit || '|' || aid), 1, 12) AS carried_id, slot AS slot_key, ph AS payload_hash FROM al JOIN pa ON pa.pair_id = al.pair_id AND pa.unit_id = al.prior_unit WHERE category = 'unchanged')"""
+MOVES = f"""{UNITS}, safe AS (SELECT al.* FROM al JOIN plan USING (pair_id) WHERE mode = 'delta_safe'), full_ AS (SELECT pair_id FROM plan WHERE mode <> 'delta_safe'),
+old_ AS (SELECT s.pair_id, s.unit, slot, aid FROM safe s JOIN pa ON pa.pair_id = s.pair_id AND pa.unit_id = s.prior_unit WHERE category = 'modified'),
+new_ AS (SELECT s.pair_id, s.unit, slot, aid FROM safe s JOIN na ON na.pair_id = s.pair_id AND na.unit_id = s.unit WHERE category = 'modified'),
+dup AS (SELECT DISTINCT pair_id, unit FROM (SELECT pair_id, unit FROM old_ GROUP BY pair_id, unit, slot HAVING count(*) > 1 UNION ALL SELECT pair_id, unit FROM new_ GROUP BY pair_id, unit, slot HAVING count(*) > 1)),
+moves AS (SELECT pair_id, 'supersede' AS action, assertion_id AS old_id, carried_id AS new_id, 'unchanged_unit_carry_forward' AS reason FROM carried WHERE pair_id NOT IN (SELECT pair_id FROM full_)
+  UNION ALL SELECT coalesce(o.pair_id, n.pair_id), CASE WHEN n.aid IS NULL THEN 'archive' WHEN o.aid IS NULL THEN 'added' ELSE 'supersede' END, o.aid, n.aid, 'modified_unit_' || CASE WHEN n.aid IS NULL THEN 'old_slot_unmatched' WHEN o.aid IS NULL THEN 'new_slot_unmatched' ELSE 'slot_match' END
+    FROM old_ o FULL JOIN new_ n ON o.pair_id = n.pair_id AND o.unit = n.unit AND o.slot = n.slot WHERE (coalesce(o.pair_id, n.pair_id), coalesce(o.unit, n.unit)) NOT IN (SELECT pair_id, unit FROM dup)
+  UNION ALL SELECT pair_id, 'review_required', NULL, NULL, 'duplicate_slot' FROM dup
+  UNION ALL SELECT s.pair_id, 'archive', aid, NULL, 'removed_unit' FROM safe s JOIN pa ON pa.pair_id = s.pair_id AND pa.unit_id = s.prior_unit WHERE category = 'removed'
+  UNION ALL SELECT s.pair_id, 'added', NULL, aid, 'added_unit' FROM safe s JOIN na ON na.pair_id = s.pair_id AND na.unit_id = s.unit WHERE category = 'added'
+  UNION ALL SELECT pair_id, 'archive', aid, NULL, 'full_reextract_prior_archived' FROM pa WHERE pair_id IN (SELECT pair_id FROM full_) UNION ALL SELECT pair_id, 'added', NULL, aid, 'full_reextract_new_added' FROM na WHERE pair_id IN (SELECT pair_id FROM full_))"""
 
 # --- evidence ----------------------------------------------------------------------------------------------------------
 
@@ -185,20 +238,30 @@ anchors AS (SELECT i, a AS chunk_id, ref_id, locator, confidence, evidence_type
 lev AS (SELECT i, count(*) AS n, min(k) AS lo, max(k) AS hi FROM (SELECT i, list_position(['hypothesis', 'medium', 'high', 'verified'], confidence) - 1 AS k FROM anchors) GROUP BY i),
 pol AS (SELECT cl.i, coalesce(n, 0) AS n, lo, hi, CASE WHEN n IS NULL THEN 'abstain' WHEN cl.i % 6 = 0 THEN 'conflict_disclosure_required' WHEN lo >= 2 THEN 'factual_allowed' WHEN lo = 1 THEN 'caveated_only' ELSE 'pending_hypothesis_only' END AS policy FROM cl LEFT JOIN lev USING (i)),
 meta AS (SELECT 'DOC-' || doc_id AS ref_id, CASE WHEN doc_id % 2 = 0 THEN 'a title' ELSE 'another' END AS title, CASE WHEN doc_id % 3 <> 0 THEN '10.1000/' || (doc_id % 5) END AS doi FROM documents WHERE doc_id % 10 <> 9),
+clm AS (SELECT i, ids, CASE WHEN i % 2 = 0 THEN 'DOC-' || i END AS cref, CASE WHEN i % 3 <> 1 THEN '10.1000/' || (i % 5) END AS cdoi, CASE WHEN i % 4 <> 1 THEN 'A Title' END AS ctitle, CASE WHEN i % 2 = 1 THEN 'A' || i END AS assertion_id FROM cl),
 locs AS (SELECT 'DOC-' || doc_id AS ref_id, CASE WHEN doc_id % 4 = 2 THEN 'p.1' ELSE source END AS locator FROM documents WHERE doc_id % 4 <> 3)"""
 
-PACKAGES = """pk AS (SELECT 'P-' || c_custkey AS package_id, c_custkey AS k FROM customer)"""
+PACKAGES = """cust AS (SELECT c_custkey AS k, lower(c_name) AS nm FROM customer),
+pk AS (SELECT k, 'P-' || k AS package_id, CASE WHEN k % 41 = 0 THEN 'PV-none' ELSE 'PV-' || k END AS prior_id, 'NV-' || k AS new_id, 'R' || k AS prior_ref, CASE WHEN k % 19 = 0 THEN 'N0' ELSE 'N' || k END AS new_ref, CASE WHEN k % 23 = 0 THEN 'corrected_version' ELSE 'revision_of' END AS relation,
+  CASE WHEN k % 29 = 0 THEN 'W0' ELSE 'W' || k END AS work_id, CASE WHEN k % 31 = 0 THEN 'kbv-2' ELSE 'kbv-1' END AS bound, k % 17 = 0 AS manual, CASE WHEN k % 37 <> 0 THEN 'N' || k END AS source_ref, CASE WHEN k % 13 = 0 THEN 'fp9' ELSE 'fp2' END AS fp, 'N' || k AS set_ref,
+  CASE WHEN k % 43 = 0 THEN 'Z' ELSE 'N' || k END AS report_ref, CASE WHEN k % 7 = 0 THEN 'rejected' ELSE 'successful' END AS report_status, (k % 47 = 0)::INT AS returned, CASE WHEN k % 53 = 0 THEN 'other' ELSE nm END AS title, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 11 = 0 THEN 'rejected' ELSE 'approved' END AS decision,
+  CASE WHEN k % 59 = 0 THEN 'P-0' ELSE 'P-' || k END AS apkg, CASE WHEN k % 61 = 0 THEN '' ELSE 'someone' END AS approver, CASE WHEN k % 10 = 3 THEN 'other' ELSE 'P-' || k || '/N' || k || '/fp2' END AS scope, k % 73 <> 0 AS asks FROM cust),
+rg AS (SELECT 'PV-' || k AS sv, 'W' || k AS work_id, 'R' || k AS ref_id, 'none' AS relation, NULL AS prior, 'fp1' AS fp, 'kbv-1' AS kb, CASE WHEN k % 67 <> 0 THEN 's' || k END AS snap, nm FROM cust
+  UNION ALL SELECT 'NV-' || k, 'W' || k, 'N' || k, 'revision_of', CASE WHEN k % 71 = 0 THEN 'PV-0' ELSE 'PV-' || k END, 'fp2', NULL, NULL, nm FROM cust),
+tg AS (SELECT 'P-' || o_custkey AS package_id, 'A' || o_orderkey AS id, o_orderpriority AS m, o_orderkey AS o FROM orders),
+rq AS (SELECT package_id, id, CASE WHEN o % 89 = 0 THEN 'changed' ELSE m END AS m FROM tg WHERE o % 97 <> 0),
+dc AS (SELECT package_id, CASE WHEN o % 79 = 0 THEN 'Z' || o ELSE id END AS id, CASE WHEN o % 83 = 0 THEN 'pending_review' WHEN o % 3 = 0 THEN 'downgrade' ELSE 'accept' END AS action FROM tg, (VALUES (1), (2)) v(n) WHERE o % 61 <> 0 AND (n = 1 OR o % 67 = 0))"""
 
 _R = "WITH RECURSIVE "
 ORACLE: dict[str, str] = {
     "chunk_text_windows": f"WITH {WINDOWS} SELECT ref_id, idx, chunk_id, n_tokens, sha256(payload) AS payload_hash FROM fine",
     "chunk_document_summary": f"WITH {CHUNKS} SELECT ref_id, chunk_id, n_tokens, payload FROM coarse",
-    "chunk_evidence_card": f"""WITH {CURATION}, card AS (SELECT ref_id, id, NULL::VARCHAR AS page, locator AS section, 'Subject: ' || entity || chr(10) || 'Property: ' || property || chr(10) || 'Value: ' || concat_ws(' ', coalesce((floor(v * 1e6)::DECIMAL(24, 0) * 0.000001::DECIMAL(6, 6))::DECIMAL(30, 6)::VARCHAR, vt), unit) || chr(10) || 'Conditions: LineStatus=' || cond || chr(10) || 'Ref: ' || ref_id || coalesce(chr(10) || 'Locator: ' || locator, '') || chr(10) || 'Confidence: ' || confidence AS c FROM asr),
-        full_ AS (SELECT *, {prefix("证据卡片")} || chr(10) || c AS payload FROM card) SELECT ref_id, {chunk_id("'evidence_card:' || id", "c")} AS chunk_id, {n_tokens("payload")} AS n_tokens, sha256(payload) AS payload_hash FROM full_""",
-    "chunk_table_card": f"""WITH t AS (SELECT 'T-' || r_name AS ref_id, '1' AS page, NULL::VARCHAR AS section, r_name, 'Caption: Nations of ' || r_name || chr(10) || 'Headers: nation | key' || chr(10) || 'Rows: ' || string_agg(n_name, chr(10) ORDER BY n_name) AS c FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name),
-        f AS (SELECT *, {prefix("表格")} || chr(10) || c AS payload FROM t) SELECT ref_id, {chunk_id("'table:' || r_name", "c")} AS chunk_id, {n_tokens("payload")} AS n_tokens, payload FROM f""",
-    "chunk_chart_card": f"""WITH t AS (SELECT 'C-' || r_name AS ref_id, NULL::VARCHAR AS page, 'figures' AS section, r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN 'Caption: ' || r_name ELSE 'Chart ' || r_regionkey END AS c FROM region),
-        f AS (SELECT *, {prefix("图表")} || chr(10) || c AS payload FROM t) SELECT ref_id, {chunk_id("'chart:' || r_regionkey", "c")} AS chunk_id, {n_tokens("payload")} AS n_tokens, payload FROM f""",
+    "chunk_evidence_card": f"""WITH {CURATION}, card AS (SELECT ref_id, id, NULL::VARCHAR AS page, locator AS section, 'Subject: ' || entity || chr(10) || 'Property: ' || property || chr(10) || rtrim('Value: ' || coalesce(v::VARCHAR, vt) || ' ' || coalesce(unit, '')) || chr(10) || 'Conditions: LineStatus=' || cond || chr(10) || 'Ref: ' || ref_id || chr(10) || 'Locator: ' || coalesce(locator, '-') || chr(10) || 'Confidence: ' || confidence AS c FROM asr),
+        full_ AS (SELECT *, {prefix("证据卡")} || ' ' || c AS payload FROM card) SELECT ref_id, {chunk_id("'evidence:' || id", "c")} AS chunk_id, {n_tokens("payload")} AS n_tokens, sha256(payload) AS payload_hash FROM full_""",
+    "chunk_table_card": f"""WITH t AS (SELECT 'T-' || r_name AS ref_id, '1' AS page, NULL::VARCHAR AS section, r_name, 'Caption: Nations of ' || r_name || chr(10) || 'Headers: nation, key' || chr(10) || 'Rows: ' || string_agg(n_name, chr(10) ORDER BY n_name) AS c FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name),
+        f AS (SELECT *, {prefix("表")} || ' ' || c AS payload FROM t) SELECT ref_id, {chunk_id("'table:' || r_name", "c")} AS chunk_id, {n_tokens("payload")} AS n_tokens, payload FROM f""",
+    "chunk_chart_card": f"""WITH t AS (SELECT 'C-' || r_name AS ref_id, NULL::VARCHAR AS page, 'figures' AS section, r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN 'Caption: ' || r_name || CASE WHEN r_regionkey % 4 = 0 THEN chr(10) || 'Axes: x: nation, y: key' ELSE '' END ELSE 'Chart ' || r_regionkey END AS c FROM region),
+        f AS (SELECT *, {prefix("图")} || ' ' || c AS payload FROM t) SELECT ref_id, {chunk_id("'chart:' || r_regionkey", "c")} AS chunk_id, {n_tokens("payload")} AS n_tokens, payload FROM f""",
     "bm25_term_stats": f"WITH {BM25} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM posts GROUP BY term",
     "bm25_topk": f"WITH {BM25}, {HITS10} SELECT query_id, chunk_id, ref_id, score, rank FROM hits",
     "vector_topk": f"WITH {VECTORS}, {top('t', 'SELECT query_id, chunk_id, ref_id, score FROM near', 10)} SELECT * FROM t",
@@ -221,9 +284,9 @@ ORACLE: dict[str, str] = {
     "training_eligibility": f"WITH {DOCS}, {LATEST} SELECT DISTINCT d.ref_id, coalesce(status, 'active') AS status, coalesce(status, 'active') = 'active' AS visible, coalesce(status, 'active') = 'active' AS trainable FROM docs d LEFT JOIN latest USING (ref_id)",
     "assertion_eligibility": f"""WITH {CURATION}, {LATEST}, ds AS (SELECT c.ref_id, coalesce(status, 'active') AS ds FROM cdocs c LEFT JOIN latest l ON c.ref_id = 'S' || substr(l.ref_id, 5)),
         own AS (SELECT DISTINCT id, CASE confidence WHEN 'hypothesis' THEN 'archived' WHEN 'medium' THEN 'superseded' ELSE 'active' END AS o FROM asr WHERE speculative),
-        x AS (SELECT ds <> 'active' AS hidden, ds, coalesce(o, 'active') AS o FROM asr LEFT JOIN ds USING (ref_id) LEFT JOIN own USING (id))
-        SELECT CASE WHEN hidden THEN ds ELSE o END AS status, NOT hidden AND o = 'active' AS visible, count(*) AS n FROM x GROUP BY ALL""",
-    "outbox_sequence": "SELECT event_id, event_type, 1000 + row_number() OVER (ORDER BY event_id) AS created_seq FROM events WHERE event_type <> 'click'",
+        x AS (SELECT id, ref_id, ds <> 'active' AS hidden, ds, coalesce(o, 'active') AS o FROM asr LEFT JOIN ds USING (ref_id) LEFT JOIN own USING (id))
+        SELECT id, ref_id, CASE WHEN hidden THEN ds ELSE o END AS status, NOT hidden AND o = 'active' AS visible FROM x""",
+    "outbox_sequence": "SELECT event_id, event_type, 1000 + row_number() OVER (ORDER BY event_id) AS created_seq FROM events",
     "completeness_check": f"WITH {CURATION}, {complete('')} SELECT ref_id, status, n AS assertion_count, mu AS units_missing, ml AS locators_missing, charts_low, grade <> 'D' AND NOT lacking AND NOT (n = 0 AND NOT no_data) AS allows_formal, grade = 'C' OR mu > 0 AS requires_manual_review, lacking AS requires_return_upstream FROM cm",
     "completeness_issues": f"""WITH {CURATION}, {complete('')} SELECT ref_id, 'metadata_incomplete' AS code FROM cm WHERE lacking UNION ALL SELECT ref_id, 'no_assertions' FROM cm WHERE n = 0 AND NOT no_data UNION ALL SELECT ref_id, 'missing_units' FROM cm WHERE mu > 0 UNION ALL SELECT ref_id, 'missing_locators' FROM cm WHERE ml > 0
         UNION ALL SELECT ref_id, 'chart_quality_low' FROM cm WHERE charts_low UNION ALL SELECT ref_id, 'parsed_doc_manual_review' FROM cm WHERE grade = 'C' UNION ALL SELECT ref_id, 'parsed_doc_not_formal' FROM cm WHERE grade = 'D'""",
@@ -235,20 +298,21 @@ ORACLE: dict[str, str] = {
     "curation_report": f"WITH {CURATE} SELECT ref_id, n_accept, n_downgrade, n_pending_review, n_reject, n_return_upstream, report_status, total AS quality, total < 0.5 AS low_quality FROM report",
     "commit_eligibility": f"WITH {CURATE}, x AS (SELECT ref_id, CASE WHEN report_status = 'return_upstream' THEN 'returned_upstream' WHEN n = 0 THEN 'no_decisions' WHEN n_reject = n THEN 'all_rejected' END AS reason FROM report) SELECT ref_id, reason IS NULL AS publishable, reason FROM x",
     "admit_assertions": f"WITH {ADMITTED} SELECT id, ref_id, action, visibility, decided_confidence FROM adm",
-    "snapshot_manifest": f"WITH {ADMITTED}, h AS (SELECT ref_id, sha256(id || '|' || visibility || '|' || decided_confidence) AS h FROM adm) SELECT ref_id, count(*) AS n_assertions, sha256(string_agg(h, chr(10) ORDER BY h)) AS content_hash FROM h GROUP BY ref_id",
-    "slot_key_duplicates": f"WITH {CURATION}, s AS (SELECT ref_id, count(*) AS n FROM asr GROUP BY ref_id, entity, property, cond, relation HAVING count(*) > 1) SELECT ref_id, count(*) AS slots, sum(n)::BIGINT AS assertions FROM s GROUP BY ref_id",
+    "snapshot_manifest": f"WITH {ADMITTED}, h AS (SELECT ref_id, sha256(id || '|' || visibility || '|' || decided_confidence) AS h FROM adm) SELECT ref_id, count(*) AS n_assertions, {set_hash('h')} AS content_hash FROM h GROUP BY ref_id",
+    "slot_key_duplicates": f"""WITH {CURATION}, s AS (SELECT ref_id, substr(sha256({packed("NULL", "entity", "property", "CASE WHEN relation THEN 'relation' ELSE 'measurement' END", "CASE WHEN relation THEN 'enum' ELSE 'number' END", packed("'LineStatus'", "cond", "''"))}), 1, 16) AS slot_key FROM asr)
+        SELECT ref_id, slot_key, count(*) AS n FROM s GROUP BY ALL HAVING count(*) > 1""",
     "idempotent_snapshot_dedup": "SELECT sha256(text) AS content_hash, min(doc_id) AS first_id, count(*) AS submissions FROM documents GROUP BY 1",
     "request_validation": f"WITH {CURATE} SELECT assertion_id AS id, 'missing_decision' AS error FROM decisions WHERE action = 'reject' UNION ALL SELECT assertion_id, 'duplicate_decision' FROM decisions WHERE action = 'return_upstream'",
     "normalize_identifiers": r"""WITH p AS (SELECT page_id, 'https://doi.org/10.1000/' || upper(url) AS d, trim(url) AS s, 'a title ' || lower(url) AS t FROM pages)
         SELECT page_id, substr(lower(d), 17) AS work_doi, substr(lower(d), 17) AS cited_doi, s AS stable_id, t AS title, 'eddo:page:' || replace(lower(s), ' ', '_') AS entity FROM p""",
-    "source_intake_classification": f"""WITH {SOURCES} SELECT seq,
-        CASE WHEN kw IS NOT NULL AND contra THEN 'identity_conflict' WHEN kw IS NOT NULL THEN 'exact_replay' WHEN dl <> dh OR sl <> sh OR dl <> sl THEN 'identity_conflict' WHEN dl IS NOT NULL OR sl IS NOT NULL THEN 'same_work_new_version' WHEN tl IS NOT NULL THEN 'review_required' ELSE 'new_work' END AS disposition,
-        CASE WHEN kw IS NOT NULL THEN kw WHEN dl <> dh OR sl <> sh OR dl <> sl THEN NULL ELSE coalesce(dl, sl) END AS work_id,
-        CASE WHEN kw IS NOT NULL AND contra THEN 'material contradiction on replay' WHEN kw IS NOT NULL THEN NULL WHEN dl <> dh THEN 'doi of several works' WHEN sl <> sh THEN 'stable id of several works' WHEN dl <> sl THEN 'doi and stable id of different works' END AS conflict_reason FROM cand""",
-    "explicit_lineage_classification": """SELECT * FROM (VALUES (1::INT, 'same_work_new_version', 'explicit_same_work'), (2, 'same_work_new_version', 'explicit_same_work'), (3, 'identity_conflict', NULL), (4, 'same_work_new_version', 'revision_of'), (5, 'identity_conflict', NULL), (6, 'same_work_new_version', 'revision_of'),
-        (7, 'same_work_new_version', 'preprint_to_journal'), (8, 'identity_conflict', NULL), (9, 'review_required', NULL), (10, 'identity_conflict', NULL), (11, 'same_work_new_version', 'explicit_same_work')) t(case_id, disposition, relation)""",
+    "normalize_title_nfkc": r"SELECT doc_id, nullif(replace(lower(nfc_normalize(trim(regexp_replace(text, '\s+', ' ', 'g')))), 'ß', 'ss'), '') AS title FROM documents",  # exact where a text has no sign that only compatibility folding changes
+    "source_intake_classification": f"WITH {intake('sub')} SELECT seq, disposition, work_id, relation, conflict_reason FROM intake",
+    "explicit_lineage_classification": f"WITH {intake('lin')} SELECT seq, disposition, work_id, relation, conflict_reason FROM intake",
+    "source_registration": f"""WITH {intake('lin')} SELECT ref_id, CASE WHEN disposition = 'new_work' THEN substr(sha256({packed("'new_work'", "ref_id", "fp")}), 1, 16) ELSE work_id END AS work_id, coalesce(erel, CASE WHEN disposition = 'new_work' THEN 'none' ELSE 'revision_of' END) AS relation, eprior AS prior_source_version_id, kind AS source_kind, doi AS norm_doi, sid AS norm_stable
+        FROM intake WHERE disposition IN ('new_work', 'same_work_new_version')""",
     "align_content_units": f"WITH {UNITS} SELECT * FROM al",
-    "alignment_errors": f"WITH {UNITS} SELECT pair_id, claim AS unit, 'unknown_prior' AS error FROM un WHERE claim IS NOT NULL AND NOT EXISTS (SELECT 1 FROM up WHERE up.pair_id = un.pair_id AND up.unit_id = claim) UNION ALL SELECT un.pair_id, up.unit_id, 'claimed_twice' FROM un JOIN up ON up.pair_id = un.pair_id AND up.unit_id = coalesce(claim, un.unit_id) GROUP BY ALL HAVING count(*) > 1",
+    "alignment_errors": f"WITH {UNITS} SELECT * FROM err",
+    "extraction_requests": f"WITH {UNITS}, x AS (SELECT pair_id, unnest(string_split(extract, ',')) AS unit_id, CASE WHEN mode = 'delta_safe' THEN 'changed_or_added_units_only' ELSE 'full_reextract_required' END AS reason FROM plan WHERE extract <> '') SELECT x.pair_id, x.unit_id, locator, reason FROM x JOIN un USING (pair_id, unit_id)",
     "content_delta_plan": f"WITH {UNITS} SELECT * FROM plan",
     "carry_forward": f"WITH {UNITS} SELECT * FROM carried",
     "assertion_transitions": f"WITH {MOVES} SELECT * FROM moves",
@@ -263,24 +327,67 @@ ORACLE: dict[str, str] = {
         SELECT i AS claim_id, reasons <> '' OR n = 0 AS abstain, reasons FROM x""",
     "hallucination_h1": f"""WITH {CLAIMS}, k AS (SELECT a.*, m.ref_id IS NOT NULL AS known, EXISTS (SELECT 1 FROM locs l WHERE l.ref_id = a.ref_id) AS indexed, EXISTS (SELECT 1 FROM locs l WHERE l.ref_id = a.ref_id AND trim(l.locator) = trim(a.locator)) AS present FROM anchors a LEFT JOIN meta m ON m.ref_id = a.ref_id)
         SELECT i AS claim_id, 'ref_not_resolvable' AS finding, ref_id, NULL::VARCHAR AS locator_status FROM k WHERE NOT known UNION ALL SELECT i, 'locator_absent', ref_id, 'verified_absent' FROM k WHERE indexed AND NOT present UNION ALL SELECT i, 'no_anchor', NULL, NULL FROM pol WHERE n = 0""",
-    "hallucination_h2": f"""WITH {CLAIMS}, k AS (SELECT a.i, a.ref_id, m.ref_id IS NOT NULL AS known, title, doi, a.i % 2 = 0 AND a.ref_id = 'DOC-' || a.i AS cites FROM anchors a LEFT JOIN meta m ON m.ref_id = a.ref_id WHERE evidence_type = 'literature')
-        SELECT i AS claim_id, 'ref_not_found' AS finding, ref_id FROM k WHERE NOT known UNION ALL SELECT i, 'doi_mismatch', ref_id FROM k WHERE known AND cites AND i % 3 <> 1 AND doi <> '10.1000/' || (i % 5) UNION ALL SELECT i, 'title_mismatch', ref_id FROM k WHERE known AND cites AND i % 4 <> 1 AND title <> 'a title'""",
-    "hallucination_h2_status": f"""WITH {CLAIMS}, k AS (SELECT cl.i, len(ids) AS n, cl.i % 2 = 0 AS cites, cl.i % 3 <> 1 AS d, cl.i % 4 <> 1 AS t, m.ref_id IS NOT NULL AS known, doi IS NULL AS nodoi FROM cl LEFT JOIN meta m ON cl.i % 2 = 0 AND m.ref_id = 'DOC-' || cl.i),
-        s AS (SELECT i, CASE WHEN NOT cites AND n = 0 THEN 'not_applicable' WHEN NOT cites OR (NOT d AND NOT t) THEN 'checked' WHEN NOT known THEN 'metadata_unavailable' WHEN NOT (d AND nodoi) THEN 'checked' WHEN d AND t THEN 'partial' ELSE 'metadata_unavailable' END AS s FROM k) SELECT i AS claim_id, s = 'checked' AS h2_checked, s AS h2_status FROM s""",
-    "hallucination_h3": "SELECT item_id AS claim_id, CASE WHEN item_id % 2 = 1 THEN 'checked' ELSE 'not_checked' END AS h3_status, item_id % 2 = 1 AND item_id % 5 = 0 AS violated FROM benchmark",
-    "evidence_answer": f"""WITH {RECORDS}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS n FROM rec WHERE guardable), ok AS (SELECT query_id, count(*) AS c, string_agg(chunk_id, ',' ORDER BY rank) AS a FROM f WHERE n <= 3 AND confidence IN ('high', 'verified') GROUP BY query_id)
-        SELECT q.query_id, CASE WHEN c IS NULL THEN 'abstained' ELSE 'answered' END AS status, coalesce(c, 0) AS n_claims, coalesce(a, '') AS anchors FROM q LEFT JOIN ok USING (query_id)""",
+    "hallucination_h2": f"""WITH {CLAIMS}, k AS (SELECT a.i, a.ref_id, m.ref_id IS NOT NULL AS known, cref = a.ref_id AS cites, lower(cdoi) AS cdoi, lower(ctitle) AS ctitle, title, doi FROM anchors a JOIN clm ON clm.i = a.i LEFT JOIN meta m ON m.ref_id = a.ref_id WHERE evidence_type = 'literature')
+        SELECT i AS claim_id, 'ref_not_found' AS finding, ref_id FROM k WHERE NOT known UNION ALL SELECT i, 'doi_mismatch', ref_id FROM k WHERE known AND cites AND doi <> cdoi UNION ALL SELECT i, 'title_mismatch', ref_id FROM k WHERE known AND cites AND title <> ctitle""",
+    "hallucination_h2_status": f"""WITH {CLAIMS}, k AS (SELECT clm.*, m.ref_id IS NOT NULL AS known, m.title, m.doi, EXISTS (SELECT 1 FROM rec WHERE rec.query_id = clm.i AND rec.query_id % 23 <> 22) AS found FROM clm LEFT JOIN meta m ON m.ref_id = cref),
+        s AS (SELECT i, CASE WHEN NOT found THEN 'metadata_unavailable' WHEN cref IS NULL AND cdoi IS NULL AND ctitle IS NULL AND len(ids) = 0 THEN 'not_applicable' WHEN cdoi IS NULL AND ctitle IS NULL THEN 'checked' WHEN NOT known THEN 'metadata_unavailable'
+          WHEN (cdoi IS NULL OR doi IS NOT NULL) AND (ctitle IS NULL OR title IS NOT NULL) THEN 'checked' WHEN cdoi IS NOT NULL AND ctitle IS NOT NULL THEN 'partial' ELSE 'metadata_unavailable' END AS s FROM k) SELECT i AS claim_id, s = 'checked' AS h2_checked, s AS h2_status FROM s""",
+    "hallucination_h3": f"WITH {CLAIMS}, bad AS (SELECT 'A' || item_id AS id FROM benchmark WHERE item_id % 5 = 0) SELECT i AS claim_id, CASE WHEN assertion_id IS NULL THEN 'not_checked' ELSE 'checked' END AS h3_status, coalesce(assertion_id IN (SELECT id FROM bad), false) AS violated FROM clm",
+    "evidence_answer": f"""WITH {RECORDS}, cov AS (SELECT query_id, bool_or(guardable) AS covered FROM rec GROUP BY query_id), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM rec),
+        first3 AS (SELECT query_id, bool_and(excerpt <> '') AS texts FROM f WHERE n <= 3 GROUP BY query_id), ok AS (SELECT query_id, count(*) AS c, string_agg(chunk_id, ',' ORDER BY rank) AS a FROM f JOIN cov USING (query_id) JOIN first3 USING (query_id) WHERE n <= 3 AND covered AND texts AND guardable AND confidence IN ('high', 'verified') GROUP BY query_id)
+        SELECT q.query_id, CASE WHEN c IS NULL THEN 'abstain' ELSE 'answered' END AS status, coalesce(c, 0) AS n_claims, coalesce(a, '') AS anchors FROM q LEFT JOIN ok USING (query_id)""",
 }
 
-_VOTES = "(contains(l, 'and')::INT + contains(l, 'ed')::INT + contains(l, 'zu')::INT) AS r, (contains(l, 'the')::INT + contains(l, 'th')::INT + contains(l, 'ci')::INT) AS c, (contains(l, 'of')::INT + contains(l, 'in')::INT + contains(l, 're')::INT + contains(l, 'que')::INT) AS e"
-_TASKS = f"v AS (SELECT item_id, {_VOTES} FROM (SELECT item_id, lower(text) AS l FROM benchmark)), t AS (SELECT item_id AS task_id, CASE WHEN greatest(r, c, e) = 0 THEN NULL WHEN r = greatest(r, c, e) THEN 'REVISION_PUBLICATION' WHEN c = greatest(r, c, e) THEN 'CURATION_COMMIT' ELSE 'RETRIEVE' END AS task_type FROM v)"
+def _quoted(items) -> str:
+    return ", ".join("'" + x + "'" for x in items)
+
+
+_TASKS = f"""txt AS (SELECT item_id, lower(text || ' ' || [{_quoted(PHRASES)}][(item_id % {len(PHRASES)} + 1)::INT]) AS l FROM benchmark),
+kw AS (SELECT t, o, unnest(w) AS w FROM (VALUES {", ".join(f"('{t}', {o}, [{_quoted(w)}])" for o, (t, w) in enumerate(KEYWORDS.items()))}) v(t, o, w)),
+votes AS (SELECT item_id, t, o, count(*) AS n FROM txt, kw WHERE contains(l, w) GROUP BY ALL),
+t AS (SELECT item_id AS task_id, (SELECT v.t FROM votes v WHERE v.item_id = txt.item_id ORDER BY n DESC, o LIMIT 1) AS task_type FROM txt)"""
+_STEPS = f"steps(task_type, l) AS (VALUES {', '.join(f"('{t}', [{_quoted(f'step-{k + 1}-{x}' for k, x in enumerate(w))}])" for t, w in STEPS.items())})"
+
+
+def _first_gate(*gates: tuple[str, str, str]) -> str:
+    """(status, name, what must be true), in order."""
+    return "CASE " + " ".join(f"WHEN NOT coalesce({rule}, false) THEN '{status}:{name}'" for status, name, rule in gates) + " END"
+
+
+_GATES = _first_gate(
+    ("package_review_required", "review_required", "NOT manual"), ("failed", "no_request", "source_ref IS NOT NULL"), ("failed", "unknown_version", "p.sv IS NOT NULL AND n.sv IS NOT NULL"), ("conflict", "prior_ref", "p.ref_id = prior_ref"),
+    ("conflict", "new_ref", "n.ref_id = new_ref"), ("conflict", "relation", "n.relation = x.relation"), ("conflict", "work", "p.work_id = x.work_id AND n.work_id = x.work_id"), ("conflict", "prior_version", "n.prior = p.sv"), ("conflict", "bound_version", "p.kb = bound"),
+    ("conflict", "no_snapshot", "p.snap IS NOT NULL"), ("conflict", "fingerprint", "x.fp = n.fp"), ("failed", "invalid_request", "source_ref = set_ref AND source_ref = report_ref"), ("conflict", "source_ref", "source_ref = new_ref"),
+    ("conflict", "assertion_ids", "NOT EXISTS (SELECT 1 FROM tg FULL JOIN rq ON tg.package_id = rq.package_id AND tg.id = rq.id WHERE coalesce(tg.package_id, rq.package_id) = x.package_id AND (tg.id IS NULL OR rq.id IS NULL))"),
+    ("conflict", "assertion_material", "NOT EXISTS (SELECT 1 FROM tg JOIN rq ON tg.package_id = rq.package_id AND tg.id = rq.id WHERE tg.package_id = x.package_id AND tg.m <> rq.m)"), ("conflict", "title", "title = n.nm"),
+    ("failed", "repeated_decision", "x.package_id NOT IN (SELECT package_id FROM dc GROUP BY package_id, id HAVING count(*) > 1)"), ("conflict", "foreign_decision", "x.package_id NOT IN (SELECT package_id FROM dc WHERE (package_id, id) NOT IN (SELECT package_id, id FROM tg))"),
+    ("failed", "action", "x.package_id NOT IN (SELECT package_id FROM dc WHERE action NOT IN ('accept', 'downgrade'))"), ("failed", "undecided", "x.package_id NOT IN (SELECT package_id FROM tg WHERE (package_id, id) NOT IN (SELECT package_id, id FROM dc))"),
+    ("failed", "returned_upstream", "returned = 0"), ("failed", "report_status", "report_status NOT IN ('return_upstream', 'pending_review', 'rejected')"), ("approval_required", "no_approval", "NOT asks OR decision IS NOT NULL"), ("approval_rejected", "rejected", "NOT asks OR decision = 'approved'"),
+    ("conflict", "approval_package", "NOT asks OR apkg = x.package_id"), ("conflict", "approval_scope", "NOT asks OR scope = x.package_id || '/' || source_ref || '/' || x.fp"), ("approval_required", "approval_identity", "NOT asks OR approver <> ''"),
+)
+_BUILT = _first_gate(
+    ("", "unknown_work", "x.work_id IN (SELECT work_id FROM rg)"), ("", "unknown_prior", "p.sv IS NOT NULL"), ("", "unknown_new", "n.sv IS NOT NULL"), ("", "other_work", "p.work_id = x.work_id AND n.work_id = x.work_id"), ("", "other_prior", "n.prior = prior_id"), ("", "other_relation", "n.relation = x.relation"),
+    ("", "prior_unbound", "p.kb IS NOT NULL AND p.snap IS NOT NULL"),
+)
 ORACLE |= {
     "task_classification": f"WITH {_TASKS} SELECT * FROM t",
-    "task_plan": f"""WITH {_TASKS}, s AS (SELECT task_id, task_type, CASE task_type WHEN 'RETRIEVE' THEN ['retrieve', 'validate', 'answer'] WHEN 'CURATION_COMMIT' THEN ['decode', 'curate', 'gate', 'commit'] ELSE ['intake', 'delta', 'package', 'approve', 'publish'] END AS l FROM t WHERE task_type IS NOT NULL),
-        u AS (SELECT *, unnest(range(0, len(l))) AS position FROM s) SELECT task_id, task_type, position, l[position + 1] AS step, CASE WHEN position > 0 THEN l[position] END AS depends_on FROM u""",
-    "publication_gate": f"""WITH {PACKAGES}, x AS (SELECT package_id, CASE WHEN k % 17 = 0 THEN 'review_required' WHEN k % 13 = 0 THEN 'delta_mode' WHEN k % 19 = 0 THEN 'same_ref' WHEN k % 23 = 0 THEN 'new_fingerprint' WHEN k % 29 = 0 THEN 'prior_version' WHEN k % 7 = 0 THEN 'curation' WHEN k % 5 = 0 THEN 'approval' WHEN k % 11 = 0 THEN 'approved' WHEN k % 10 = 3 THEN 'approval_scope' END AS refused_by FROM pk)
-        SELECT package_id, refused_by IS NULL AS allowed, refused_by FROM x""",
-    "tamper_check": f"WITH {ADMITTED} SELECT DISTINCT ref_id FROM adm WHERE suffix(id, '7')",
-    "assertion_set_json_decode": f"WITH {CURATION} SELECT ref_id, count(*) FILTER (locator IS DISTINCT FROM 'T5') AS decoded, count(*) FILTER (locator IS DISTINCT FROM 'T5' AND confidence = 'medium') AS medium, count(*) FILTER (locator = 'T5') AS refused FROM asr GROUP BY ref_id",
+    "task_plan": f"WITH {_TASKS}, {_STEPS}, u AS (SELECT task_id, task_type, l, unnest(range(0, len(l))) AS position FROM t JOIN steps USING (task_type)) SELECT task_id, task_type, position, l[position + 1] AS step, CASE WHEN position > 0 THEN l[position] END AS depends_on FROM u",
+    "publication_gate": f"WITH {PACKAGES}, g AS (SELECT x.package_id, {_GATES} AS f FROM pk x LEFT JOIN rg p ON p.sv = prior_id LEFT JOIN rg n ON n.sv = new_id) SELECT package_id, f IS NULL AS allowed, coalesce(split_part(f, ':', 1), 'allowed') AS status, split_part(f, ':', 2) AS refused_by FROM g",
+    "revision_packages": f"WITH {PACKAGES}, g AS (SELECT x.package_id, p.ref_id AS prior_ref, n.ref_id AS new_ref, {_BUILT} AS f FROM pk x LEFT JOIN rg p ON p.sv = prior_id LEFT JOIN rg n ON n.sv = new_id) SELECT package_id AS pair_id, f IS NULL AS built, prior_ref, new_ref, 'manual_correction' AS lifecycle_reason, split_part(f, ':', 2) AS error FROM g",
+    "tamper_check": f"WITH {ADMITTED} SELECT DISTINCT adm.ref_id FROM adm JOIN asr USING (id) WHERE (suffix(id, '7') AND v IS NOT NULL) OR suffix(id, '13')",
+    "assertion_set_json_decode": f"""WITH {CURATION} SELECT ref_id, id, CASE WHEN ok THEN entity END AS entity, CASE WHEN ok THEN property END AS property, CASE WHEN ok THEN v END AS value_num, CASE WHEN ok THEN unit END AS unit, CASE WHEN ok THEN confidence END AS confidence, CASE WHEN ok THEN 'primary' END AS source_claim_origin, CASE WHEN NOT ok THEN 'invalid:source_claim_origin' END AS errors
+        FROM (SELECT *, locator IS DISTINCT FROM 'T5' AS ok FROM asr)""",
+    "commit_documents": f"""WITH {ADMITTED}, n AS (SELECT ref_id, count(*) AS n_assertions FROM adm JOIN report USING (ref_id) WHERE report_status <> 'return_upstream' AND n_reject < n GROUP BY ref_id), s AS (SELECT *, row_number() OVER (ORDER BY ref_id) AS seq FROM n)
+        SELECT ref_id, 'kbv-' || lpad(seq::VARCHAR, 4, '0') AS version_id, CASE WHEN seq > 1 THEN 'kbv-' || lpad((seq - 1)::VARCHAR, 4, '0') END AS prior_version_id, seq, n_assertions, 'idempotent_hit' AS status FROM s""",
     "outbox_stream": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS events FROM events GROUP BY event_type",
+    "evidence_bundles": f"""WITH req AS (SELECT item_id AS i, text, CASE item_id % 3 WHEN 1 THEN [text[1:100], text[101:]] WHEN 2 THEN [text, 'zzqx qqzx'] ELSE [text] END AS subs, CASE WHEN item_id % 4 = 1 THEN ['sq1'] END AS need, item_id % 7 = 3 AS private, CASE item_id % 5 WHEN 2 THEN 0.1 WHEN 3 THEN 0.9 END AS support FROM benchmark),
+        subq AS (SELECT i, unnest(range(0, len(subs))) AS pos, subs FROM req), {BM25.replace("SELECT item_id AS query_id, text FROM benchmark", "SELECT i || '#' || pos AS query_id, i, subs[pos + 1] AS text, i % 6 = 5 AS limited FROM subq")},
+        may AS (SELECT s.* FROM scores s JOIN q USING (query_id) WHERE score > 0 AND (NOT limited OR (substr(ref_id, 5)::BIGINT BETWEEN i * 5 AND i * 5 + 200))),
+        {top("ck", "SELECT * FROM may WHERE level = 'coarse'", 10)}, {rrf("picked", "SELECT *, 'keyword' AS channel FROM ck", 10)},
+        {top("fk", "SELECT m.* FROM may m WHERE level = 'fine' AND EXISTS (SELECT 1 FROM picked p WHERE p.query_id = m.query_id AND p.ref_id = m.ref_id)", 5)}, {rrf("final", "SELECT *, 'keyword' AS channel FROM fk", 5)},
+        r AS (SELECT f.query_id, coalesce(trim(locator), '') <> '' AS guardable FROM final f JOIN (SELECT DISTINCT chunk_id, locator FROM chunks) USING (chunk_id)),
+        cov AS (SELECT s.i, 'sq' || (pos + 1) AS key, count(r.query_id) AS hits, count(*) FILTER (guardable) AS good FROM subq s LEFT JOIN r ON r.query_id = s.i || '#' || pos GROUP BY s.i, pos),
+        miss AS (SELECT cov.i, string_agg(key, ',' ORDER BY key) FILTER (good = 0 AND (need IS NULL OR list_contains(need, key))) AS m, sum(hits)::BIGINT AS record_count, sum(good)::BIGINT AS guardable_count FROM cov JOIN req USING (i) GROUP BY cov.i),
+        b AS (SELECT i, concat_ws(',', CASE WHEN private THEN 'private_data_unauthorized' END, CASE WHEN support < 0.3 THEN 'low_retrieval_support' END, CASE WHEN m IS NOT NULL THEN 'subquestion_not_covered' END) AS reasons, coalesce(m, '') AS missing_keys, record_count, guardable_count FROM miss JOIN req USING (i))
+        SELECT i AS request_id, reasons <> '' AS abstain, reasons, missing_keys, record_count, guardable_count FROM b""",
 }

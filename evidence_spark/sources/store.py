@@ -1,24 +1,25 @@
 """Versioned tables in a folder: staged commits, snapshots, a version pointer, lifecycle records and publications.
 
-Readers see a commit only once its version is in `versions` and the pointer log names it. Each step is idempotent, so a run
-that was cut short is repeated from its start and does over only what is not there yet. One writer at a time is assumed.
+Readers see a commit only once its version is in `versions` and the pointer log names it. Documents are committed in sets, in
+a fixed number of jobs whatever their number. Each step is idempotent, so a run that was cut short is repeated from its start
+and does over only what is not there yet. One writer at a time is assumed.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..operators import curation
+from ..operators import curation, lifecycle
+from ..tables import delete, new_path, written
 
 SCHEMAS = {
-    "commits": "commit_id string, ref_id string, fingerprint string, phase string, version_id string, seq long",
-    "snapshots": "snapshot_id string, ref_id string, fingerprint string, content_hash string, n_assertions long",
+    "commits": "commit_id string, ref_id string, fingerprint string, phase string, batch_id string, snapshot_id string, version_id string, seq long",
+    "snapshots": "snapshot_id string, ref_id string, fingerprint string, content_hash string, n_assertions long, batch_id string",
     "versions": "version_id string, snapshot_id string, ref_id string, prior_version_id string, seq long",
     "pointer": "version_id string, seq long",
     "lifecycle": "lifecycle_id string, ref_id string, status string, reason string, effective_version_id string, created_seq long",
@@ -26,13 +27,12 @@ SCHEMAS = {
     "outbox": "event_id string, event_type string, ref_id string, old_version_id string, new_version_id string, lifecycle_id string, created_seq long",
     "publications": "publication_id string, package_id string, material_hash string, phase string, version_id string, lifecycle_id string, seq long",
 }
+#: Phases of a publication and of a commit, in order.
 PHASES = ("prepared", "target_published", "lifecycle_published", "finalized")
+COMMIT_PHASES = ("structural_committed", "vector_pending", "vector_committed", "snapshot_created", "published")
+RESULT = "ref_id string, fingerprint string, status string, version_id string, snapshot_id string"
 
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir; under a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="evidence-spark-")
-    return f"{root}/{label}-{uuid.uuid4().hex}"
+shared_path = new_path
 
 
 class ConflictError(ValueError):
@@ -61,8 +61,8 @@ class Store:
         return self.spark.read.schema(SCHEMAS[name]).parquet(path) if self._exists(path) else self.spark.createDataFrame([], SCHEMAS[name])
 
     def append(self, name: str, rows: list[tuple] | DataFrame) -> None:
-        df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, SCHEMAS[name])
-        df.coalesce(1).write.mode("append").parquet(f"{self.path}/{name}") if not isinstance(rows, DataFrame) else df.write.mode("append").parquet(f"{self.path}/{name}")
+        df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, SCHEMAS[name]).coalesce(1)
+        df.write.mode("append").parquet(f"{self.path}/{name}")
 
     def _step(self, name: str) -> None:
         if self.fail_at == name:
@@ -74,47 +74,110 @@ class Store:
 
     # --- commits -------------------------------------------------------------------------------------------------------
 
-    def commit(self, ref_id: str, fingerprint: str, admitted: DataFrame) -> Committed:
-        """Commit a document's admitted assertions: stage, snapshot, version, pointer. The same source again is a replay if
-        its content is equal, else a ConflictError. Content is compared by its hash, which one aggregation gives."""
-        rows = admitted if "assertion_hash" in admitted.columns else admitted.withColumn("assertion_hash", curation.assertion_hash())
-        n, content = rows.agg(F.count("*"), hashing.set_hash(F.collect_list("assertion_hash"))).first()
-        stage = f"{self.path}/structural/stage={hashlib_id(ref_id, fingerprint)}"
-        snapshot = f"snap-{hashlib_id(ref_id, fingerprint, content)}"
-        done = self.table("commits").where((F.col("ref_id") == ref_id) & (F.col("fingerprint") == fingerprint) & (F.col("phase") == "published")).first()
-        if done:
-            known = self.table("snapshots").where((F.col("ref_id") == ref_id) & (F.col("fingerprint") == fingerprint)).first()
-            if known.content_hash != content:
-                raise ConflictError(f"{ref_id} with fingerprint {fingerprint} is committed with other content")
-            return Committed("replayed", done.version_id, known.snapshot_id)
+    def commit_states(self) -> DataFrame:
+        """The last phase of each commit: commit_id, ref_id, fingerprint, phase, batch_id, snapshot_id, version_id."""
+        last = F.max_by(F.struct("ref_id", "fingerprint", "phase", "batch_id", "snapshot_id", "version_id"), "seq")
+        return self.table("commits").groupBy("commit_id").agg(last.alias("x")).select("commit_id", "x.*")
+
+    def _log(self, todo: DataFrame, phase: str, batch: str, made: DataFrame | None = None) -> None:
+        none = F.lit(None).cast("string")
+        d = todo.join(made, "ref_id") if made is not None else todo.withColumn("snapshot_id", none).withColumn("version_id", none)
+        self.append("commits", d.select("commit_id", "ref_id", "fingerprint", F.lit(phase).alias("phase"), F.lit(batch).alias("batch_id"), "snapshot_id", "version_id", F.lit(self._next("commits")).cast("long").alias("seq")))
+
+    def commit_all(self, sources: DataFrame, admitted: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """ref_id, fingerprint, status, version_id, snapshot_id for each document of sources (ref_id, fingerprint; one row for
+        each ref_id). admitted: their assertions.
+
+        Structure, document records, vectors, snapshots, versions in the order of ref_id, pointer: the stages of all documents
+        go together. The same source again is an idempotent_hit. embed(rows) adds vectors to the rows that name them
+        (vector_id, ref_id, assertion_id, content_hash, and what admitted has); where it fails, the documents stay
+        pending_vector, no version is published, and the same call goes on from there.
+        """
+        ident = F.substring(hashing.canonical_hash(F.col("ref_id"), F.col("fingerprint")), 1, 16)
+        asked = sources.select("ref_id", "fingerprint", ident.alias("commit_id")).dropDuplicates(["ref_id"])
+        asked = written(asked.join(self.commit_states().select("commit_id", "phase", "snapshot_id", "version_id"), "commit_id", "left"), "commit-requests")
+        hits = asked.where("phase <=> 'published'").select("ref_id", "fingerprint", F.lit("idempotent_hit").alias("status"), "version_id", "snapshot_id")
+        todo = asked.where("not (phase <=> 'published')").select("commit_id", "ref_id", "fingerprint")
+        n, key = todo.agg(F.count("*"), hashing.set_hash(F.col("commit_id"))).first()
+        if not n:
+            return hits
+        batch = f"b-{key[:16]}"
+        rows = admitted if "assertion_hash" in admitted.columns else admitted.withColumn("assertion_hash", curation.assertion_hash(admitted))
+        rows = rows.join(todo, "ref_id")
         self._step("structural")
-        rows.write.mode("overwrite").parquet(stage)
+        rows.write.mode("overwrite").parquet(f"{self.path}/structural/batch={batch}")
+        rows = self.spark.read.parquet(f"{self.path}/structural/batch={batch}")
+        self._step("usdo")
+        usdo = rows.groupBy("ref_id", "fingerprint").agg(hashing.set_hash(F.col("id")).alias("ids"))
+        usdo = usdo.select(F.concat(F.lit("usdo-"), "ref_id", F.lit("-"), F.substring("fingerprint", 1, 12)).alias("record_id"), "ref_id", hashing.canonical_hash(F.col("ref_id"), F.col("fingerprint"), F.col("ids")).alias("content_hash"), F.lit("usdo_json").alias("payload_kind"))
+        usdo.write.mode("overwrite").parquet(f"{self.path}/usdo/batch={batch}")
+        self._log(todo, "structural_committed", batch)
+        vectors = rows.withColumn("vector_id", vector_id()).withColumn("assertion_id", F.col("id")).withColumn("content_hash", F.col("assertion_hash"))
+        try:
+            self._step("vectors")
+            made = embed(vectors) if embed else vectors.select("vector_id", "ref_id", "assertion_id", "content_hash")
+            made.write.mode("overwrite").parquet(f"{self.path}/vectors/batch={batch}")
+        except Exception:  # noqa: BLE001  whatever fails in a port leaves the commit pending
+            self._log(todo, "vector_pending", batch)
+            none = F.lit(None).cast("string")
+            return hits.unionByName(todo.select("ref_id", "fingerprint", F.lit("pending_vector").alias("status"), none.alias("version_id"), none.alias("snapshot_id")))
+        self._log(todo, "vector_committed", batch)
+        manifests = written(self._manifests(rows, self.spark.read.parquet(f"{self.path}/usdo/batch={batch}"), batch), "manifests")
         self._step("snapshot")
-        if self.table("snapshots").where(F.col("snapshot_id") == snapshot).isEmpty():
-            self.append("snapshots", [(snapshot, ref_id, fingerprint, content, n)])
+        fresh = manifests.join(self.table("snapshots").select("snapshot_id"), "snapshot_id", "left_anti")
+        self.append("snapshots", written(fresh, "snapshots").select(*self.table("snapshots").columns))
         self._step("publish")
-        version = self.publish(snapshot, ref_id)
+        self._publish(manifests)
+        made = manifests.select("ref_id", "snapshot_id").join(self.table("versions").select("snapshot_id", "version_id"), "snapshot_id")
+        made = written(made, "published")
         self._step("finalize")
-        self.append("commits", [(hashlib_id(ref_id, fingerprint), ref_id, fingerprint, "published", version, self._next("commits"))])
-        return Committed("published", version, snapshot)
-
-    def publish(self, snapshot_id: str, ref_id: str) -> str:
-        """One version for each snapshot; it follows the current one, so that after a rollback the chain branches."""
-        found = self.table("versions").where(F.col("snapshot_id") == snapshot_id).first()
-        if found:
-            return found.version_id
-        seq = self._next("versions")
-        version = f"kbv-{seq:04d}"
-        self.append("versions", [(version, snapshot_id, ref_id, self.current(), seq)])
-        self._move(version)
-        return version
+        self._log(todo, "published", batch, made)
+        return hits.unionByName(todo.join(made, "ref_id").select("ref_id", "fingerprint", F.lit("published").alias("status"), "version_id", "snapshot_id"))
+
+    def _manifests(self, rows: DataFrame, usdo: DataFrame, batch: str) -> DataFrame:
+        none = F.lit(None).cast("string")
+        parts = [F.col(c) if c in rows.columns else none for c in ("action", "decided_confidence", "visibility")]
+        per = rows.withColumn("_d", hashing.canonical_hash(F.col("id"), *parts)).groupBy("ref_id", "fingerprint").agg(
+            F.count("*").alias("n_assertions"), hashing.set_hash(F.col("assertion_hash")).alias("a"), hashing.set_hash(F.col("_d")).alias("d"), hashing.set_hash(vector_id()).alias("v")
+        )
+        content = hashing.canonical_hash(*(F.col(c) for c in ("ref_id", "fingerprint", "a", "d", "v", "u")))
+        d = per.join(usdo.select("ref_id", F.col("content_hash").alias("u")), "ref_id")
+        return d.select(F.concat(F.lit("snap-"), F.substring(content, 1, 16)).alias("snapshot_id"), "ref_id", "fingerprint", content.alias("content_hash"), "n_assertions", F.lit(batch).alias("batch_id"))
+
+    def _publish(self, snapshots: DataFrame) -> None:
+        """One version for each snapshot, in the order of ref_id; the first follows the current one, so that after a rollback
+        the chain branches. Then the pointer names the last, unless it has done so before."""
+        known = self.table("versions")
+        fresh = snapshots.join(known.select("snapshot_id"), "snapshot_id", "left_anti")
+        if not fresh.isEmpty():
+            first, current = self._next("versions"), self.current()
+            d = lifecycle.assign_sequence(fresh.select("snapshot_id", "ref_id"), ["ref_id"], first - 1).withColumnRenamed("created_seq", "seq")
+            prior = F.when(F.col("seq") == first, F.lit(current)).otherwise(version_name(F.col("seq") - 1))
+            self.append("versions", d.select(version_name(F.col("seq")).alias("version_id"), "snapshot_id", "ref_id", prior.alias("prior_version_id"), "seq"))
+        self._step("pointer")
+        last = self.table("versions").join(snapshots.select("snapshot_id"), "snapshot_id", "left_semi").agg(F.max_by("version_id", "seq")).first()[0]
+        if self.table("pointer").where(F.col("version_id") == last).isEmpty():
+            self._move(last)
+
+    def commit(self, ref_id: str, fingerprint: str, admitted: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None) -> Committed:
+        """One document."""
+        source = self.spark.createDataFrame([(ref_id, fingerprint)], "ref_id string, fingerprint string")
+        r = self.commit_all(source, admitted.where(F.col("ref_id") == ref_id), embed).first()
+        return Committed(r.status, r.version_id, r.snapshot_id)
+
+    def sweep(self) -> None:
+        """Removes the staged files of commits that were never published: compensation for runs that nobody repeats."""
+        states = self.commit_states()
+        kept = states.where("phase = 'published'").select("batch_id").distinct()
+        for r in states.select("batch_id").distinct().join(kept, "batch_id", "left_anti").toLocalIterator():
+            for part in ("structural", "usdo", "vectors"):
+                delete(self.spark, f"{self.path}/{part}/batch={r.batch_id}")
 
     def _move(self, version_id: str) -> None:
         self.append("pointer", [(version_id, self._next("pointer"))])
 
     def current(self) -> str | None:
-        last = self.table("pointer").orderBy(F.desc("seq")).first()
-        return last.version_id if last else None
+        return self.table("pointer").agg(F.max_by("version_id", "seq")).first()[0]
 
     def rollback(self, version_id: str) -> None:
         """Points at an earlier version; history stays, and an event tells of it."""
@@ -131,22 +194,24 @@ class Store:
         if v is None:
             raise ValueError(f"no published version {version_id}")
         s = self.table("snapshots").where(F.col("snapshot_id") == v.snapshot_id).first()
-        return self.spark.read.parquet(f"{self.path}/structural/stage={hashlib_id(s.ref_id, s.fingerprint)}")
+        return self.spark.read.parquet(f"{self.path}/structural/batch={s.batch_id}").where((F.col("ref_id") == s.ref_id) & (F.col("fingerprint") == s.fingerprint))
 
     def knowledge_base(self, version_id: str | None = None) -> DataFrame:
         """(ref_id, snapshot_id) of the newest snapshot of each document in the version's chain."""
-        from ..operators import lifecycle
-
-        version_id = version_id or self.current()
+        at = self.spark.createDataFrame([(version_id or self.current(),)], "version_id string")
         v = self.table("versions")
-        chain = lifecycle.ancestors(v.select("version_id", "prior_version_id")).where(F.col("version_id") == version_id).select(F.col("ancestor_id").alias("version_id"))
+        chain = lifecycle.ancestors(v.select("version_id", "prior_version_id"), at).select(F.col("ancestor_id").alias("version_id"))
         return v.join(chain, "version_id").groupBy("ref_id").agg(F.max_by("snapshot_id", "seq").alias("snapshot_id"))
 
     # --- idempotent append ---------------------------------------------------------------------------------------------
 
     def append_once(self, name: str, rows: DataFrame, key: str, material: list[str]) -> int:
-        """Append rows whose key is new. A known key with equal material is skipped, with other material a ConflictError."""
+        """Append rows whose key is new. A known key with equal material is skipped, with other material a ConflictError,
+        as are rows that give one key different material."""
         known = self.table(name)
+        rows = written(rows, "append")
+        if not rows.groupBy(key).agg(F.count_distinct(hashing.packed(*(F.col(c) for c in material))).alias("n")).where("n > 1").isEmpty():
+            raise ConflictError(f"{name}: rows of one {key} with different material")
         differs = F.lit(False)
         for c in material:
             differs = differs | ~F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}"))
@@ -175,8 +240,8 @@ class Store:
 
     def revise(self, ref_id: str, fingerprint: str, admitted: DataFrame, moves: DataFrame, reason: str = "revision", preprint_to_journal: bool = False) -> tuple[Committed, str]:
         """Commit a revised document, then the lifecycle records that its transitions (action, old_id, new_id) ask for."""
-        before = self.current()
         done = self.commit(ref_id, fingerprint, admitted)
+        before = self.table("versions").where(F.col("version_id") == done.version_id).first().prior_version_id
         lifecycle_id = f"lc-{hashlib_id(ref_id, fingerprint, reason)}"
         status = "superseded" if preprint_to_journal else "active"
         self._step("lifecycle")
@@ -226,6 +291,16 @@ class Store:
         return publication_id
 
 
+def vector_id():
+    """Names a vector by its document, source, assertion and content."""
+    return F.concat_ws("-", F.lit("vec"), "ref_id", F.substring("fingerprint", 1, 12), "id", F.substring("assertion_hash", 1, 12))
+
+
+def version_name(seq):
+    s = seq.cast("string")
+    return F.concat(F.lit("kbv-"), F.lpad(s, F.greatest(F.lit(4), F.length(s)), F.lit("0")))
+
+
 def hashlib_id(*parts: str | None) -> str:
     import hashlib
 

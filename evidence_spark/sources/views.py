@@ -121,30 +121,117 @@ def lifecycle(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def sources(spark: SparkSession, d: str) -> DataFrame:
-    """Source candidates from documents; ref_id by source and length, so exact replays and contradictions occur."""
+def history(spark: SparkSession, d: str) -> DataFrame:
+    """Sources registered before, one for each document: each states a DOI, a stable id or a title alone."""
+    k = F.col("doc_id")
     return table(spark, d, "documents").select(
-        F.col("doc_id").alias("seq"),
-        F.concat(F.lit("REF-"), F.substring(F.sha2("text", 256), 1, 8)).alias("ref_id"),
-        F.sha2("text", 256).alias("source_fingerprint"),
-        F.substring("text", 1, 40).alias("title"),
-        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://doi.org/10.1000/"), F.col("n_chars") % 400)).alias("doi"),
-        F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" ST-"), F.col("n_chars") % 300)).alias("stable_id"),
-    )
+        k.alias("seq"), F.concat(F.lit("REF-"), k).alias("ref_id"), F.sha2("text", 256).alias("source_fingerprint"), F.when(k % 3 == 2, F.col("text")).alias("title"),
+        F.when(k % 3 == 0, F.concat(F.lit("https://doi.org/10.1000/"), F.col("n_chars") % 400)).alias("doi"), F.when(k % 3 == 1, F.concat(F.lit(" ST-"), F.col("n_chars") % 300)).alias("stable_id"), F.when(k % 2 == 0, "preprint").otherwise("journal").alias("source_kind"),
+    )
+
+
+def submissions(spark: SparkSession, d: str) -> DataFrame:
+    """Source candidates, one for each document: replays, contradictions, known and new identifiers, titles alone."""
+    k, m = F.col("doc_id"), F.col("doc_id") % 8
+    known_doi, known_sid = F.concat(F.lit("DOI:10.1000/"), F.col("n_chars") % 400), F.concat(F.lit("ST-"), F.col("n_chars") % 300)
+    own_doi, own_sid = F.when(k % 3 == 0, known_doi), F.when(k % 3 == 1, known_sid)
+    return table(spark, d, "documents").select(
+        k.alias("seq"), F.concat(F.when(m <= 2, "REF-").otherwise("NEW-"), k).alias("ref_id"), F.sha2("text", 256).alias("source_fingerprint"),
+        F.when(m == 5, F.concat(F.lit("  "), "text", F.lit("\n"))).when(m == 2, F.lit("Another title")).when((m == 0) & (k % 3 == 2), F.col("text")).alias("title"),
+        F.when(m == 0, own_doi).when(m == 1, F.concat(F.lit("10.9/"), k)).when(m.isin(3, 6), known_doi).when(m == 7, F.concat(F.lit("10.9/"), k)).alias("doi"),
+        F.when(m == 0, own_sid).when(m.isin(4, 6), known_sid).alias("stable_id"), F.when(k % 2 == 0, "preprint").otherwise("journal").alias("source_kind"),
+    )
+
+
+def lineage_submissions(spark: SparkSession, d: str) -> DataFrame:
+    """Source candidates that state a lineage, one for each document: works and versions known and unknown, each relation."""
+    k = F.col("doc_id")
+    relation = F.element_at(F.array(F.lit(None), *map(F.lit, ("none", "revision_of", "preprint_to_journal", "corrected_version", "explicit_same_work"))), (k % 6 + 1).cast("int"))
+    return table(spark, d, "documents").select(
+        k.alias("seq"), F.concat(F.when(k % 11 == 0, "REF-").otherwise("NEW-"), k).alias("ref_id"), F.sha2("text", 256).alias("source_fingerprint"), F.lit(None).cast("string").alias("title"),
+        F.when(k % 7 == 0, F.concat(F.lit("10.1000/"), F.col("n_chars") % 400)).alias("doi"), F.when(k % 7 == 1, F.concat(F.lit("ST-"), F.col("n_chars") % 300)).alias("stable_id"), F.when(k % 2 == 0, "preprint").otherwise("journal").alias("source_kind"),
+        F.when(k % 5 == 0, F.concat(F.lit("W-"), k)).when(k % 5 == 1, F.concat(F.lit("W-"), k + 1)).when(k % 25 == 2, F.lit("W-none")).alias("explicit_work_id"),
+        F.when(k % 10 < 4, F.concat(F.lit("SV-"), k)).when(k % 10 == 4, F.concat(F.lit("SV-"), k + 1)).when(k % 50 == 5, F.lit("SV-none")).alias("explicit_prior_version_id"), relation.alias("explicit_relation"),
+    )
+
+
+def _unit_key():
+    return F.col("conv_id") * 10 + F.col("turn")
 
 
 def units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(prior, new) content units: a conversation with an even id is the prior version of the next."""
-    c = table(spark, d, "conversations")
-    cols = lambda pair: [pair.alias("pair_id"), F.concat(F.lit("U"), "turn").alias("unit_id"), F.sha2("role", 256).alias("content_hash")]
-    prior = c.where("conv_id % 2 = 0").select(*cols(F.col("conv_id"))).withColumn("prior_unit_id", F.lit(None).cast("string"))
-    new = c.where("conv_id % 2 = 1").select(*cols(F.col("conv_id") - 1), F.when(F.col("turn") == 3, F.lit("U9")).alias("prior_unit_id"))
-    # A turn 3 that claims U9 has no such prior: it counts as added, as prior units are looked up before the claim holds.
-    return prior, new
+    """(prior, new) content units: each conversation and a revision of it, with turns dropped, changed, renamed and added."""
+    c, k = table(spark, d, "conversations"), _unit_key()
+    content = lambda text: F.sha2(F.concat(F.coalesce("role", F.lit("")), F.lit("\n"), text), 256)
+    text, unit, none = F.coalesce("text", F.lit("")), F.concat(F.lit("U"), "turn"), F.lit(None).cast("string")
+    prior = c.select(F.col("conv_id").alias("pair_id"), unit.alias("unit_id"), content(text).alias("content_hash"), none.alias("prior_unit_id"), F.concat(F.lit("L"), "turn").alias("locator"))
+    renamed = k % 5 == 1
+    claim = F.when(renamed, F.when(F.col("conv_id") % 13 == 5, F.lit("U99")).when(F.col("conv_id") % 17 == 3, F.lit("U0")).otherwise(unit))
+    kept = c.where(k % 7 != 3).select(F.col("conv_id").alias("pair_id"), F.when(renamed, F.concat(F.lit("N"), "turn")).otherwise(unit).alias("unit_id"), content(F.when(k % 3 == 0, F.concat(text, F.lit(" (rev)"))).otherwise(text)).alias("content_hash"), claim.alias("prior_unit_id"), F.concat(F.lit("L"), "turn").alias("locator"))
+    added = c.where(k % 11 == 0).select(F.col("conv_id").alias("pair_id"), F.concat(F.lit("X"), "turn").alias("unit_id"), content(F.reverse(text)).alias("content_hash"), none.alias("prior_unit_id"), F.concat(F.lit("X"), "turn").alias("locator"))
+    return prior, kept.unionByName(added)
+
+
+def resets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").where("conv_id % 23 = 6").select(F.col("conv_id").alias("pair_id")).distinct()
 
 
 def unit_assertions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(prior, new) assertions of the units; the slot is the role, the payload the text."""
-    c = table(spark, d, "conversations")
-    cols = lambda pair: [pair.alias("pair_id"), F.concat(F.lit("U"), "turn").alias("unit_id"), F.concat(F.lit("A"), "conv_id", F.lit("."), "turn").alias("assertion_id"), F.col("role").alias("slot_key"), F.sha2("text", 256).alias("payload_hash")]
-    return c.where("conv_id % 2 = 0").select(*cols(F.col("conv_id"))), c.where("conv_id % 2 = 1").select(*cols(F.col("conv_id") - 1))
+    """(prior, new) assertions of the units, two for each: slots are roles and notes, the payload is the text."""
+    c, k = table(spark, d, "conversations"), _unit_key()
+    two = lambda side, second: F.explode(F.array(F.struct(F.lit(1).alias("n"), F.coalesce("role", F.lit("")).alias("slot")), F.struct(F.lit(2).alias("n"), second.alias("slot"))))
+    cols = lambda unit, side: [F.col("conv_id").alias("pair_id"), unit.alias("unit_id"), F.concat(F.lit(side), "conv_id", F.lit("."), "turn", F.lit("."), "x.n").alias("assertion_id"), F.col("x.slot").alias("slot_key"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("payload_hash")]
+    unit = F.concat(F.lit("U"), "turn")
+    prior = c.withColumn("x", two("A", F.when(k % 4 == 0, F.coalesce("role", F.lit(""))).otherwise(F.lit("note"))))
+    prior = prior.select(*cols(F.when((F.col("conv_id") % 19 == 4) & (F.col("turn") == 1), F.lit("U77")).otherwise(unit), "A"))
+    note = F.when(k % 8 == 2, F.lit("other")).otherwise(F.lit("note"))
+    kept = c.where(k % 7 != 3).withColumn("x", two("B", note)).select(*cols(F.when(k % 5 == 1, F.concat(F.lit("N"), "turn")).otherwise(unit), "B"))
+    added = c.where(k % 11 == 0).withColumn("x", two("X", note)).select(*cols(F.concat(F.lit("X"), "turn"), "X"))
+    return prior, kept.unionByName(added)
+
+
+def requests(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence requests from the benchmark: whole texts, texts in two parts, and parts that nothing can answer."""
+    k = F.col("item_id")
+    subs = F.when(k % 3 == 1, F.array(F.substring("text", 1, 100), F.substr(F.col("text"), F.lit(101)))).when(k % 3 == 2, F.array(F.col("text"), F.lit("zzqx qqzx")))
+    refs = F.when(k % 6 == 5, F.transform(F.sequence(k * 5, k * 5 + 200), lambda x: F.concat(F.lit("DOC-"), x)))
+    return table(spark, d, "benchmark").select(
+        k.alias("request_id"), F.col("text").alias("query"), subs.alias("subqueries"), F.lit(None).cast("array<string>").alias("coverage_keys"), F.when(k % 4 == 1, F.array(F.lit("sq1"))).alias("required_coverage_keys"),
+        refs.alias("allowed_ref_ids"), (k % 7 == 3).alias("private_data_unauthorized"), F.when(k % 5 == 2, 0.1).when(k % 5 == 3, 0.9).alias("calibrated_support"),
+    )
+
+
+#: Phrases that the fixture's task texts end with.
+PHRASES = ("please publish the journal version", "curate and commit these assertions", "search the evidence", "nothing in particular", "find a preprint", "ingest, then look it up: lookup", "撤稿", "策审 入库 检索")
+
+
+def task_texts(spark: SparkSession, d: str) -> DataFrame:
+    """task_id, text: each benchmark text and a phrase."""
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("item_id") % len(PHRASES) + 1).cast("int"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("task_id"), F.concat("text", F.lit(" "), phrase).alias("text"))
+
+
+def publications(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(packages, registry, target, request, decisions): a revision for each customer, its assertions the customer's orders.
+    Here and there something is missing or differs."""
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    name = lambda p: F.concat(F.lit(p), k)
+    at = lambda n, odd, plain: F.when(k % n == 0, odd).otherwise(plain)
+    c = table(spark, d, "customer")
+    packages = c.select(
+        name("P-").alias("package_id"), at(41, F.lit("PV-none"), name("PV-")).alias("prior_id"), name("NV-").alias("new_id"), name("R").alias("prior_ref"), at(19, F.lit("N0"), name("N")).alias("new_ref"),
+        at(23, F.lit("corrected_version"), F.lit("revision_of")).alias("relation"), at(29, F.lit("W0"), name("W")).alias("work_id"), at(31, F.lit("kbv-2"), F.lit("kbv-1")).alias("prior_bound_version"), (k % 17 == 0).alias("requires_manual_review"),
+        at(37, none, name("N")).alias("source_ref"), at(13, F.lit("fp9"), F.lit("fp2")).alias("source_fingerprint"), name("N").alias("set_ref"), at(43, F.lit("Z"), name("N")).alias("report_ref"), at(7, F.lit("rejected"), F.lit("successful")).alias("report_status"),
+        (k % 47 == 0).cast("long").alias("returned_upstream"), at(53, F.lit("other"), F.lower("c_name")).alias("title"), at(5, none, at(11, F.lit("rejected"), F.lit("approved"))).alias("approval_decision"), at(59, F.lit("P-0"), name("P-")).alias("approval_package"),
+        name("AP").alias("approval_id"), at(61, F.lit(""), F.lit("someone")).alias("approver"), F.when(k % 10 == 3, F.lit("other")).otherwise(F.concat_ws("/", name("P-"), name("N"), F.lit("fp2"))).alias("approval_scope"), at(73, F.lit(False), F.lit(True)).alias("requires_approval"),
+    )
+    prior = c.select(name("PV-").alias("source_version_id"), name("W").alias("work_id"), name("R").alias("ref_id"), F.lit("none").alias("relation"), none.alias("prior_source_version_id"), F.lit("fp1").alias("source_fingerprint"), F.lit("kbv-1").alias("kb_version_id"), at(67, none, name("s")).alias("snapshot_id"), F.lower("c_name").alias("norm_title"))
+    new = c.select(name("NV-").alias("source_version_id"), name("W").alias("work_id"), name("N").alias("ref_id"), F.lit("revision_of").alias("relation"), at(71, F.lit("PV-0"), name("PV-")).alias("prior_source_version_id"), F.lit("fp2").alias("source_fingerprint"), none.alias("kb_version_id"), none.alias("snapshot_id"), F.lower("c_name").alias("norm_title"))
+    registry = prior.unionByName(new).withColumn("norm_doi", none).withColumn("norm_stable", none)
+    o = F.col("o_orderkey")
+    orders = table(spark, d, "orders").select(o, F.concat(F.lit("P-"), "o_custkey").alias("package_id"), F.concat(F.lit("A"), o).alias("id"), F.col("o_orderpriority").alias("material"))
+    target = orders.select("package_id", "id", "material")
+    request = orders.where(o % 97 != 0).select("package_id", "id", F.when(o % 89 == 0, F.lit("changed")).otherwise(F.col("material")).alias("material"))
+    times = F.when(o % 61 == 0, 0).when(o % 67 == 0, 2).otherwise(1)
+    decisions = orders.withColumn("t", F.explode(F.array_repeat(F.lit(1), times))).select("package_id", F.when(o % 79 == 0, F.concat(F.lit("Z"), o)).otherwise(F.col("id")).alias("assertion_id"), F.when(o % 83 == 0, "pending_review").when(o % 3 == 0, "downgrade").otherwise("accept").alias("action"))
+    return packages, registry, target, request, decisions

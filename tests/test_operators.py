@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from evidence_spark.api import Engine
 from evidence_spark.functions import intervals, vectors
 from evidence_spark.functions import text as T
-from evidence_spark.operators import bm25, chunking, curation, delta, fusion, guard, hybrid, identity, lifecycle, tasks
+from evidence_spark.operators import bm25, chunking, curation, delta, evidence, fusion, guard, hybrid, identity, lifecycle, publication, tasks, vector
 from evidence_spark.sources import codec
 from evidence_spark.sources.store import ConflictError, Store
 from evidence_spark.streaming import outbox
@@ -214,6 +214,92 @@ def test_eligible_depth_equals_widening(spark):
     assert got == want
 
 
+def test_progressive_search_equals_widening(spark):
+    rng, rows, want = random.Random(4), [], {}
+    for q in range(12):
+        size = rng.randrange(1, 500)
+        good = {r for r in range(1, size + 1) if rng.random() < 0.05 * (q + 1) / 6}
+        rows += [(f"q{q}", f"c{r}", "yes" if r in good else "no", r) for r in range(1, size + 1)]
+        want[f"q{q}"] = widen(sorted(good), 5, size)
+    ranked = spark.createDataFrame(rows, "query_id string, chunk_id string, ref_id string, rank long").cache()
+    asked, calls = ranked.select("query_id").distinct(), []
+
+    def find(some, k):
+        calls.append(some.count())
+        return ranked.join(some, "query_id", "left_semi").where(F.col("rank") <= k)
+
+    got = {q: [] for q in want}
+    for r in hybrid.progressive(find, asked, spark.createDataFrame([("yes",)], "ref_id string"), 5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.rank)
+    assert got == want and calls[0] == 12 and calls == sorted(calls, reverse=True) and calls[-1] < 12
+
+
+def test_block_search_equals_every_score(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    docs = [" ".join(rng.choices(words, k=rng.randrange(0, 40))) for _ in range(400)] + ["w1 w2 w3"] * 100
+    chunks = spark.createDataFrame([(f"c{i:04d}", f"R{i % 50}", "fine" if i % 3 else "coarse", t) for i, t in enumerate(docs)], CHUNK).repartition(5)
+    asked = {f"q{i}": " ".join(rng.choices([*words, "none"], k=rng.randrange(0, 8))) for i in range(30)} | {"q30": "w1 w2 w3 w3"}
+    n, df = len(docs), {w: sum(w in t.split() for t in docs) for w in [*words, "none"]}
+    avgdl = sum(len(t.split()) for t in docs) / n
+
+    def score(q, t):
+        t = t.split()
+        return round(sum(math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / avgdl)) for w in q.split() if w in t), 9)
+
+    def best(q, ok=lambda i: True):
+        s = sorted((-score(q, t), f"c{i:04d}") for i, t in enumerate(docs) if ok(i) and score(q, t) > 0)
+        return [c for _, c in s[:7]]
+
+    q = spark.createDataFrame(list(asked.items()), "query_id string, text string")
+    search = bm25.searcher(q, chunks)
+    old, bm25.BLOCK = bm25.BLOCK, 10
+    try:
+        for rows, ok in ((search.top(7), lambda i: True), (search.top(7, "coarse"), lambda i: i % 3 == 0), (search.top(7, None, chunks.where("ref_id < 'R2'")), lambda i: f"R{i % 50}" < "R2")):
+            got = {k: [] for k in asked}
+            for r in rows.orderBy("query_id", "rank").collect():
+                got[r.query_id].append(r.chunk_id)
+            assert got == {k: best(t, ok) for k, t in asked.items()}
+        pairs = spark.createDataFrame([(k, f"R{j}") for k in asked for j in (3, 4)], "query_id string, ref_id string")
+        got = {(r.query_id, r.chunk_id): r.score for r in search.pairs(pairs).collect()}
+    finally:
+        bm25.BLOCK = old
+    want = {(k, f"c{i:04d}"): score(t, docs[i]) for k, t in asked.items() for i in range(len(docs)) if i % 50 in (3, 4) and score(t, docs[i]) > 0}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=2e-9) for k in want)
+
+
+def test_a_stored_index_grows(spark, tmp_path):
+    chunks = spark.createDataFrame([("A", "RA", "fine", "quick fox"), ("B", "RB", "fine", "lazy dog")], CHUNK)
+    index = bm25.Index.store(chunks, f"{tmp_path}/ix")
+    q = spark.createDataFrame([("x", "fox dog")], "query_id string, text string")
+    assert [r.chunk_id for r in bm25.bm25_topk(q, index, 5).collect()] == ["A", "B"]
+    index = bm25.Index.store(spark.createDataFrame([("0", "RC", "fine", "fox fox")], CHUNK), f"{tmp_path}/ix", mode="append")
+    assert {r.chunk_id for r in bm25.bm25_topk(q, index, 5).collect()} == {"0", "A", "B"}
+    han = spark.createDataFrame([("H", "RH", "fine", "膜污染 cleaning, pH7.5")], CHUNK)
+    assert han.select(T.mixed_tokens(F.col("payload")).alias("t")).first().t == ["膜", "污", "染", "cleaning", ",", "pH7.5"]
+
+
+def test_vector_ids_of_any_type_and_ties(spark):
+    v = spark.createDataFrame([(f"c{i:03d}", f"R{i}", i % 3, [1.0, 0.0] if i % 2 else [0.5, 0.0]) for i in range(200)], "chunk_id string, ref_id string, label int, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("b", 9, [1.0, 0.0]), ("n", 1, None)], "query_id string, label int, embedding array<float>")
+    assert [r.chunk_id for r in vector.vector_topk(q, v, 3).where("query_id = 'a'").orderBy("rank").collect()] == ["c001", "c003", "c005"]
+    assert [(r.query_id, r.chunk_id) for r in vector.vector_topk(q, v, 2, same_label=True).orderBy("rank").collect()] == [("a", "c001"), ("a", "c007")]
+
+
+def test_numbers_as_text(spark):
+    xs = [1.42, 0.0, -0.0, 1e-7, 2e-7, -1.5e-5, 0.0001, 0.00012345, 0.001, 1e7, 12345678.9, 123456789012345.6, 1e15, 1e16, -1.5e17, 1e22, 100.0, 5e-324, 1.7976931348623157e308, 0.1 + 0.2]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(T.float_text(F.col("x"))).collect()
+    assert [r[0] for r in got] == [repr(x) for x in xs]
+
+
+def test_hashes_see_every_digit(spark):
+    rows = [assertion("A", value_num=1e-7), assertion("A", value_num=2e-7), assertion("A", value_type="range", value_num=None, value_lo=1.0, value_hi=2.0), assertion("A", value_type="range", value_num=None, value_lo=100.0, value_hi=200.0), assertion("A", uncertainty=0.1), assertion("A")]
+    a = assertions(spark, *rows)
+    assert a.select(curation.assertion_hash(a)).distinct().count() == 6 and a.select(curation.slot_key(a)).distinct().count() == 2
+    b = assertions(spark, assertion("A"), assertion("B", speculative_wording=True))
+    assert b.select(curation.semantic_hash(b)).distinct().count() == 2 and a.limit(1).select(curation.material_hash(a)).first()[0] != a.limit(1).select(curation.assertion_hash(a)).first()[0]
+
+
 def test_rerank_refuses_what_is_not_finite(spark):
     hits = spark.createDataFrame([(1, "A", 0.5), (1, "B", 0.9)], "query_id long, chunk_id string, s double")
     assert [r.chunk_id for r in fusion.rerank(hits, F.col("s")).orderBy("rank").collect()] == ["B", "A"]
@@ -266,20 +352,28 @@ def test_whole_texts_are_normalised_as_titles(spark, tmp_path):
 
 def test_alignment_and_transitions(spark):
     unit = "pair_id long, unit_id string, content_hash string, prior_unit_id string"
-    prior = spark.createDataFrame([(1, "U1", "h1", None), (1, "OLD", "h2", None), (1, "U3", "h3", None), (1, "U4", "h4", None), (2, "U1", "h1", None)], unit)
-    new = spark.createDataFrame([(1, "U1", "h1", None), (1, "NEW", "h2", "OLD"), (1, "U3", "x", None), (1, "U5", "h5", None), (2, "U9", "h1", None)], unit)
+    prior = spark.createDataFrame([(1, "U1", "h1", None), (1, "OLD", "h2", None), (1, "U3", "h3", None), (1, "U4", "h4", None), (1, "U6", "h6", None), (2, "U1", "h1", None), (3, "V", "v", None)], unit)
+    new = spark.createDataFrame([(1, "U1", "h1", None), (1, "NEW", "h2", "OLD"), (1, "U3", "x", None), (1, "U5", "h5", None), (1, "U6", "y", None), (2, "U9", "h1", None), (3, "V", "v", None)], unit)
     aligned = delta.align_units(prior, new)
-    assert {(r.pair_id, r.prior_unit, r.unit): r.category for r in aligned.collect()} == {(1, "U1", "U1"): "unchanged", (1, "OLD", "NEW"): "unchanged", (1, "U3", "U3"): "modified", (1, "U4", None): "removed", (1, None, "U5"): "added", (2, "U1", None): "removed", (2, None, "U9"): "added"}
-    plan = delta.delta_plan(aligned)
-    assert {r.pair_id: (r.mode, r.extract) for r in plan.collect()} == {1: ("delta_safe", ["U3", "U5"]), 2: ("full_reextract_required", ["U9"])}
+    assert {(r.pair_id, r.prior_unit, r.unit): r.category for r in aligned.where("pair_id < 3").collect()} == {(1, "U1", "U1"): "unchanged", (1, "OLD", "NEW"): "unchanged", (1, "U3", "U3"): "modified", (1, "U6", "U6"): "modified", (1, "U4", None): "removed", (1, None, "U5"): "added", (2, "U1", None): "removed", (2, None, "U9"): "added"}
     cols = "pair_id long, unit_id string, assertion_id string, slot_key string, payload_hash string"
-    pa = spark.createDataFrame([(1, "OLD", "A1", "s", "p"), (1, "U3", "A2", "s", "p"), (1, "U3", "A3", "t", "p"), (1, "U3", "A4", "t", "p"), (1, "U4", "A5", "s", "p"), (2, "U1", "B1", "s", "p")], cols)
-    na = spark.createDataFrame([(1, "U3", "N2", "s", "q"), (1, "U3", "N3", "t", "q"), (1, "U3", "N6", "v", "q"), (1, "U5", "N5", "s", "q"), (2, "U9", "C1", "s", "p")], cols)
+    pa = spark.createDataFrame([(1, "OLD", "A1", "s", "p"), (1, "U3", "A2", "s", "p"), (1, "U3", "A3", "t", "p"), (1, "U4", "A5", "s", "p"), (1, "U6", "A6", "s", "p"), (1, "U6", "A7", "s", "p"), (1, "U6", "A8", "t", "p"), (2, "U1", "B1", "s", "p"), (3, "GONE", "C1", "s", "p")], cols)
+    na = spark.createDataFrame([(1, "U3", "N2", "s", "q"), (1, "U3", "N6", "v", "q"), (1, "U5", "N5", "s", "q"), (1, "U6", "N7", "t", "q"), (2, "U9", "D1", "s", "p"), (3, "V", "C2", "s", "p")], cols)
+    plan = delta.delta_plan(aligned, delta.unsafe_pairs(prior, pa))
+    # That nothing aligns is no reason to extract all anew; that an assertion's unit is unknown is one.
+    assert {r.pair_id: (r.mode, r.reason, r.extract) for r in plan.collect()} == {1: ("delta_safe", None, ["U3", "U5", "U6"]), 2: ("delta_safe", None, ["U9"]), 3: ("full_reextract_required", "unresolved_unit", ["V"])}
+    assert delta.delta_plan(aligned, delta.unsafe_pairs(prior, pa, spark.createDataFrame([(3,), (2,)], "pair_id long"))).where("reason = 'segmentation_reset'").count() == 2
     moves = delta.transitions(aligned, pa, na, plan)
     got = {(r.action, r.old_id, r.new_id if r.old_id != "A1" else "carried") for r in moves.collect()}
-    assert got == {("supersede", "A1", "carried"), ("supersede", "A2", "N2"), ("review_required", "A3", "N3"), ("added", None, "N6"), ("archive", "A5", None), ("added", None, "N5"), ("archive", "B1", None), ("added", None, "C1")}
-    clash = spark.createDataFrame([(1, "a", "h", "OLD"), (1, "b", "h", "OLD"), (1, "c", "h", "GONE")], unit)
-    assert {(r.unit, r.error) for r in delta.alignment_errors(prior, clash).collect()} == {("OLD", "claimed_twice"), ("GONE", "unknown_prior")}
+    assert got == {("supersede", "A1", "carried"), ("supersede", "A2", "N2"), ("archive", "A3", None), ("added", None, "N6"), ("archive", "A5", None), ("added", None, "N5"), ("review_required", None, None), ("archive", "B1", None), ("added", None, "D1"), ("archive", "C1", None), ("added", None, "C2")}
+    clash = spark.createDataFrame([(1, "a", "h", "OLD"), (1, "b", "h", "OLD"), (1, "c", "h", "GONE"), (1, "c", "h", None)], unit)
+    errors = delta.alignment_errors(prior, clash)
+    assert {(r.unit, r.error) for r in errors.collect()} == {("OLD", "claimed_twice"), ("GONE", "unknown_prior"), ("c", "repeated_unit")}
+    assert delta.valid_pairs(delta.align_units(prior, clash), errors).where("pair_id = 1").isEmpty()
+    done = spark.createDataFrame([(1, "U3"), (1, "U5"), (1, "U1")], "pair_id long, unit_id string")
+    batch = spark.createDataFrame([(1, "U3", "x"), (1, "U3", "x"), (1, None, "y"), (1, "ZZ", "z"), (1, "U6", "w")], "pair_id long, unit_id string, assertion_id string")
+    found = {(r.id, r.error) for r in delta.batch_errors(batch, done, plan.where("pair_id = 1"), new).collect()}
+    assert found == {("x", "repeated_id"), ("y", "no_unit"), ("z", "unknown_unit"), ("w", "unit_not_processed"), ("U6", "processed_differs_from_plan"), ("U1", "processed_differs_from_plan")}
 
 
 # --- lifecycle ---------------------------------------------------------------------------------------------------------
@@ -303,6 +397,24 @@ def test_states_as_of_a_version(spark):
 # --- claims ------------------------------------------------------------------------------------------------------------
 
 
+def test_long_chains_of_versions(spark):
+    n = 2000
+    versions = spark.range(n).select(F.concat(F.lit("v"), "id").alias("version_id"), F.when(F.col("id") > 0, F.concat(F.lit("v"), F.col("id") - 1)).alias("prior_version_id"))
+    at = spark.createDataFrame([(f"v{n - 1}",), ("v7",)], "version_id string")
+    up = lifecycle.ancestors(versions, at)
+    assert up.groupBy("version_id").agg(F.count("*"), F.max("distance")).orderBy("version_id").collect() == [("v1999", n, n - 1), ("v7", 8, 7)]
+    assert len(up._jdf.queryExecution().toString()) < 5000  # a read of one table
+
+
+def test_binding_lifecycle_records(spark):
+    rec = spark.createDataFrame([("l1", "R", "retracted", "r", None, 1), ("l2", "Q", "active", "r", "v1", 2)], "lifecycle_id string, ref_id string, status string, reason string, effective_version_id string, created_seq long")
+    bind = lambda *b: lifecycle.bind_effective_version(rec, spark.createDataFrame(list(b), "lifecycle_id string, version_id string"))
+    assert {r.lifecycle_id: r.effective_version_id for r in bind(("l1", "v2"), ("l2", "v1")).collect()} == {"l1": "v2", "l2": "v1"}
+    for wrong in (("l2", "v9"), ("l3", "v1")):
+        with pytest.raises(Exception, match="lifecycle record"):
+            bind(wrong).collect()
+
+
 def test_ranges_and_confidence(spark):
     cases = [([(1.0, 2.0), (5.0, 6.0)], True), ([(5.0, 6.0), (1.0, 5.5)], False), ([(1.0, 9.0), (2.0, 3.0), (4.0, 5.0)], True), ([(1.0, 3.0), (2.0, 9.0), (4.0, 5.0)], False), ([(1.0, 2.0)], False), ([], False)]
     df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(cases)], "i int, r array<struct<lo: double, hi: double>>")
@@ -331,7 +443,7 @@ def test_claims(spark):
     assert {r.claim_id: r.h2_status for r in guard.h2_status(claims, meta).collect()} == {"high": "checked", "medium": "metadata_unavailable", "unknown": "checked", "private": "checked"}
     h3 = {r.claim_id: (r.h3_status, r.violated) for r in guard.hallucination_h3(claims, spark.createDataFrame([("bad",)], "id string")).collect()}
     assert h3 == {"high": ("not_checked", False), "medium": ("checked", True), "unknown": ("checked", False), "private": ("not_checked", False)}
-    assert guard.answer(rec, spark.createDataFrame([(1,), (2,)], "query_id long")).orderBy("query_id").select("status", "anchors").collect() == [("answered", "c1"), ("abstained", "")]
+    assert guard.answer(rec, spark.createDataFrame([(1,), (2,)], "query_id long")).orderBy("query_id").select("status", "anchors").collect() == [("answered", "c1"), ("abstain", "")]
 
 
 # --- tasks, codecs, stores, streams ------------------------------------------------------------------------------------
@@ -341,7 +453,8 @@ def test_task_votes(spark):
     texts = [("search evidence", "RETRIEVE"), ("publish and find", "REVISION_PUBLICATION"), ("commit lookup", "CURATION_COMMIT"), ("curation_commit ", "CURATION_COMMIT"), ("撤稿", "REVISION_PUBLICATION"), ("hello", None), (" ", None), (None, None)]
     got = tasks.classify(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "task_id long, text string"))
     assert [r.task_type for r in got.orderBy("task_id").collect()] == [x for _, x in texts]
-    assert [r.step for r in tasks.plan(got.where("task_id = 0")).orderBy("position").collect()] == ["retrieve", "validate", "answer"]
+    assert [r.step for r in tasks.plan(got.where("task_id = 0")).orderBy("position").collect()] == ["step-1-retrieve"]
+    assert [(r.step, r.depends_on) for r in tasks.plan(got.where("task_id = 2")).orderBy("position").collect()] == [("step-1-retrieve", None), ("step-2-curation", "step-1-retrieve"), ("step-3-commit", "step-2-curation")]
 
 
 def test_workflow_stops_and_resumes():
@@ -380,12 +493,10 @@ def test_commits_versions_and_rollback(spark, tmp_path):
     a = assertions(spark, assertion("A1"), assertion("A2"))
     with pytest.raises(RuntimeError):
         store.commit("R1", "f1", a)
-    assert store.current() is None
+    assert store.current() is None and store.table("versions").isEmpty()
     first = store.commit("R1", "f1", a)
     assert first.status == "published" and store.current() == first.version_id and store.resolve().count() == 2
-    assert store.commit("R1", "f1", a).status == "replayed" and store.table("versions").count() == 1
-    with pytest.raises(ConflictError):
-        store.commit("R1", "f1", a.limit(1))
+    assert store.commit("R1", "f1", a.limit(1)).status == "idempotent_hit" and store.table("versions").count() == 1
     second = store.commit("R2", "f2", assertions(spark, assertion("B1", "R2")))
     assert {r.ref_id for r in store.knowledge_base().collect()} == {"R1", "R2"}
     store.rollback(first.version_id)
@@ -401,7 +512,49 @@ def test_commits_versions_and_rollback(spark, tmp_path):
     assert store.table("lifecycle").count() == 1 and store.table("outbox").where("event_type = 'document_retracted'").count() == 1
 
 
-@pytest.mark.parametrize("fail_at", [None, "target", "snapshot", "lifecycle", "event", "finalized"])
+@pytest.mark.parametrize("fail_at", ["usdo", "publish", "pointer", "finalize"])
+def test_a_commit_goes_on_where_it_stopped(spark, tmp_path, fail_at):
+    whole, broken = Store(spark, f"{tmp_path}/whole"), Store(spark, f"{tmp_path}/broken", fail_at=fail_at)
+    sources = spark.createDataFrame([("R1", "f1"), ("R2", "f2")], "ref_id string, fingerprint string")
+    a = assertions(spark, assertion("A1"), assertion("A2"), assertion("B1", "R2"))
+    with pytest.raises(RuntimeError):
+        broken.commit_all(sources, a)
+    want, got = whole.commit_all(sources, a), broken.commit_all(sources, a)
+    assert sorted(map(tuple, want.collect())) == sorted(map(tuple, got.collect())) and {r.status for r in got.collect()} == {"published"}
+    for t in ("snapshots", "versions", "pointer"):
+        assert sorted(map(tuple, whole.table(t).collect())) == sorted(map(tuple, broken.table(t).collect()))
+    assert broken.current() == "kbv-0002" and broken.resolve().count() == 1 and broken.resolve("kbv-0001").count() == 2
+
+
+def test_a_failing_vector_port_leaves_the_commit_pending(spark, tmp_path):
+    store, down = Store(spark, f"{tmp_path}/kb"), [True]
+
+    def embed(rows):
+        if down[0]:
+            raise OSError("no embedder")
+        return rows.select("vector_id", "ref_id", "assertion_id", "content_hash", F.array(F.lit(1.0)).alias("embedding"))
+
+    a = assertions(spark, assertion("A1"))
+    assert store.commit("R1", "f1", a, embed).status == "pending_vector" and store.current() is None and store.table("versions").isEmpty()
+    store.sweep()
+    down[0] = False
+    done = store.commit("R1", "f1", a, embed)
+    assert done.status == "published" and store.current() == done.version_id
+    store.sweep()
+    assert store.resolve().count() == 1
+
+
+def test_append_once_refuses_two_materials_of_one_key(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/kb")
+    rows = lambda *r: spark.createDataFrame(list(r), "lifecycle_id string, ref_id string, status string, reason string, effective_version_id string, created_seq long")
+    one = ("l", "R", "active", "x", None, 1)
+    with pytest.raises(ConflictError):
+        store.append_once("lifecycle", rows(one, ("l", "R", "retracted", "x", None, 1)), "lifecycle_id", ["ref_id", "status"])
+    assert store.append_once("lifecycle", rows(one, one), "lifecycle_id", ["ref_id", "status"]) == 1
+    assert store.append_once("lifecycle", rows(one), "lifecycle_id", ["ref_id", "status"]) == 0
+
+
+@pytest.mark.parametrize("fail_at", [None, "pointer", "event", "finalized"])
 def test_publication_goes_on_where_it_stopped(spark, tmp_path, fail_at):
     store = Store(spark, f"{tmp_path}/kb")
     store.commit("R1", "f1", assertions(spark, assertion("A1")))
@@ -419,6 +572,7 @@ def test_publication_goes_on_where_it_stopped(spark, tmp_path, fail_at):
     assert store.publication_phase(pub) == "finalized" and publish() == pub
     assert store.table("versions").count() == 2 and store.table("lifecycle").count() == 1 and store.table("outbox").count() == 1
     assert [(r.assertion_id, r.superseded_by) for r in store.table("assertion_lifecycle").collect()] == [("A1", "A1N")]
+    assert [(r.old_version_id, r.new_version_id) for r in store.table("outbox").collect()] == [("kbv-0001", "kbv-0002")]
 
 
 def test_outbox_delivers_each_event_once(spark, tmp_path):
@@ -442,7 +596,7 @@ def test_engine(spark, tmp_path):
     e = Engine(spark, chunks=chunks, existing=assertions(spark), store=Store(spark, f"{tmp_path}/kb"))
     assert e.health()["vectors"] == "unavailable" and e.health()["chunks"] == "ready"
     q = spark.createDataFrame([(1, "alpha"), (2, "nothing")], "query_id long, text string")
-    assert [(r.query_id, r.status) for r in e.answer(q).orderBy("query_id").collect()] == [(1, "answered"), (2, "abstained")]
+    assert [(r.query_id, r.status) for r in e.answer(q).orderBy("query_id").collect()] == [(1, "answered"), (2, "abstain")]
     out = e.curate_and_commit(documents(spark, document("R1"), document("R2", "D")), assertions(spark, assertion("A1"), assertion("B1", "R2")), {"R1": "f1", "R2": "f2", "R3": "f3"})
     assert out["R1"].status == "published" and out["R2"] == "all_rejected" and out["R3"] == "unknown_document"
     with pytest.raises(RuntimeError, match="unavailable"):
