@@ -60,18 +60,28 @@ def completeness(documents: DataFrame, assertions: DataFrame) -> DataFrame:
 def _comparable(a: DataFrame, side: str) -> DataFrame:
     low, high = intervals.interval(F.col("value_type"), F.col("value_num"), F.col("value_lo"), F.col("value_hi"), F.col("uncertainty"))
     last = F.map_from_entries(F.transform("conditions", lambda c: F.struct(F.lower(c["eddo_class"]), F.struct(c["value"].alias("v"), c["unit"].alias("u")))))
-    cols = {"id": F.col("id"), "ref": F.col("ref_id"), "type": F.col("value_type"), "num": F.col("value_num"), "text": F.col("value_text"), "low": low, "high": high, "cond": F.array_sort(F.map_entries(last))}
+    cols = {"id": F.col("id"), "ref": F.col("ref_id"), "type": F.col("value_type"), "num": F.col("value_num"), "text": F.col("value_text"), "low": low, "high": high, "cond": parsed_conditions(F.array_sort(F.map_entries(last)))}
     return a.select("entity", "property", *(c.alias(f"{side}_{k}") for k, c in cols.items()))
 
 
+def parsed_conditions(entries: Column) -> Column:
+    """Entries (class, (value, unit)) with their value as a number, where it is one, and as trimmed lower-case text: read once
+    for each assertion, not for each pair."""
+
+    def one(e: Column) -> Column:
+        v = F.trim(e["value"]["v"])
+        number = F.when(v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), v.try_cast("double"))
+        return F.struct(e["key"].alias("k"), e["value"]["u"].alias("u"), number.alias("n"), F.lower(v).alias("t"))
+
+    return F.transform(entries, one)
+
+
 def conditions_compatible(a: Column, b: Column) -> Column:
-    """Sorted entries (class, (value, unit)): equal classes and units; values equal as numbers within 1e-9, else as text."""
+    """Of parsed conditions sorted by class: equal classes and units; values equal as numbers within 1e-9, else as text."""
 
     def same(x: Column, y: Column) -> Column:
-        number = lambda v: F.when(F.trim(v).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.trim(v).try_cast("double"))
-        nx, ny = number(x["value"]["v"]), number(y["value"]["v"])
-        value = F.when(nx.isNotNull() & ny.isNotNull(), F.abs(nx - ny) <= 1e-9).otherwise(F.lower(F.trim(x["value"]["v"])).eqNullSafe(F.lower(F.trim(y["value"]["v"]))))
-        return (x["key"] == y["key"]) & x["value"]["u"].eqNullSafe(y["value"]["u"]) & value
+        value = F.when(x["n"].isNotNull() & y["n"].isNotNull(), F.abs(x["n"] - y["n"]) <= 1e-9).otherwise(x["t"].eqNullSafe(y["t"]))
+        return (x["k"] == y["k"]) & x["u"].eqNullSafe(y["u"]) & value
 
     return a.eqNullSafe(b) | ((F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: same(x, y)), lambda ok: ok))
 

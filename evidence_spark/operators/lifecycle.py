@@ -12,19 +12,30 @@ from ..tables import written
 def ancestors(versions: DataFrame, at: DataFrame | None = None) -> DataFrame:
     """version_id, ancestor_id, distance: each version (of at, if given), itself and all before it. Cycles end where they close.
 
-    Pointers are doubled, so a chain of n versions takes log2(n) rounds; each round is written, so that the plan of a round
-    reads two tables whatever the number of rounds. Only the versions asked for have their ancestors listed.
+    Pointers are squared twice a round, so a chain of n versions takes log4(n) rounds; each round is written, so that the plan
+    of a round reads one table whatever the number of rounds. Only the versions asked for have their ancestors listed.
     """
     start = (versions if at is None else at).select(F.col("version_id").alias("v")).distinct()
     known = start.select("v", F.col("v").alias("a"), F.lit(0).cast("long").alias("distance"))
-    jump = versions.where("prior_version_id is not null").select(F.col("version_id").alias("a"), F.col("prior_version_id").alias("to")).distinct()
+    jump = versions.where("prior_version_id is not null and prior_version_id != version_id").select(F.col("version_id").alias("v"), F.col("prior_version_id").alias("a")).distinct()
+
+    def after(x: DataFrame, y: DataFrame, by: int = 0) -> DataFrame:
+        """The pairs of x, each led on by y."""
+        keep = [(F.col("distance") + by).alias("distance")] if "distance" in x.columns else []
+        return x.join(y.select(F.col("v").alias("a"), F.col("a").alias("to")), "a").select("v", F.col("to").alias("a"), *keep).where("v != a")
+
     reach = 1
     while True:
         # known holds distances below reach, jump leads reach versions back.
-        known = written(known.unionByName(known.join(jump, "a").select("v", F.col("to").alias("a"), (F.col("distance") + reach).alias("distance"))).groupBy("v", "a").agg(F.min("distance").alias("distance")), "ancestors")
-        jump = written(jump.join(jump.select(F.col("a").alias("to"), F.col("to").alias("next")), "to").where("a != next").select("a", F.col("next").alias("to")), "jumps")
-        reach *= 2
-        if jump.join(known.select("a").distinct(), "a", "left_semi").isEmpty() or known.where(f"distance >= {reach // 2}").isEmpty():
+        twice = after(jump, jump)
+        more = [after(known, jump, reach), after(known, twice, 2 * reach), after(known, after(twice, jump), 3 * reach)]
+        for m in more:
+            known = known.unionByName(m)
+        known = known.groupBy("v", "a").agg(F.min("distance").alias("distance"))
+        round_ = written(known.unionByName(after(twice, twice).select("v", "a", F.lit(-1).cast("long").alias("distance"))), "ancestors")
+        known, jump = round_.where("distance >= 0"), round_.where("distance < 0").select("v", "a")
+        reach *= 4
+        if (known.agg(F.max("distance")).first()[0] or 0) < reach - 1:
             return known.select(F.col("v").alias("version_id"), F.col("a").alias("ancestor_id"), "distance")
 
 
