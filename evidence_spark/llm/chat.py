@@ -36,7 +36,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     The turn structs of a conversation are collected and sorted by turn (ties: by role, then text, so repeated rows stay
     next to each other). Adjacent turns of one role form a block, found by comparing each with its predecessor in the
     sorted array. Null texts and roles count as empty; rows with a null conv_id form a conversation of their own; a null
-    turn sorts first. Other columns are ignored, an empty table gives an empty result.
+    turn sorts first. Other columns are ignored, an empty table gives an empty result. A conversation is one value of the
+    result, so its turns must fit in one row: 2 GB of text, and in the memory of the task that joins them.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     one = F.struct(F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text"))

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import functools
 import re
-import tempfile
-import uuid
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -13,26 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
+from ..tables import discard, new_path, shared_dir  # noqa: F401  for the operators
+
 #: Parts of words kept in a worker's cache of ids; as many again are kept of the ones before.
 CACHE_WORDS = 500_000
 #: Rows that a worker's function gets at a time.
 ROWS = 2500
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="evidence-spark-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
@@ -42,16 +28,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def discard(*dfs: DataFrame) -> None:
-    """Remove tables written by materialize() once nothing lazily reads them any more."""
-    for df in dfs:
-        path = getattr(df, "_stored_at", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
