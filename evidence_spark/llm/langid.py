@@ -24,6 +24,8 @@ SAMPLE = 20_000
 FEATURES = 1 << 16
 #: Cost in nats of a change of language between two pieces.
 SWITCH = 12.0
+#: What a piece scores in a language that does not use its script: more than the two changes that go round it.
+EXCLUDED = 50.0
 #: Words whose scores a worker keeps, and words that are scored at a time.
 WORDS, SLICE = 250_000, 400_000
 #: Signs in a piece of a word, at most.
@@ -127,25 +129,32 @@ class Model:
         self.scores = self.letters = self.counts = None
 
     def score(self, words: list[str]):
-        """(scores by language, letters) of words. Languages that do not use a word's script are far below the others; a
-        word without a letter, or in a script that was never seen, says nothing."""
+        """(scores by language, letters) of words, each of one script. A word's script names its candidates; the others are
+        not scored and stand EXCLUDED below the best. A word without a letter, or in a script that was never seen, says nothing."""
         import numpy as np
 
         low = [w.lower() for w in words]
         seen = [letters_of(w) for w in low]
         letters = np.array([n for n, _ in seen], np.int64)
-        if not self.languages:
-            return np.empty((len(words), 0)), letters
-        buckets, owner = features(low)
-        size = np.bincount(owner, minlength=len(words))
-        w = self.weights[buckets]
-        out = np.stack([np.bincount(owner, w[:, k], len(words)) for k in range(len(self.languages))], axis=1) / size[:, None]
-        out *= np.minimum(4.0, 1 + 0.5 * letters)[:, None]
-        out = np.maximum(out - out.max(axis=1, keepdims=True), -8.0)
-        masks = {s: np.array([0.0 if k in ks else -50.0 for k in range(len(self.languages))]) for s, ks in self.scripts.items()}
-        for script in {s for _, s in seen}:
-            at = np.array([s == script for _, s in seen])
-            out[at] = out[at] + masks[script] if script in masks else 0.0
+        out = np.zeros((len(words), len(self.languages)))
+        scripts: dict[str, list[int]] = {}
+        for i, (_, script) in enumerate(seen):
+            scripts.setdefault(script, []).append(i)
+        for script, at in scripts.items():
+            if script not in self.scripts:
+                continue
+            ks, n = self.scripts[script], letters[at]
+            got = np.zeros((len(at), len(ks)))
+            if len(ks) > 1:
+                buckets, owner = features([low[i] for i in at])
+                size = np.bincount(owner, minlength=len(at))
+                w = self.weights[:, ks][buckets] if len(ks) < len(self.languages) else self.weights[buckets]
+                got = np.stack([np.bincount(owner, w[:, k], len(at)) for k in range(len(ks))], axis=1) / size[:, None]
+                got *= np.minimum(4.0, 1 + 0.5 * n)[:, None]
+                got = np.maximum(got - got.max(axis=1, keepdims=True), -8.0)
+            whole = np.full((len(at), len(self.languages)), -EXCLUDED)
+            whole[:, ks] = got
+            out[at] = whole
         return out, letters
 
     def forget(self) -> None:
@@ -240,7 +249,8 @@ class Model:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from (text, lang) of rows with both. A bounded sample of them, about `sample` rows chosen by a hash of doc_id,
-    is counted on the executors; at most languages x (FEATURES + scripts) sums reach the driver."""
+    is counted on the executors; at most languages x (FEATURES + scripts) sums reach the driver. Of rows that repeat a doc_id
+    all or none are drawn; rows without one share a draw. Without a labelled row nothing is learned."""
     import numpy as np
 
     rows = docs.where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
@@ -248,10 +258,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     if total > sample:
         rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < math.ceil(1_000_000 * sample / total))
     languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    counts = map_rows(rows.select("lang", "text"), _counter(languages), "k int, f string, n long").groupBy("k", "f").agg(F.sum("n").alias("n")).collect()
+    counts = map_rows(rows.select("lang", "text"), _counter(languages), "k int, f string, n long").groupBy("k", "f").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros((FEATURES, len(languages)))
     seen: dict[str, list[float]] = {}
-    for k, f, c in counts:
+    for k, f, c in zip(*(x.to_pylist() for x in counts.columns), strict=True):
         if f.isdigit():
             n[int(f), k] = c
         else:
