@@ -12,8 +12,9 @@ from .components import connected_components
 
 #: Slots in each band; 128 slots make 32 bands. A pair at similarity 0.75 shares none with probability 5e-6.
 BAND_ROWS = 4
-#: Members of a bucket that one task compares at a time; larger buckets are dealt out as pairs of blocks.
-BLOCK = 4096
+#: Documents that share a rare shingle and are compared in one piece; more are told apart by a second shared shingle, and so on,
+#: DEPTH shingles at most: different sets at 0.75 share three at least. What is still larger then is dealt out as pairs of blocks of so many.
+BLOCK, DEPTH = 512, 3
 
 
 def _signer():
@@ -96,17 +97,24 @@ def _crossing(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     def pairs(rows: np.ndarray, i: int, j: int):
-        """rows: block, n, cap, component, rep."""
+        """rows: block, n, cap, component, rep. A row's pairs are handed on as they are found."""
         one = rows[rows[:, 0] == i]
         two = rows[rows[:, 0] == j] if i != j else one
-        found = []
+        found, size = [], 0
         for k in range(len(one)):
             _, n, cap, comp, rep = one[k]
             rest = two if i != j else one[k + 1 :]
             fit = (rest[:, 3] != comp) & (rest[:, 1] <= cap) & (rest[:, 2] >= n) & (4 * rest[:, 1] >= 3 * n) & (3 * rest[:, 1] <= 4 * n)
             others = rest[fit, 4]
             found.append(np.stack([np.minimum(others, rep), np.maximum(others, rep)]))
-        out = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
+            size += len(others)
+            if size > 100_000:
+                yield batch_of(found)
+                found, size = [], 0
+        yield batch_of(found)
+
+    def batch_of(found: list):
+        out = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["a", "b"])
 
     held: list[np.ndarray] = []
@@ -118,34 +126,69 @@ def _crossing(batches: Iterator) -> Iterator:
         for part in np.split(rows, cuts):
             if held and (held[0][0, :3] != part[0, :3]).any():
                 whole = np.concatenate(held)
-                yield pairs(whole[:, 3:], whole[0, 1], whole[0, 2])
+                yield from pairs(whole[:, 3:], whole[0, 1], whole[0, 2])
                 held = []
             held.append(part)
     if held:
         whole = np.concatenate(held)
-        yield pairs(whole[:, 3:], whole[0, 1], whole[0, 2])
+        yield from pairs(whole[:, 3:], whole[0, 1], whole[0, 2])
 
 
 def _rare_prefix_pairs(open_docs: DataFrame, texts: DataFrame, comps: DataFrame, block: int) -> DataFrame:
     """Every pair of open documents in different components that may reach 0.75, by an exact prefix filter.
 
-    Order a set's shingles from rare to frequent: two sets at 0.75 share one among the first n - ceil(0.75 n) + 1 of each.
-    At the first that they share, at position p, at most n - p are in common, so n and the other's size sum to 7/3 (n - p)
-    at most. A passage that many documents share stands last and so brings together only documents that it nearly fills.
+    Order a set's n shingles from rare to frequent. Two sets at 0.75 share need = ceil(0.75 n) of them at least, so the first
+    that they share stands among the first n - need + 1 of each. At the first that they share, at position p, at most n - p are
+    in common, so n and the other's size sum to 7/3 (n - p) at most. A passage that many documents share stands last and so
+    brings together only documents that it nearly fills.
+
+    Where more than `block` documents of several components share such a shingle, they are dealt anew by the next that they share: after
+    k shared ones up to position p, it stands among the next n - p - need + k - 1 or so, and the documents that have no room
+    for it drop out. So a frequent key costs rows in proportion to its documents rather than to their pairs.
     """
     rows = materialize(map_rows(texts.join(open_docs, "doc_id", "left_semi"), _shingler, "rep long, n long, shingle long"), "shingles")
     shared = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    # A set's own shingles come together here, those of one document; their number is that of its words.
     sets = rows.join(shared, "shingle").groupBy("rep").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
-    sets = sets.join(comps, F.col("rep") == F.col("node"), "left").select("rep", "n", "s", F.coalesce("component", "rep").alias("comp"), (F.col("n") - F.size("s")).alias("alone"))
-    take = F.greatest(F.lit(0), F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1 - F.col("alone")).cast("int")
-    spot = sets.select("rep", "n", "comp", "alone", F.posexplode(F.slice("s", F.lit(1), take)).alias("at", "x"))
-    spot = spot.select(F.col("x.shingle").alias("key"), "rep", "n", "comp", (F.floor((F.col("n") - F.col("alone") - F.col("at")) * 7 / 3) - F.col("n")).alias("cap"))
-    spot = materialize(spot, "prefixes")
-    open_keys = spot.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", F.ceil(F.col("size") / block).cast("long").alias("blocks"))
-    dealt = spot.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    sets = sets.join(comps, F.col("rep") == F.col("node"), "left").select("rep", "n", F.transform("s", lambda x: x["shingle"]).alias("s"), F.coalesce("component", "rep").alias("comp"), (F.col("n") - F.size("s")).alias("alone"))
+    sets = materialize(sets, "sets")
+    need = F.floor((3 * F.col("n") + 3) / 4)
+
+    def spots(d: DataFrame, taken: int, first: Column) -> DataFrame:
+        """A row for each shingle at which a set may share its next one: first is the position in s to look from, taken the
+        number shared before."""
+        left = (F.col("n") - F.col("alone") - first - need + taken + 1).cast("int")
+        d = d.withColumn("_w", F.slice("s", first + 1, F.greatest(F.lit(0), left)))
+        d = d.select("rep", "n", "comp", "alone", first.alias("_f"), *(["key"] if "key" in d.columns else [F.lit(0).cast("long").alias("key")]), F.posexplode("_w").alias("_i", "_x"))
+        at = F.col("_f") + F.col("_i")
+        cap = F.floor((F.col("n") - F.col("alone") - at + taken) * 7 / 3) - F.col("n")
+        return d.select(F.xxhash64("key", "_x").alias("key"), "rep", "n", "comp", cap.alias("cap"), at.cast("int").alias("at"))
+
+    out, spot = None, materialize(spots(sets, 0, F.lit(0)), "prefixes")
+    tables = [rows, sets, spot]
+    for taken in range(1, DEPTH + 1):
+        keys = spot.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", "size")
+        keys = materialize(keys, "open-keys")
+        tables.append(keys)
+        whole = keys if taken == DEPTH else keys.where(F.col("size") <= block)
+        pairs = _dealt(spot.join(whole, "key"), block)
+        out = pairs if out is None else out.unionByName(pairs)
+        if taken == DEPTH or keys.where(F.col("size") > block).isEmpty():
+            break
+        hot = spot.join(keys.where(F.col("size") > block).select("key"), "key").select("rep", "key", "at")
+        spot = materialize(spots(hot.join(sets, "rep"), taken, F.col("at") + 1), "prefixes")
+        tables.append(spot)
+    out = materialize(out.distinct(), "candidates")
+    discard(*tables)
+    return out
+
+
+def _dealt(spot: DataFrame, block: int) -> DataFrame:
+    """Pairs (a, b) across components among the rows of each key (key, size, rep, n, comp, cap), in pairs of blocks."""
+    dealt = spot.withColumn("blocks", F.ceil(F.col("size") / block).cast("long")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "cap", "comp", "rep")
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_crossing, "a long, b long").distinct()
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_crossing, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -184,6 +227,9 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one document of each group, with all of their columns."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of docs that stay, one document of each group, with all of their columns. Rows that repeat a doc_id stay or go
+    together; rows without one stay, as do texts without a word. An empty table gives an empty result. The dropped ids are written and joined against, so that the texts need not be shuffled where Spark can send the ids.
+    """
+    found = near_duplicates(docs)
+    gone = materialize(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")), "dropped")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
