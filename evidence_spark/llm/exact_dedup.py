@@ -190,7 +190,8 @@ def dedupe(docs: DataFrame, history: Column | None = None, shard: int = SHARD) -
     rows = materialize(rows.withColumn("old", F.coalesce(history, F.lit(False))), "digests")
     distinct = rows.groupBy("digest", "old").agg(F.min("doc_id").alias("winner"), F.count("*").alias("copies"))
     old, new = distinct.where("old"), distinct.where("not old")
-    shards = max(1, -(-rows.count() // shard))
+    # One shard for each task at least, so that a small index is not built in one of them.
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // shard))
     index = build_index(old, shards)
     seen = look_up(new, index, shards)
     joined = seen.select("digest", F.least("winner", "old_winner").alias("keep_id"), (F.col("copies") + F.coalesce("old_copies", F.lit(0))).alias("group_size"))
@@ -202,7 +203,16 @@ def dedupe(docs: DataFrame, history: Column | None = None, shard: int = SHARD) -
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all of their columns; of rows that repeat a kept doc_id each stays.
-    Rows without a doc_id are told apart by their text."""
+    Rows without a doc_id are told apart by their text. An empty table gives an empty result.
+
+    The dropped ids are written and joined against: they are few and narrow beside the texts, which so need not be shuffled
+    where Spark finds the ids small enough to send.
+    """
     doc_id = F.col("doc_id").cast("long")
-    kept = dedupe(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.when(F.col("doc_id").isNull(), F.unhex("text_sha256")).alias("_kept_text")).distinct()
-    return docs.join(kept, doc_id.eqNullSafe(F.col("_kept_id")) & F.when(doc_id.isNull(), digest(F.col("text"))).eqNullSafe(F.col("_kept_text")), "left_semi")
+    named = dedupe(docs).select(F.col("doc_id").alias("_id"), F.when(F.col("doc_id").isNull(), F.unhex("text_sha256")).alias("_text"), "kept")
+    gone = materialize(named.groupBy("_id", "_text").agg(F.bool_or("kept").alias("kept")).where("not kept").select("_id", "_text"), "dropped")
+    lost = gone.where("_id is null").select("_text")
+    out = docs.join(gone.where("_id is not null").select("_id"), doc_id == F.col("_id"), "left_anti")
+    if lost.isEmpty():
+        return out
+    return out.join(lost, doc_id.isNull() & (digest(F.col("text")) == F.col("_text")), "left_anti")
