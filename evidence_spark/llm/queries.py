@@ -91,17 +91,27 @@ FROM e GROUP BY conv_id""",
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, h AS text_sha256
 FROM d WINDOW g AS (PARTITION BY h)""",
+    # Links are followed in their plain form, rel="canonical" href="<absolute url>"; pages with any other are an error here.
     "op8_url_filter": r"""
-WITH p AS (
-  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
-         regexp_matches(coalesce(html, ''), '(?is)<link[^>]*canonical|<meta[^>]*http-equiv[^>]*refresh') AS linked
+WITH RECURSIVE p AS (
+  SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, nullif(regexp_extract(html, '<link rel="canonical" href="([a-z]+://[^"]+)">', 1), '') AS to_,
+         len(regexp_extract_all(coalesce(html, ''), '(?is)<link[^>]*canonical|<meta[^>]*http-equiv[^>]*refresh|<base[^>]*href')) > (nullif(regexp_extract(html, '<link rel="canonical" href="([a-z]+://[^"]+)">', 1), '') IS NOT NULL)::INT AS other
   FROM pages
-), r(h, q, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+), u AS (
+  SELECT url, host || chr(10) || path || chr(10) || regexp_extract(url, '(?s)^[^#?]*(\?[^#]*)', 1) AS node, host, path FROM (
+    SELECT DISTINCT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM (SELECT url FROM p UNION ALL SELECT to_ FROM p) WHERE url IS NOT NULL) WHERE host <> ''
+), e AS (
+  SELECT DISTINCT a.node AS a, b.node AS b FROM p JOIN u a ON a.url = p.url JOIN u b ON b.url = p.to_ WHERE a.node <> b.node
+), two AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, b FROM two UNION SELECT r.a, t.b FROM reach r JOIN two t ON t.a = r.b),
+r(h, q, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+mu AS (SELECT node, arg_max(v, length(h || q)) AS v FROM u JOIN r ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, q) GROUP BY node),
+bad AS (SELECT DISTINCT reach.a AS node FROM reach JOIN mu ON mu.node = reach.b WHERE v = 'block'),
 m AS (
-  SELECT page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(v, length(h || q)) AS v
-  FROM p JOIN r ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id
+  SELECT host, path, arg_max(h || q, length(h || q)) AS rule, arg_max(v, length(h || q)) AS v
+  FROM (SELECT DISTINCT host, path FROM p) JOIN r ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, q) GROUP BY host, path
 )
-SELECT p.page_id, host, path, rule, CASE WHEN v IS NULL AND linked THEN error('this SQL judges pages without links') ELSE coalesce(v, 'allow') END AS verdict
-FROM p LEFT JOIN m USING (page_id)""",
+SELECT page_id, p.host, p.path, rule, CASE WHEN other THEN error('this SQL follows plain canonical links alone') WHEN v IS NOT NULL THEN v WHEN u.node IN (SELECT node FROM bad) THEN 'block' ELSE 'allow' END AS verdict
+FROM p LEFT JOIN m USING (host, path) LEFT JOIN u ON u.url = p.url""",
 }
