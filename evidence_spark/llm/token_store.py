@@ -20,6 +20,8 @@ from .common import discard, keyed_text, map_rows, materialize, new_path
 
 #: Ids in the rolling window; ids between cuts on average (a power of two), at least and at most.
 ROLL, MEAN, LEAST, MOST = 16, 1024, 256, 8192
+#: Bytes of ids in a part of the store, about, at most.
+PART = 128 << 20
 #: Digests that a task remembers, to hand on a chunk's bytes once; others are handed on again and dropped later.
 SEEN = 200_000
 
@@ -214,21 +216,23 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end: i
     One pass encodes and cuts every text and stages the recipes and, once for each task, the chunks. Chunks are then dealt
     out by digest, sorted and stored once; recipes are dealt out by ranges of doc_id. A chunk that a third of all documents
     share is staged once by each task, so no task of the second step gets more than one copy from each of the first.
-    Null and empty texts hold the end id alone. Rows that repeat a doc_id have recipes of their own, in the order of their
-    chunks' digests. An empty table gives a store without rows.
+    Null and empty texts hold the end id alone. Rows that repeat a doc_id, or have none, have recipes of their own, in the order of their
+    chunks' digests; those without one come first. An empty table gives a store without rows.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "token-store")
     staged = materialize(map_rows(keyed_text(docs), _encoder(tokenizer, end), STAGED), "staged")
     # Recipes and chunks lie in one table with other columns each, so reading either reads no bytes of the other.
     chunks = staged.where("digest is not null").select("digest", "width", "data")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # As many parts as the shuffle has partitions, and more where a part would get over PART bytes of ids.
+    total = staged.agg(F.sum("n_tokens")).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * total // PART))
     unique = chunks.repartition(parts, "digest").sortWithinPartitions("digest").mapInArrow(_unique, STORED)
     unique.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/chunks")
     recipes = staged.where("digests is not null").select("doc_id", "n_tokens", "digests", "lengths")
     recipes = recipes.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "digests").mapInArrow(_running, RECIPES)
     recipes.withColumn("digest", recipe_digest()).write.option("compression", "zstd").parquet(f"{path}/recipes")
-    # One row for each part; their number is that of the shuffle's partitions, whatever the input's size.
+    # One row for each part: some thousands for a terabyte of text.
     sums = spark.read.schema(RECIPES).parquet(f"{path}/recipes").groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()
     roots = {r.part: (r.n, r.root) for r in recipe_roots(spark, path).collect()}
     base, rows = 0, []
