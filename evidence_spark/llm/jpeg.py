@@ -16,7 +16,7 @@ import re
 import struct
 
 #: Block size, MCUs of a row and of a frame at most. Longer payloads take several frames, one file after another.
-ROW, FRAME = 32, 4096
+ROW, FRAME = 32, 1024
 #: Spectral bands of the luma's first AC scans; chroma has one. All are refined by one bit afterwards.
 BANDS = ((1, 5), (6, 63))
 
