@@ -76,7 +76,36 @@ def test_near_duplicates_that_share_a_passage(spark, block):
     assert near(spark, rows, block=block) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [2, 12])
+def test_near_duplicates_with_frequent_rare_shingles(spark, block):
+    """Texts made of a few shared passages: keys of the prefix filter are frequent and go through second and third shingles."""
+    rng, rows = random.Random(9), []
+    passages = [" ".join(f"p{k}w{j}" for j in range(9)) for k in range(7)]
+    for i in range(140):
+        parts = rng.sample(passages, rng.randrange(1, 6))
+        if rng.random() < 0.5:
+            parts.insert(rng.randrange(len(parts) + 1), " ".join(f"own{i}x{j}" for j in range(rng.randrange(1, 7))))
+        rows.append((i, " ".join(parts)))
+    rows += [(200 + i, " ".join(f"s{j}" for j in range(i, i + n))) for i, n in enumerate((7, 8, 8, 7, 9, 6, 8, 10))]
+    assert near(spark, rows, block=block) == brute(rows)
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    """Repeated and null ids, ties, and a text of many words."""
+    long = " ".join(f"w{i % 70_000}" for i in range(200_000))
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, "x y z"), (None, None), (3, None), (3, "q r s t u"), (4, long), (5, long + " tail"), (5, "other words of a repeated id")]
+    got = sorted(((r.doc_id is None, r.doc_id or 0), r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs(spark, rows)).collect())
+    want = [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 2, 1, False), (None, 1, None, True), (None, 0, None, True), (3, 0, 3, True), (3, 1, 3, True), (4, 70_000 * 1, 4, True), (5, None, 4, False), (5, 2, 4, False)]
+    size = {4: len(shingles(long)), 5: len(shingles(long + " tail"))}
+    want = sorted(((i is None, i or 0), size.get(i, n) if n is None or n > 9 else n, c, k) for i, n, c, k in want)
+    assert [w[:1] + w[2:] for w in got] == [w[:1] + w[2:] for w in want] and {n for _, n, _, _ in got} == {n for _, n, _, _ in want}
+    left = near_dedup.drop_near_copies(docs(spark, rows)).collect()
+    assert sorted(r.doc_id or 0 for r in left) == [0, 0, 0, 1, 1, 3, 3, 4] and left[0].component == 7
+
+
 def test_near_duplicates_of_an_empty_table(spark):
+    assert near_dedup.drop_near_copies(docs(spark, [])).collect() == [] and exact_dedup.drop_copies(docs(spark, [])).collect() == []
+
     assert near(spark, []) == {}
 
 
@@ -192,6 +221,89 @@ def test_forms_of_links(spark):
     assert [r.verdict for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()] == ["block"] * 2
 
 
+def test_references_are_resolved():
+    """Examples of RFC 3986, section 5.4, without fragments."""
+    base = "http://a/b/c/d;p?q"
+    cases = {
+        "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q", "g#s": "http://a/b/c/g", "g?y#s": "http://a/b/c/g?y",
+        ";x": "http://a/b/c/;x", "g;x?y": "http://a/b/c/g;x?y", "": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../g": "http://a/g",
+        "../../../g": "http://a/g", "../../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.", "..g": "http://a/b/c/..g", "./../g": "http://a/b/g", "./g/.": "http://a/b/c/g/", "g/./h": "http://a/b/c/g/h",
+        "g/../h": "http://a/b/c/h", "g;x=1/../y": "http://a/b/c/y", "g?y/./x": "http://a/b/c/g?y/./x", "mailto:x@y": None, "javascript:void(0)": None, "https://h/x": "https://h/x",
+    }
+    assert {h: url_filter.resolve(base, h) for h in cases} == cases
+    assert url_filter.resolve("http://a.net/b/c", "?x=1") == "http://a.net/b/c?x=1" and url_filter.resolve("http://a.net", "x") == "http://a.net/x"
+
+
+def test_fragments_make_no_aliases(spark):
+    rows = [(1, "http://a.net/b/c", '<link rel="canonical" href="#m">'), (2, "http://a.net/b/d", '<link rel="canonical" href="#m">'), (3, "http://a.net/b/e", "<meta http-equiv='refresh' content='1;url=https://x.com/de/'>"), (4, "http://q.net/", '<base href="http://a.net/b/"><link rel=canonical href="e">')]
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "block", 4: "block"}
+
+
+def judged_by_hand(pages, rules):
+    """Verdicts by breadth-first search over the links."""
+
+    def split(url):
+        m = re.match(r"(?s)(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?", url or "")
+        return (m[2].lower(), m[3], m[4] or "") if m else ("", "", "")
+
+    def rule(host, path):
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    near, out = {}, {}
+    for _, url, to in pages:
+        if to and split(url)[0] and split(to)[0]:
+            near.setdefault(split(url), set()).add(split(to))
+            near.setdefault(split(to), set()).add(split(url))
+    for i, url, _ in pages:
+        start = split(url)
+        name, verdict = rule(*start[:2])
+        if verdict is None:
+            seen, todo = {start}, [start]
+            while todo:
+                for n in near.get(todo.pop(), ()):
+                    if n not in seen:
+                        seen.add(n)
+                        todo.append(n)
+            verdict = "block" if start[0] and any(rule(*n[:2])[1] == "block" for n in seen) else "allow"
+        out[i] = (start[0], start[1], name, verdict)
+    return out
+
+
+def linked_pages(rng, n):
+    host = lambda: rng.choice(("a.net", "B.net", "c.info", "www.example.org", "shop.com", "x.shop.com", "example.org"))
+    url = lambda: f"{rng.choice(('http', 'https'))}://{host()}/{rng.choice(('', 'en/', 'es/', 'de/', 'fr/', 'q/'))}{rng.randrange(30)}"
+    pages = [(i, url(), url() if rng.random() < 0.35 else None) for i in range(n)]
+    return pages, [(i, u, f'<p><link rel="canonical" href="{to}">' if to else "<p>") for i, u, to in pages]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_verdicts_over_random_links(spark, seed):
+    pages, rows = linked_pages(random.Random(seed), 250)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert url_filter.page_links(df).count() > 50
+    many = [*url_filter.RULES, ("net", "/en/1", "block"), ("net", "/en/", "allow"), ("a.net", "/q", "block"), ("c.info", "", "block"), ("c.info", "/es/2", "allow")]
+    table = spark.createDataFrame(many, "host string, path string, verdict string")
+    for rules, given in ((url_filter.RULES, url_filter.RULES), (many, many), (many, table), (many, [*many, *((f"h{k}.zz", "/", "block") for k in range(300))])):
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df, given).collect()}
+        assert got == judged_by_hand(pages, rules)
+    assert sum(v == "block" and r is None for _, _, r, v in got.values()) > 10
+
+
+def test_the_sql_follows_links(spark, tmp_path):
+    import duckdb
+
+    _, rows = linked_pages(random.Random(3), 200)
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = duck.sql(queries.ORACLE["op8_url_filter"])
+    names = want.columns
+    got = queries.op8_url_filter(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall())) and sum(r.rule is None and r.verdict == "block" for r in got) > 5
+
+
 # --- op5 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -279,6 +391,91 @@ def test_every_sign_of_a_long_word_counts(spark, model):
         assert "".join(pieces) == word and all(len(p) <= 40 and len({langid.script_of(c) for c in p if c.isalpha()}) <= 1 for p in pieces)
 
 
+def labelled_by_hand(model, text):
+    """(language, score) from the definition, in plain Python: features hashed one by one, Viterbi over every piece and language."""
+    import math
+
+    import numpy as np
+
+    def mixed(x):
+        m = (1 << 64) - 1
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & m
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & m
+        return x ^ x >> 31
+
+    def scores(piece):
+        low = piece.lower()
+        letters = [c for c in low if c.isalpha()]
+        script = langid.script_of(letters[0]) if letters else ""
+        if script not in model.scripts:
+            return [0.0] * len(model.languages), len(letters)
+        marked, found = f"<{low}>", [zlib.crc32(f"<{low}>".encode()) % langid.FEATURES]
+        for n in (2, 3, 4):
+            for i in range(len(marked) - n + 1):
+                h = n
+                for c in marked[i : i + n]:
+                    h = (h * 0x100000001B3 + ord(c)) & (1 << 64) - 1
+                found.append(mixed(h) % langid.FEATURES)
+        ks = model.scripts[script]
+        raw = {k: sum(float(model.weights[f, k]) for f in found) / len(found) * min(4.0, 1 + 0.5 * len(letters)) for k in ks}
+        top = max(raw.values())
+        return [max(raw[k] - top, -8.0) if k in raw else -langid.EXCLUDED for k in range(len(model.languages))], len(letters)
+
+    rows = [scores(p) for w in (text or "").split() for p in langid.pieces_of(w)]
+    if not sum(n for _, n in rows):
+        return "und", 0.0
+    best, back = list(rows[0][0]), []
+    for s, _ in rows[1:]:
+        step = [max(range(len(best)), key=lambda j, k=k: (best[j] - langid.SWITCH * (j != k), j == k, -j)) for k in range(len(best))]
+        back.append(step)
+        best = [best[j] - langid.SWITCH * (j != k) + s[k] for k, j in enumerate(step)]
+    path = [max(range(len(best)), key=lambda k: (best[k], -k))]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    by = np.bincount(path[::-1], [n for _, n in rows], len(best))
+    assert math.isclose(by.sum(), sum(n for _, n in rows))
+    return model.languages[int(by.argmax())], float(by.max() / by.sum())
+
+
+def test_predictions_equal_the_definition(spark, model):
+    table = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    words = {x: [r.text.split()[:300] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(f"lang = '{x}' and n_chars > 2000").orderBy("doc_id").limit(2).collect()] for x in model.languages}
+    rng, mixed = random.Random(8), []
+    for i in range(120):
+        parts = []
+        for x in rng.sample(model.languages, rng.randrange(1, 4)):
+            source, n = rng.choice(words[x]), rng.randrange(1, 25)
+            at = rng.randrange(len(source) - n)
+            parts.append(("" if rng.random() < 0.2 else " ").join(source[at : at + n]))
+        mixed.append((10_000 + i, " ".join(parts)))
+    rows = table + mixed + [(1, "é"), (2, "12 34"), (3, None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs(spark, mixed + [(1, "é"), (2, "12 34"), (3, None)]), model).collect()}
+    want = {i: labelled_by_hand(model, t) for i, t in rows[len(table) :]}
+    assert {i: x for i, (x, _) in got.items()} == {i: x for i, (x, _) in want.items()} and all(got[i][1] == pytest.approx(want[i][1]) for i in want)
+    whole = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs(spark, table[:60]), model).collect()}
+    assert all(whole[i][0] == labelled_by_hand(model, t)[0] and whole[i][1] == pytest.approx(labelled_by_hand(model, t)[1]) for i, t in table[:60])
+
+
+def test_scripts_narrow_the_candidates(spark):
+    """A text of several scripts, where a language that shares no script with a word is never its label."""
+    taught = [(1, "the of and to in that it is was for " * 20, "en"), (2, "и в не на что он как это по но " * 20, "ru"), (3, "і в не на що він як це по але " * 20, "uk"), (4, "και το να η δεν που με για από τα " * 20, "el")]
+    m = langid.fit(spark.createDataFrame(taught, "doc_id long, text string, lang string"))
+    assert m.scripts == {"Latin": [m.languages.index("en")], "Greek": [m.languages.index("el")], "Cyrillic": sorted(map(m.languages.index, ("ru", "uk")))}
+    rng = random.Random(2)
+    rows = [(i, " ".join(" ".join(rng.choices(rng.choice(taught)[1].split(), k=rng.randrange(1, 9))) for _ in range(rng.randrange(1, 5)))) for i in range(80)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs(spark, rows), m).collect()}
+    assert all(got[i][0] == (w := labelled_by_hand(m, t))[0] and got[i][1] == pytest.approx(w[1]) for i, t in rows)
+
+
+def test_predictions_of_repeated_rows_and_empty_tables(spark, model):
+    rows = [(1, "the of and"), (1, "the of and"), (None, "the of and"), (2, "der die und")]
+    got = langid.predict(docs(spark, rows), model).collect()
+    assert len(got) == 4 and len({(r.lang_pred, r.score) for r in got if r.doc_id != 2}) == 1
+    assert langid.predict(docs(spark, []), model).collect() == [] and langid.keep_identified(docs(spark, []), model).collect() == []
+    tie = langid.Model(["A", "B"], __import__("numpy").zeros((langid.FEATURES, 2), "float32"), {"Latin": [0, 1]})
+    assert langid.predict(docs(spark, [(1, "any word")]), tie).first().lang_pred == "A"
+
+
 # --- the whole -----------------------------------------------------------------------------------------------------------
 
 
@@ -303,7 +500,34 @@ def test_pipeline(spark):
     assert {r.doc_id for r in total} == want and all(r.n == r.m for r in total)
 
 
-def test_every_query_has_its_columns(spark):
-    assert [n for n in queries.QUERIES if n.startswith("op")] == sorted((n for n in queries.QUERIES if n.startswith("op")), key=lambda n: int(re.search(r"\d+", n)[0]))
-    for name in ("op1_chat_formatting", "op7_exact_dedup", "op8_url_filter"):
-        assert queries.QUERIES[name](spark, SF).count() > 0
+COLUMNS = {
+    "op1_chat_formatting": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op2_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op3_token_counts": "doc_id n_bytes n_tokens over_limit",
+    "op4_piece_sampling": "doc_id ids", "op5_language_id": "doc_id held_out lang_pred score", "op6_near_dedup": "doc_id n_shingles component_id kept", "op7_exact_dedup": "doc_id keep_id group_size kept text_sha256",
+    "op8_url_filter": "page_id host path rule verdict", "op9_token_store": "doc_id start n_tokens ids_crc32", "op10_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature rgb",
+}
+
+
+@pytest.mark.parametrize("name", COLUMNS)
+def test_every_query_has_its_columns_and_rows(spark, name):
+    assert list(COLUMNS) == [n for n in queries.QUERIES if n.startswith("op")]
+    got = queries.QUERIES[name](spark, SF)
+    assert set(COLUMNS[name].split()) <= set(got.columns)
+    keys = got.select(got.columns[0]).collect()
+    known = spark.read.parquet(f"{SF}/{'conversations' if name.startswith('op1_') else 'pages' if name.startswith('op8') else 'documents'}.parquet")
+    want = {r[0] for r in known.select(got.columns[0]).collect()} | ({-7} if name.startswith("op1_") else set())
+    assert {r[0] for r in keys} == want
+    if name.startswith(("op3", "op5", "op6", "op7", "op8", "op9", "op10")):
+        assert len(keys) == known.count()
+
+
+def test_the_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    text = "Eins zwei drei vier fünf sechs sieben acht neun zehn elf"
+    odd = [(None, text, None, None, None), (1, text, "de", "s", 1), (2, text.replace(" ", "\n"), None, "s", 1), (2, text + " zwölf", "de", None, 2), (3, None, None, None, None), (4, "", "de", "s", 0), (5, "42", "de", "s", 2)]
+    for k, rows in enumerate((odd, [])):
+        spark.createDataFrame(rows, table.schema).coalesce(1).write.parquet(f"{tmp_path}/{k}/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/0").collect()
+    assert {r.doc_id for r in out} == {1}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/1").collect() == []

@@ -125,6 +125,19 @@ def test_token_store_round_trip(spark):
     assert shared[0] == shared[1]
 
 
+def test_repeated_and_null_ids(spark):
+    """op2, op3 and op9 treat rows of one doc_id, or of none, as documents of their own."""
+    given = [(5, "one two"), (5, "one two"), (5, "other"), (None, "one two"), (1, None)]
+    out = token_store.document_sums(spark, token_store.write_store(docs(spark, given), queries.tokenizer("word_bpe_49k.json"))).orderBy("start").collect()
+    want = [[*library_ids(t or ""), 1] for t in ("one two", None)]
+    assert [r.doc_id for r in out] == [None, 1, 5, 5, 5] and [(r.n_tokens, r.ids_crc32) for r in out[:2]] == [(len(x), crc(x)) for x in want]
+    assert [r.start for r in out] == [sum(r.n_tokens for r in out[:k]) for k in range(5)] and sorted(r.n_tokens for r in out[2:]) == sorted(len(library_ids(t)) + 1 for t in ("one two", "one two", "other"))
+    pieces = packing.pack(docs(spark, given), queries.tokenizer("word_bpe_49k.json")).collect()
+    assert sorted(str(r.doc_id) for r in pieces if r.start == 0) == ["1", "5", "5", "5", "None"]
+    counts = token_counts.count_tokens(docs(spark, given), queries.tokenizer("piece_bpe_32k.model")).collect()
+    assert sorted(str(r.doc_id) for r in counts) == ["1", "5", "5", "5", "None"]
+
+
 def test_token_store_notices_damage(spark):
     path = token_store.write_store(docs(spark), queries.tokenizer("word_bpe_49k.json"))
     bad = token_store.read_chunks(spark, path).withColumn("data", token_store.F.unhex(token_store.F.lit("0100")))
@@ -283,6 +296,9 @@ def test_media_round_trip(spark):
     assert same[0]["media_sha256"] == same[1]["media_sha256"] and same[0]["feature"] == same[1]["feature"]
     tensors = media.decode_media(media.store_media(docs(spark, more[:3]))).collect()
     assert all(len(r.rgb) == 3 * r.height * r.width for r in tensors)
+    assert all(len(r["rgb"]) == 3 * sum(h * w for h, w in zip(r["heights"], r["widths"], strict=True)) for r in out) and [bytes(r.rgb) for r in sorted(tensors)] == [bytes(r["rgb"]) for r in out[:3]]
+    assert len(out[-1]["heights"]) > 1 and media.media_round_trip(docs(spark, [])).collect() == []
+    assert [r["media_sha256"] for r in rows(media.media_round_trip(docs(spark, [(1, "a"), (1, "a"), (None, "a")]), tensors=False), "doc_id")] == [same_a := out[3]["media_sha256"], same_a, same_a]
 
 
 def test_fixed_layout_equals_bit_by_bit():
