@@ -12,9 +12,9 @@ from .components import connected_components
 
 #: Slots in each band; 128 slots make 32 bands. A pair at similarity 0.75 shares none with probability 5e-6.
 BAND_ROWS = 4
-#: Documents that share a rare shingle and are compared in one piece; more are told apart by a second shared shingle, and so on,
-#: DEPTH shingles at most: different sets at 0.75 share three at least. What is still larger then is dealt out as pairs of blocks of so many.
-BLOCK, DEPTH = 512, 3
+#: Documents that share a rare shingle and are compared in one piece. Of more, those of the largest component are dealt out in
+#: pieces and the others are sent to each; where the others are as many themselves, all are dealt out as pairs of blocks.
+BLOCK = 4096
 
 
 def _signer():
@@ -97,17 +97,21 @@ def _crossing(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     def pairs(rows: np.ndarray, i: int, j: int):
-        """rows: block, n, cap, component, rep. A row's pairs are handed on as they are found."""
+        """rows: block, n, cap, component, rep. Those of a similar size are compared; pairs are handed on as they are found."""
         one = rows[rows[:, 0] == i]
+        one = one[one[:, 1].argsort(kind="stable")]
         two = rows[rows[:, 0] == j] if i != j else one
+        two = two[two[:, 1].argsort(kind="stable")]
+        first = np.arange(1, len(one) + 1) if i == j else np.searchsorted(two[:, 1], -(-3 * one[:, 1] // 4))
+        last = np.searchsorted(two[:, 1], 4 * one[:, 1] // 3, side="right")
         found, size = [], 0
-        for k in range(len(one)):
+        for k, (lo, hi) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
             _, n, cap, comp, rep = one[k]
-            rest = two if i != j else one[k + 1 :]
-            fit = (rest[:, 3] != comp) & (rest[:, 1] <= cap) & (rest[:, 2] >= n) & (4 * rest[:, 1] >= 3 * n) & (3 * rest[:, 1] <= 4 * n)
-            others = rest[fit, 4]
-            found.append(np.stack([np.minimum(others, rep), np.maximum(others, rep)]))
-            size += len(others)
+            rest = two[lo:hi]
+            others = rest[(rest[:, 3] != comp) & (rest[:, 1] <= cap) & (rest[:, 2] >= n), 4]
+            if len(others):
+                found.append(np.stack([np.minimum(others, rep), np.maximum(others, rep)]))
+                size += len(others)
             if size > 100_000:
                 yield batch_of(found)
                 found, size = [], 0
@@ -142,53 +146,51 @@ def _rare_prefix_pairs(open_docs: DataFrame, texts: DataFrame, comps: DataFrame,
     in common, so n and the other's size sum to 7/3 (n - p) at most. A passage that many documents share stands last and so
     brings together only documents that it nearly fills.
 
-    Where more than `block` documents of several components share such a shingle, they are dealt anew by the next that they share: after
-    k shared ones up to position p, it stands among the next n - p - need + k - 1 or so, and the documents that have no room
-    for it drop out. So a frequent key costs rows in proportion to its documents rather than to their pairs.
+    The shingles of a shared passage are shared by the same documents: of keys with the same documents the first in that order
+    serves for all.
     """
     rows = materialize(map_rows(texts.join(open_docs, "doc_id", "left_semi"), _shingler, "rep long, n long, shingle long"), "shingles")
     shared = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     # A set's own shingles come together here, those of one document; their number is that of its words.
     sets = rows.join(shared, "shingle").groupBy("rep").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
-    sets = sets.join(comps, F.col("rep") == F.col("node"), "left").select("rep", "n", F.transform("s", lambda x: x["shingle"]).alias("s"), F.coalesce("component", "rep").alias("comp"), (F.col("n") - F.size("s")).alias("alone"))
-    sets = materialize(sets, "sets")
-    need = F.floor((3 * F.col("n") + 3) / 4)
-
-    def spots(d: DataFrame, taken: int, first: Column) -> DataFrame:
-        """A row for each shingle at which a set may share its next one: first is the position in s to look from, taken the
-        number shared before."""
-        left = (F.col("n") - F.col("alone") - first - need + taken + 1).cast("int")
-        d = d.withColumn("_w", F.slice("s", first + 1, F.greatest(F.lit(0), left)))
-        d = d.select("rep", "n", "comp", "alone", first.alias("_f"), *(["key"] if "key" in d.columns else [F.lit(0).cast("long").alias("key")]), F.posexplode("_w").alias("_i", "_x"))
-        at = F.col("_f") + F.col("_i")
-        cap = F.floor((F.col("n") - F.col("alone") - at + taken) * 7 / 3) - F.col("n")
-        return d.select(F.xxhash64("key", "_x").alias("key"), "rep", "n", "comp", cap.alias("cap"), at.cast("int").alias("at"))
-
-    out, spot = None, materialize(spots(sets, 0, F.lit(0)), "prefixes")
-    tables = [rows, sets, spot]
-    for taken in range(1, DEPTH + 1):
-        keys = spot.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", "size")
-        keys = materialize(keys, "open-keys")
-        tables.append(keys)
-        whole = keys if taken == DEPTH else keys.where(F.col("size") <= block)
-        pairs = _dealt(spot.join(whole, "key"), block)
-        out = pairs if out is None else out.unionByName(pairs)
-        if taken == DEPTH or keys.where(F.col("size") > block).isEmpty():
-            break
-        hot = spot.join(keys.where(F.col("size") > block).select("key"), "key").select("rep", "key", "at")
-        spot = materialize(spots(hot.join(sets, "rep"), taken, F.col("at") + 1), "prefixes")
-        tables.append(spot)
-    out = materialize(out.distinct(), "candidates")
-    discard(*tables)
+    sets = sets.join(comps, F.col("rep") == F.col("node"), "left").select("rep", "n", "s", F.coalesce("component", "rep").alias("comp"), (F.col("n") - F.size("s")).alias("alone"))
+    take = F.greatest(F.lit(0), F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1 - F.col("alone")).cast("int")
+    spot = sets.select("rep", "n", "comp", "alone", F.posexplode(F.slice("s", F.lit(1), take)).alias("at", "x"))
+    spot = spot.select(F.col("x.shingle").alias("key"), F.col("x.df").alias("df"), "rep", "n", "comp", (F.floor((F.col("n") - F.col("alone") - F.col("at")) * 7 / 3) - F.col("n")).alias("cap"))
+    spot = materialize(spot, "prefixes")
+    # The documents of a key are known by their number and two sums over them; sums of hashes combine within each task.
+    mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), "rep").cast("decimal(20,0)"))
+    keys = spot.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("df").alias("df"), mark(1).alias("m1"), mark(2).alias("m2")).where("lo != hi")
+    keys = materialize(keys.groupBy("size", "m1", "m2").agg(F.min_by("key", F.struct("df", "key")).alias("key")).select("key", "size"), "open-keys")
+    small = spot.join(keys.where(F.col("size") <= block).select("key"), "key").select("key", *(F.lit(0).cast("long").alias(c) for c in ("i", "j", "own")), "n", "cap", "comp", "rep")
+    dealt = small
+    large = keys.where(F.col("size") > block)
+    if not large.isEmpty():
+        dealt = dealt.unionByName(_dealt(spot.join(large, "key"), block))
+    out = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_crossing, "a long, b long").distinct()
+    out = materialize(out, "candidates")
+    discard(rows, spot, keys)
     return out
 
 
 def _dealt(spot: DataFrame, block: int) -> DataFrame:
-    """Pairs (a, b) across components among the rows of each key (key, size, rep, n, comp, cap), in pairs of blocks."""
-    dealt = spot.withColumn("blocks", F.ceil(F.col("size") / block).cast("long")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "cap", "comp", "rep")
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_crossing, "a long, b long")
+    """The rows of large keys (key, size, rep, n, comp, cap) as (key, i, j, own, ...): rows with own = i meet those with own = j.
+
+    Pairs are sought across components alone. So the rows of a key's largest component are dealt out in blocks, and the others,
+    which are block 0, are sent to each of these and meet each other once. Only where more than `block` are left besides the
+    largest component are these dealt out too, and meet in pairs of blocks.
+    """
+    sizes = spot.groupBy("key", "size", "comp").agg(F.count("*").alias("c")).groupBy("key", "size").agg(F.max(F.struct("c", "comp")).alias("x"))
+    rest = F.ceil((F.col("size") - F.col("x.c")) / block).cast("long")
+    sizes = sizes.select("key", F.col("x.comp").alias("big"), rest.alias("few"), F.ceil(F.col("x.c") / block).cast("long").alias("many"))
+    d = spot.join(sizes, "key").withColumn("main", F.col("comp") == F.col("big"))
+    # Blocks 0 to few - 1 hold the others, those from few on the largest component.
+    h = F.xxhash64("rep")
+    d = d.withColumn("own", F.when(F.col("main"), F.col("few") + F.pmod(h, F.col("many"))).otherwise(F.pmod(h, F.col("few"))))
+    others = F.sequence(F.lit(0).cast("long"), F.col("few") - 1)
+    mates = F.when(F.col("main"), others).otherwise(F.concat(others, F.sequence(F.col("few"), F.col("few") + F.col("many") - 1)))
+    d = d.withColumn("other", F.explode(mates))
+    return d.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "cap", "comp", "rep")
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
