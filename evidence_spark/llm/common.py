@@ -14,7 +14,7 @@ from pyspark.sql.types import DataType, StructType
 from ..tables import discard, new_path, shared_dir  # noqa: F401  for the operators
 
 #: Parts of words kept in a worker's cache of ids; as many again are kept of the ones before.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Rows that a worker's function gets at a time.
 ROWS = 2500
 
@@ -53,12 +53,30 @@ _caches: dict[str, Callable[[], None]] = {}
 
 
 def sole_cache(owner: str, clear: Callable[[], None]) -> None:
-    """A worker process serves the tasks of many stages; it keeps the cache of the operator in use and drops the others'."""
-    if owner not in _caches:
-        for other in _caches.values():
-            other()
+    """A worker process serves the tasks of many stages; it keeps the cache in use, one owner's own, drops all others and gives
+    their memory back."""
+    if _caches.get(owner) != clear:
+        former = list(_caches.values())
         _caches.clear()
         _caches[owner] = clear
+        for other in former:
+            other()
+        if former:
+            release()
+
+
+def release() -> None:
+    """Hand memory that is free, but held by the allocators, back to the system where they can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 class _Parts(dict):

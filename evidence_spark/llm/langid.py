@@ -27,7 +27,7 @@ SWITCH = 12.0
 #: What a piece scores in a language that does not use its script: more than the two changes that go round it.
 EXCLUDED = 50.0
 #: Words whose scores a worker keeps, and words that are scored at a time.
-WORDS, SLICE = 250_000, 400_000
+WORDS, SLICE = 150_000, 100_000
 #: Signs in a piece of a word, at most.
 PIECE = 40
 UNKNOWN = "und"
@@ -177,8 +177,8 @@ class Model:
             rows.update(zip(fresh, (len(self.letters) + np.cumsum(size) - size).tolist(), strict=True))
             self.counts = np.concatenate((self.counts, np.repeat(size, size)))
             pieces = [p for part in parts for p in part]
-            for at in range(0, len(pieces), 50_000):
-                s, n = self.score(pieces[at : at + 50_000])
+            for at in range(0, len(pieces), 10_000):
+                s, n = self.score(pieces[at : at + 10_000])
                 self.scores, self.letters = np.concatenate((self.scores, s)), np.concatenate((self.letters, n))
         return np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
 
@@ -273,8 +273,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(languages, weights.astype(np.float32), {s: ks for s, ks in scripts.items() if ks})
 
 
-@functools.cache
+@functools.lru_cache(1)
 def _loaded(raw: bytes) -> Model:
+    """The model in use; a worker keeps no former one."""
     return pickle.loads(raw)
 
 

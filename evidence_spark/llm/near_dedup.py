@@ -56,12 +56,12 @@ def _verifier():
 
     from .shingles import shingle_set
 
-    items = lru_cache(256)(shingle_set)
+    items = lru_cache(32)(shingle_set)
 
     def step(batch):
         keep = []
-        for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = items(left), items(right)
+        for left, right in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = items(left.as_py()), items(right.as_py())
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= 75 * (len(x) + len(y) - both) > 0)
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
