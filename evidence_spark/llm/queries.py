@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, media, near_dedup, packing, piece_sampling, token_counts, token_store, url_filter
+from . import chat, divergence, exact_dedup, langid, media, near_dedup, packing, piece_sampling, quality, resampling, token_counts, token_store, url_filter
 from .common import table
 
 
@@ -60,13 +60,25 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("n_lines")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_packing, op3_token_counts, op4_piece_sampling, op5_language_id, op6_near_dedup, op7_exact_dedup, op8_url_filter, op9_token_store, op10_media, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_packing, op3_token_counts, op4_piece_sampling, op5_language_id, op6_near_dedup, op7_exact_dedup, op8_url_filter, op9_token_store, op10_media, op11_source_divergence, op12_quality_rules, op13_importance_resampling, pipeline)}
 
 # The escapes of chat.escape() add a backslash for each backslash and each control string of a text.
 _CONTROL = r"<s>|</s>|\[INST\]|\[/INST\]|\[OUT\]|<<SYS>>|<</SYS>>|\[ROLE\]|\[/ROLE\]|\[END\]|\[NEXT\]"
@@ -114,4 +126,68 @@ m AS (
 )
 SELECT page_id, p.host, p.path, rule, CASE WHEN other THEN error('this SQL follows plain canonical links alone') WHEN v IS NOT NULL THEN v WHEN u.node IN (SELECT node FROM bad) THEN 'block' ELSE 'allow' END AS verdict
 FROM p LEFT JOIN m USING (host, path) LEFT JOIN u ON u.url = p.url""",
+    "op11_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS all_n FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+t AS (SELECT lang, source, sum(n) AS total FROM f GROUP BY ALL),
+p AS (
+  SELECT f.lang, f.source, f.term, f.n, 1 + (1000000000 * (f.n::HUGEINT + 5)) // (t.total + 5 * v.v) AS p, 1 + (1000000000 * (f.all_n::HUGEINT + 5)) // (v.total + 5 * v.v) AS q
+  FROM f JOIN t USING (lang, source) JOIN v USING (lang)
+), apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q
+)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM x QUALIFY part = 'pair' OR rank <= 50""",
+    # The fences follow quality.RULES, REACH, LEAST_ROWS and DIGITS.
+    "op12_quality_rules": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM g WHERE n > 1) GROUP BY r),
+m AS (
+  SELECT r, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN rep USING (r)
+), b AS (SELECT * EXCLUDE (lines), len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+rules(rule, slack, lower_) AS (VALUES ('word_length', 1000, true), ('symbols', 100, false), ('dup_lines', 500, false), ('repeats', 400, false)),
+x AS (
+  SELECT r, lang, source, base_failed, rule, slack, lower_, CASE rule WHEN 'word_length' THEN 1000 * word_chars // n_words WHEN 'symbols' THEN 1000 * n_symbols // n_words WHEN 'dup_lines' THEN 1000 * n_dup_lines // n_lines ELSE 1000 * n_repeat_words // n_words END AS v
+  FROM b, rules WHERE n_words > 0
+), s AS (SELECT lang, source, rule, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS bucket FROM x WHERE NOT base_failed),
+own AS (SELECT lang, source, rule, count(*) AS n, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM s GROUP BY ALL),
+wide AS (SELECT lang, rule, count(*) AS n, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM s GROUP BY ALL),
+every AS (SELECT rule, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM s GROUP BY ALL),
+q AS (
+  SELECT x.*, CASE WHEN own.n >= 100 THEN own.q1 WHEN wide.n >= 100 THEN wide.q1 ELSE every.q1 END AS q1, CASE WHEN own.n >= 100 THEN own.q3 WHEN wide.n >= 100 THEN wide.q3 ELSE every.q3 END AS q3
+  FROM x JOIN own USING (lang, source, rule) JOIN wide USING (lang, rule) JOIN every USING (rule)
+), bad AS (SELECT DISTINCT r FROM q WHERE v > q3 + greatest(3 * (q3 - q1), slack) OR lower_ AND v < q1 - greatest(3 * (q3 - q1), slack))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.r IS NULL AS kept FROM b LEFT JOIN bad USING (r)""",
+    # crc32 byte by byte, from its table of 256 entries, once for each distinct feature.
+    "op13_importance_resampling": r"""
+WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+rows_ AS (SELECT true AS doc, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT false, row_number() OVER (), null, text FROM benchmark),
+w AS (SELECT doc, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM rows_),
+f AS (SELECT doc, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+bytes AS (SELECT f, list_transform(range(0, length(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT) AS b FROM u),
+bucket AS (SELECT f, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM bytes, crc),
+n AS (SELECT bucket, count(*) FILTER (doc) AS s, count(*) FILTER (NOT doc) AS t FROM f JOIN bucket USING (f) GROUP BY bucket),
+total AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM n),
+gain AS (SELECT bucket, floor(1000 * ln((n.t + 1.0::DOUBLE) * (total.s + 10000)::DOUBLE / ((n.s + 1.0::DOUBLE) * (total.t + 10000)::DOUBLE)))::BIGINT AS gain FROM n, total),
+weight AS (SELECT r, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight, count(*) AS n_features FROM f JOIN bucket USING (f) JOIN gain USING (bucket) WHERE doc GROUP BY r),
+scored AS (
+  SELECT w.r, doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM w LEFT JOIN weight USING (r) WHERE doc
+), ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, 25 * count(*) OVER () // 100 AS drawn FROM scored WHERE able)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank FROM scored LEFT JOIN ranked USING (r)""",
 }
