@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, NUMERIC_TYPES, TEXT_TYPES, Config
 from ..functions import hashing, intervals
+from ..tables import written
+from .sweep import Step, in_tasks, spread
 
 ISSUES = ("metadata_incomplete", "no_assertions", "missing_units", "missing_locators", "chart_quality_low", "parsed_doc_manual_review", "parsed_doc_not_formal")
 
@@ -60,7 +62,7 @@ def completeness(documents: DataFrame, assertions: DataFrame) -> DataFrame:
 def _comparable(a: DataFrame, side: str) -> DataFrame:
     low, high = intervals.interval(F.col("value_type"), F.col("value_num"), F.col("value_lo"), F.col("value_hi"), F.col("uncertainty"))
     last = F.map_from_entries(F.transform("conditions", lambda c: F.struct(F.lower(c["eddo_class"]), F.struct(c["value"].alias("v"), c["unit"].alias("u")))))
-    cols = {"id": F.col("id"), "ref": F.col("ref_id"), "type": F.col("value_type"), "num": F.col("value_num"), "text": F.col("value_text"), "low": low, "high": high, "cond": parsed_conditions(F.array_sort(F.map_entries(last)))}
+    cols = {"id": F.col("id"), "ref": F.col("ref_id"), "type": F.col("value_type"), "num": F.col("value_num"), "text": F.col("value_text"), "low": low, "high": high, "cond": F.coalesce(parsed_conditions(F.array_sort(F.map_entries(last))), F.array())}
     return a.select("entity", "property", *(c.alias(f"{side}_{k}") for k, c in cols.items()))
 
 
@@ -107,6 +109,105 @@ def conflicts(new: DataFrame, existing: DataFrame, config: Config = DEFAULT) ->
     return p.select(F.col("n_id").alias("new_id"), F.col("e_id").alias("existing_id"), F.col("n_ref").alias("new_ref"), kind.alias("conflict_type")).where("conflict_type is not null")
 
 
+#: Assertions of one entity and property that a task may sort; more are spread over several.
+TASK_ROWS = 1_000_000
+#: Below it two different doubles may lie within the tolerance of conditions, 1e-9.
+CLOSE = float(1 << 24)
+
+COUNTS = ("n_consistent", "n_condition", "n_numeric", "n_relation")
+KINDS = ("consistent", "condition_difference", "numeric_conflict", "relation_conflict")
+
+
+def _condition_key(parsed: Column) -> Column:
+    """A text that is the same for compatible conditions, unless two of their numbers lie in neighbouring cells of 1e-9."""
+    return F.concat_ws(";", F.transform(parsed, lambda c: hashing.packed(c["k"], c["u"], _cell(c["n"]), F.when(c["n"].isNull(), c["t"]))))
+
+
+def _cell(n: Column) -> Column:
+    return F.when(F.abs(n) < CLOSE, n.cast("decimal(20,9)").cast("string")).otherwise(n.cast("string"))
+
+
+def _points(a: DataFrame, old: bool, config: Config) -> DataFrame:
+    """What the sweep sees of an assertion. begin and end: of an existing one's interval, with its tolerance on both sides; a new one
+    has its own ends the other way round, as it looks for beginnings up to its end and for ends before its beginning."""
+    low, high, textual = F.col("s_low"), F.col("s_high"), F.col("s_type").isin(*TEXT_TYPES)
+    numeric = ~textual & (F.col("s_type") != "formula") & low.isNotNull()
+    pad = F.greatest(F.lit(config.relative_tolerance) * F.greatest(F.abs(low), F.abs(high)), F.lit(config.absolute_tolerance))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int") if old else F.lit(0)
+    return _comparable(a, "s").where("entity is not null and property is not null and s_ref is not null").select(
+        "entity", "property", F.col("s_ref").alias("ref"), F.col("s_id").alias("id"), F.col("s_cond").alias("conditions"), _condition_key(F.col("s_cond")).alias("cond"),
+        F.coalesce(textual, F.lit(False)).alias("textual"), F.coalesce(numeric, F.lit(False)).alias("numeric"), F.lower(F.trim(F.coalesce("s_text", F.col("s_num").cast("string")))).alias("value"),
+        (low - pad if old else high).alias("begin"), (high + pad if old else low).alias("end"), (textual & F.col("s_num").isNotNull()).alias("odd"),
+        F.lit(int(old)).alias("old"), flag(textual).alias("old_text"), flag(numeric).alias("old_number"),
+    )
+
+
+def _apart(points: DataFrame) -> DataFrame:
+    """(entity, property, way) of the groups that need another way than a sort within a task: `pairs` where equality is not that
+    of keys (numbers of conditions in neighbouring cells within the tolerance, texts that also have a number), `spread` where there
+    are more than TASK_ROWS rows."""
+    size = points.groupBy("entity", "property").agg(F.count("*").alias("n"), F.bool_or("odd").alias("odd")).where(f"odd or n > {TASK_ROWS}")
+    size = size.select("entity", "property", F.when(F.col("odd"), "pairs").otherwise("spread").alias("way"))
+    numbers = points.where(F.exists("conditions", lambda c: c["n"].isNotNull() & (F.abs(c["n"]) < CLOSE))).select("entity", "property", F.explode("conditions").alias("c")).where("c.n is not null")
+    cells = numbers.select("entity", "property", F.col("c.k").alias("k"), F.col("c.u").alias("u"), F.col("c.n").alias("n"), F.col("c.n").cast("decimal(20,9)").alias("cell")).groupBy("entity", "property", "k", "u", "cell").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    after = cells.select("entity", "property", "k", F.col("u").alias("u2"), (F.col("cell") - F.lit("0.000000001").cast("decimal(20,9)")).cast("decimal(20,9)").alias("cell"), F.col("lo").alias("next"))
+    near = cells.join(after, ["entity", "property", "k", "cell"]).where(F.col("u").eqNullSafe(F.col("u2")) & (F.col("next") - F.col("hi") <= 1e-9))
+    return size.unionByName(near.select("entity", "property", F.lit("pairs").alias("way"))).groupBy("entity", "property").agg(F.min("way").alias("way"))
+
+
+#: What is counted of existing assertions, in all and of the own document alone: of the same entity and property, then of compatible
+#: conditions too, of an equal value, and of intervals that begin, or end, up to a place.
+_STEPS = (
+    Step((), {"all": "old"}), Step(("ref",), {"own": "old"}),
+    Step(("cond",), {"all_same": "old", "all_text": "old_text", "all_number": "old_number"}), Step(("cond", "ref"), {"own_same": "old", "own_text": "old_text", "own_number": "old_number"}),
+    Step(("cond", "value"), {"equal": "old", "equal_text": "old_text"}), Step(("cond", "value", "ref"), {"own_equal": "old", "own_equal_text": "old_text"}),
+    Step(("cond",), {"begun": "old_number"}, "begin", "old"), Step(("cond", "ref"), {"own_begun": "old_number"}, "begin", "old"),
+    Step(("cond",), {"ended": "old_number"}, "end", "old", False), Step(("cond", "ref"), {"own_ended": "old_number"}, "end", "old", False),
+)
+
+
+def _counted(points: DataFrame, way) -> DataFrame:
+    """For each new assertion, how many existing ones of other documents it agrees and disagrees with, and how.
+
+    A count over other documents is that over all less that over the own one. Of existing intervals, those that meet a new one are
+    those that begin up to its end less those that end before its beginning.
+    """
+    p, c = way(points.drop("conditions", "odd"), ["entity", "property"], _STEPS, ["id", "ref", "textual", "numeric"], "old"), F.col
+    same = c("all_same") - c("own_same")
+    equal = F.when(c("textual"), c("equal") - c("own_equal")).otherwise(c("equal_text") - c("own_equal_text"))
+    texts = F.when(c("textual"), same).otherwise(c("all_text") - c("own_text"))
+    meet = F.when(c("numeric"), (c("begun") - c("ended")) - (c("own_begun") - c("own_ended"))).otherwise(0)
+    numbers = F.when(c("numeric"), c("all_number") - c("own_number")).otherwise(0)
+    counts = (equal + meet, c("all") - c("own") - same, numbers - meet, texts - equal)
+    return p.select("id", c("ref").alias("ref_id"), *(x.alias(n) for x, n in zip(counts, COUNTS, strict=True)))
+
+
+def conflict_counts(new: DataFrame, existing: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """id, ref_id, n_consistent, n_condition, n_numeric, n_relation of each new assertion: how many pairs of each kind conflicts()
+    gives for it, without making any. Assertions without a pair have zeros; those without an entity, property or document are
+    left out, as nothing is compared with them. Null conditions count as none.
+
+    Counts come from sorted groups (see sweep): n log n for a group of n assertions, and never more rows than assertions. Groups
+    beyond TASK_ROWS rows are spread over tasks. Groups where equality is not that of keys are rare, and compared in pairs.
+    """
+    points = _points(new, False, config).unionByName(_points(existing, True, config))
+    other = written(_apart(points), "apart")
+    key = ["entity", "property"]
+    if other.isEmpty():
+        return _counted(points, in_tasks)
+    out = _counted(points.join(other, key, "left_anti"), in_tasks)
+    for way in [r.way for r in other.select("way").distinct().collect()]:
+        mine = other.where(F.col("way") == way).select(*key)
+        if way == "spread":
+            out = out.unionByName(_counted(written(points.join(mine, key, "left_semi"), "spread"), spread))
+        else:
+            some = new.join(mine, key, "left_semi")
+            found = conflicts(some, existing.join(mine, key, "left_semi"), config).groupBy(F.col("new_id").alias("id"), F.col("new_ref").alias("ref_id"))
+            found = found.agg(*(F.count_if(F.col("conflict_type") == kind).alias(n) for n, kind in zip(COUNTS, KINDS, strict=True)))
+            out = out.unionByName(some.where("ref_id is not null").select("id", "ref_id").join(found, ["id", "ref_id"], "left").fillna(0, list(COUNTS)))
+    return out
+
+
 def mechanism_violations(assertions: DataFrame, rules: DataFrame) -> DataFrame:
     """id, ref_id, rule_id of assertions beyond the bounds (lo, hi; null for none) of a rule for their property."""
     return assertions.join(rules, "property").where("value_num < lo or value_num > hi").select("id", "ref_id", "rule_id")
@@ -120,15 +221,16 @@ def rejected_sets(assertions: DataFrame, verdicts: DataFrame) -> DataFrame:
     return named.unionByName(assertions.join(bad.where("coalesce(size(violated), 0) <= 0").select("ref_id", "rule_id"), "ref_id").select("id", "ref_id", "rule_id"))
 
 
-def conflict_flags(found: DataFrame, violations: DataFrame | None = None) -> DataFrame:
-    """One row for each new assertion: which kinds of conflict it has."""
-    rows = found.select(F.col("new_id").alias("id"), F.col("new_ref").alias("ref_id"), "conflict_type")
+def conflict_flags(counts: DataFrame, violations: DataFrame | None = None) -> DataFrame:
+    """One row for each new assertion that has any: which kinds of conflict it has, from conflict_counts() and violations."""
+    kinds = dict(zip(("consistent", "condition_diff", "numeric", "relation"), COUNTS, strict=True))
+    rows = counts.select("id", "ref_id", *((F.col(n) > 0).alias(k) for k, n in kinds.items()), F.lit(False).alias("mechanism"))
     if violations is not None:
-        rows = rows.unionByName(violations.select("id", "ref_id", F.lit("mechanism_violation").alias("conflict_type")))
-    has = lambda kind: F.bool_or(F.col("conflict_type") == kind)
-    return rows.groupBy("id", "ref_id").agg(
-        has("consistent").alias("consistent"), has("condition_difference").alias("condition_diff"), has("numeric_conflict").alias("numeric"), has("relation_conflict").alias("relation"), has("mechanism_violation").alias("mechanism")
-    )
+        rows = rows.unionByName(violations.select("id", "ref_id", *(F.lit(False).alias(k) for k in kinds), F.lit(True).alias("mechanism")))
+    any_ = F.col("mechanism")
+    for k in kinds:
+        any_ |= F.col(k)
+    return rows.where(any_).groupBy("id", "ref_id").agg(*(F.bool_or(k).alias(k) for k in FLAGS))
 
 
 FLAGS = ("consistent", "condition_diff", "numeric", "relation", "mechanism")
@@ -204,14 +306,14 @@ def report(documents: DataFrame, decisions: DataFrame, scores: DataFrame, config
 @dataclass
 class Curation:
     completeness: DataFrame
-    conflicts: DataFrame
+    counts: DataFrame
     quality: DataFrame
     decisions: DataFrame
     reports: DataFrame
 
 
 def curate(documents: DataFrame, new: DataFrame, existing: DataFrame, rules: DataFrame | None = None, config: Config = DEFAULT) -> Curation:
-    found = conflicts(new, existing, config)
+    found = conflict_counts(new, existing, config)
     flags = conflict_flags(found, mechanism_violations(new, rules) if rules is not None else None)
     complete, scores = completeness(documents, new), quality(documents, new, flags, config)
     decisions = decide(new, complete, flags)

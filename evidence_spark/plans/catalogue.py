@@ -207,7 +207,15 @@ def conflict_pairs(spark, d):
 
 @query
 def conflict_summary(spark, d):
-    return curation.conflicts(*V.new_and_existing(spark, d)).groupBy("conflict_type").agg(F.count("*").alias("n"))
+    """Pairs of each kind, added up from the counts of the assertions."""
+    counts = curation.conflict_counts(*V.new_and_existing(spark, d))
+    kinds = F.explode(F.array(*(F.struct(F.lit(kind).alias("conflict_type"), F.col(n).alias("n")) for n, kind in zip(curation.COUNTS, curation.KINDS, strict=True))))
+    return counts.select(kinds.alias("x")).groupBy("x.conflict_type").agg(F.sum("x.n").alias("n")).where("n > 0")
+
+
+@query
+def conflict_counts(spark, d):
+    return curation.conflict_counts(*V.new_and_existing(spark, d))
 
 
 @query

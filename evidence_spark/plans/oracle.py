@@ -291,6 +291,8 @@ ORACLE: dict[str, str] = {
     "completeness_issues": f"""WITH {CURATION}, {complete('')} SELECT ref_id, 'metadata_incomplete' AS code FROM cm WHERE lacking UNION ALL SELECT ref_id, 'no_assertions' FROM cm WHERE n = 0 AND NOT no_data UNION ALL SELECT ref_id, 'missing_units' FROM cm WHERE mu > 0 UNION ALL SELECT ref_id, 'missing_locators' FROM cm WHERE ml > 0
         UNION ALL SELECT ref_id, 'chart_quality_low' FROM cm WHERE charts_low UNION ALL SELECT ref_id, 'parsed_doc_manual_review' FROM cm WHERE grade = 'C' UNION ALL SELECT ref_id, 'parsed_doc_not_formal' FROM cm WHERE grade = 'D'""",
     "conflict_pairs": f"WITH {CURATION} SELECT new_id, existing_id, conflict_type FROM pairs",
+    "conflict_counts": f"""WITH {CURATION} SELECT a.id, a.ref_id, count(*) FILTER (conflict_type = 'consistent') AS n_consistent, count(*) FILTER (conflict_type = 'condition_difference') AS n_condition, count(*) FILTER (conflict_type = 'numeric_conflict') AS n_numeric, count(*) FILTER (conflict_type = 'relation_conflict') AS n_relation
+        FROM asr a LEFT JOIN pairs ON new_id = a.id AND new_ref = a.ref_id WHERE a.is_new GROUP BY a.id, a.ref_id""",
     "conflict_summary": f"WITH {CURATION} SELECT conflict_type, count(*) AS n FROM pairs GROUP BY conflict_type",
     "mechanism_violations": f"WITH {CURATION} SELECT * FROM viol",
     "quality_score": f"WITH {CURATE} SELECT * FROM quality",
