@@ -16,8 +16,9 @@ from .common import materialize
 LEAST_DOCS, PRIOR, SCALE, LISTED = 30, 5, 10**9, 50
 #: A task hands on its tries once they hold so many counters, or have read so many bytes.
 COUNTERS, READ = 400_000, 128 << 20
-#: Bytes of the prefix that names a subtrie; counters in a merged range of them; counters that are merged at a time.
-PREFIX, RANGE, MERGED = 3, 20_000, 1_000_000
+#: Bytes of the prefix that names a subtrie; counters in a merged range of them; counters that are merged at a time; counters that
+#: a task walks, about: each task hands on a sum for each pair of sources and its candidates.
+PREFIX, RANGE, MERGED, WALKED = 3, 20_000, 1_000_000, 250_000
 #: Entries of a matrix of sources by terms; sources up to which a task sums pairs before it hands them on.
 CELLS, SUMMED = 1_000_000, 1024
 #: Bytes of a long text that are cut into terms at a time.
@@ -309,8 +310,9 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, listed: int = LISTED) -
     sums = materialize(sums.join(sizes, "lang", "left").select("lang", F.col("g.source").alias("names"), F.col("g.total").alias("totals"), F.coalesce("v", F.lit(0)).alias("v")), "sums")
     none = [F.array().cast(k).alias(c) for c, k in (x.split() for x in TRIE.split(", "))]
     columns = ["lang", "names", "totals", "v", *(x.split()[0] for x in TRIE.split(", "))]
+    tasks = 1 + (tries.agg(F.sum(F.size("n"))).first()[0] or 0) // WALKED
     walked = tries.join(sums, "lang").select(columns).unionByName(sums.select("lang", "names", "totals", "v", *none))
-    found = materialize(walked.mapInArrow(_walk(listed), "lang string, source string, part string, item string, value long"), "walked")
+    found = materialize(walked.coalesce(tasks).mapInArrow(_walk(listed), "lang string, source string, part string, item string, value long"), "walked")
     whole = found.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     both = F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item"))))
     pairs = whole.select("lang", both.alias("x"), "value").select("lang", "x.source", F.lit("pair").alias("part"), "x.item", "value")
