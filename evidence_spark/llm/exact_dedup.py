@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, materialize
+from .common import free_name, keyed_text, materialize
 
 #: Digests in a shard of the index, on average; a shard is built and looked up in one piece.
 SHARD = 40_000
@@ -208,11 +208,11 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     The dropped ids are written and joined against: they are few and narrow beside the texts, which so need not be shuffled
     where Spark finds the ids small enough to send.
     """
-    doc_id = F.col("doc_id").cast("long")
-    named = dedupe(docs).select(F.col("doc_id").alias("_id"), F.when(F.col("doc_id").isNull(), F.unhex("text_sha256")).alias("_text"), "kept")
-    gone = materialize(named.groupBy("_id", "_text").agg(F.bool_or("kept").alias("kept")).where("not kept").select("_id", "_text"), "dropped")
-    lost = gone.where("_id is null").select("_text")
-    out = docs.join(gone.where("_id is not null").select("_id"), doc_id == F.col("_id"), "left_anti")
+    doc_id, key, text = F.col("doc_id").cast("long"), free_name(docs, "gone"), free_name(docs, "gone_text")
+    named = dedupe(docs).select(F.col("doc_id").alias(key), F.when(F.col("doc_id").isNull(), F.unhex("text_sha256")).alias(text), "kept")
+    gone = materialize(named.groupBy(key, text).agg(F.bool_or("kept").alias("kept")).where("not kept").select(key, text), "dropped")
+    lost = gone.where(F.col(key).isNull()).select(text)
+    out = docs.join(gone.where(F.col(key).isNotNull()).select(key), doc_id == F.col(key), "left_anti")
     if lost.isEmpty():
         return out
-    return out.join(lost, doc_id.isNull() & (digest(F.col("text")) == F.col("_text")), "left_anti")
+    return out.join(lost, doc_id.isNull() & (digest(F.col("text")) == F.col(text)), "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, keyed_text, map_rows, materialize
+from .common import discard, free_name, keyed_text, map_rows, materialize
 from .components import connected_components
 
 #: Slots in each band; 128 slots make 32 bands. A pair at similarity 0.75 shares none with probability 5e-6.
@@ -232,6 +232,6 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one document of each group, with all of their columns. Rows that repeat a doc_id stay or go
     together; rows without one stay, as do texts without a word. An empty table gives an empty result. The dropped ids are written and joined against, so that the texts need not be shuffled where Spark can send the ids.
     """
-    found = near_duplicates(docs)
-    gone = materialize(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")), "dropped")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    found, key = near_duplicates(docs), free_name(docs, "gone")
+    gone = materialize(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept and doc_id is not null").select(F.col("doc_id").alias(key)), "dropped")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(key), "left_anti")

@@ -504,9 +504,31 @@ COLUMNS = {
     "op1_chat_formatting": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op2_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op3_token_counts": "doc_id n_bytes n_tokens over_limit",
     "op4_piece_sampling": "doc_id ids", "op5_language_id": "doc_id held_out lang_pred score", "op6_near_dedup": "doc_id n_shingles component_id kept", "op7_exact_dedup": "doc_id keep_id group_size kept text_sha256",
     "op8_url_filter": "page_id host path rule verdict", "op9_token_store": "doc_id start n_tokens ids_crc32", "op10_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature rgb",
+    "op11_source_divergence": "lang source part item value rank", "op12_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op13_importance_resampling": "doc_id n_features weight score rank",
 }
 
 
+def test_clashing_columns_pass_through(spark):
+    """Columns with the names that the filtering stages use, or might use, themselves."""
+    import corpus_pipeline
+
+    extra = ["_id", "_text", "_gone", "gone", "Gone_text", "key", "digest", "kept", "rep", "node"]
+    text = "eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf"
+    rows = [(1, text), (1, text), (2, text.replace(" ", "  ")), (3, text + " dreizehn"), (None, text), (None, "anders ist dieser Text"), (None, "anders  ist dieser Text"), (5, "ganz anders")]
+    df = spark.createDataFrame([(i, t, "de", *extra) for i, t in rows], ["doc_id", "text", "lang", *extra])
+    exact = exact_dedup.drop_copies(df)
+    # The rows without an id: one repeats a text that has one and goes, the two alike without one stay together.
+    assert exact.columns == df.columns and sorted((r.doc_id or 0) for r in exact.collect()) == [0, 0, 1, 1, 3, 5]
+    near = near_dedup.drop_near_copies(df)
+    assert near.columns == df.columns and {r.doc_id for r in near.collect()} == {1, 5, None}
+    docs = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == df.columns
+    assert {r.doc_id for r in docs.collect()} == {1, 5, None}
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()} == {1, 5, None}
+
+
 @pytest.mark.parametrize("name", COLUMNS)
 def test_every_query_has_its_columns_and_rows(spark, name):
     assert list(COLUMNS) == [n for n in queries.QUERIES if n.startswith("op")]
@@ -516,7 +538,7 @@ def test_every_query_has_its_columns_and_rows(spark, name):
     known = spark.read.parquet(f"{SF}/{'conversations' if name.startswith('op1_') else 'pages' if name.startswith('op8') else 'documents'}.parquet")
     want = {r[0] for r in known.select(got.columns[0]).collect()} | ({-7} if name.startswith("op1_") else set())
     assert {r[0] for r in keys} == want
-    if name.startswith(("op3", "op5", "op6", "op7", "op8", "op9", "op10")):
+    if name.startswith(("op3", "op5", "op6", "op7", "op8", "op9", "op10", "op12", "op13")):
         assert len(keys) == known.count()
 
 
