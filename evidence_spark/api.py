@@ -11,6 +11,7 @@ from .config import DEFAULT, Config
 from .operators import curation, guard, hybrid, tasks
 from .sources import codec
 from .sources.store import Committed, Store
+from .tables import written
 
 
 @dataclass
@@ -48,13 +49,12 @@ class Engine:
 
     def curate_and_commit(self, documents: DataFrame, assertions: DataFrame, fingerprints: dict[str, str]) -> dict[str, Committed | str]:
         """Curate, then commit each named document (ref_id -> fingerprint) that may be published; else the reason."""
-        done = self.curate(documents, assertions)
-        gate = {r.ref_id: r.reason for r in curation.commit_eligibility(done.reports).where(F.col("ref_id").isin(list(fingerprints))).collect()}
-        admitted, store, out = curation.admit(done.decisions, assertions), self._need("store"), {}
-        for ref_id, fingerprint in fingerprints.items():
-            reason = gate.get(ref_id, "unknown_document")
-            out[ref_id] = reason if reason else store.commit(ref_id, fingerprint, admitted.where(F.col("ref_id") == ref_id))
-        return out
+        done, store = self.curate(documents, assertions), self._need("store")
+        named = self.spark.createDataFrame(list(fingerprints.items()), "ref_id string, fingerprint string")
+        gate = written(named.join(curation.commit_eligibility(done.reports), "ref_id", "left").withColumn("reason", F.when(F.col("publishable").isNull(), "unknown_document").otherwise(F.col("reason"))), "gate")
+        committed = store.commit_all(gate.where("publishable").select("ref_id", "fingerprint"), written(curation.admit(done.decisions, assertions), "admitted"))
+        out: dict[str, Committed | str] = {r.ref_id: r.reason for r in gate.where("reason is not null").collect()}
+        return out | {r.ref_id: Committed(r.status, r.version_id, r.snapshot_id) for r in committed.collect()}
 
     # --- retrieval and guard -------------------------------------------------------------------------------------------
 

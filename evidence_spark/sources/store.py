@@ -18,7 +18,7 @@ from ..operators import curation, lifecycle
 from ..tables import delete, new_path, written
 
 SCHEMAS = {
-    "commits": "commit_id string, ref_id string, fingerprint string, phase string, batch_id string, snapshot_id string, version_id string, seq long",
+    "commits": "commit_id string, ref_id string, fingerprint string, phase string, batch_id string, snapshot_id string, version_id string, error string, seq long",
     "snapshots": "snapshot_id string, ref_id string, fingerprint string, content_hash string, n_assertions long, batch_id string",
     "versions": "version_id string, snapshot_id string, ref_id string, prior_version_id string, seq long",
     "pointer": "version_id string, seq long",
@@ -75,32 +75,44 @@ class Store:
     # --- commits -------------------------------------------------------------------------------------------------------
 
     def commit_states(self) -> DataFrame:
-        """The last phase of each commit: commit_id, ref_id, fingerprint, phase, batch_id, snapshot_id, version_id."""
-        last = F.max_by(F.struct("ref_id", "fingerprint", "phase", "batch_id", "snapshot_id", "version_id"), "seq")
-        return self.table("commits").groupBy("commit_id").agg(last.alias("x")).select("commit_id", "x.*")
+        """The last phase of each commit and what it amounts to: commit_id, ref_id, fingerprint, phase, batch_id, snapshot_id,
+        version_id, error, status (published, pending_vector or pending_finalize)."""
+        last = F.max_by(F.struct("ref_id", "fingerprint", "phase", "batch_id", "snapshot_id", "version_id", "error"), "seq")
+        status = F.when(F.col("x.phase") == "published", "published").when(F.col("x.phase").isin("vector_committed", "snapshot_created"), "pending_finalize").otherwise("pending_vector")
+        return self.table("commits").groupBy("commit_id").agg(last.alias("x")).select("commit_id", "x.*", status.alias("status"))
 
     def _log(self, todo: DataFrame, phase: str, batch: str, made: DataFrame | None = None) -> None:
-        none = F.lit(None).cast("string")
-        d = todo.join(made, "ref_id") if made is not None else todo.withColumn("snapshot_id", none).withColumn("version_id", none)
-        self.append("commits", d.select("commit_id", "ref_id", "fingerprint", F.lit(phase).alias("phase"), F.lit(batch).alias("batch_id"), "snapshot_id", "version_id", F.lit(self._next("commits")).cast("long").alias("seq")))
+        have = [*todo.columns, *(made.columns if made is not None else ())]
+        d = todo.join(made, "ref_id") if made is not None else todo
+        d = d.select("*", *(F.lit(None).cast("string").alias(c) for c in ("snapshot_id", "version_id", "error") if c not in have))
+        self.append("commits", d.select("commit_id", "ref_id", "fingerprint", F.lit(phase).alias("phase"), F.lit(batch).alias("batch_id"), "snapshot_id", "version_id", "error", F.lit(self._next("commits")).cast("long").alias("seq")))
 
     def commit_all(self, sources: DataFrame, admitted: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-        """ref_id, fingerprint, status, version_id, snapshot_id for each document of sources (ref_id, fingerprint; one row for
-        each ref_id). admitted: their assertions.
+        """ref_id, fingerprint, status, version_id, snapshot_id for each document of sources (ref_id, fingerprint). admitted: their
+        assertions. Two fingerprints of one document in a call are a ConflictError, before anything is written.
 
         Structure, document records, vectors, snapshots, versions in the order of ref_id, pointer: the stages of all documents
-        go together. The same source again is an idempotent_hit. embed(rows) adds vectors to the rows that name them
-        (vector_id, ref_id, assertion_id, content_hash, and what admitted has); where it fails, the documents stay
-        pending_vector, no version is published, and the same call goes on from there.
+        go together. The same source again is an idempotent_hit; a document without an assertion is nothing_admitted and leaves
+        no trace. embed(rows) adds vectors to the rows that name them (vector_id, ref_id, assertion_id, content_hash, and what
+        admitted has). It may add a column error: documents with a row where it is not null stay pending_vector, with the error
+        in their commit, while the others are published. Where it fails as a whole, all stay pending_vector. The same call again
+        goes on from there. Any other failure is raised; commit_states() then tells how far each document came.
         """
-        ident = F.substring(hashing.canonical_hash(F.col("ref_id"), F.col("fingerprint")), 1, 16)
-        asked = sources.select("ref_id", "fingerprint", ident.alias("commit_id")).dropDuplicates(["ref_id"])
-        asked = written(asked.join(self.commit_states().select("commit_id", "phase", "snapshot_id", "version_id"), "commit_id", "left"), "commit-requests")
-        hits = asked.where("phase <=> 'published'").select("ref_id", "fingerprint", F.lit("idempotent_hit").alias("status"), "version_id", "snapshot_id")
-        todo = asked.where("not (phase <=> 'published')").select("commit_id", "ref_id", "fingerprint")
+        sources = sources.select("ref_id", "fingerprint").distinct()
+        if not sources.groupBy("ref_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            raise ConflictError("a document with two fingerprints in one commit")
+        asked = sources.withColumn("commit_id", F.substring(hashing.canonical_hash(F.col("ref_id"), F.col("fingerprint")), 1, 16))
+        asked = asked.join(self.commit_states().select("commit_id", "phase", "snapshot_id", "version_id"), "commit_id", "left")
+        some = admitted.select("ref_id", F.lit(True).alias("some")).distinct()
+        asked = written(asked.join(some, "ref_id", "left"), "commit-requests")
+        none = F.lit(None).cast("string")
+        result = lambda rows, status, v=none, s=none: rows.select("ref_id", "fingerprint", F.lit(status).alias("status"), v.alias("version_id"), s.alias("snapshot_id"))
+        out = result(asked.where("phase <=> 'published'"), "idempotent_hit", F.col("version_id"), F.col("snapshot_id"))
+        out = out.unionByName(result(asked.where("not (phase <=> 'published') and some is null"), "nothing_admitted"))
+        todo = asked.where("not (phase <=> 'published') and some").select("commit_id", "ref_id", "fingerprint")
         n, key = todo.agg(F.count("*"), hashing.set_hash(F.col("commit_id"))).first()
         if not n:
-            return hits
+            return out
         batch = f"b-{key[:16]}"
         rows = admitted if "assertion_hash" in admitted.columns else admitted.withColumn("assertion_hash", curation.assertion_hash(admitted))
         rows = rows.join(todo, "ref_id")
@@ -115,24 +127,34 @@ class Store:
         vectors = rows.withColumn("vector_id", vector_id()).withColumn("assertion_id", F.col("id")).withColumn("content_hash", F.col("assertion_hash"))
         try:
             self._step("vectors")
-            made = embed(vectors) if embed else vectors.select("vector_id", "ref_id", "assertion_id", "content_hash")
-            made.write.mode("overwrite").parquet(f"{self.path}/vectors/batch={batch}")
-        except Exception:  # noqa: BLE001  whatever fails in a port leaves the commit pending
-            self._log(todo, "vector_pending", batch)
-            none = F.lit(None).cast("string")
-            return hits.unionByName(todo.select("ref_id", "fingerprint", F.lit("pending_vector").alias("status"), none.alias("version_id"), none.alias("snapshot_id")))
+            made = written(embed(vectors) if embed else vectors.select("vector_id", "ref_id", "assertion_id", "content_hash"), "vectors")
+        except Exception as e:  # noqa: BLE001  whatever fails in a port leaves the commits pending
+            self._log(todo.withColumn("error", F.lit(f"{type(e).__name__}: {e}"[:500])), "vector_pending", batch)
+            return out.unionByName(result(todo, "pending_vector"))
+        if "error" in made.columns:
+            failed = written(made.where("error is not null").groupBy("ref_id").agg(F.min("error").alias("error")), "failed")
+            made = made.join(failed.select("ref_id"), "ref_id", "left_anti").drop("error")
+            if not failed.isEmpty():
+                self._log(todo.join(failed, "ref_id"), "vector_pending", batch)
+                out = out.unionByName(result(todo.join(failed, "ref_id"), "pending_vector"))
+                todo = written(todo.join(failed, "ref_id", "left_anti"), "commit-requests")
+                rows = rows.join(failed, "ref_id", "left_anti")
+        made.write.mode("overwrite").parquet(f"{self.path}/vectors/batch={batch}")
         self._log(todo, "vector_committed", batch)
         manifests = written(self._manifests(rows, self.spark.read.parquet(f"{self.path}/usdo/batch={batch}"), batch), "manifests")
+        if manifests.isEmpty():
+            return out
         self._step("snapshot")
         fresh = manifests.join(self.table("snapshots").select("snapshot_id"), "snapshot_id", "left_anti")
         self.append("snapshots", written(fresh, "snapshots").select(*self.table("snapshots").columns))
+        self._log(todo, "snapshot_created", batch, manifests.select("ref_id", "snapshot_id"))
         self._step("publish")
         self._publish(manifests)
         made = manifests.select("ref_id", "snapshot_id").join(self.table("versions").select("snapshot_id", "version_id"), "snapshot_id")
         made = written(made, "published")
         self._step("finalize")
         self._log(todo, "published", batch, made)
-        return hits.unionByName(todo.join(made, "ref_id").select("ref_id", "fingerprint", F.lit("published").alias("status"), "version_id", "snapshot_id"))
+        return out.unionByName(result(todo.join(made, "ref_id"), "published", F.col("version_id"), F.col("snapshot_id")))
 
     def _manifests(self, rows: DataFrame, usdo: DataFrame, batch: str) -> DataFrame:
         none = F.lit(None).cast("string")
@@ -146,7 +168,8 @@ class Store:
 
     def _publish(self, snapshots: DataFrame) -> None:
         """One version for each snapshot, in the order of ref_id; the first follows the current one, so that after a rollback
-        the chain branches. Then the pointer names the last, unless it has done so before."""
+        the chain branches. Then the pointer names the last. Versions that a run left without naming them are named first."""
+        self._catch_up()
         known = self.table("versions")
         fresh = snapshots.join(known.select("snapshot_id"), "snapshot_id", "left_anti")
         if not fresh.isEmpty():
@@ -155,9 +178,15 @@ class Store:
             prior = F.when(F.col("seq") == first, F.lit(current)).otherwise(version_name(F.col("seq") - 1))
             self.append("versions", d.select(version_name(F.col("seq")).alias("version_id"), "snapshot_id", "ref_id", prior.alias("prior_version_id"), "seq"))
         self._step("pointer")
-        last = self.table("versions").join(snapshots.select("snapshot_id"), "snapshot_id", "left_semi").agg(F.max_by("version_id", "seq")).first()[0]
-        if self.table("pointer").where(F.col("version_id") == last).isEmpty():
-            self._move(last)
+        self._catch_up()
+
+    def _catch_up(self) -> None:
+        """The pointer names the last version, unless it has named that or a later one before: a rollback stays one."""
+        versions = self.table("versions")
+        last = versions.agg(F.max_by("version_id", "seq").alias("version_id"), F.max("seq").alias("seq")).first()
+        named = versions.join(self.table("pointer").select("version_id"), "version_id", "left_semi").agg(F.max("seq")).first()[0]
+        if last.seq and last.seq > (named or 0):
+            self._move(last.version_id)
 
     def commit(self, ref_id: str, fingerprint: str, admitted: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None) -> Committed:
         """One document."""
@@ -166,10 +195,12 @@ class Store:
         return Committed(r.status, r.version_id, r.snapshot_id)
 
     def sweep(self) -> None:
-        """Removes the staged files of commits that were never published: compensation for runs that nobody repeats."""
+        """Removes the staged files of commits that were never published: compensation for runs that nobody repeats. A batch that
+        the snapshot of a published version names stays, whichever set of documents published it."""
         states = self.commit_states()
-        kept = states.where("phase = 'published'").select("batch_id").distinct()
-        for r in states.select("batch_id").distinct().join(kept, "batch_id", "left_anti").toLocalIterator():
+        kept = states.where("phase = 'published'").select("batch_id")
+        kept = kept.unionByName(self.table("snapshots").join(self.table("versions").select("snapshot_id"), "snapshot_id", "left_semi").select("batch_id")).distinct()
+        for r in self.table("commits").select("batch_id").distinct().join(kept, "batch_id", "left_anti").toLocalIterator():
             for part in ("structural", "usdo", "vectors"):
                 delete(self.spark, f"{self.path}/{part}/batch={r.batch_id}")
 

@@ -590,6 +590,49 @@ def test_a_failing_vector_port_leaves_the_commit_pending(spark, tmp_path):
     assert store.resolve().count() == 1
 
 
+def test_two_fingerprints_and_documents_without_assertions(spark, tmp_path):
+    store, a = Store(spark, f"{tmp_path}/kb"), assertions(spark, assertion("A1"))
+    frame = lambda *rows: spark.createDataFrame(list(rows), "ref_id string, fingerprint string")
+    with pytest.raises(ConflictError):
+        store.commit_all(frame(("R1", "f1"), ("R1", "f2")), a)
+    assert store.table("commits").isEmpty()
+    for want in ("published", "idempotent_hit"):
+        got = {r.ref_id: r.status for r in store.commit_all(frame(("R1", "f1"), ("R1", "f1"), ("R2", "f2")), a).collect()}
+        assert got == {"R1": want, "R2": "nothing_admitted"}
+    assert {r.ref_id: r.status for r in store.commit_states().collect()} == {"R1": "published"} and store.commit("R2", "f2", a).status == "nothing_admitted"
+
+
+def test_one_bad_document_does_not_hold_back_the_others(spark, tmp_path):
+    store, bad = Store(spark, f"{tmp_path}/kb"), ["R2"]
+    embed = lambda rows: rows.select("vector_id", "ref_id", "assertion_id", "content_hash", F.when(F.col("ref_id").isin(bad), "not finite").alias("error"))
+    sources = spark.createDataFrame([("R1", "f1"), ("R2", "f2"), ("R3", "f3")], "ref_id string, fingerprint string")
+    a = assertions(spark, assertion("A1"), assertion("B1", "R2"), assertion("B2", "R2"), assertion("C1", "R3"))
+    assert {r.ref_id: r.status for r in store.commit_all(sources, a, embed).collect()} == {"R1": "published", "R2": "pending_vector", "R3": "published"}
+    assert {r.ref_id: (r.status, r.error) for r in store.commit_states().collect()} == {"R1": ("published", None), "R2": ("pending_vector", "not finite"), "R3": ("published", None)}
+    store.sweep()
+    bad.clear()
+    assert {r.ref_id: (r.status, r.version_id) for r in store.commit_all(sources, a, embed).collect()} == {"R1": ("idempotent_hit", "kbv-0001"), "R2": ("published", "kbv-0003"), "R3": ("idempotent_hit", "kbv-0002")}
+    assert store.resolve("kbv-0001").count() == 1 and store.resolve("kbv-0003").count() == 2
+
+
+@pytest.mark.parametrize(("fail_at", "status"), [("vectors", "pending_vector"), ("snapshot", "pending_finalize"), ("publish", "pending_finalize"), ("pointer", "pending_finalize"), ("finalize", "pending_finalize")])
+def test_states_after_a_failure_and_a_retry_in_another_set(spark, tmp_path, fail_at, status):
+    """Documents whose commit stopped are published by a call with other documents; sweeping then removes nothing that is read."""
+    store = Store(spark, f"{tmp_path}/kb", fail_at=fail_at)
+    frame = lambda *rows: spark.createDataFrame(list(rows), "ref_id string, fingerprint string")
+    a = assertions(spark, assertion("A1"), assertion("B1", "R2"), assertion("C1", "R3"))
+    try:
+        store.commit_all(frame(("R1", "f1"), ("R2", "f2")), a)
+    except RuntimeError:
+        assert fail_at != "vectors"
+    assert {r.ref_id: r.status for r in store.commit_states().collect()} == {"R1": status, "R2": status}
+    assert {r.status for r in store.commit_all(frame(("R1", "f1"), ("R3", "f3")), a).collect()} == {"published"}
+    store.sweep()
+    for r in store.table("versions").collect():
+        assert [x.ref_id for x in store.resolve(r.version_id).collect()] == [r.ref_id]
+    assert store.commit("R2", "f2", a).status == "published" and {r.ref_id for r in store.knowledge_base().collect()} == {"R1", "R2", "R3"}
+
+
 def test_append_once_refuses_two_materials_of_one_key(spark, tmp_path):
     store = Store(spark, f"{tmp_path}/kb")
     rows = lambda *r: spark.createDataFrame(list(r), "lifecycle_id string, ref_id string, status string, reason string, effective_version_id string, created_seq long")
