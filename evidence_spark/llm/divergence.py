@@ -21,6 +21,8 @@ COUNTERS, READ = 400_000, 128 << 20
 PREFIX, RANGE, MERGED, WALKED = 3, 20_000, 1_000_000, 250_000
 #: Entries of a matrix of sources by terms; sources up to which a task sums pairs before it hands them on.
 CELLS, SUMMED = 1_000_000, 1024
+#: Bytes at the head of terms that are compared at once.
+HEAD = 24
 #: Bytes of a long text that are cut into terms at a time.
 PIECE = 1 << 20
 
@@ -55,18 +57,19 @@ class Trie:
     def edges(self, starts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
         """For each leaf the depth at which its path leaves that of the leaf before, and the bytes below; a subtrie that begins
         at one of starts stands alone."""
-        depth, first = np.zeros(len(self.terms), np.int32), set(starts.tolist())
-        for i in range(1, len(self.terms)):
-            if i not in first:
-                a, b = self.terms[i - 1], self.terms[i]
-                n = min(len(a), len(b))
-                if a[:n] == b[:n]:
-                    depth[i] = n
-                else:
-                    k = 0
-                    while a[k] == b[k]:
-                        k += 1
-                    depth[i] = k
+        depth, first = np.zeros(len(self.terms), np.int32), np.zeros(len(self.terms), bool)
+        first[starts] = True
+        for at in range(0, len(self.terms) - 1, 100_000):
+            # Terms have no zero byte, so the first byte in which the padded heads differ is where the paths part.
+            heads = np.array(self.terms[at : at + 100_001], f"S{HEAD}").view(np.uint8).reshape(-1, HEAD)
+            differ = heads[1:] != heads[:-1]
+            here = differ.argmax(axis=1)
+            for i in np.flatnonzero(~differ.any(axis=1)).tolist():
+                x, y = self.terms[at + i], self.terms[at + i + 1]
+                n = min(len(x), len(y))
+                here[i] = n if x[:n] == y[:n] else next(k for k in range(HEAD, n) if x[k] != y[k])
+            depth[at + 1 : at + 1 + len(here)] = here
+        depth[first] = 0
         return depth, [t[d:] for t, d in zip(self.terms, depth.tolist(), strict=True)]
 
     def kept(self, least: int) -> Trie:
@@ -77,14 +80,29 @@ class Trie:
         return Trie([t for t, k in zip(self.terms, keep.tolist(), strict=True) if k], self.docs[keep], self.sources, number[self.leaf[own]], self.source[own], self.n[own])
 
 
-def trie_of(row: dict) -> Trie:
+def _spelled(depth: list[int], tail: list[bytes]) -> list[bytes]:
     terms, last = [], b""
-    for d, tail in zip(row["depth"], row["tail"], strict=True):
-        last = last[:d] + tail
+    for d, t in zip(depth, tail, strict=True):
+        last = last[:d] + t
         terms.append(last)
-    whole = (np.asarray(row[c], np.int64) for c in ("docs", "leaf", "source", "n"))
-    docs, leaf, source, n = whole
-    return Trie(terms, docs, list(row["sources"]), leaf, source, n)
+    return terms
+
+
+def trie_of(row: dict) -> Trie:
+    docs, leaf, source, n = (np.asarray(row[c], np.int64) for c in ("docs", "leaf", "source", "n"))
+    return Trie(_spelled(row["depth"], row["tail"]), docs, list(row["sources"]), leaf, source, n)
+
+
+def _joined(rows) -> Trie:
+    """The subtries of a record batch's rows side by side, as one list of leaves: a term may come several times."""
+    lists = {c: rows.column(c) for c in ("depth", "tail", "docs", "sources", "leaf", "source", "n")}
+    flat = {c: x.flatten() for c, x in lists.items()}
+    sizes = {c: lists[c].value_lengths().to_numpy(zero_copy_only=False) for c in ("depth", "sources", "leaf")}
+    before = {c: np.repeat(np.cumsum(x) - x, sizes["leaf"]) for c, x in sizes.items() if c != "leaf"}
+    names = flat["sources"].dictionary_encode()
+    number = lambda c: flat[c].to_numpy(zero_copy_only=False).astype(np.int64)
+    source = names.indices.to_numpy(zero_copy_only=False)[number("source") + before["sources"]]
+    return Trie(_spelled(flat["depth"].to_pylist(), flat["tail"].to_pylist()), number("docs"), names.dictionary.to_pylist(), number("leaf") + before["depth"], source.astype(np.int64), number("n"))
 
 
 def merge(tries: list[Trie]) -> Trie:
@@ -96,7 +114,7 @@ def merge(tries: list[Trie]) -> Trie:
     own = [np.fromiter(map(at.__getitem__, x.terms), np.int64, len(x.terms)) for x in tries]
     docs = np.zeros(len(terms), np.int64)
     for o, x in zip(own, tries, strict=True):
-        docs[o] += x.docs  # a trie holds each term once
+        np.add.at(docs, o, x.docs)
     key = np.concatenate([o[x.leaf] * len(names) + np.array([number[s] for s in x.sources], np.int64)[x.source] for o, x in zip(own, tries, strict=True) if len(x.leaf)] or [np.empty(0, np.int64)])
     n = np.concatenate([x.n for x in tries] or [np.empty(0, np.int64)])
     order = np.argsort(key, kind="stable")
@@ -174,22 +192,32 @@ def _merge_ranges(least: int):
     """Rows sorted by (lang, prefix): the subtries of consecutive prefixes of a language become one range of about RANGE counters."""
 
     def run(batches: Iterator) -> Iterator:
-        lang = prefix = None
-        parts, fresh, size = [], 0, 0
+        lang, parts, fresh, size = None, [], 0, 0
 
         def done():
             whole = merge(parts).kept(least)
             if whole.terms:
                 yield _subtries(lang, whole, np.zeros(1, np.int64))
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                if parts and (row["lang"] != lang or row["prefix"] != prefix and size >= RANGE):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                langs, prefixes, held = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(8).value_lengths().to_pylist()
+                start, key = 0, (langs[0], prefixes[0])
+                if parts and (langs[0] != lang or size >= RANGE and prefixes[0] != last):
                     yield from done()
                     parts, fresh, size = [], 0, 0
-                lang, prefix = row["lang"], row["prefix"]
-                parts.append(trie_of(row))
-                fresh, size = fresh + len(row["n"]), size + len(row["n"])
+                lang = langs[0]
+                for i in range(batch.num_rows):
+                    if (langs[i], prefixes[i]) != key:
+                        key = (langs[i], prefixes[i])
+                        if langs[i] != lang or size >= RANGE:
+                            parts.append(_joined(batch.slice(start, i - start)))
+                            yield from done()
+                            start, lang, parts, fresh, size = i, langs[i], [], 0, 0
+                    fresh, size = fresh + held[i], size + held[i]
+                parts.append(_joined(batch.slice(start)))
+                last = prefixes[-1]
                 if fresh >= MERGED:
                     parts, fresh = [merge(parts)], 0
         if parts:
@@ -312,7 +340,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, listed: int = LISTED) -
     columns = ["lang", "names", "totals", "v", *(x.split()[0] for x in TRIE.split(", "))]
     tasks = 1 + (tries.agg(F.sum(F.size("n"))).first()[0] or 0) // WALKED
     walked = tries.join(sums, "lang").select(columns).unionByName(sums.select("lang", "names", "totals", "v", *none))
-    found = materialize(walked.coalesce(tasks).mapInArrow(_walk(listed), "lang string, source string, part string, item string, value long"), "walked")
+    found = materialize(walked.coalesce(tasks).sortWithinPartitions("lang").mapInArrow(_walk(listed), "lang string, source string, part string, item string, value long"), "walked")
     whole = found.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     both = F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item"))))
     pairs = whole.select("lang", both.alias("x"), "value").select("lang", "x.source", F.lit("pair").alias("part"), "x.item", "value")
