@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..functions import text as T
+from ..tables import discard, written
 
 
 def normalized(candidates: DataFrame, title: Column | None = None) -> DataFrame:
@@ -118,6 +119,94 @@ def proceed(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
+#: What a version id that proceed() gives looks like.
+OWN_ID = "^[0-9a-f]{16}$"
+
+
+def _keys(rows: DataFrame, *more: Column) -> Column:
+    """What a row may share with others, as digests, so that titles of any length travel as 16 bytes."""
+    tagged = lambda tag, *c: F.when(F.concat(*c).isNotNull(), F.md5(hashing.packed(F.lit(tag), *c)))
+    return F.array_distinct(F.array_compact(F.array(tagged("d", F.col("norm_doi")), tagged("s", F.col("norm_stable")), tagged("t", F.col("norm_title")), tagged("r", F.col("ref_id"), F.col("source_fingerprint")), *(tagged("w", c) for c in more))))
+
+
+def _never_registers(c: DataFrame, registry: DataFrame) -> DataFrame:
+    """c with column never: rows whose stated lineage is wrong whatever the rows before them do, or whose identifier already has
+    several works. They are decided in their turn, but nothing needs to wait for them."""
+    works = registry.select(F.col("work_id").alias("explicit_work_id")).distinct().unionByName(c.select(F.col("own_work").alias("explicit_work_id")).distinct()).distinct().withColumn("_w", F.lit(True))
+    versions = registry.select(F.col("source_version_id").alias("explicit_prior_version_id")).distinct().withColumn("_v", F.lit(True))
+    d = c.join(works, "explicit_work_id", "left").join(versions, "explicit_prior_version_id", "left")
+    for key in ("norm_doi", "norm_stable"):
+        d = d.join(_works(registry, key, key).where(F.col(f"{key}_lo") != F.col(f"{key}_hi")).select(key, F.lit(True).alias(f"_{key}")), key, "left")
+    work, prior, rel = F.col("explicit_work_id"), F.col("explicit_prior_version_id"), F.col("explicit_relation")
+    stated = work.isNotNull() | prior.isNotNull() | (rel.isNotNull() & (rel != "none"))
+    wrong = (rel == "none") | (work.isNull() & prior.isNull()) | (work.isNotNull() & F.col("_w").isNull()) | (prior.isNotNull() & F.col("_v").isNull() & ~prior.rlike(OWN_ID)) | (rel.isin("preprint_to_journal", "revision_of", "corrected_version") & prior.isNull())
+    never = (stated & F.coalesce(wrong, F.lit(False))) | F.coalesce("_norm_doi", "_norm_stable", F.lit(False))
+    return d.select(*c.columns, never.alias("never"), (prior.isNotNull() & F.col("_v").isNull() & prior.rlike(OWN_ID)).alias("waits"))
+
+
+def _as_seen(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows, where works and versions that only rows after them registered have names that nothing has."""
+    later = lambda c, key: known.groupBy(F.col(c).alias(key)).agg(F.min(F.coalesce("registered", F.lit(-(1 << 62)))).alias("_at"))
+    out = rows
+    for c, key in (("work_id", "explicit_work_id"), ("source_version_id", "explicit_prior_version_id")):
+        out = out.join(later(c, key), key, "left").withColumn(key, F.when(F.col("_at") > F.col("seq"), F.concat(F.lit("later:"), key)).otherwise(F.col(key))).drop("_at")
+    return out
+
+
+def intake_in_order(candidates: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(decisions as of classify_intake(), the grown registry) of candidates that are taken in one after the other, by seq: each is
+    held against the registry and all rows before it that were registered. seq is unique.
+
+    Rows depend on each other only through what they share: DOI, stable id, title, (ref_id, fingerprint), or a work that one
+    founds and another names. Once a row with a key is registered, the key's work does not change any more. So rounds go over all
+    rows at once: a row is ready when, for each of its keys, there is a registered row or no row before it still waits. Ready
+    rows are classified together and registered. A DOI that a third of the rows have is settled in two rounds, as is any key; a
+    row that cannot register holds up nobody. A row that names a version of this very batch waits for all rows before it.
+    """
+    c = _with(candidates, EXPLICIT)
+    c = c.withColumn("own_work", hashing.canonical_hash(F.lit("new_work"), F.col("ref_id"), F.col("source_fingerprint"), length=16))
+    c = written(_never_registers(c, _with(registry, RECORD)), "intake")
+    rows = c.drop("own_work", "never", "waits")
+    known = written(_with(registry, RECORD).select("source_version_id", "work_id", "ref_id", "source_fingerprint", "norm_doi", "norm_title", "norm_stable", "source_kind", "relation", "prior_source_version_id", F.lit(None).cast("long").alias("registered")), "registry")
+    # A work's founder holds the key of the work's name for those that name it.
+    own = lambda rows: F.md5(hashing.packed(F.lit("r"), F.col("ref_id"), F.col("source_fingerprint")))
+    name = F.when(F.col("explicit_work_id").isNotNull(), F.md5(hashing.packed(F.lit("w"), F.col("explicit_work_id"))))
+    keys = c.select("seq", "never", own(c).alias("own"), name.alias("name"), F.explode(_keys(c, F.col("explicit_work_id"), F.col("own_work"))).alias("key"))
+
+    def left(open_: DataFrame, registered: DataFrame) -> DataFrame:
+        """Keys that are still open. A row whose source is registered is a replay: it registers nothing, and only a work that it
+        names still matters to it."""
+        held = registered.select(F.explode(_keys(registered, F.col("work_id"))).alias("key")).distinct()
+        again = registered.select(own(registered).alias("own"), F.lit(True).alias("again")).distinct()
+        d = open_.join(held, "key", "left_anti").join(again, "own", "left")
+        return d.where("again is null or key = name").withColumn("never", F.col("never") | F.coalesce("again", F.lit(False))).select("seq", "never", "own", "name", "key")
+
+    open_ = written(left(keys, known), "intake-keys")
+    waiting = written(c.select("seq", "never", "waits"), "intake-waiting")
+    decisions = []
+    while not waiting.isEmpty():
+        first = open_.where("not never").groupBy("key").agg(F.min("seq").alias("first"))
+        blocked = open_.join(first, "key").where("seq > first").select("seq").distinct()
+        ready = waiting.join(blocked, "seq", "left_anti")
+        if not ready.where("waits").isEmpty():
+            least = waiting.where("not never").agg(F.min("seq")).first()[0]
+            ready = ready.where(~F.col("waits") | (F.col("seq") <= (least if least is not None else 1 << 62)))
+        now = written(_as_seen(rows.join(ready.select("seq"), "seq", "left_semi"), known), "intake-ready")
+        done = written(classify_intake(now, known), "intake-decisions")
+        at = now.groupBy("ref_id", "source_fingerprint").agg(F.min("seq").alias("registered"))
+        fresh = written(proceed(now, done).drop("kb_version_id", "snapshot_id").join(at, ["ref_id", "source_fingerprint"]), "intake-registered")
+        decisions.append(done)
+        known = known.unionByName(fresh)
+        after = written(left(open_.join(done.select("seq"), "seq", "left_anti"), fresh), "intake-keys")
+        still = written(waiting.join(done.select("seq"), "seq", "left_anti"), "intake-waiting")
+        discard(open_, waiting, now)
+        open_, waiting = after, still
+    out = decisions[0] if decisions else classify_intake(rows, known)
+    for d in decisions[1:]:
+        out = out.unionByName(d)
+    return out, known.drop("registered")
+
+
 def finalize_bind(registry: DataFrame, commits: DataFrame) -> DataFrame:
     """The registry with the published version and snapshot of its rows. commits: source_version_id, status, version_id,
     snapshot_id. Binding a row anew to something else, or on a commit that is not published, is an error."""

@@ -315,6 +315,20 @@ def source_registration(spark, d):
     return new.select("ref_id", "work_id", "relation", "prior_source_version_id", "source_kind", "norm_doi", "norm_stable")
 
 
+@query
+def ordered_intake(spark, d):
+    """History and submissions of all documents, taken in one after the other; the first of its work founds it."""
+    rows = _submitted(V.batch(spark, d))
+    nothing = identity.register(rows.limit(0))
+    decisions, registry = identity.intake_in_order(rows, nothing)
+    founded = registry.select("ref_id", "source_fingerprint", F.col("work_id").alias("registered_as"))
+    d_ = decisions.join(rows.select("seq", "ref_id", "source_fingerprint"), "seq")
+    # A work is named by the smallest row that has it, as ids are digests.
+    named = d_.where("disposition in ('new_work', 'same_work_new_version')").join(founded, ["ref_id", "source_fingerprint"]).groupBy(F.col("registered_as").alias("name")).agg(F.min("seq").alias("work_seq"))
+    work = d_.join(founded, ["ref_id", "source_fingerprint"], "left").withColumn("w", F.when(F.col("disposition") == "new_work", F.col("registered_as")).otherwise(F.col("work_id")))
+    return work.join(named, F.col("w") == F.col("name"), "left").select("seq", "disposition", "work_seq", "conflict_reason")
+
+
 def _aligned(spark, d) -> DataFrame:
     units = V.units(spark, d)
     return delta.valid_pairs(delta.align_units(*units), delta.alignment_errors(*units))

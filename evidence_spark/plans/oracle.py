@@ -309,6 +309,23 @@ ORACLE: dict[str, str] = {
         SELECT page_id, substr(lower(d), 17) AS work_doi, substr(lower(d), 17) AS cited_doi, s AS stable_id, t AS title, 'eddo:page:' || replace(lower(s), ' ', '_') AS entity FROM p""",
     "normalize_title_nfkc": r"SELECT doc_id, nullif(replace(lower(nfc_normalize(trim(regexp_replace(text, '\s+', ' ', 'g')))), 'ß', 'ss'), '') AS title FROM documents",  # exact where a text has no sign that only compatibility folding changes
     "source_intake_classification": f"WITH {intake('sub')} SELECT seq, disposition, work_id, relation, conflict_reason FROM intake",
+    # One row after the other; the recurring table holds what each key is known to name.
+    "ordered_intake": f"""WITH RECURSIVE {SOURCES},
+        both_ AS (SELECT seq * 2 AS seq, ref_id, fp, doi, sid, md5(ttl) AS t FROM hist UNION ALL SELECT seq * 2 + 1, ref_id, fp, doi, sid, md5(ttl) FROM sub),
+        o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY seq) AS i, *, 'r' || ref_id || '|' || fp AS rk FROM both_),
+        st(k, w, seq, disposition, doi, sid, t) USING KEY (k) AS (
+          SELECT 'at', 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR
+          UNION
+          SELECT u.k, CASE WHEN u.k = 'at' THEN i ELSE w END, seq, disposition, doi, sid, t FROM (
+            SELECT *, CASE disposition WHEN 'new_work' THEN seq WHEN 'same_work_new_version' THEN coalesce(dw, sw) WHEN 'exact_replay' THEN kw WHEN 'identity_conflict' THEN kw END AS w FROM (
+              SELECT *, CASE WHEN kw IS NOT NULL THEN CASE WHEN coalesce(doi <> kd, false) OR coalesce(sid <> ks, false) OR coalesce(t <> kt, false) THEN 'identity_conflict' ELSE 'exact_replay' END
+                WHEN dw <> sw THEN 'identity_conflict' WHEN dw IS NOT NULL OR sw IS NOT NULL THEN 'same_work_new_version' WHEN tw IS NOT NULL THEN 'review_required' ELSE 'new_work' END AS disposition
+              FROM (SELECT o.*, d.w AS dw, s.w AS sw, x.w AS tw, r.w AS kw, r.doi AS kd, r.sid AS ks, r.t AS kt FROM st p JOIN o ON o.i = p.w + 1
+                LEFT JOIN recurring.st d ON d.k = 'd' || o.doi LEFT JOIN recurring.st s ON s.k = 's' || o.sid LEFT JOIN recurring.st x ON x.k = 't' || o.t LEFT JOIN recurring.st r ON r.k = o.rk WHERE p.k = 'at'))) y,
+            (SELECT unnest(['at', 'out', 'd', 's', 't', 'r']) AS tag) g, LATERAL (SELECT CASE tag WHEN 'at' THEN 'at' WHEN 'out' THEN 'out' || i WHEN 'd' THEN CASE WHEN dw IS NULL THEN 'd' || doi END WHEN 's' THEN CASE WHEN sw IS NULL THEN 's' || sid END WHEN 't' THEN 't' || t ELSE rk END AS k) u
+          WHERE u.k IS NOT NULL AND (tag IN ('at', 'out') OR disposition IN ('new_work', 'same_work_new_version'))
+        )
+        SELECT seq, disposition, w AS work_seq, CASE disposition WHEN 'identity_conflict' THEN CASE WHEN w IS NOT NULL THEN 'material contradiction on replay' ELSE 'doi and stable id of different works' END END AS conflict_reason FROM st WHERE starts_with(k, 'out')""",
     "explicit_lineage_classification": f"WITH {intake('lin')} SELECT seq, disposition, work_id, relation, conflict_reason FROM intake",
     "source_registration": f"""WITH {intake('lin')} SELECT ref_id, CASE WHEN disposition = 'new_work' THEN substr(sha256({packed("'new_work'", "ref_id", "fp")}), 1, 16) ELSE work_id END AS work_id, coalesce(erel, CASE WHEN disposition = 'new_work' THEN 'none' ELSE 'revision_of' END) AS relation, eprior AS prior_source_version_id, kind AS source_kind, doi AS norm_doi, sid AS norm_stable
         FROM intake WHERE disposition IN ('new_work', 'same_work_new_version')""",

@@ -143,6 +143,11 @@ def submissions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def batch(spark: SparkSession, d: str) -> DataFrame:
+    """The history and the submissions as one batch, those of a document one after the other: nothing is known before it."""
+    return history(spark, d).withColumn("seq", F.col("seq") * 2).unionByName(submissions(spark, d).withColumn("seq", F.col("seq") * 2 + 1))
+
+
 def lineage_submissions(spark: SparkSession, d: str) -> DataFrame:
     """Source candidates that state a lineage, one for each document: works and versions known and unknown, each relation."""
     k = F.col("doc_id")

@@ -380,6 +380,75 @@ def test_intake_precedence(spark):
     assert got == {10: "exact_replay", 11: "identity_conflict", 12: "same_work_new_version", 13: "identity_conflict", 14: "same_work_new_version", 15: "review_required", 16: "new_work"}
 
 
+def _one_after_the_other(rows, new_id, version_id):
+    """The registry's rules on rows (seq, ref, fp, title, doi, sid, work, prior, relation, kind), in plain Python."""
+    registry, out = [], {}
+    for seq, ref, fp, title, doi, sid, work, prior, rel, kind in sorted(rows):
+        by = lambda k, v: {r["work"] for r in registry if v is not None and r[k] == v}
+        same = next((r for r in registry if (r["ref"], r["fp"]) == (ref, fp)), None)
+        p = next((r for r in registry if r["id"] == prior), None) if prior else None
+        known = work in {r["work"] for r in registry}
+        d, s, t = by("doi", doi), by("sid", sid), by("title", title)
+        stated = work is not None or prior is not None or rel not in (None, "none")
+        target, why, disposition = work or (p and p["work"]), None, None
+        relation = rel or ("revision_of" if prior else "explicit_same_work")
+        if same:
+            wrong = (work and (not known or work != same["work"])) or (prior and (p is None or p["work"] != same["work"] or prior != same["prior"])) or (rel and rel != same["rel"]) or (kind and same["kind"] and kind != same["kind"])
+            wrong = wrong or any(x is not None and same[k] is not None and x != same[k] for k, x in (("doi", doi), ("sid", sid), ("title", title)))
+            disposition, named = ("identity_conflict" if wrong else "exact_replay"), same["work"]
+        elif len(d) > 1 or len(s) > 1 or (d and s and d != s):
+            disposition, named = "identity_conflict", None
+        elif stated:
+            wrong = (rel == "none" and (work or prior)) or (not work and not prior) or (work and not known) or (prior and (p is None or (work and p["work"] != work))) or (d and d != {target}) or (s and s != {target})
+            wrong = wrong or (relation in ("revision_of", "corrected_version", "preprint_to_journal") and not prior) or (relation == "preprint_to_journal" and (p["kind"] != "preprint" or kind != "journal"))
+            disposition, named = ("identity_conflict", None) if wrong else ("same_work_new_version", target)
+        elif d or s:
+            disposition, named = "same_work_new_version", min(d or s)
+        else:
+            disposition, named = ("review_required", None) if t else ("new_work", None)
+        out[seq] = (disposition, named)
+        if disposition in ("new_work", "same_work_new_version"):
+            w = named or new_id(ref, fp)
+            registry.append({"id": version_id(ref, fp, w), "work": w, "ref": ref, "fp": fp, "doi": doi, "sid": sid, "title": title, "kind": kind, "prior": prior, "rel": rel or ("none" if disposition == "new_work" else "revision_of")})
+    return out, registry
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_intake_in_order(spark, seed):
+    import hashlib
+
+    packed = lambda *x: hashlib.sha256(",".join(f"{len(v)}:{v}" for v in x).encode()).hexdigest()[:16]
+    new_id, version_id = (lambda r, f: packed("new_work", r, f)), packed
+    rng, rows = random.Random(seed), []
+    for seq in range(80):
+        ref, fp = f"R{rng.randrange(30)}", f"f{rng.randrange(2)}"
+        some = lambda p, x: x if rng.random() < p else None
+        work = some(0.15, new_id(f"R{rng.randrange(30)}", f"f{rng.randrange(2)}") if rng.random() < 0.8 else "W-none")
+        prior = some(0.1, version_id(f"R{(k := rng.randrange(30))}", "f0", new_id(f"R{k}", "f0")) if rng.random() < 0.8 else "SV-none")
+        rel = some(0.2, rng.choice(["none", "revision_of", "explicit_same_work", "preprint_to_journal"]))
+        rows.append((seq, ref, fp, some(0.4, rng.choice(["a", "b", "c", "d"])), some(0.5, rng.choice(["10.1/hot", "10.1/x", f"10.1/{seq % 7}"])), some(0.4, f"S{rng.randrange(5)}"), work, prior, rel, some(0.8, rng.choice(["journal", "preprint"]))))
+    df = spark.createDataFrame(rows, "seq long, ref_id string, source_fingerprint string, title string, doi string, stable_id string, explicit_work_id string, explicit_prior_version_id string, explicit_relation string, source_kind string")
+    ready = identity.normalized(df, T.ascii_work_title(F.col("title")))
+    decisions, registry = identity.intake_in_order(ready, identity.register(ready.limit(0)))
+    want, registered = _one_after_the_other(rows, new_id, version_id)
+    assert {r.seq: (r.disposition, r.work_id) for r in decisions.collect()} == want
+    assert sorted((r.source_version_id, r.work_id) for r in registry.collect()) == sorted((r["id"], r["work"]) for r in registered)
+    assert {d for d, _ in want.values()} == {"identity_conflict", "exact_replay", "same_work_new_version", "review_required", "new_work"}
+
+
+def test_intake_of_a_chain_and_of_one_hot_key(spark, monkeypatch):
+    """Thousands of rows of one DOI, each linked to others through its stable id, take a few rounds; of two new ones the second
+    is a version of the first's work, and works that meet through both ids conflict."""
+    rounds = []
+    real = identity.classify_intake
+    monkeypatch.setattr(identity, "classify_intake", lambda *a: rounds.append(1) or real(*a))
+    rows = spark.range(3000).select(F.col("id").alias("seq"), F.concat(F.lit("R"), "id").alias("ref_id"), F.lit("f").alias("source_fingerprint"), F.lit(None).cast("string").alias("title"), F.when(F.col("id") % 3 != 1, "10.1/hot").alias("doi"), F.when(F.col("id") % 3 != 0, F.concat(F.lit("S"), (F.col("id") / 3).cast("int"))).alias("stable_id"))
+    ready = identity.normalized(rows, T.ascii_work_title(F.col("title")))
+    decisions, _ = identity.intake_in_order(ready, identity.register(ready.limit(0)))
+    got = {r.disposition: r.n for r in decisions.groupBy("disposition").agg(F.count("*").alias("n")).collect()}
+    assert got == {"new_work": 1001, "same_work_new_version": 999, "identity_conflict": 1000} and len(rounds) <= 4
+
+
 def test_whole_texts_are_normalised_as_titles(spark, tmp_path):
     import unicodedata
 
