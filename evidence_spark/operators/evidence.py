@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import hashing
+from ..functions import vectors as vectors_
 from ..tables import written
 from . import bm25, guard, hybrid
 
@@ -38,8 +39,17 @@ def subqueries(requests: DataFrame) -> DataFrame:
     return d.select("request_id", "position", F.get("k", "position").alias("coverage_key"), F.concat_ws("#", F.col("request_id").cast("string"), "position").alias("query_id"), "text", "allowed_ref_ids")
 
 
+def _embedded(queries: DataFrame, embed) -> DataFrame:
+    """What embed() gives, if it is one finite vector for each query, all of one length; else an error."""
+    out = written(embed(queries).select("query_id", "embedding"), "embedded")
+    bad = out.agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("ids"), F.count_distinct(F.size("embedding")).alias("sizes"), F.count_if(~F.coalesce(vectors_.finite(F.col("embedding")), F.lit(False))).alias("odd")).first()
+    if bad.odd or bad.sizes > 1 or not bad.n == bad.ids == queries.count():
+        raise ValueError("an embedder must give one finite vector for each query, all of one length")
+    return out
+
+
 def retrieve(
-    requests: DataFrame, chunks: DataFrame, index: bm25.Index | None = None, vectors: DataFrame | None = None, embed=None, visible: DataFrame | None = None,
+    requests: DataFrame, chunks: DataFrame, index: bm25.Index | None = None, vectors: DataFrame | None = None, embed=None, visible: DataFrame | None = None, hidden: DataFrame | None = None,
     top_k: int = 5, coarse_top_k: int = 10, default_type: str | None = "literature", config: Config = DEFAULT,
 ) -> Evidence:
     """Evidence for requests: see subqueries() for what they hold; and required_coverage_keys (null: all keys),
@@ -47,19 +57,24 @@ def retrieve(
 
     Each subquery is a hybrid retrieval without fallback. Empty allowed_ref_ids are no restriction. visible: references
     (ref_id) that may be returned, as of the version asked for (lifecycle.eligibility); restricted requests lose those that are
-    not. embed(rows) adds embedding to rows (query_id, text), for vectors. All requests of a call share top_k and coarse_top_k.
+    not. hidden: assertions or chunks that may not (see hybrid_retrieve). embed(rows) adds embedding to rows (query_id, text), for
+    vectors; it must give one finite vector for each row. A request's own top_k and coarse_top_k, where it has these columns and
+    they are not null, go before those of the call; requests that ask alike are answered together.
     """
     asked = written(subqueries(requests), "subqueries")
     source = index or bm25.Index.for_queries(asked, chunks)
+    if hidden is not None:
+        hidden = written(hybrid.hidden_chunks(hidden, *(x for x in (chunks, vectors) if x is not None)), "hidden")
+    own = lambda c, k: F.coalesce(F.col(c).cast("int"), F.lit(k)) if c in requests.columns else F.lit(k)
+    limited = F.coalesce(F.size("allowed_ref_ids"), F.lit(0)) > 0
+    kinds = written(requests.select("request_id", own("top_k", top_k).alias("k"), own("coarse_top_k", coarse_top_k).alias("ck")), "depths")
+    asked_as = asked.join(kinds, "request_id").withColumn("limited", limited)
     parts = []
-    for limited in (False, True):
-        has = F.coalesce(F.size("allowed_ref_ids"), F.lit(0)) > 0
-        some = asked.where(has if limited else ~has)
-        if some.isEmpty():
-            continue
-        allowed = some.select("query_id", F.explode("allowed_ref_ids").alias("ref_id")).distinct() if limited else None
+    for r in asked_as.select("k", "ck", "limited").distinct().collect():  # a row for each pair of depths
+        some = asked_as.where((F.col("k") == r.k) & (F.col("ck") == r.ck) & (F.col("limited") == r.limited))
+        allowed = some.select("query_id", F.explode("allowed_ref_ids").alias("ref_id")).distinct() if r.limited else None
         q = some.select("query_id", "text")
-        parts.append(hybrid.hybrid_retrieve(q, source, vectors, embed(q) if embed else None, None, allowed, coarse_top_k, top_k, False, config, visible))
+        parts.append(hybrid.hybrid_retrieve(q, source, vectors, _embedded(q, embed) if embed else None, None, allowed, r.ck, r.k, False, config, visible, hidden))
     if not parts:
         none = asked.select("query_id", F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("string").alias("ref_id"), F.lit(None).cast("long").alias("rank"))
         hits, diagnostics = none.limit(0), asked.select("query_id").limit(0)

@@ -27,26 +27,30 @@ def channel(frame: DataFrame, name: str) -> DataFrame:
 
 def hybrid_retrieve(
     queries: DataFrame, chunks: DataFrame | bm25.Index, vectors: DataFrame | None = None, vector_queries: DataFrame | None = None, graph: DataFrame | None = None,
-    allowed: DataFrame | None = None, coarse_top_k: int = DEFAULT.coarse_top_k, fine_top_k: int = DEFAULT.fine_top_k, fallback: bool = True, config: Config = DEFAULT, visible: DataFrame | None = None,
+    allowed: DataFrame | None = None, coarse_top_k: int = DEFAULT.coarse_top_k, fine_top_k: int = DEFAULT.fine_top_k, fallback: bool = True, config: Config = DEFAULT, visible: DataFrame | None = None, hidden: DataFrame | None = None,
 ) -> Retrieval:
     """Keyword and vector candidates on coarse chunks pick documents; fine chunks of those are fused.
 
     Fine channels are keyword, vector and graph (query_id, chunk_id, ref_id, rank); the graph takes no part in the coarse
     stage. A query without coarse hits falls back to all documents, or returns nothing where fallback is off. allowed:
     (query_id, ref_id) pairs; None for no restriction. visible: references (ref_id) that any query may return; statistics and
-    ranks still cover the whole index, and each channel goes as deep as it must (see progressive). chunks: chunks, which are
-    indexed once for both stages, or a stored index. What the coarse stage picks is written, as both stages and the
+    ranks still cover the whole index, and each channel goes as deep as it must (see progressive). hidden: assertions
+    (assertion_id) or chunks (chunk_id) that no query may return, in the same way; assertions need chunks that name theirs, see
+    hidden_chunks(). chunks: chunks, which are indexed once for both stages, or a stored index. What the coarse stage picks is written, as both stages and the
     diagnostics read it.
     """
     search = bm25.searcher(queries, chunks, config)
+    limits = visible is not None or hidden is not None
+    if hidden is not None:
+        hidden = written(hidden_chunks(hidden, *(x for x in (chunks, vectors) if isinstance(x, DataFrame))), "hidden")
     if allowed is not None and visible is not None:
         allowed = allowed.join(visible.select("ref_id"), "ref_id", "left_semi")
 
     def cut(scores: DataFrame, k: int, keep: bool = False) -> DataFrame:
-        return bm25.ranked(scores, k, keep) if visible is None else eligible_hits(bm25.ranked(scores, None, keep), visible, k, config)
+        return eligible_hits(bm25.ranked(scores, None, keep), visible, k, config, hidden) if limits else bm25.ranked(scores, k, keep)
 
     def wide(find, asked: DataFrame, k: int) -> DataFrame:
-        return find(asked, k) if visible is None else progressive(find, asked, visible, k, config)
+        return progressive(find, asked, visible, k, config, hidden) if limits else find(asked, k)
 
     def keyword(level: str):
         return lambda asked, k: search.top(k, level, queries=asked)
@@ -74,6 +78,7 @@ def hybrid_retrieve(
     if vectors is not None:
         found = found.unionByName(channel(cut(vector.score_pairs(refs, vector_queries, vectors), fine_top_k, True), "vector"))
     if graph is not None:
+        graph = graph if hidden is None else graph.join(hidden, "chunk_id", "left_anti")
         found = found.unionByName(channel(graph.join(refs, ["query_id", "ref_id"], "left_semi").where(F.col("rank") <= fine_top_k), "graph"))
     hits = fusion.rrf(found, fine_top_k, config)
     counts = hits.groupBy("query_id").agg(F.count("*").alias("fine_hits"))
@@ -84,19 +89,38 @@ def hybrid_retrieve(
     return Retrieval(hits, picked, diagnostics, channels)
 
 
-def progressive(find: Callable[[DataFrame, int], DataFrame], queries: DataFrame, eligible: DataFrame, target: int, config: Config = DEFAULT, hidden: DataFrame | None = None) -> DataFrame:
+def hidden_chunks(hidden: DataFrame, *chunks: DataFrame) -> DataFrame:
+    """chunk_id of the chunks whose assertion is hidden. hidden names chunks itself (chunk_id) or assertions (assertion_id); then some
+    of chunks must have the column assertion_id, as nothing would be hidden otherwise."""
+    if "chunk_id" in hidden.columns:
+        return hidden.select("chunk_id").distinct()
+    named = [c.select("chunk_id", "assertion_id") for c in chunks if "assertion_id" in c.columns]
+    if not named:
+        raise ValueError("to hide assertions, chunks must name theirs in assertion_id")
+    out = named[0]
+    for c in named[1:]:
+        out = out.unionByName(c)
+    return out.join(hidden.select("assertion_id").distinct(), "assertion_id", "left_semi").select("chunk_id").distinct()
+
+
+def _eligible(rows: DataFrame, refs: DataFrame | None, hidden: DataFrame | None) -> DataFrame:
+    if refs is not None:
+        rows = rows.join(refs.select("ref_id").distinct(), "ref_id", "left_semi")
+    return rows if hidden is None else rows.join(hidden_chunks(hidden, rows), "chunk_id", "left_anti")
+
+
+def progressive(find: Callable[[DataFrame, int], DataFrame], queries: DataFrame, eligible: DataFrame | None, target: int, config: Config = DEFAULT, hidden: DataFrame | None = None) -> DataFrame:
     """Eligible rows of a search that widens until each query has target of them: query_id, chunk_id, ref_id, rank.
 
     find(queries, depth) gives ranked rows. The depth starts at first_depth and doubles for the queries that still lack
-    eligible rows while the search fills it; at the deepest that is an error. Ranks keep their gaps. hidden: assertions (assertion_id) whose
-    chunks are not eligible, where the rows name one. A round asks only for what is lacking, never for all pairs.
+    eligible rows while the search fills it; at the deepest that is an error. Ranks keep their gaps. eligible: references
+    (ref_id); None for all. hidden: chunks (chunk_id) that are not eligible, or assertions (assertion_id) whose chunks are not; then
+    rows that do not name theirs are an error. A round asks only for what is lacking, never for all pairs.
     """
     asked, depth, out = queries.select("query_id").distinct(), config.first_depth, None
     while True:
         rows = written(find(asked, depth), "search-round")
-        good = rows.join(eligible.select("ref_id").distinct(), "ref_id", "left_semi")
-        if hidden is not None and "assertion_id" in rows.columns:
-            good = good.join(hidden.select("assertion_id").distinct(), "assertion_id", "left_anti")
+        good = _eligible(rows, eligible, hidden)
         size = rows.groupBy("query_id").agg(F.count("*").alias("size")).join(good.groupBy("query_id").agg(F.count("*").alias("good")), "query_id", "left")
         lacking = written(size.where(f"size >= {depth} and coalesce(good, 0) < {target}").select("query_id"), "search-lacking")
         good = good.join(lacking, "query_id", "left_anti").select("query_id", "chunk_id", "ref_id", "rank")
@@ -108,7 +132,7 @@ def progressive(find: Callable[[DataFrame, int], DataFrame], queries: DataFrame,
         asked, depth = lacking, 2 * depth
 
 
-def eligible_hits(ranked: DataFrame, eligible: DataFrame, target: int, config: Config = DEFAULT) -> DataFrame:
+def eligible_hits(ranked: DataFrame, eligible: DataFrame | None, target: int, config: Config = DEFAULT, hidden: DataFrame | None = None) -> DataFrame:
     """Eligible rows of ranked (query_id, chunk_id, ref_id, rank) down to the depth that a widening search would reach.
 
     The search doubles its depth from first_depth until it has target eligible rows. In closed form the depth is the first
@@ -117,7 +141,7 @@ def eligible_hits(ranked: DataFrame, eligible: DataFrame, target: int, config: C
     """
     w = Window.partitionBy("query_id")
     size = ranked.groupBy("query_id").agg(F.max("rank").alias("size"))
-    rows = ranked.join(eligible.select("ref_id").distinct(), "ref_id", "left_semi")
+    rows = _eligible(ranked, eligible, hidden)
     rows = rows.withColumn("seen", F.count("*").over(w.orderBy("rank"))).withColumn("target_rank", F.min(F.when(F.col("seen") >= target, F.col("rank"))).over(w))
     doubled = F.ceil(F.log2(F.greatest(F.col("target_rank") / config.first_depth, F.lit(1.0))))
     depth = F.lit(config.first_depth) * F.pow(F.lit(2.0), doubled)

@@ -149,6 +149,19 @@ def eligible_hits_progressive(spark, d):
     return hybrid.progressive(find, asked, _visible_refs(spark, d), 30)
 
 
+@query
+def eligible_hits_as_of_version(spark, d):
+    """Hits of documents and assertions that are visible as of the version in the middle; each vector belongs to an assertion."""
+    versions = V.versions(spark, d)
+    middle = versions.agg(F.sort_array(F.collect_list("version_id")).alias("v")).select(F.get("v", (F.size("v") / 2).cast("int")).alias("version_id"))  # a version a day
+    docs = lifecycle.state_as_of(V.lifecycle(spark, d), versions, middle)
+    own = lifecycle.state_as_of(V.lifecycle(spark, d).withColumn("assertion_id", F.concat(F.lit("A-"), "created_seq")), versions, middle, "assertion_id")
+    asked, vectors = V.vector_queries(spark, d), V.vectors(spark, d).withColumn("assertion_id", F.concat(F.lit("A-"), F.substring("chunk_id", 3, 20)))
+    find = lambda some, k: vector.vector_topk(asked.join(some, "query_id", "left_semi"), vectors, k)
+    hidden = hybrid.hidden_chunks(own.where("status in ('archived', 'superseded')"), vectors)
+    return hybrid.progressive(find, asked, lifecycle.eligibility(vectors, docs).where("visible"), 30, hidden=hidden)
+
+
 # --- lifecycle ---------------------------------------------------------------------------------------------------------
 
 
@@ -421,11 +434,11 @@ def _guarded(spark, d):
 
 def _ref_metadata(spark, d) -> DataFrame:
     k = F.col("doc_id")
-    return V.plain_documents(spark, d).where("doc_id % 10 != 9").select("ref_id", F.when(k % 2 == 0, F.lit("a  TITLE")).otherwise(F.lit("Another")).alias("title"), F.when(k % 3 != 0, F.concat(F.lit("https://doi.org/10.1000/"), k % 5)).alias("doi"))
+    return V.plain_documents(spark, d).select(F.when(k % 10 != 9, F.col("ref_id")).alias("ref_id"), F.when(k % 2 == 0, F.lit("a  TITLE")).otherwise(F.lit("Another")).alias("title"), F.when(k % 3 != 0, F.concat(F.lit("https://doi.org/10.1000/"), k % 5)).alias("doi"))
 
 
 def _locators(spark, d) -> DataFrame:
-    return V.plain_documents(spark, d).where("doc_id % 4 != 3").select("ref_id", F.when(F.col("doc_id") % 4 == 2, F.lit("p.1")).otherwise(F.concat(F.lit(" "), "section")).alias("locator"))
+    return V.plain_documents(spark, d).select(F.when(F.col("doc_id") % 4 != 3, F.col("ref_id")).alias("ref_id"), F.when(F.col("doc_id") % 4 == 2, F.lit("p.1")).otherwise(F.concat(F.lit(" "), "section")).alias("locator"))
 
 
 @query
@@ -549,7 +562,16 @@ def evidence_bundles(spark, d):
     """Bundles of requests with subqueries, restricted references and required keys."""
     requests, chunks = V.requests(spark, d), V.chunks(spark, d).withColumn("confidence", F.lit("high")).withColumn("evidence_type", F.lit(None).cast("string"))
     b = evidence.retrieve(requests, chunks).bundles
-    return b.select("request_id", "abstain", F.array_join("reasons", ",").alias("reasons"), F.array_join("missing_keys", ",").alias("missing_keys"), "record_count", "guardable_count")
+    return b.select("request_id", "bundle_id", "abstain", F.array_join("reasons", ",").alias("reasons"), F.array_join("missing_keys", ",").alias("missing_keys"), "record_count", "guardable_count")
+
+
+@query
+def evidence_records(spark, d):
+    """The records of the same requests, each at the depth that it asks for."""
+    requests, chunks = V.requests(spark, d), V.chunks(spark, d).withColumn("confidence", F.lit("high")).withColumn("evidence_type", F.lit(None).cast("string"))
+    k = F.col("request_id")
+    requests = requests.withColumn("top_k", F.when(k % 2 == 0, 3)).withColumn("coarse_top_k", F.when(k % 4 == 0, 6))
+    return evidence.retrieve(requests, chunks).records.select("request_id", "coverage_key", "rank", "chunk_id", "ref_id", "guardable")
 
 
 @query

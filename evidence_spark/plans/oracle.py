@@ -278,6 +278,12 @@ ORACLE: dict[str, str] = {
     "eligible_hits_progressive": f"""WITH {VECTORS}, {LATEST}, {top("all_", "SELECT query_id, chunk_id, ref_id, score FROM near", None)}, sz AS (SELECT query_id, max(rank) AS size FROM all_ GROUP BY query_id),
         el AS (SELECT a.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS seen FROM all_ a WHERE ref_id NOT IN (SELECT ref_id FROM latest WHERE status <> 'active')), tr AS (SELECT query_id, min(rank) FILTER (seen >= 30) AS t FROM el GROUP BY query_id)
         SELECT query_id, chunk_id, ref_id, rank FROM el JOIN tr USING (query_id) JOIN sz USING (query_id) WHERE rank <= CASE WHEN t IS NULL THEN size ELSE 50 * pow(2, ceil(log2(greatest(t / 50.0::DOUBLE, 1)))) END""",
+    "eligible_hits_as_of_version": f"""{_R}{ANCESTORS}, {LIFE}, {VECTORS}, mid AS (SELECT list(version_id ORDER BY version_id)[count(*) // 2 + 1] AS v FROM ver),
+        seen AS (SELECT l.* FROM mid JOIN anc a ON a.version_id = mid.v JOIN life l ON l.effective_version_id = a.ancestor_id),
+        docs AS (SELECT ref_id, arg_max(status, created_seq) AS s FROM seen GROUP BY ref_id), own AS (SELECT 'V-' || created_seq AS chunk_id FROM seen WHERE status IN ('archived', 'superseded')),
+        {top("all_", "SELECT query_id, chunk_id, ref_id, score FROM near", None)}, sz AS (SELECT query_id, max(rank) AS size FROM all_ GROUP BY query_id),
+        el AS (SELECT a.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS seen FROM all_ a WHERE ref_id NOT IN (SELECT ref_id FROM docs WHERE s <> 'active') AND chunk_id NOT IN (SELECT chunk_id FROM own)), tr AS (SELECT query_id, min(rank) FILTER (seen >= 30) AS t FROM el GROUP BY query_id)
+        SELECT query_id, chunk_id, ref_id, rank FROM el JOIN tr USING (query_id) JOIN sz USING (query_id) WHERE rank <= CASE WHEN t IS NULL THEN size ELSE 50 * pow(2, ceil(log2(greatest(t / 50.0::DOUBLE, 1)))) END""",
     "lifecycle_latest_document_state": f"WITH {LATEST} SELECT ref_id, lifecycle_id, status, effective_version_id, created_seq FROM latest",
     "version_ancestors": f"{_R}{ANCESTORS} SELECT * FROM anc",
     "lifecycle_state_as_of_version": f"{_R}{ANCESTORS}, {LIFE} SELECT version_id, ref_id, lifecycle_id, status FROM (SELECT a.version_id, l.*, row_number() OVER (PARTITION BY a.version_id, ref_id ORDER BY created_seq DESC, lifecycle_id DESC) AS n FROM anc a JOIN life l ON l.effective_version_id = a.ancestor_id) WHERE n = 1",
@@ -357,6 +363,17 @@ ORACLE: dict[str, str] = {
         SELECT q.query_id, CASE WHEN c IS NULL THEN 'abstain' ELSE 'answered' END AS status, coalesce(c, 0) AS n_claims, coalesce(a, '') AS anchors FROM q LEFT JOIN ok USING (query_id)""",
 }
 
+def evidence_hits(fine: str = "5", coarse: str = "10") -> str:
+    """Records of the requests, each subquery down to depths that may depend on the request i."""
+    depth = lambda name, rows, k: f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT *, split_part(query_id, '#', 1)::BIGINT AS i FROM {rows})) WHERE rank <= {k})"
+    return f"""req AS (SELECT item_id AS i, text, CASE item_id % 3 WHEN 1 THEN [text[1:100], text[101:]] WHEN 2 THEN [text, 'zzqx qqzx'] ELSE [text] END AS subs, CASE WHEN item_id % 4 = 1 THEN ['sq1'] END AS need, item_id % 7 = 3 AS private, CASE item_id % 5 WHEN 2 THEN 0.1 WHEN 3 THEN 0.9 END AS support FROM benchmark),
+        subq AS (SELECT i, unnest(range(0, len(subs))) AS pos, subs FROM req), {BM25.replace("SELECT item_id AS query_id, text FROM benchmark", "SELECT i || '#' || pos AS query_id, i, subs[pos + 1] AS text, i % 6 = 5 AS limited FROM subq")},
+        may AS (SELECT s.* FROM scores s JOIN q USING (query_id) WHERE score > 0 AND (NOT limited OR (substr(ref_id, 5)::BIGINT BETWEEN i * 5 AND i * 5 + 200))),
+        {depth("ck", "may WHERE level = 'coarse'", coarse)}, {rrf("picked", "SELECT *, 'keyword' AS channel FROM ck", 10)},
+        {depth("fk", "may m WHERE level = 'fine' AND EXISTS (SELECT 1 FROM picked p WHERE p.query_id = m.query_id AND p.ref_id = m.ref_id)", fine)}, {rrf("final", "SELECT *, 'keyword' AS channel FROM fk", 5)},
+        r AS (SELECT f.query_id, f.chunk_id, f.ref_id, f.rank, coalesce(trim(locator), '') <> '' AS guardable FROM final f JOIN (SELECT DISTINCT chunk_id, locator FROM chunks) USING (chunk_id))"""
+
+
 def _quoted(items) -> str:
     return ", ".join("'" + x + "'" for x in items)
 
@@ -399,14 +416,13 @@ ORACLE |= {
     "commit_documents": f"""WITH {ADMITTED}, n AS (SELECT ref_id, count(*) AS n_assertions FROM adm JOIN report USING (ref_id) WHERE report_status <> 'return_upstream' AND n_reject < n GROUP BY ref_id), s AS (SELECT *, row_number() OVER (ORDER BY ref_id) AS seq FROM n)
         SELECT ref_id, 'kbv-' || lpad(seq::VARCHAR, 4, '0') AS version_id, CASE WHEN seq > 1 THEN 'kbv-' || lpad((seq - 1)::VARCHAR, 4, '0') END AS prior_version_id, seq, n_assertions, 'idempotent_hit' AS status FROM s""",
     "outbox_stream": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS events FROM events GROUP BY event_type",
-    "evidence_bundles": f"""WITH req AS (SELECT item_id AS i, text, CASE item_id % 3 WHEN 1 THEN [text[1:100], text[101:]] WHEN 2 THEN [text, 'zzqx qqzx'] ELSE [text] END AS subs, CASE WHEN item_id % 4 = 1 THEN ['sq1'] END AS need, item_id % 7 = 3 AS private, CASE item_id % 5 WHEN 2 THEN 0.1 WHEN 3 THEN 0.9 END AS support FROM benchmark),
-        subq AS (SELECT i, unnest(range(0, len(subs))) AS pos, subs FROM req), {BM25.replace("SELECT item_id AS query_id, text FROM benchmark", "SELECT i || '#' || pos AS query_id, i, subs[pos + 1] AS text, i % 6 = 5 AS limited FROM subq")},
-        may AS (SELECT s.* FROM scores s JOIN q USING (query_id) WHERE score > 0 AND (NOT limited OR (substr(ref_id, 5)::BIGINT BETWEEN i * 5 AND i * 5 + 200))),
-        {top("ck", "SELECT * FROM may WHERE level = 'coarse'", 10)}, {rrf("picked", "SELECT *, 'keyword' AS channel FROM ck", 10)},
-        {top("fk", "SELECT m.* FROM may m WHERE level = 'fine' AND EXISTS (SELECT 1 FROM picked p WHERE p.query_id = m.query_id AND p.ref_id = m.ref_id)", 5)}, {rrf("final", "SELECT *, 'keyword' AS channel FROM fk", 5)},
-        r AS (SELECT f.query_id, coalesce(trim(locator), '') <> '' AS guardable FROM final f JOIN (SELECT DISTINCT chunk_id, locator FROM chunks) USING (chunk_id)),
+    "evidence_bundles": f"""WITH {evidence_hits()},
         cov AS (SELECT s.i, 'sq' || (pos + 1) AS key, count(r.query_id) AS hits, count(*) FILTER (guardable) AS good FROM subq s LEFT JOIN r ON r.query_id = s.i || '#' || pos GROUP BY s.i, pos),
         miss AS (SELECT cov.i, string_agg(key, ',' ORDER BY key) FILTER (good = 0 AND (need IS NULL OR list_contains(need, key))) AS m, sum(hits)::BIGINT AS record_count, sum(good)::BIGINT AS guardable_count FROM cov JOIN req USING (i) GROUP BY cov.i),
-        b AS (SELECT i, concat_ws(',', CASE WHEN private THEN 'private_data_unauthorized' END, CASE WHEN support < 0.3 THEN 'low_retrieval_support' END, CASE WHEN m IS NOT NULL THEN 'subquestion_not_covered' END) AS reasons, coalesce(m, '') AS missing_keys, record_count, guardable_count FROM miss JOIN req USING (i))
-        SELECT i AS request_id, reasons <> '' AS abstain, reasons, missing_keys, record_count, guardable_count FROM b""",
+        sx AS (SELECT i, list_aggregate(list_transform(subs, lambda x: length(x) || ':' || x), 'string_agg', '') AS sx FROM req),
+        hx AS (SELECT split_part(query_id, '#', 1)::BIGINT AS i, string_agg(length(chunk_id) || ':' || chunk_id, '' ORDER BY split_part(query_id, '#', 2)::INT, rank, chunk_id) AS hx FROM r GROUP BY 1),
+        b AS (SELECT i, text, sx, coalesce(hx, '') AS hx, concat_ws(',', CASE WHEN private THEN 'private_data_unauthorized' END, CASE WHEN support < 0.3 THEN 'low_retrieval_support' END, CASE WHEN m IS NOT NULL THEN 'subquestion_not_covered' END) AS reasons, coalesce(m, '') AS missing_keys, record_count, guardable_count FROM miss JOIN req USING (i) JOIN sx USING (i) LEFT JOIN hx USING (i))
+        SELECT i AS request_id, 'evb_' || substr(sha256({packed("text", "sx", "hx")}), 1, 16) AS bundle_id, reasons <> '' AS abstain, reasons, missing_keys, record_count, guardable_count FROM b""",
+    "evidence_records": f"""WITH {evidence_hits("CASE WHEN i % 2 = 0 THEN 3 ELSE 5 END", "CASE WHEN i % 4 = 0 THEN 6 ELSE 10 END")}
+        SELECT split_part(query_id, '#', 1)::BIGINT AS request_id, 'sq' || (split_part(query_id, '#', 2)::INT + 1) AS coverage_key, rank, chunk_id, ref_id, guardable FROM r""",
 }

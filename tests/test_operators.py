@@ -275,6 +275,44 @@ def test_progressive_search_equals_widening(spark):
     assert got == want and calls[0] == 12 and calls == sorted(calls, reverse=True) and calls[-1] < 12
 
 
+def test_hidden_assertions_are_never_returned(spark):
+    rows = [(f"c{i}", f"R{i % 3}", "fine" if i % 2 else "coarse", "alpha " * (9 - i % 9) + f"w{i}", f"A{i}" if i % 4 else None) for i in range(40)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, ref_id string, level string, payload string, assertion_id string")
+    q = spark.createDataFrame([(1, "alpha"), (2, "w7 alpha")], "query_id long, text string")
+    gone = spark.createDataFrame([(f"A{i}",) for i in range(0, 40, 3)], "assertion_id string")
+    chunk_ids = {f"c{i}" for i in range(0, 40, 3) if i % 4}
+    shown = hybrid.hybrid_retrieve(q, chunks, hidden=gone, fine_top_k=40, coarse_top_k=40).hits.collect()
+    everything = hybrid.hybrid_retrieve(q, chunks, fine_top_k=40, coarse_top_k=40).hits.collect()
+    pairs = lambda hits: {(r.query_id, r.chunk_id) for r in hits}
+    assert pairs(shown) == {p for p in pairs(everything) if p[1] not in chunk_ids} and pairs(shown) != pairs(everything)
+    restricted = hybrid.hybrid_retrieve(q, chunks, hidden=gone, allowed=spark.createDataFrame([(1, "R0"), (2, "R1")], "query_id long, ref_id string")).hits.collect()
+    assert restricted and not {r.chunk_id for r in restricted} & chunk_ids
+    with pytest.raises(ValueError, match="assertion_id"):
+        hybrid.hybrid_retrieve(q, chunks.drop("assertion_id"), hidden=gone)
+    found = spark.createDataFrame([(1, f"c{i}", "R", i + 1) for i in range(9)], "query_id long, chunk_id string, ref_id string, rank long")
+    find = lambda some, k: found.join(some, "query_id", "left_semi").where(F.col("rank") <= k)
+    with pytest.raises(ValueError, match="assertion_id"):
+        hybrid.progressive(find, q, None, 3, hidden=gone)
+    got = hybrid.progressive(find, q, None, 3, hidden=gone.selectExpr("replace(assertion_id, 'A', 'c') AS chunk_id"))
+    assert sorted(r["rank"] for r in got.collect()) == [2, 3, 5, 6, 8, 9]
+
+
+def test_requests_ask_for_their_own_depth_and_hide_assertions(spark):
+    rows = [(f"{kind[0]}{i}", f"R{i}", kind, f"alpha w{i}", "p", f"A{i}") for i in range(8) for kind in ("coarse", "fine")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, ref_id string, level string, payload string, locator string, assertion_id string").withColumn("confidence", F.lit("high")).withColumn("evidence_type", F.lit(None).cast("string"))
+    none = F.lit(None)
+    req = spark.createDataFrame([(1, "alpha", 2, None), (2, "alpha", None, 3), (3, "alpha", None, None)], "request_id long, query string, top_k int, coarse_top_k int").select("*", *(none.cast("array<string>").alias(c) for c in ("subqueries", "coverage_keys", "required_coverage_keys", "allowed_ref_ids")), none.cast("boolean").alias("private_data_unauthorized"), none.cast("double").alias("calibrated_support"))
+    hidden = spark.createDataFrame([("A0",)], "assertion_id string")
+    got = evidence.retrieve(req, chunks, hidden=hidden, top_k=5)
+    found = {}
+    for r in got.records.collect():
+        found.setdefault(r.request_id, set()).add(r.chunk_id)
+    assert {k: len(v) for k, v in found.items()} == {1: 2, 2: 3, 3: 5} and "f0" not in set().union(*found.values())
+    vectors_of = spark.createDataFrame([("f1", "R1", [1.0, 0.0])], "chunk_id string, ref_id string, embedding array<double>")
+    with pytest.raises(ValueError, match="finite"):
+        evidence.retrieve(req, chunks, vectors=vectors_of, embed=lambda rows: rows.select("query_id", F.array(F.lit(float("nan"))).alias("embedding")))
+
+
 def test_block_search_equals_every_score(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(60)]
