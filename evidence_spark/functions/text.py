@@ -29,37 +29,17 @@ def mixed_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9]+(?:\.[0-9]+)?%?|\p{IsHan}|\p{IsHiragana}|\p{IsKatakana}|\p{IsHangul}|[^\sA-Za-z0-9])"), 1)
 
 
+@pandas_udf(StringType())
+def _shortest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for xs in batches:
+        yield pd.Series(map(repr, xs.tolist()), dtype=object)
+
+
 def float_text(x: Column) -> Column:
-    """A double as its shortest decimal text: positional from 1e-4 up to 1e16, else with an exponent of two digits at least.
-
-    Java's digits read back as the same double, but before JDK 19 some have one or two more than needed: these are rounded off
-    as long as the rest still reads back. Of a few doubles of 16 or 17 digits two texts of that length read back; Java's
-    digits decide between them.
-    """
-    plain, size = x.cast("string"), F.abs(x)
-    bare = F.regexp_replace(F.regexp_replace(plain, "^-", ""), "E.*$", "")
-    figures = F.regexp_replace(F.replace(bare, F.lit("."), F.lit("")), "^0+|0+$", "")
-    n, point = F.length(figures), F.instr(bare, ".") - 1
-    zeros = F.length(F.regexp_extract(bare, r"^0\.(0*)", 1))
-    first = F.coalesce(F.regexp_extract(plain, "E(-?[0-9]+)$", 1).try_cast("int"), F.when(F.startswith(bare, F.lit("0.")), -zeros - 1).otherwise(point - 1))
-
-    def rounded(less: int) -> Column:
-        """(digits, exponent of the first) with so many digits less; null where that is another double."""
-        m = n - less
-        r = F.substr(figures, F.lit(1), m).cast("long") + F.when(F.substr(figures, m + 1, F.lit(1)) >= "5", 1).otherwise(0)
-        same = F.concat(r.cast("string"), F.lit("E"), (first - m + 1).cast("string")).cast("double") == size
-        return F.when((m > 0) & same, F.struct(r.cast("string").alias("d"), (first + F.length(r.cast("string")) - m).alias("e")))
-
-    best = F.coalesce(rounded(2), rounded(1), F.struct(figures.alias("d"), first.alias("e")))
-    digits, e = F.regexp_replace(best["d"], "(?<=.)0+$", ""), best["e"]
-    whole = F.rpad(digits, F.greatest(e + 1, F.length(digits)), "0")
-    large = F.concat(F.substr(whole, F.lit(1), e + 1), F.lit("."), F.coalesce(F.nullif(F.substr(whole, e + 2), F.lit("")), F.lit("0")))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
-    tail = F.substr(digits, F.lit(2))
-    power = F.concat(F.left(digits, F.lit(1)), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""), F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
-    sign = F.when(F.startswith(plain, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-    text = F.concat(sign, F.when((e >= 0) & (e < 16), large).when((e < 0) & (e >= -4), small).otherwise(power))
-    return F.when((x == 0) | F.isnan(x) | (size == F.lit(float("inf"))), plain).otherwise(text)
+    """A double as the shortest decimal text that reads back as it: positional from 1e-4 up to 1e16, else with an exponent of two
+    digits at least; nan and inf by name. In Python, as the digits of Java's own text depend on the JVM's version (before JDK 19
+    some doubles get more than they need)."""
+    return F.when(x.isNotNull(), _shortest(x.cast("double")))
 
 
 def keyword_tokens(text: Column) -> Column:
