@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import DEFAULT, Config
-from .operators import curation, guard, hybrid, tasks
+from .operators import curation, evidence, guard, hybrid, lifecycle, tasks
 from .sources import codec
 from .sources.store import Committed, Store
 from .tables import written
@@ -25,6 +25,7 @@ class Engine:
     rules: DataFrame | None = None
     ref_metadata: DataFrame | None = None
     locators: DataFrame | None = None
+    violations: DataFrame | None = None
     store: Store | None = None
     config: Config = DEFAULT
 
@@ -63,6 +64,30 @@ class Engine:
         chunks = self._need("chunks")
         return hybrid.hybrid_retrieve(queries, chunks, self.vectors if vector_queries is not None else None, vector_queries, None, allowed, coarse_top_k, top_k, config=self.config, visible=eligible)
 
+    def visibility(self, at_version_id: str | None = None) -> tuple[DataFrame, DataFrame] | tuple[None, None]:
+        """(ref_id of visible documents, assertion_id of hidden assertions) as of a version, by default the current one; nothing is
+        hidden without a store or a version."""
+        at = at_version_id or (self.store.current() if self.store else None)
+        if at is None:
+            return None, None
+        store, chunks = self._need("store"), self._need("chunks")
+        asked, versions = self.spark.createDataFrame([(at,)], "version_id string"), store.table("versions")
+        if versions.where(F.col("version_id") == at).isEmpty():
+            raise ValueError(f"no published version {at}")
+        docs = lifecycle.state_as_of(store.table("lifecycle"), versions, asked)
+        own = lifecycle.state_as_of(store.table("assertion_lifecycle").withColumn("reason", F.lit(None).cast("string")), versions, asked, "assertion_id")
+        return lifecycle.eligibility(chunks, docs).where("visible").select("ref_id"), own.where("status in ('archived', 'superseded')").select("assertion_id")
+
+    def evidence(self, requests: DataFrame, at_version_id: str | None = None, embed=None) -> evidence.Evidence:
+        """Evidence for requests (see evidence.retrieve) from what is visible as of a version."""
+        chunks = self._need("chunks")
+        visible, hidden = self.visibility(at_version_id)
+        if hidden is not None and "assertion_id" not in chunks.columns:
+            if not hidden.isEmpty():
+                raise ValueError("to hide assertions, chunks must name theirs in assertion_id")
+            hidden = None
+        return evidence.retrieve(requests, chunks, vectors=self.vectors if embed else None, embed=embed, visible=visible, hidden=hidden, config=self.config)
+
     def records(self, hits: DataFrame) -> DataFrame:
         return guard.normalize_hits(hits, self._need("chunks"), config=self.config)
 
@@ -75,7 +100,7 @@ class Engine:
         metadata = self.ref_metadata if self.ref_metadata is not None else refs.select("ref_id", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("doi"))
         return {
             "policy": policies.drop("strongest"), "abstain": guard.claim_abstain(claims, policies, covered, self.config), "h1": guard.hallucination_h1(claims, anchors, metadata, self.locators),
-            "h2": guard.hallucination_h2(claims, anchors, metadata), "h2_status": guard.h2_status(claims, metadata), "h3": guard.hallucination_h3(claims, None),
+            "h2": guard.hallucination_h2(claims, anchors, metadata), "h2_status": guard.h2_status(claims, metadata, records), "h3": guard.hallucination_h3(claims, self.violations),
         }
 
     def answer(self, queries: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
@@ -100,27 +100,37 @@ def transitions(aligned: DataFrame, prior: DataFrame, new: DataFrame, plan: Data
     without ids. Assertions of removed units are archived, those of added units added. Where all must be extracted anew, all
     prior ones are archived and all new added. Pairs without a plan have no rows.
     """
-    mode = lambda m: plan.where(F.col("mode") == m).select("pair_id")
-    full, safe = mode("full_reextract_required"), aligned.join(mode("delta_safe"), "pair_id", "left_semi")
-    none = F.lit(None).cast("string")
-    row = lambda df, action, old, new, why: df.select("pair_id", F.lit(action).alias("action"), old.alias("old_id"), new.alias("new_id"), F.lit(why).alias("reason"))
-    a = F.col("assertion_id")
-    carried = row(carry_forward(safe, prior), "supersede", a, F.col("carried_id"), "unchanged_unit_carry_forward")
-    mod = safe.where("category = 'modified'").select("pair_id", F.col("prior_unit").alias("unit_id"), "unit")
-    p = prior.join(mod, ["pair_id", "unit_id"]).groupBy("pair_id", "unit", "slot_key").agg(F.count("*").alias("n_old"), F.min(a).alias("old_id"))
-    n = new.join(mod.select("pair_id", F.col("unit").alias("unit_id"), "unit"), ["pair_id", "unit_id"]).groupBy("pair_id", "unit", "slot_key").agg(F.count("*").alias("n_new"), F.min(a).alias("new_id"))
-    slots = p.join(n, ["pair_id", "unit", "slot_key"], "full_outer")
-    twice = slots.groupBy("pair_id", "unit").agg(F.greatest(F.max("n_old"), F.max("n_new")).alias("most")).where("most > 1")
-    review = row(twice, "review_required", none, none, "duplicate_slot")
-    m = slots.join(twice, ["pair_id", "unit"], "left_anti")
-    action = F.when(F.col("new_id").isNull(), "archive").when(F.col("old_id").isNull(), "added").otherwise("supersede")
-    why = F.when(F.col("new_id").isNull(), "modified_unit_old_slot_unmatched").when(F.col("old_id").isNull(), "modified_unit_new_slot_unmatched").otherwise("modified_unit_slot_match")
-    matched = m.select("pair_id", action.alias("action"), "old_id", "new_id", why.alias("reason"))
-    removed = safe.where("category = 'removed'").select("pair_id", F.col("prior_unit").alias("unit_id"))
-    added = safe.where("category = 'added'").select("pair_id", F.col("unit").alias("unit_id"))
-    out = carried.unionByName(matched).unionByName(review).unionByName(row(prior.join(removed, ["pair_id", "unit_id"], "left_semi"), "archive", a, none, "removed_unit"))
-    out = out.unionByName(row(new.join(added, ["pair_id", "unit_id"], "left_semi"), "added", none, a, "added_unit"))
-    return out.unionByName(row(prior.join(full, "pair_id", "left_semi"), "archive", a, none, "full_reextract_prior_archived")).unionByName(row(new.join(full, "pair_id", "left_semi"), "added", none, a, "full_reextract_new_added"))
+    a, none = F.col("assertion_id"), F.lit(None).cast("string")
+    modes = plan.select("pair_id", F.col("mode") == "full_reextract_required").toDF("pair_id", "full")
+
+    def side(assertions: DataFrame, unit: str, old: bool) -> DataFrame:
+        """The assertions of one side with their unit of the new version and what became of it; one join with the alignment."""
+        units = aligned.select("pair_id", F.col(unit).alias("unit_id"), "unit", "category").where("unit_id is not null").dropDuplicates(["pair_id", "unit_id"])
+        d = assertions.join(modes, "pair_id").join(units, ["pair_id", "unit_id"], "left")
+        kind = F.when(F.col("full"), "full").when(F.col("category") == "modified", "modified").when(F.col("category").isin(*(("unchanged", "removed") if old else ("added",))), F.col("category"))
+        d = d.select("pair_id", "unit", "slot_key", kind.alias("kind"), (a if old else none).alias("old"), (none if old else a).alias("new"))
+        # In a modified unit a slot is one row, elsewhere an assertion is.
+        return d.where("kind is not null").withColumn("slot", F.when(F.col("kind") == "modified", F.col("slot_key")).otherwise(F.coalesce("old", "new")))
+
+    rows = side(prior, "prior_unit", True).unionByName(side(new, "unit", False))
+    ids = [F.count("old").alias("n_old"), F.count("new").alias("n_new"), F.min("old").alias("old_id"), F.min("new").alias("new_id")]
+    slots = rows.groupBy("pair_id", "kind", "unit", "slot", F.when(F.col("kind") != "modified", F.coalesce("old", "new")).alias("one"), F.when(F.col("kind") != "modified", F.col("old").isNotNull()).alias("is_old")).agg(*ids)
+    unit = Window.partitionBy("pair_id", "kind", "unit", "one")  # a modified unit's slots; all other rows stand alone
+    modified = F.col("kind") == "modified"
+    most = F.when(modified, F.max(F.greatest("n_old", "n_new")).over(unit)).otherwise(1)
+    d = slots.select("*", most.alias("most"), F.when(modified, F.row_number().over(unit.orderBy("slot"))).otherwise(1).alias("nth")).where("most <= 1 or nth = 1")
+    carried = F.concat(F.col("old_id"), F.lit("@"), F.substring(F.sha2(F.concat_ws("|", "pair_id", "unit", "old_id"), 256), 1, 12))
+    move = lambda action, old, new_, why: F.struct(F.lit(action).alias("action"), old.alias("old_id"), new_.alias("new_id"), F.lit(why).alias("reason"))
+    gone, came = F.col("new_id").isNull(), F.col("old_id").isNull()
+    o, n = F.col("old_id"), F.col("new_id")
+    moved = (
+        F.when(F.col("most") > 1, move("review_required", none, none, "duplicate_slot")).when(F.col("kind") == "unchanged", move("supersede", o, carried, "unchanged_unit_carry_forward"))
+        .when(F.col("kind") == "removed", move("archive", o, none, "removed_unit")).when(F.col("kind") == "added", move("added", none, n, "added_unit"))
+        .when(modified & gone, move("archive", o, none, "modified_unit_old_slot_unmatched")).when(modified & came, move("added", none, n, "modified_unit_new_slot_unmatched")).when(modified, move("supersede", o, n, "modified_unit_slot_match"))
+        .when(gone, move("archive", o, none, "full_reextract_prior_archived")).otherwise(move("added", none, n, "full_reextract_new_added"))
+    )
+    times = F.when(modified, 1).otherwise(F.col("n_old") + F.col("n_new")).cast("int")  # rows that repeat an id stay rows of their own
+    return d.select("pair_id", F.explode(F.array_repeat(moved, times)).alias("m")).select("pair_id", "m.*")
 
 
 def revision_actions(moves: DataFrame) -> DataFrame:

@@ -378,7 +378,7 @@ def carry_forward(spark, d):
 
 def _transitions(spark, d) -> DataFrame:
     aligned = written(_aligned(spark, d), "aligned")
-    return delta.transitions(aligned, *V.unit_assertions(spark, d), _plan(spark, d, aligned))
+    return delta.transitions(aligned, *V.unit_assertions(spark, d), written(_plan(spark, d, aligned), "plan"))
 
 
 @query

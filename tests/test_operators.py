@@ -797,3 +797,24 @@ def test_engine(spark, tmp_path):
     assert out["R1"].status == "published" and out["R2"] == "all_rejected" and out["R3"] == "unknown_document"
     with pytest.raises(RuntimeError, match="unavailable"):
         Engine(spark).retrieve(q)
+
+
+def test_engine_answers_as_of_a_version(spark, tmp_path):
+    """A retracted document and a superseded assertion are hidden from their version on, and seen as of the one before."""
+    store = Store(spark, f"{tmp_path}/kb")
+    store.commit("R1", "f1", assertions(spark, assertion("A1"), assertion("A2")))
+    first = store.commit("R2", "f2", assertions(spark, assertion("B1", "R2"))).version_id
+    moves = spark.createDataFrame([("supersede", "A1", "A1N")], "action string, old_id string, new_id string")
+    store.revise("R1", "f3", assertions(spark, assertion("A1N")), moves)
+    store.retract("R2", "retraction", True)
+    rows = [(f"{level[0]}{a}", ref, level, f"alpha {a}", "p", a) for ref, a in (("R1", "A1"), ("R1", "A2"), ("R2", "B1")) for level in ("coarse", "fine")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, ref_id string, level string, payload string, locator string, assertion_id string").withColumn("confidence", F.lit("high")).withColumn("evidence_type", F.lit(None).cast("string"))
+    e, none = Engine(spark, chunks=chunks, store=store), F.lit(None)
+    req = spark.createDataFrame([(1, "alpha")], "request_id long, query string").select("*", *(none.cast("array<string>").alias(c) for c in ("subqueries", "coverage_keys", "required_coverage_keys", "allowed_ref_ids")), none.cast("boolean").alias("private_data_unauthorized"), none.cast("double").alias("calibrated_support"))
+    seen = lambda at: {r.chunk_id for r in e.evidence(req, at).records.collect()}
+    assert seen(None) == {"fA2"} and seen(first) == {"fA1", "fA2", "fB1"}
+    with pytest.raises(ValueError, match="no published version"):
+        e.evidence(req, "kbv-9999")
+    e.chunks = chunks.drop("assertion_id")
+    with pytest.raises(ValueError, match="assertion_id"):
+        e.evidence(req)
