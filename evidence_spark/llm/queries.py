@@ -37,7 +37,7 @@ def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~langid.held_out()))
-    return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model, spans=True).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -502,7 +502,7 @@ def test_pipeline(spark):
 
 COLUMNS = {
     "op1_chat_formatting": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op2_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op3_token_counts": "doc_id n_bytes n_tokens over_limit",
-    "op4_piece_sampling": "doc_id ids", "op5_language_id": "doc_id held_out lang_pred score", "op6_near_dedup": "doc_id n_shingles component_id kept", "op7_exact_dedup": "doc_id keep_id group_size kept text_sha256",
+    "op4_piece_sampling": "doc_id ids", "op5_language_id": "doc_id held_out lang_pred score spans", "op6_near_dedup": "doc_id n_shingles component_id kept", "op7_exact_dedup": "doc_id keep_id group_size kept text_sha256",
     "op8_url_filter": "page_id host path rule verdict", "op9_token_store": "doc_id start n_tokens ids_crc32", "op10_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature rgb",
     "op11_source_divergence": "lang source part item value rank", "op12_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op13_importance_resampling": "doc_id n_features weight score rank",
 }
