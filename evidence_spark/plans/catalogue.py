@@ -45,7 +45,7 @@ def chunk_text_windows(spark, d):
 
 @query
 def chunk_document_summary(spark, d):
-    docs = V.plain_documents(spark, d).withColumn("summary", F.substring("text", 1, 240))
+    docs = V.plain_documents(spark, d).withColumn("summary", V.summary(F.col("text")))
     return chunking.chunk_summary(docs).select("ref_id", "chunk_id", "n_tokens", "payload")
 
 

@@ -22,6 +22,10 @@ def n_tokens(text: str) -> str:
     return f"len(regexp_extract_all({text}, '\\s+|\\S+'))"
 
 
+def words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({text}), '\\s+'), lambda x: x <> '')"
+
+
 WINDOWS = f"""{DOCS},
 tok AS (SELECT ref_id, section, page, {prefix("文本")} AS prefix, regexp_extract_all(text, '\\s+|\\S+') AS t FROM docs),
 room AS (SELECT *, 512 - {n_tokens("prefix")} - 1 AS body FROM tok),
@@ -31,14 +35,10 @@ win AS (SELECT ref_id, section, page, prefix, idx, t[idx * step + 1 : idx * step
 fine AS (SELECT ref_id, section, page, idx, {chunk_id("'text:' || idx", "array_to_string(w, '')")} AS chunk_id, len(w) AS n_tokens, prefix || ' ' || array_to_string(w, '') AS payload FROM win)"""
 
 CHUNKS = f"""{WINDOWS},
-coarse AS (SELECT ref_id, page, {chunk_id("'summary'", "text[1:240]")} AS chunk_id, {n_tokens("text[1:240]")} AS n_tokens, text[1:240] AS payload FROM (SELECT ref_id, NULL::VARCHAR AS section, page, text FROM docs)),
+coarse AS (SELECT ref_id, page, {chunk_id("'summary'", "summary")} AS chunk_id, {n_tokens("summary")} AS n_tokens, summary AS payload FROM (SELECT ref_id, NULL::VARCHAR AS section, page, array_to_string(list_sort(list_distinct({words("text")})), ' ') AS summary FROM docs)),
 chunks AS (SELECT ref_id, chunk_id, 'fine' AS level, payload, coalesce(section, page) AS locator FROM fine UNION ALL SELECT ref_id, chunk_id, 'coarse', payload, NULL FROM coarse)"""
 
 
-def words(text: str) -> str:
-    return f"list_filter(regexp_split_to_array(lower({text}), '\\s+'), lambda x: x <> '')"
-
-
 BM25 = f"""{CHUNKS},
 ct AS (SELECT chunk_id, ref_id, level, {words("payload")} AS t FROM chunks),
 posts AS (SELECT chunk_id, ref_id, level, len(t) AS dl, term, count(*) AS tf FROM (SELECT chunk_id, ref_id, level, t, unnest(t) AS term FROM ct) GROUP BY ALL),
@@ -103,11 +103,11 @@ CURATION = """cdocs AS (SELECT 'S' || s_suppkey AS ref_id, s_suppkey AS k,
   s_suppkey % 11 = 0 OR coalesce(s_name, '') = '' OR (NOT s_acctbal > 0 AND s_suppkey % 3 <> 0) AS lacking,
   s_suppkey % 13 = 0 AS no_data, s_suppkey % 7 = 0 OR s_suppkey % 17 = 0 AS charts_low,
   CASE WHEN s_suppkey % 2 = 0 THEN greatest(0.0, least(1.0, s_nationkey / 25.0::DOUBLE)) ELSE 1.0 END::DOUBLE AS s_schema FROM supplier),
-asr AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, 'S' || l_suppkey AS ref_id, 'P' || l_partkey AS entity, l_returnflag AS property,
+asr AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, 'S' || (l_suppkey - CASE WHEN l_suppkey % 19 = 0 THEN 1 ELSE 0 END) AS ref_id, 'P' || l_partkey AS entity, l_returnflag AS property,
   l_linenumber = 7 AS relation, CASE WHEN l_linenumber <> 7 THEN l_extendedprice / l_quantity END AS v, CASE WHEN l_linenumber = 7 THEN CASE WHEN l_quantity > 25 THEN 'high' ELSE 'low' END END AS vt, l_tax AS u,
   CASE WHEN l_discount <> 0 THEN 'USD' END AS unit, l_linestatus AS cond, CASE WHEN l_tax <> 0 THEN 'T' || l_linenumber END AS locator, l_linestatus = 'F' AS firsthand,
   ['hypothesis', 'medium', 'high', 'verified'][(l_linenumber % 4 + 1)::INT] AS confidence, l_quantity > 45 AS speculative, l_shipdate >= TIMESTAMP '1998-01-01' AS is_new
-  FROM lineitem WHERE l_suppkey % 19 <> 0),
+  FROM lineitem),
 rules(property, lo, hi, rule_id) AS (VALUES ('A', 1500.0::DOUBLE, 60000.0::DOUBLE, 'R-A'), ('N', 1200.0, 1900.0, 'R-N'), ('R', 0.0, 2000.0, 'R-R')),
 pairs AS (SELECT n.id AS new_id, e.id AS existing_id, n.ref_id AS new_ref, CASE
     WHEN n.cond <> e.cond THEN 'condition_difference'

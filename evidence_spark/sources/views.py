@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import chunking
 
 
@@ -29,7 +30,12 @@ def plain_documents(spark: SparkSession, d: str) -> DataFrame:
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """Fine text windows and one coarse summary for each document."""
     docs = plain_documents(spark, d)
-    return chunking.chunk_text(docs).unionByName(chunking.chunk_summary(docs.withColumn("summary", F.substring("text", 1, 240))))
+    return chunking.chunk_text(docs).unionByName(chunking.chunk_summary(docs.withColumn("summary", summary(F.col("text")))))
+
+
+def summary(text: Column) -> Column:
+    """A document's summary: the distinct words of its whole text, in order of their bytes."""
+    return F.array_join(F.array_sort(F.array_distinct(T.keyword_tokens(text))), " ")
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
@@ -72,13 +78,15 @@ def curation_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assertions(spark: SparkSession, d: str) -> DataFrame:
-    """One assertion for each line item about its part. Suppliers that 19 divides have none."""
-    li = table(spark, d, "lineitem").where("l_suppkey % 19 != 0")
+    """One assertion for each line item about its part. Those of suppliers that 19 divides count as the supplier's before, so
+    that some documents have none."""
+    li = table(spark, d, "lineitem")
+    supplier = F.col("l_suppkey") - F.when(F.col("l_suppkey") % 19 == 0, 1).otherwise(0)
     confidence = F.element_at(F.array(*map(F.lit, ("hypothesis", "medium", "high", "verified"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
     relation = F.col("l_linenumber") == 7
     return li.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
-        F.concat(F.lit("S"), "l_suppkey").alias("ref_id"),
+        F.concat(F.lit("S"), supplier).alias("ref_id"),
         F.concat(F.lit("P"), "l_partkey").alias("entity"),
         F.col("l_returnflag").alias("property"),
         F.when(relation, "enum").otherwise("number").alias("value_type"),
