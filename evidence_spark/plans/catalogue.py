@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import hashing
 from ..functions import text as T
-from ..operators import bm25, chunking, curation, delta, evidence, fusion, guard, hybrid, identity, lifecycle, publication, tasks, vector
+from ..operators import bm25, chunking, curation, delta, evidence, fusion, guard, hybrid, identity, lifecycle, publication, tasks, vector, versions
 from ..sources import views as V
 from ..sources.store import Store
 from ..tables import new_path, written
@@ -152,10 +153,10 @@ def eligible_hits_progressive(spark, d):
 @query
 def eligible_hits_as_of_version(spark, d):
     """Hits of documents and assertions that are visible as of the version in the middle; each vector belongs to an assertion."""
-    versions = V.versions(spark, d)
-    middle = versions.agg(F.sort_array(F.collect_list("version_id")).alias("v")).select(F.get("v", (F.size("v") / 2).cast("int")).alias("version_id"))  # a version a day
-    docs = lifecycle.state_as_of(V.lifecycle(spark, d), versions, middle)
-    own = lifecycle.state_as_of(V.lifecycle(spark, d).withColumn("assertion_id", F.concat(F.lit("A-"), "created_seq")), versions, middle, "assertion_id")
+    known = V.versions(spark, d)
+    middle = known.agg(F.sort_array(F.collect_list("version_id")).alias("v")).select(F.get("v", (F.size("v") / 2).cast("int")).alias("version_id"))  # a version a day
+    docs = lifecycle.state_as_of(V.lifecycle(spark, d), known, middle)
+    own = lifecycle.state_as_of(V.lifecycle(spark, d).withColumn("assertion_id", F.concat(F.lit("A-"), "created_seq")), known, middle, "assertion_id")
     asked, vectors = V.vector_queries(spark, d), V.vectors(spark, d).withColumn("assertion_id", F.concat(F.lit("A-"), F.substring("chunk_id", 3, 20)))
     find = lambda some, k: vector.vector_topk(asked.join(some, "query_id", "left_semi"), vectors, k)
     hidden = hybrid.hidden_chunks(own.where("status in ('archived', 'superseded')"), vectors)
@@ -177,8 +178,22 @@ def version_ancestors(spark, d):
 
 @query
 def lifecycle_state_as_of_version(spark, d):
-    v = V.versions(spark, d)
-    return lifecycle.state_as_of(V.lifecycle(spark, d), v, v).select("version_id", "ref_id", "lifecycle_id", "status")
+    places = versions.labels(V.versions(spark, d))
+    return versions.states_at(versions.timeline(V.lifecycle(spark, d), places), places).select("version_id", "ref_id", "lifecycle_id", "status")
+
+
+@query
+def version_tree_labels(spark, d):
+    return versions.labels(V.version_trees(spark, d)).select("version_id", "tree", "depth", versions.descendants().alias("n_descendants"))
+
+
+@query
+def branch_states(spark, d):
+    """For each version of a user's document, the last event of each type on its own branch."""
+    v = V.version_trees(spark, d)
+    places = versions.labels(v)
+    events = v.select(F.col("event_type").alias("ref_id"), F.col("version_id").alias("lifecycle_id"), F.lit("active").alias("status"), F.lit(None).cast("string").alias("reason"), F.col("version_id").alias("effective_version_id"), "created_seq")
+    return versions.states_at(versions.timeline(events, places), places).select("version_id", F.col("ref_id").alias("event_type"), F.col("lifecycle_id").alias("last_event"))
 
 
 @query
@@ -543,13 +558,17 @@ def assertion_set_json_decode(spark, d):
     )
 
 
-@query
-def commit_documents(spark, d):
-    """Commits every admitted document, twice, into a store of its own: the versions, their chain and the replays."""
+def _to_commit(spark, d) -> tuple[DataFrame, DataFrame]:
     done = curated(spark, d)
     ok = curation.commit_eligibility(done.reports).where("publishable").select("ref_id", F.concat(F.lit("fp-"), "ref_id").alias("fingerprint"))
     admitted = written(curation.admit(done.decisions, V.new_and_existing(spark, d)[0]), "admitted")
-    sources = written(ok.join(admitted.select("ref_id").distinct(), "ref_id", "left_semi"), "sources")
+    return written(ok.join(admitted.select("ref_id").distinct(), "ref_id", "left_semi"), "sources"), admitted
+
+
+@query
+def commit_documents(spark, d):
+    """Commits every admitted document, twice, into a store of its own: the versions, their chain and the replays."""
+    sources, admitted = _to_commit(spark, d)
     store = Store(spark, new_path(spark, "store"))
     store.commit_all(sources, admitted)
     again = store.commit_all(sources, admitted)
@@ -557,6 +576,20 @@ def commit_documents(spark, d):
     return v.join(again.select("ref_id", "status"), "ref_id").select("ref_id", "version_id", "prior_version_id", "seq", "n_assertions", "status")
 
 
+@query
+def resolve_versions(spark, d):
+    """Every version of the admitted documents, committed and then committed again with other fingerprints and without the
+    downgraded assertions: what each is made of, old versions too."""
+    sources, admitted = _to_commit(spark, d)
+    store = Store(spark, new_path(spark, "store"))
+    store.commit_all(sources, admitted)
+    store.commit_all(sources.withColumn("fingerprint", F.concat("fingerprint", F.lit("-2"))), admitted.where("action != 'downgrade'"))
+    parts = store.resolve_all().groupBy("version_id", "ref_id").agg(
+        *(F.count_if(F.col("part") == part).alias(n) for part, n in (("structural", "n_assertions"), ("usdo", "n_records"), ("vectors", "n_vectors"))), hashing.set_hash(F.when(F.col("part") == "structural", F.col("id"))).alias("ids_hash")
+    )
+    return parts.select("ref_id", F.substring("version_id", 5, 20).cast("long").alias("seq"), "n_assertions", "n_records", "n_vectors", "ids_hash")
+
+
 @query
 def evidence_bundles(spark, d):
     """Bundles of requests with subqueries, restricted references and required keys."""

@@ -91,6 +91,8 @@ VERSIONS = """vs AS (SELECT DISTINCT 'kbv-' || strftime(ts, '%Y%m%d') AS version
 ver AS (SELECT a.version_id, b.version_id AS prior_version_id FROM vs a LEFT JOIN vs b ON a.p = b.version_id)"""
 ANCESTORS = f"""{VERSIONS},
 anc AS (SELECT version_id, version_id AS ancestor_id, 0::BIGINT AS distance FROM ver UNION ALL SELECT a.version_id, v.prior_version_id, a.distance + 1 FROM anc a JOIN ver v ON v.version_id = a.ancestor_id WHERE v.prior_version_id IS NOT NULL)"""
+BRANCHES = """bv AS (SELECT event_id AS v, event_type, CASE WHEN lag(event_type) OVER w = 'error' THEN lag(event_id, 2) OVER w ELSE lag(event_id) OVER w END AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+line AS (SELECT v, v AS a, 0::BIGINT AS steps FROM bv UNION ALL SELECT line.v, bv.p, steps + 1 FROM line JOIN bv ON bv.v = line.a WHERE bv.p IS NOT NULL)"""
 LIFE = """life AS (SELECT 'LC-' || event_id AS lifecycle_id, 'DOC-' || user_id AS ref_id,
   CASE event_type WHEN 'error' THEN 'retracted' WHEN 'view' THEN 'archived' WHEN 'purchase' THEN 'superseded' ELSE 'active' END AS status,
   CASE WHEN NOT (event_type = 'purchase' AND user_id % 2 = 1) THEN 'kbv-' || strftime(ts, '%Y%m%d') END AS effective_version_id, event_id AS created_seq FROM events)"""
@@ -287,6 +289,8 @@ ORACLE: dict[str, str] = {
     "lifecycle_latest_document_state": f"WITH {LATEST} SELECT ref_id, lifecycle_id, status, effective_version_id, created_seq FROM latest",
     "version_ancestors": f"{_R}{ANCESTORS} SELECT * FROM anc",
     "lifecycle_state_as_of_version": f"{_R}{ANCESTORS}, {LIFE} SELECT version_id, ref_id, lifecycle_id, status FROM (SELECT a.version_id, l.*, row_number() OVER (PARTITION BY a.version_id, ref_id ORDER BY created_seq DESC, lifecycle_id DESC) AS n FROM anc a JOIN life l ON l.effective_version_id = a.ancestor_id) WHERE n = 1",
+    "version_tree_labels": f"{_R}{BRANCHES}, up AS (SELECT v, arg_max(a, steps) AS root, max(steps) AS depth FROM line GROUP BY v), down AS (SELECT a, count(*) - 1 AS n FROM line GROUP BY a) SELECT 'E' || v AS version_id, 'E' || root AS tree, depth, n AS n_descendants FROM up JOIN down ON v = down.a",
+    "branch_states": f"{_R}{BRANCHES} SELECT 'E' || line.v AS version_id, event_type, 'E' || max(a) AS last_event FROM line JOIN bv ON bv.v = line.a GROUP BY line.v, event_type",
     "training_eligibility": f"WITH {DOCS}, {LATEST} SELECT DISTINCT d.ref_id, coalesce(status, 'active') AS status, coalesce(status, 'active') = 'active' AS visible, coalesce(status, 'active') = 'active' AS trainable FROM docs d LEFT JOIN latest USING (ref_id)",
     "assertion_eligibility": f"""WITH {CURATION}, {LATEST}, ds AS (SELECT c.ref_id, coalesce(status, 'active') AS ds FROM cdocs c LEFT JOIN latest l ON c.ref_id = 'S' || substr(l.ref_id, 5)),
         own AS (SELECT DISTINCT id, CASE confidence WHEN 'hypothesis' THEN 'archived' WHEN 'medium' THEN 'superseded' ELSE 'active' END AS o FROM asr WHERE speculative),
@@ -415,6 +419,9 @@ ORACLE |= {
         FROM (SELECT *, locator IS DISTINCT FROM 'T5' AS ok FROM asr)""",
     "commit_documents": f"""WITH {ADMITTED}, n AS (SELECT ref_id, count(*) AS n_assertions FROM adm JOIN report USING (ref_id) WHERE report_status <> 'return_upstream' AND n_reject < n GROUP BY ref_id), s AS (SELECT *, row_number() OVER (ORDER BY ref_id) AS seq FROM n)
         SELECT ref_id, 'kbv-' || lpad(seq::VARCHAR, 4, '0') AS version_id, CASE WHEN seq > 1 THEN 'kbv-' || lpad((seq - 1)::VARCHAR, 4, '0') END AS prior_version_id, seq, n_assertions, 'idempotent_hit' AS status FROM s""",
+    "resolve_versions": f"""WITH {ADMITTED}, ok AS (SELECT a.* FROM adm a JOIN report USING (ref_id) WHERE report_status <> 'return_upstream' AND n_reject < n),
+        two AS (SELECT 1 AS round, * FROM ok UNION ALL SELECT 2, * FROM ok WHERE action <> 'downgrade'), g AS (SELECT round, ref_id, count(*) AS n, {set_hash("id")} AS ids_hash FROM two GROUP BY round, ref_id)
+        SELECT ref_id, row_number() OVER (ORDER BY round, ref_id) AS seq, n AS n_assertions, 1 AS n_records, n AS n_vectors, ids_hash FROM g""",
     "outbox_stream": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS events FROM events GROUP BY event_type",
     "evidence_bundles": f"""WITH {evidence_hits()},
         cov AS (SELECT s.i, 'sq' || (pos + 1) AS key, count(r.query_id) AS hits, count(*) FILTER (guardable) AS good FROM subq s LEFT JOIN r ON r.query_id = s.i || '#' || pos GROUP BY s.i, pos),

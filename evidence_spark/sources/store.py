@@ -227,6 +227,26 @@ class Store:
         s = self.table("snapshots").where(F.col("snapshot_id") == v.snapshot_id).first()
         return self.spark.read.parquet(f"{self.path}/structural/batch={s.batch_id}").where((F.col("ref_id") == s.ref_id) & (F.col("fingerprint") == s.fingerprint))
 
+    def resolve_all(self, at: DataFrame | None = None) -> DataFrame:
+        """version_id, snapshot_id, ref_id, part (structural, usdo or vectors), id, content_hash: what the snapshots of all versions,
+        or of those of at (version_id), are made of. Versions that were rolled back are still resolved; unknown ones give no row.
+
+        The parts are read with the batch that a snapshot names, so files of other batches are not read, and of a batch only the
+        documents asked for are kept.
+        """
+        v = self.table("versions").select("version_id", "snapshot_id")
+        v = v if at is None else v.join(at.select("version_id").distinct(), "version_id", "left_semi")
+        named = written(v.join(self.table("snapshots").select("snapshot_id", "ref_id", "fingerprint", "batch_id"), "snapshot_id"), "resolved")
+        out = None
+        for part, id_, hash_, own in (("structural", "id", "assertion_hash", ["fingerprint"]), ("usdo", "record_id", "content_hash", []), ("vectors", "vector_id", "content_hash", [])):
+            if not self._exists(f"{self.path}/{part}"):
+                continue
+            rows = self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/{part}")
+            rows = rows.select("ref_id", *own, F.col("batch").cast("string").alias("batch_id"), F.lit(part).alias("part"), F.col(id_).alias("id"), F.col(hash_).alias("content_hash"))
+            rows = named.join(rows, ["ref_id", "batch_id", *own]).select("version_id", "snapshot_id", "ref_id", "part", "id", "content_hash")
+            out = rows if out is None else out.unionByName(rows)
+        return out if out is not None else named.select("version_id", "snapshot_id", "ref_id", *(F.lit("").alias(c) for c in ("part", "id", "content_hash"))).where("false")
+
     def knowledge_base(self, version_id: str | None = None) -> DataFrame:
         """(ref_id, snapshot_id) of the newest snapshot of each document in the version's chain."""
         at = self.spark.createDataFrame([(version_id or self.current(),)], "version_id string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -129,6 +129,14 @@ def lifecycle(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def version_trees(spark: SparkSession, d: str) -> DataFrame:
+    """version_id, prior_version_id, event_type, created_seq: each event is a version of its user's document. It follows on the
+    event before, but after an error on the one before that, as if the error had been rolled back."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    before = F.when(F.lag("event_type").over(w) == "error", F.lag("event_id", 2).over(w)).otherwise(F.lag("event_id").over(w))
+    return table(spark, d, "events").select(F.concat(F.lit("E"), "event_id").alias("version_id"), F.concat(F.lit("E"), before).alias("prior_version_id"), "event_type", F.col("event_id").alias("created_seq"))
+
+
 def history(spark: SparkSession, d: str) -> DataFrame:
     """Sources registered before, one for each document: each states a DOI, a stable id or a title alone."""
     k = F.col("doc_id")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from evidence_spark.api import Engine
 from evidence_spark.functions import intervals, vectors
 from evidence_spark.functions import text as T
-from evidence_spark.operators import bm25, chunking, curation, delta, evidence, fusion, guard, hybrid, identity, lifecycle, publication, tasks, vector
+from evidence_spark.operators import bm25, chunking, curation, delta, evidence, fusion, guard, hybrid, identity, lifecycle, publication, tasks, vector, versions
 from evidence_spark.sources import codec
 from evidence_spark.sources.store import ConflictError, Store
 from evidence_spark.streaming import outbox
@@ -559,6 +559,64 @@ def test_long_chains_of_versions(spark):
     assert len(up._jdf.queryExecution().toString()) < 5000  # a read of one table
 
 
+def _versions(spark, *pairs):
+    return spark.createDataFrame(list(pairs), "version_id string, prior_version_id string")
+
+
+def test_positions_in_random_version_trees(spark):
+    rng = random.Random(5)
+    prior = {f"v{i}": rng.choice([None, "gone", f"v{i}", *([f"v{rng.randrange(i)}"] * 9 if i else [])]) for i in range(120)}
+    prior = {v: None if p == v else p for v, p in prior.items()}
+    extra = [("v3", prior["v3"]), (None, "v1"), ("v0", "v0")] if prior["v0"] is None else [("v3", prior["v3"]), (None, "v1")]
+    places = versions.labels(_versions(spark, *prior.items(), *extra))
+    got = {r.version_id: r for r in places.withColumn("n", versions.descendants()).collect()}
+    prior["gone"] = None
+    line = {v: [v] for v in prior}
+    for v in prior:
+        while prior[line[v][-1]]:
+            line[v].append(prior[line[v][-1]])
+    assert got.keys() == line.keys()
+    for v, r in got.items():
+        assert (r.tree, r.depth, r.n) == (line[v][-1], len(line[v]) - 1, sum(v in x for x in line.values()) - 1)
+        for a, q in got.items():
+            assert (a in line[v]) == (q.tree == r.tree and q.first <= r.first and r.last <= q.last)
+    rec = [(f"l{i}", rng.choice(["R", "Q", None]), rng.choice(["active", "retracted"]), None, rng.choice([*prior, "unknown", None]), rng.choice([1, 2, 3, None])) for i in range(150)]
+    records = spark.createDataFrame(rec, "lifecycle_id string, ref_id string, status string, reason string, effective_version_id string, created_seq long")
+    stretches = versions.timeline(records, places)
+    want = {}
+    for v in line:
+        for l, key, status, _, bound, seq in rec:  # noqa: E741
+            if key and bound in line[v]:
+                want[v, key] = max(want.get((v, key), ()), (seq is not None, seq or 0, l, status))
+    found = versions.states_at(stretches, places).collect()
+    assert len(found) == len(want) and {(r.version_id, r.ref_id): (r.created_seq is not None, r.created_seq or 0, r.lifecycle_id, r.status) for r in found} == want
+    assert stretches.count() <= 2 * len(rec)
+    some = places.where("version_id in ('v7', 'v77')")
+    assert {(r.version_id, r.ref_id) for r in versions.states_at(stretches, some).collect()} == {k for k in want if k[0] in ("v7", "v77")}
+
+
+def test_odd_version_trees(spark):
+    empty = versions.labels(_versions(spark))
+    records = spark.createDataFrame([("l", 7, "active", None, "v1", 1)], "lifecycle_id string, ref_id long, status string, reason string, effective_version_id string, created_seq long")
+    assert empty.collect() == [] and versions.states_at(versions.timeline(records, empty), empty).collect() == []
+    with pytest.raises(ValueError, match="v1 has two priors"):
+        versions.labels(_versions(spark, ("v1", "a"), ("v1", "b")))
+    with pytest.raises(ValueError, match="their own ancestors"):
+        versions.labels(_versions(spark, ("r", None), ("x", "y"), ("y", "x"), ("z", "x")))
+    one = versions.labels(_versions(spark, ("v1", "v1")))
+    assert [(r.ref_id, r.status) for r in versions.states_at(versions.timeline(records, one), one).collect()] == [(7, "active")]
+
+
+def test_a_hundred_thousand_versions_without_a_closure(spark):
+    n = 100_000
+    chain = spark.range(n).select(F.concat(F.lit("v"), "id").alias("version_id"), F.when(F.col("id") > 0, F.concat(F.lit("v"), F.col("id") - 1)).alias("prior_version_id"))
+    places = versions.labels(chain)
+    assert places.agg(F.count("*"), F.max("depth"), F.count_distinct("tree"), F.sum("depth")).first() == (n, n - 1, 1, n * (n - 1) // 2)
+    records = spark.createDataFrame([("a", "R", "active", None, "v10", 1), ("b", "R", "retracted", None, "v60000", 2)], "lifecycle_id string, ref_id string, status string, reason string, effective_version_id string, created_seq long")
+    at = versions.states_at(versions.timeline(records, places), places)
+    assert {r.status: r["count"] for r in at.groupBy("status").count().collect()} == {"active": 59_990, "retracted": 40_000}
+
+
 def test_binding_lifecycle_records(spark):
     rec = spark.createDataFrame([("l1", "R", "retracted", "r", None, 1), ("l2", "Q", "active", "r", "v1", 2)], "lifecycle_id string, ref_id string, status string, reason string, effective_version_id string, created_seq long")
     bind = lambda *b: lifecycle.bind_effective_version(rec, spark.createDataFrame(list(b), "lifecycle_id string, version_id string"))
@@ -656,6 +714,11 @@ def test_commits_versions_and_rollback(spark, tmp_path):
     assert store.current() == first.version_id and {r.ref_id for r in store.knowledge_base().collect()} == {"R1"}
     third = store.commit("R3", "f3", assertions(spark, assertion("C1", "R3")))
     assert {r.ref_id for r in store.knowledge_base(third.version_id).collect()} == {"R1", "R3"} and second.version_id != third.version_id
+    made_of = lambda rows: {(r.version_id, r.part): r.n for r in rows.groupBy("version_id", "part").agg(F.count("*").alias("n")).collect()}
+    sizes = {first.version_id: 2, second.version_id: 1, third.version_id: 1}
+    assert made_of(store.resolve_all()) == {(v, part): 1 if part == "usdo" else n for v, n in sizes.items() for part in ("structural", "usdo", "vectors")}
+    asked = spark.createDataFrame([(second.version_id,), ("kbv-9999",), (None,)], "version_id string")
+    assert {v for v, _ in made_of(store.resolve_all(asked))} == {second.version_id} and Store(spark, f"{tmp_path}/none").resolve_all().isEmpty()
     with pytest.raises(ValueError, match="no published version"):
         store.rollback("kbv-9999")
     with pytest.raises(PermissionError):
