@@ -59,10 +59,10 @@ class Engine:
 
     # --- retrieval and guard -------------------------------------------------------------------------------------------
 
-    def retrieve(self, queries: DataFrame, vector_queries: DataFrame | None = None, allowed: DataFrame | None = None, eligible: DataFrame | None = None, top_k: int = 5, coarse_top_k: int = 10) -> hybrid.Retrieval:
+    def retrieve(self, queries: DataFrame, vector_queries: DataFrame | None = None, allowed: DataFrame | None = None, eligible: DataFrame | None = None, top_k: int = 5, coarse_top_k: int = 10, synonyms: DataFrame | None = None, reranker=None) -> hybrid.Retrieval:
         """Hits of queries (query_id, text). eligible: visible references (ref_id); the others are never returned."""
         chunks = self._need("chunks")
-        return hybrid.hybrid_retrieve(queries, chunks, self.vectors if vector_queries is not None else None, vector_queries, None, allowed, coarse_top_k, top_k, config=self.config, visible=eligible)
+        return hybrid.hybrid_retrieve(queries, chunks, self.vectors if vector_queries is not None else None, vector_queries, None, allowed, coarse_top_k, top_k, config=self.config, visible=eligible, synonyms=synonyms, reranker=reranker)
 
     def visibility(self, at_version_id: str | None = None) -> tuple[DataFrame, DataFrame] | tuple[None, None]:
         """(ref_id of visible documents, assertion_id of hidden assertions) as of a version, by default the current one; nothing is
@@ -78,7 +78,7 @@ class Engine:
         own = lifecycle.state_as_of(store.table("assertion_lifecycle").withColumn("reason", F.lit(None).cast("string")), versions, asked, "assertion_id")
         return lifecycle.eligibility(chunks, docs).where("visible").select("ref_id"), own.where("status in ('archived', 'superseded')").select("assertion_id")
 
-    def evidence(self, requests: DataFrame, at_version_id: str | None = None, embed=None) -> evidence.Evidence:
+    def evidence(self, requests: DataFrame, at_version_id: str | None = None, embed=None, synonyms: DataFrame | None = None, reranker=None) -> evidence.Evidence:
         """Evidence for requests (see evidence.retrieve) from what is visible as of a version."""
         chunks = self._need("chunks")
         visible, hidden = self.visibility(at_version_id)
@@ -86,7 +86,7 @@ class Engine:
             if not hidden.isEmpty():
                 raise ValueError("to hide assertions, chunks must name theirs in assertion_id")
             hidden = None
-        return evidence.retrieve(requests, chunks, vectors=self.vectors if embed else None, embed=embed, visible=visible, hidden=hidden, config=self.config)
+        return evidence.retrieve(requests, chunks, vectors=self.vectors if embed else None, embed=embed, visible=visible, hidden=hidden, config=self.config, synonyms=synonyms, reranker=reranker)
 
     def records(self, hits: DataFrame) -> DataFrame:
         return guard.normalize_hits(hits, self._need("chunks"), config=self.config)

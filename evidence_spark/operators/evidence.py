@@ -11,7 +11,7 @@ from ..config import DEFAULT, Config
 from ..functions import hashing
 from ..functions import vectors as vectors_
 from ..tables import written
-from . import bm25, guard, hybrid
+from . import bm25, fusion, guard, hybrid
 
 
 @dataclass
@@ -50,7 +50,7 @@ def _embedded(queries: DataFrame, embed) -> DataFrame:
 
 def retrieve(
     requests: DataFrame, chunks: DataFrame, index: bm25.Index | None = None, vectors: DataFrame | None = None, embed=None, visible: DataFrame | None = None, hidden: DataFrame | None = None,
-    top_k: int = 5, coarse_top_k: int = 10, default_type: str | None = "literature", config: Config = DEFAULT,
+    top_k: int = 5, coarse_top_k: int = 10, default_type: str | None = "literature", config: Config = DEFAULT, synonyms: DataFrame | None = None, reranker=None,
 ) -> Evidence:
     """Evidence for requests: see subqueries() for what they hold; and required_coverage_keys (null: all keys),
     private_data_unauthorized and calibrated_support (null: not judged).
@@ -59,22 +59,24 @@ def retrieve(
     (ref_id) that may be returned, as of the version asked for (lifecycle.eligibility); restricted requests lose those that are
     not. hidden: assertions or chunks that may not (see hybrid_retrieve). embed(rows) adds embedding to rows (query_id, text), for
     vectors; it must give one finite vector for each row. A request's own top_k and coarse_top_k, where it has these columns and
-    they are not null, go before those of the call; requests that ask alike are answered together.
+    they are not null, go before those of the call; requests that ask alike are answered together. synonyms, reranker: see
+    hybrid_retrieve; bundle ids and records stay those of the texts as they were asked.
     """
     asked = written(subqueries(requests), "subqueries")
-    source = index or bm25.Index.for_queries(asked, chunks)
+    searched = asked if synonyms is None else written(asked.drop("text").join(fusion.expand_queries(asked, synonyms), "query_id"), "expanded")
+    source = index or bm25.Index.for_queries(searched, chunks)
     if hidden is not None:
         hidden = written(hybrid.hidden_chunks(hidden, *(x for x in (chunks, vectors) if x is not None)), "hidden")
     own = lambda c, k: F.coalesce(F.col(c).cast("int"), F.lit(k)) if c in requests.columns else F.lit(k)
     limited = F.coalesce(F.size("allowed_ref_ids"), F.lit(0)) > 0
     kinds = written(requests.select("request_id", own("top_k", top_k).alias("k"), own("coarse_top_k", coarse_top_k).alias("ck")), "depths")
-    asked_as = asked.join(kinds, "request_id").withColumn("limited", limited)
+    asked_as = searched.join(kinds, "request_id").withColumn("limited", limited)
     parts = []
     for r in asked_as.select("k", "ck", "limited").distinct().collect():  # a row for each pair of depths
         some = asked_as.where((F.col("k") == r.k) & (F.col("ck") == r.ck) & (F.col("limited") == r.limited))
         allowed = some.select("query_id", F.explode("allowed_ref_ids").alias("ref_id")).distinct() if r.limited else None
         q = some.select("query_id", "text")
-        parts.append(hybrid.hybrid_retrieve(q, source, vectors, _embedded(q, embed) if embed else None, None, allowed, r.ck, r.k, False, config, visible, hidden))
+        parts.append(hybrid.hybrid_retrieve(q, source, vectors, _embedded(q, embed) if embed else None, None, allowed, r.ck, r.k, False, config, visible, hidden, None, reranker, chunks))
     if not parts:
         none = asked.select("query_id", F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("string").alias("ref_id"), F.lit(None).cast("long").alias("rank"))
         hits, diagnostics = none.limit(0), asked.select("query_id").limit(0)

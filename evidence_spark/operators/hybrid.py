@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -28,6 +28,7 @@ def channel(frame: DataFrame, name: str) -> DataFrame:
 def hybrid_retrieve(
     queries: DataFrame, chunks: DataFrame | bm25.Index, vectors: DataFrame | None = None, vector_queries: DataFrame | None = None, graph: DataFrame | None = None,
     allowed: DataFrame | None = None, coarse_top_k: int = DEFAULT.coarse_top_k, fine_top_k: int = DEFAULT.fine_top_k, fallback: bool = True, config: Config = DEFAULT, visible: DataFrame | None = None, hidden: DataFrame | None = None,
+    synonyms: DataFrame | None = None, reranker: Callable[[Column, Column], Column] | None = None, payloads: DataFrame | None = None,
 ) -> Retrieval:
     """Keyword and vector candidates on coarse chunks pick documents; fine chunks of those are fused.
 
@@ -38,7 +39,19 @@ def hybrid_retrieve(
     (assertion_id) or chunks (chunk_id) that no query may return, in the same way; assertions need chunks that name theirs, see
     hidden_chunks(). chunks: chunks, which are indexed once for both stages, or a stored index. What the coarse stage picks is written, as both stages and the
     diagnostics read it.
+
+    synonyms: (term, expansion) rows that widen the queries' texts in both stages (fusion.expand_queries). reranker(query, payload):
+    a column that scores the fused hits anew from the widened text and the chunk's payload; a score that is no finite number is an
+    error. score stays that of the fusion, rerank_score and rank are the reranker's. Payloads come from chunks, or from payloads
+    (chunk_id, payload) where chunks is a stored index; a hit without one is scored on an empty payload. channels_used of the
+    diagnostics names what the fine stage asked.
     """
+    if reranker is not None and payloads is None:
+        if isinstance(chunks, bm25.Index):
+            raise ValueError("to rerank hits of a stored index, payloads are needed")
+        payloads = chunks
+    if synonyms is not None:
+        queries = fusion.expand_queries(queries, synonyms)
     search = bm25.searcher(queries, chunks, config)
     limits = visible is not None or hidden is not None
     if hidden is not None:
@@ -81,14 +94,26 @@ def hybrid_retrieve(
         graph = graph if hidden is None else graph.join(hidden, "chunk_id", "left_anti")
         found = found.unionByName(channel(graph.join(refs, ["query_id", "ref_id"], "left_semi").where(F.col("rank") <= fine_top_k), "graph"))
     hits = fusion.rrf(found, fine_top_k, config)
+    if reranker is not None:
+        hits = _reranked(hits, queries, payloads, reranker)
+    asked = [name for name, port in (("vector", vectors), ("graph", graph), ("keyword", chunks)) if port is not None]
     counts = hits.groupBy("query_id").agg(F.count("*").alias("fine_hits"))
     diagnostics = status.join(counts, "query_id", "left").fillna(0, ["fine_hits"]).select(
-        "query_id", "coarse_hits", "fine_hits", F.when(F.col("coarse_hits") > 0, "ok").when(F.lit(fallback), "fallback").otherwise("empty").alias("coarse_status"), ((F.col("coarse_hits") == 0) & F.lit(fallback)).alias("fallback_used")
+        "query_id", "coarse_hits", "fine_hits", F.when(F.col("coarse_hits") > 0, "ok").when(F.lit(fallback), "fallback").otherwise("empty").alias("coarse_status"), ((F.col("coarse_hits") == 0) & F.lit(fallback)).alias("fallback_used"),
+        F.when((F.col("coarse_hits") > 0) | F.lit(fallback), F.lit(",".join(asked))).otherwise("").alias("channels_used"),
     )
     channels = found.groupBy("query_id", "channel").agg(F.count("*").alias("candidates"))
     return Retrieval(hits, picked, diagnostics, channels)
 
 
+def _reranked(hits: DataFrame, queries: DataFrame, payloads: DataFrame, reranker: Callable[[Column, Column], Column]) -> DataFrame:
+    """Hits are few, chunks many: the payloads of the hits alone leave the chunks. A chunk that is there twice counts once."""
+    hits = written(hits, "fused-hits")
+    texts = payloads.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.min("payload").alias("_payload"))
+    rows = hits.join(texts, "chunk_id", "left").join(queries.select("query_id", F.col("text").alias("_query")), "query_id")
+    return fusion.rerank(rows, reranker(F.col("_query"), F.coalesce("_payload", F.lit("")))).select("query_id", "chunk_id", "ref_id", "score", "n_channels", "rerank_score", "rank")
+
+
 def hidden_chunks(hidden: DataFrame, *chunks: DataFrame) -> DataFrame:
     """chunk_id of the chunks whose assertion is hidden. hidden names chunks itself (chunk_id) or assertions (assertion_id); then some
     of chunks must have the column assertion_id, as nothing would be hidden otherwise."""

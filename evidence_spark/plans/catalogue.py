@@ -110,6 +110,13 @@ def hybrid_diagnostics(spark, d):
     return hybrid.hybrid_retrieve(V.queries(spark, d), V.chunks(spark, d)).diagnostics
 
 
+@query
+def hybrid_expanded_reranked(spark, d):
+    """Texts widened by synonyms in both stages, hits ranked anew by the words that they share with them."""
+    synonyms = spark.createDataFrame(SYNONYMS, "term string, expansion string")
+    return hybrid.hybrid_retrieve(V.queries(spark, d), V.chunks(spark, d), synonyms=synonyms, reranker=fusion.lexical_overlap).hits.select("query_id", "chunk_id", "ref_id", "score", "rerank_score", "rank")
+
+
 @query
 def hybrid_vector_keyword(spark, d):
     """Keyword and vector channels together; every fiftieth vector asks, with the benchmark text of the same number."""

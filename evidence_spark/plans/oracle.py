@@ -76,6 +76,9 @@ status AS (SELECT q.query_id, count(p.chunk_id) AS coarse_hits FROM q LEFT JOIN
 {top("fk", "SELECT s.* FROM scores s JOIN status t USING (query_id) WHERE score > 0 AND level = 'fine' AND (coarse_hits = 0 OR EXISTS (SELECT 1 FROM picked p WHERE p.query_id = s.query_id AND p.ref_id = s.ref_id))", 10)},
 {rrf("final", "SELECT *, 'keyword' AS channel FROM fk", 10)}"""
 
+EXPANDED = r"""s(term, e) AS (VALUES ('the', 'der'), ('the', 'le'), ('of', 'von'), ('and', 'und')), w AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM benchmark), x AS (SELECT item_id, string_agg(DISTINCT e, ' ' ORDER BY e) AS extra FROM w JOIN s USING (term) GROUP BY item_id),
+wide AS (SELECT b.item_id, concat_ws(' ', text, extra) AS text FROM benchmark b LEFT JOIN x USING (item_id))"""
+
 ASKED = "(SELECT b.item_id AS query_id, b.text FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id * 50)"
 BOTH = f"""{BM25.replace("FROM benchmark)", f"FROM {ASKED} b)").replace("SELECT item_id AS query_id, text", "SELECT query_id, text")},
 near AS (SELECT b.query_id, 'V-' || e.vec_id AS chunk_id, 'DOC-' || e.vec_id AS ref_id, round(list_inner_product(v.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM q b JOIN embeddings v ON v.vec_id = b.query_id * 50, embeddings e),
@@ -270,11 +273,12 @@ ORACLE: dict[str, str] = {
     "vector_filtered_topk": f"WITH {VECTORS}, {top('t', 'SELECT query_id, chunk_id, ref_id, score FROM near WHERE same', 5)} SELECT * FROM t",
     "rrf_fusion": f"WITH {BM25}, {top('a', 'SELECT * FROM scores WHERE score > 0', 20)}, {top('f', chr(39).join(['SELECT * FROM scores WHERE score > 0 AND level = ', 'fine', '']), 20)}, {rrf('r', 'SELECT query_id, chunk_id, ref_id, rank, 1 AS channel FROM a UNION ALL SELECT query_id, chunk_id, ref_id, rank, 2 FROM f', 10)} SELECT * FROM r",
     "hybrid_coarse_to_fine": f"WITH {HYBRID} SELECT query_id, chunk_id, ref_id, score, rank FROM final",
-    "hybrid_diagnostics": f"WITH {HYBRID} SELECT s.query_id, coarse_hits, count(f.chunk_id) AS fine_hits, CASE WHEN coarse_hits > 0 THEN 'ok' ELSE 'fallback' END AS coarse_status, coarse_hits = 0 AS fallback_used FROM status s LEFT JOIN final f USING (query_id) GROUP BY s.query_id, coarse_hits",
+    "hybrid_diagnostics": f"WITH {HYBRID} SELECT s.query_id, coarse_hits, count(f.chunk_id) AS fine_hits, CASE WHEN coarse_hits > 0 THEN 'ok' ELSE 'fallback' END AS coarse_status, coarse_hits = 0 AS fallback_used, 'keyword' AS channels_used FROM status s LEFT JOIN final f USING (query_id) GROUP BY s.query_id, coarse_hits",
     "hybrid_vector_keyword": f"WITH {BOTH} SELECT query_id, chunk_id, ref_id, score, n_channels, rank FROM final",
     "retrieval_metrics": f"WITH {BM25}, {HITS10}, f AS (SELECT q.query_id, min(rank) AS r FROM q LEFT JOIN hits h ON h.query_id = q.query_id AND h.ref_id = 'DOC-' || q.query_id GROUP BY q.query_id) SELECT count(*) AS queries, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0 END), 9) AS recall_at_1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0 END), 9) AS recall_at_3, round(avg(coalesce(1.0::DOUBLE / r, 0)), 9) AS mrr FROM f",
-    "query_expansion": r"""WITH s(term, e) AS (VALUES ('the', 'der'), ('the', 'le'), ('of', 'von'), ('and', 'und')), w AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM benchmark), x AS (SELECT item_id, string_agg(DISTINCT e, ' ' ORDER BY e) AS extra FROM w JOIN s USING (term) GROUP BY item_id)
-        SELECT b.item_id AS query_id, concat_ws(' ', text, extra) AS text FROM benchmark b LEFT JOIN x USING (item_id)""",
+    "query_expansion": f"WITH {EXPANDED} SELECT item_id AS query_id, text FROM wide",
+    "hybrid_expanded_reranked": f"""WITH {EXPANDED}, {HYBRID.replace("FROM benchmark)", "FROM wide)")}, o AS (SELECT f.query_id, f.chunk_id, f.ref_id, f.score, round(len(list_intersect(list_distinct({words("q.text")}), regexp_split_to_array(lower(c.payload), '\\s+'))) / len(list_distinct({words("q.text")}))::DOUBLE, 9) AS rerank_score FROM final f JOIN q USING (query_id) JOIN chunks c ON c.chunk_id = f.chunk_id)
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) AS rank FROM o""",
     "rerank_scores": f"""WITH {BM25}, {HITS10}, o AS (SELECT h.query_id, h.chunk_id, h.score, round(len(list_intersect(list_distinct({words("q.text")}), regexp_split_to_array(lower(c.payload), '\\s+'))) / len(list_distinct({words("q.text")}))::DOUBLE, 9) AS rerank_score FROM hits h JOIN q USING (query_id) JOIN chunks c ON c.chunk_id = h.chunk_id)
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) AS rank FROM o""",
     "eligible_hits_progressive": f"""WITH {VECTORS}, {LATEST}, {top("all_", "SELECT query_id, chunk_id, ref_id, score FROM near", None)}, sz AS (SELECT query_id, max(rank) AS size FROM all_ GROUP BY query_id),
