@@ -218,6 +218,24 @@ def test_rrf_takes_the_best_rank_of_a_channel(spark):
     assert got == [("X", round(1 / 61 + 1 / 62, 9), 2, 1), ("Y", round(1 / 61, 9), 1, 2)]
 
 
+def test_retrieval_with_synonyms_and_a_reranker(spark):
+    chunks = spark.createDataFrame([("c1", "R1", "coarse", "salt"), ("f1", "R1", "fine", "salt salt"), ("f2", "R1", "fine", "salt water brine"), ("f2", "R1", "fine", "salt water brine"), ("c2", "R2", "coarse", "other")], CHUNK)
+    q = spark.createDataFrame([(1, "brine"), (2, None)], "query_id long, text string")
+    syn = spark.createDataFrame([("brine", "salt"), ("brine", "water")], "term string, expansion string")
+    assert hybrid.hybrid_retrieve(q, chunks, fallback=False).hits.isEmpty()
+    found = hybrid.hybrid_retrieve(q, chunks, fallback=False, synonyms=syn, reranker=fusion.lexical_overlap)
+    assert [(r.query_id, r.chunk_id, r.rerank_score, r.rank) for r in found.hits.orderBy("rank").collect()] == [(1, "f2", 1.0, 1), (1, "f1", pytest.approx(1 / 3), 2)]
+    assert {r.query_id: r.channels_used for r in found.diagnostics.collect()} == {1: "keyword", 2: ""}
+    graph = spark.createDataFrame([(1, "g1", "R1", 1)], "query_id long, chunk_id string, ref_id string, rank long")
+    # The hit of the graph has no payload: it is scored on an empty one.
+    shorter = hybrid.hybrid_retrieve(q, chunks, graph=graph, synonyms=syn, reranker=lambda _, p: -F.length(p).cast("double"))
+    assert [r.chunk_id for r in shorter.hits.orderBy("rank").collect()] == ["g1", "f1", "f2"] and shorter.diagnostics.first().channels_used == "graph,keyword"
+    with pytest.raises(Exception, match="no finite score"):
+        hybrid.hybrid_retrieve(q, chunks, synonyms=syn, reranker=lambda *_: F.lit(float("nan"))).hits.collect()
+    with pytest.raises(ValueError, match="payloads are needed"):
+        hybrid.hybrid_retrieve(q, bm25.Index.for_queries(q, chunks), reranker=fusion.lexical_overlap)
+
+
 def test_coarse_hits_restrict_fine_ones(spark):
     chunks = spark.createDataFrame([("c1", "R1", "coarse", "alpha"), ("f1", "R1", "fine", "beta alpha"), ("f2", "R2", "fine", "alpha alpha"), ("f3", "R3", "fine", "gamma")], CHUNK)
     q = spark.createDataFrame([(1, "alpha"), (2, "gamma")], "query_id long, text string")
