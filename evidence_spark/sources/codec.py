@@ -22,13 +22,11 @@ CHECKED = (("object.value_type", "number", VALUE_TYPES), ("claim_type", "measure
 REQUIRED = ("id", "subject.original_mention", "property")
 
 
-def decode_assertions(rows: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(decoded, refused) of rows with a column json; other columns are kept.
-
-    Decoded rows are flat: id, entity, property, value_*, unit and so on. Missing enums take their default, unless strict;
-    unknown ones, missing required fields and broken JSON refuse a row, with the reasons in errors.
-    """
-    d = rows.withColumn("a", F.from_json("json", ASSERTION, {"columnNameOfCorruptRecord": "_bad"}))
+def decoded_assertions(rows: DataFrame, strict: bool = False) -> DataFrame:
+    """What decode_assertions() splits, in one frame: the columns of rows, errors (empty for a decoded row) and decoded, a struct
+    of the flat columns. Each text is parsed once: the parsed struct comes out of an explode, so that no filter or projection
+    over its fields parses the text again."""
+    d = rows.withColumn("a", F.explode(F.array(F.from_json("json", ASSERTION, {"columnNameOfCorruptRecord": "_bad"}))))
     errors = [F.when(F.col("a").isNull() | F.col("a._bad").isNotNull(), F.lit("not_json"))]
     errors += [F.when(F.coalesce(F.col(f"a.{c}"), F.lit("")) == "", F.lit(f"missing:{c}")) for c in REQUIRED]
     values = {}
@@ -36,8 +34,6 @@ def decode_assertions(rows: DataFrame, strict: bool = False) -> tuple[DataFrame,
         got = F.col(f"a.{field}")
         values[field] = got if strict else F.coalesce(got, F.lit(default))
         errors.append(F.when(values[field].isNull() | ~values[field].isin(*allowed), F.lit(f"invalid:{field}")))
-    d = d.withColumn("errors", F.array_compact(F.array(*errors)))
-    keep = [c for c in rows.columns if c not in ("json", "id", "entity", "property")]
     number = F.expr("try_cast(a.object.value AS double)")
     pair = F.from_json("a.object.value", "array<double>")
     kind = values["object.value_type"]
@@ -47,8 +43,19 @@ def decode_assertions(rows: DataFrame, strict: bool = False) -> tuple[DataFrame,
         "uncertainty": F.col("a.object.uncertainty"), "conditions": F.coalesce("a.conditions", F.array().cast("array<struct<eddo_class: string, value: string, unit: string>>")), "locator": F.col("a.provenance.locator"),
         "claim_type": values["claim_type"], "source_claim_origin": values["source_claim_origin"], "confidence": values["confidence"], "quality": F.coalesce("a.quality", F.lit(0.5)), "missing_unit": F.coalesce("a.missing_unit", F.lit(False)), "speculative_wording": F.coalesce("a.speculative_wording", F.lit(False)),
     }
-    good = d.where("size(errors) = 0").select(*keep, *(c.alias(n) for n, c in flat.items() if n not in keep))
-    return good, d.where("size(errors) > 0").select(*(c for c in rows.columns), "errors")
+    return d.select(*rows.columns, F.array_compact(F.array(*errors)).alias("errors"), F.struct(*(c.alias(n) for n, c in flat.items())).alias("decoded"))
+
+
+def decode_assertions(rows: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(decoded, refused) of rows with a column json; other columns are kept.
+
+    Decoded rows are flat: id, entity, property, value_*, unit and so on. Missing enums take their default, unless strict;
+    unknown ones, missing required fields and broken JSON refuse a row, with the reasons in errors.
+    """
+    d = decoded_assertions(rows, strict)
+    keep = [c for c in rows.columns if c not in ("json", "id", "entity", "property")]
+    flat = [n for n in d.schema["decoded"].dataType.names if n not in keep]
+    return d.where("size(errors) = 0").select(*keep, *(f"decoded.{n}" for n in flat)), d.where("size(errors) > 0").select(*rows.columns, "errors")
 
 
 def decode_requests(rows: DataFrame) -> DataFrame:
