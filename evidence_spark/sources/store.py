@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..operators import curation, lifecycle
-from ..tables import delete, new_path, written
+from ..tables import delete, local, new_path, written
 
 SCHEMAS = {
     "commits": "commit_id string, ref_id string, fingerprint string, phase string, batch_id string, snapshot_id string, version_id string, error string, seq long",
@@ -58,10 +58,10 @@ class Store:
 
     def table(self, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
-        return self.spark.read.schema(SCHEMAS[name]).parquet(path) if self._exists(path) else self.spark.createDataFrame([], SCHEMAS[name])
+        return self.spark.read.schema(SCHEMAS[name]).parquet(path) if self._exists(path) else local(self.spark, [], SCHEMAS[name])
 
     def append(self, name: str, rows: list[tuple] | DataFrame) -> None:
-        df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, SCHEMAS[name]).coalesce(1)
+        df = rows if isinstance(rows, DataFrame) else local(self.spark, rows, SCHEMAS[name])
         df.write.mode("append").parquet(f"{self.path}/{name}")
 
     def _step(self, name: str) -> None:
@@ -190,7 +190,7 @@ class Store:
 
     def commit(self, ref_id: str, fingerprint: str, admitted: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None) -> Committed:
         """One document."""
-        source = self.spark.createDataFrame([(ref_id, fingerprint)], "ref_id string, fingerprint string")
+        source = local(self.spark, [(ref_id, fingerprint)], "ref_id string, fingerprint string")
         r = self.commit_all(source, admitted.where(F.col("ref_id") == ref_id), embed).first()
         return Committed(r.status, r.version_id, r.snapshot_id)
 
@@ -249,7 +249,7 @@ class Store:
 
     def knowledge_base(self, version_id: str | None = None) -> DataFrame:
         """(ref_id, snapshot_id) of the newest snapshot of each document in the version's chain."""
-        at = self.spark.createDataFrame([(version_id or self.current(),)], "version_id string")
+        at = local(self.spark, [(version_id or self.current(),)], "version_id string")
         v = self.table("versions")
         chain = lifecycle.ancestors(v.select("version_id", "prior_version_id"), at).select(F.col("ancestor_id").alias("version_id"))
         return v.join(chain, "version_id").groupBy("ref_id").agg(F.max_by("snapshot_id", "seq").alias("snapshot_id"))
@@ -282,11 +282,11 @@ class Store:
             raise PermissionError("a retraction needs a verified trigger")
         lifecycle_id = f"lc-{hashlib_id(ref_id, 'retracted', reason)}"
         seq, version = self._next("lifecycle", "created_seq"), self.current()
-        one = self.spark.createDataFrame([(lifecycle_id, ref_id, "retracted", reason, version, seq)], SCHEMAS["lifecycle"])
+        one = local(self.spark, [(lifecycle_id, ref_id, "retracted", reason, version, seq)], SCHEMAS["lifecycle"])
         if self.append_once("lifecycle", one, "lifecycle_id", ["ref_id", "status", "reason"]):
             self._step("event")
         event = [(f"ev-{lifecycle_id}", "document_retracted", ref_id, version, version, lifecycle_id, self._next("outbox", "created_seq"))]
-        self.append_once("outbox", self.spark.createDataFrame(event, SCHEMAS["outbox"]), "event_id", ["event_type", "ref_id", "lifecycle_id"])
+        self.append_once("outbox", local(self.spark, event, SCHEMAS["outbox"]), "event_id", ["event_type", "ref_id", "lifecycle_id"])
         return lifecycle_id
 
     def revise(self, ref_id: str, fingerprint: str, admitted: DataFrame, moves: DataFrame, reason: str = "revision", preprint_to_journal: bool = False) -> tuple[Committed, str]:
@@ -296,7 +296,7 @@ class Store:
         lifecycle_id = f"lc-{hashlib_id(ref_id, fingerprint, reason)}"
         status = "superseded" if preprint_to_journal else "active"
         self._step("lifecycle")
-        one = self.spark.createDataFrame([(lifecycle_id, ref_id, status, reason, done.version_id, self._next("lifecycle", "created_seq"))], SCHEMAS["lifecycle"])
+        one = local(self.spark, [(lifecycle_id, ref_id, status, reason, done.version_id, self._next("lifecycle", "created_seq"))], SCHEMAS["lifecycle"])
         self.append_once("lifecycle", one, "lifecycle_id", ["ref_id", "status", "reason", "effective_version_id"])
         old = moves.where("action in ('supersede', 'archive')").select(
             F.col("old_id").alias("assertion_id"), F.lit(ref_id).alias("ref_id"), F.when(F.col("action") == "supersede", "superseded").otherwise("archived").alias("status"), F.col("new_id").alias("superseded_by"), F.lit(lifecycle_id).alias("lifecycle_id"), F.lit(done.version_id).alias("effective_version_id"), F.lit(self._next("assertion_lifecycle", "created_seq")).cast("long").alias("created_seq")
@@ -306,7 +306,7 @@ class Store:
             self.append("assertion_lifecycle", old)
         self._step("event")
         event = [(f"ev-{lifecycle_id}", "document_revised", ref_id, before, done.version_id, lifecycle_id, self._next("outbox", "created_seq"))]
-        self.append_once("outbox", self.spark.createDataFrame(event, SCHEMAS["outbox"]), "event_id", ["event_type", "ref_id", "lifecycle_id"])
+        self.append_once("outbox", local(self.spark, event, SCHEMAS["outbox"]), "event_id", ["event_type", "ref_id", "lifecycle_id"])
         return done, lifecycle_id
 
     # --- publication ---------------------------------------------------------------------------------------------------
