@@ -29,6 +29,23 @@ def _with(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return df.select("*", *(F.lit(None).cast("string").alias(c) for c in columns if c not in df.columns))
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, apart: str = "seq") -> DataFrame:
+    """rows with the columns that table, which has one row for each value of key, has for theirs. Rows without a key meet nothing: they
+    are dealt out by another column, as else they would all go to one task."""
+    named = F.concat(F.lit("k"), F.col(key))
+    found = table.select(named.alias("_k"), *(c for c in table.columns if c != key))
+    return rows.withColumn("_k", F.coalesce(named, F.concat(F.lit("n"), F.col(apart)))).join(found, "_k", "left").drop("_k")
+
+
+def _brief(df: DataFrame) -> DataFrame:
+    """df with a digest for the title: titles may be whole texts, and are only held against each other."""
+    return df.withColumn("norm_title", F.sha2("norm_title", 256))
+
+
+#: What a candidate is classified and registered by.
+STATED = ("seq", "ref_id", "source_fingerprint", "norm_doi", "norm_title", "norm_stable", *EXPLICIT)
+
+
 def classify_intake(candidates: DataFrame, registry: DataFrame) -> DataFrame:
     """seq, disposition, work_id, relation, conflict_reason of normalized candidates against normalized registry rows
     (ref_id, source_fingerprint, work_id, norm_* and, where lineage counts, source_version_id, prior_source_version_id,
@@ -37,15 +54,16 @@ def classify_intake(candidates: DataFrame, registry: DataFrame) -> DataFrame:
     Precedence: the same ref and fingerprint is an exact replay, unless the lineage or the metadata that it states contradict
     what is known. An identifier of several works, or two identifiers of different works, conflict. Then a stated lineage
     decides (a work, a prior version or a relation other than none; see _lineage), then DOI, then stable id; a title alone asks
-    for review. relation is what a stated lineage amounts to. Each lookup is an equi-join with one row for each key value.
+    for review. relation is what a stated lineage amounts to. Each lookup is an equi-join with one row for each key value; titles go
+    as digests, and rows that lack a key are spread over all tasks.
     """
-    c, r = _with(candidates, EXPLICIT), _with(registry, RECORD)
+    c, r = _brief(_with(candidates, EXPLICIT).select(*STATED)), _brief(_with(registry, RECORD))
     known = r.select("ref_id", "source_fingerprint", *(F.col(x).alias(f"k_{x}") for x in ("work_id", "norm_doi", "norm_title", "norm_stable", "prior_source_version_id", "relation", "source_kind")))
     c = c.join(known, ["ref_id", "source_fingerprint"], "left")
     for key, out in (("norm_doi", "doi"), ("norm_stable", "sid"), ("norm_title", "ttl")):
-        c = c.join(_works(r, key, out), key, "left")
-    c = c.join(r.select(F.col("work_id").alias("explicit_work_id"), F.lit(True).alias("work_known")).distinct(), "explicit_work_id", "left")
-    c = c.join(r.select(F.col("source_version_id").alias("explicit_prior_version_id"), F.col("work_id").alias("p_work"), F.col("source_kind").alias("p_kind")), "explicit_prior_version_id", "left")
+        c = looked_up(c, _works(r, key, out), key)
+    c = looked_up(c, r.select(F.col("work_id").alias("explicit_work_id"), F.lit(True).alias("work_known")).distinct(), "explicit_work_id")
+    c = looked_up(c, r.select(F.col("source_version_id").alias("explicit_prior_version_id"), F.col("work_id").alias("p_work"), F.col("source_kind").alias("p_kind")), "explicit_prior_version_id")
     both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
     result = lambda d, w, why=None, rel=None: F.struct(F.lit(d).alias("disposition"), w.alias("work_id"), (F.lit(None).cast("string") if rel is None else rel).alias("relation"), F.lit(why).cast("string").alias("conflict_reason"))
     none, work, prior, rel = F.lit(None).cast("string"), F.col("explicit_work_id"), F.col("explicit_prior_version_id"), F.col("explicit_relation")
@@ -134,9 +152,9 @@ def _never_registers(c: DataFrame, registry: DataFrame) -> DataFrame:
     several works. They are decided in their turn, but nothing needs to wait for them."""
     works = registry.select(F.col("work_id").alias("explicit_work_id")).distinct().unionByName(c.select(F.col("own_work").alias("explicit_work_id")).distinct()).distinct().withColumn("_w", F.lit(True))
     versions = registry.select(F.col("source_version_id").alias("explicit_prior_version_id")).distinct().withColumn("_v", F.lit(True))
-    d = c.join(works, "explicit_work_id", "left").join(versions, "explicit_prior_version_id", "left")
+    d = looked_up(looked_up(c, works, "explicit_work_id"), versions, "explicit_prior_version_id")
     for key in ("norm_doi", "norm_stable"):
-        d = d.join(_works(registry, key, key).where(F.col(f"{key}_lo") != F.col(f"{key}_hi")).select(key, F.lit(True).alias(f"_{key}")), key, "left")
+        d = looked_up(d, _works(registry, key, key).where(F.col(f"{key}_lo") != F.col(f"{key}_hi")).select(key, F.lit(True).alias(f"_{key}")), key)
     work, prior, rel = F.col("explicit_work_id"), F.col("explicit_prior_version_id"), F.col("explicit_relation")
     stated = work.isNotNull() | prior.isNotNull() | (rel.isNotNull() & (rel != "none"))
     wrong = (rel == "none") | (work.isNull() & prior.isNull()) | (work.isNotNull() & F.col("_w").isNull()) | (prior.isNotNull() & F.col("_v").isNull() & ~prior.rlike(OWN_ID)) | (rel.isin("preprint_to_journal", "revision_of", "corrected_version") & prior.isNull())
@@ -149,7 +167,7 @@ def _as_seen(rows: DataFrame, known: DataFrame) -> DataFrame:
     later = lambda c, key: known.groupBy(F.col(c).alias(key)).agg(F.min(F.coalesce("registered", F.lit(-(1 << 62)))).alias("_at"))
     out = rows
     for c, key in (("work_id", "explicit_work_id"), ("source_version_id", "explicit_prior_version_id")):
-        out = out.join(later(c, key), key, "left").withColumn(key, F.when(F.col("_at") > F.col("seq"), F.concat(F.lit("later:"), key)).otherwise(F.col(key))).drop("_at")
+        out = looked_up(out, later(c, key), key).withColumn(key, F.when(F.col("_at") > F.col("seq"), F.concat(F.lit("later:"), key)).otherwise(F.col(key))).drop("_at")
     return out
 
 
@@ -163,8 +181,9 @@ def intake_in_order(candidates: DataFrame, registry: DataFrame) -> tuple[DataFra
     rows are classified together and registered. A DOI that a third of the rows have is settled in two rounds, as is any key; a
     row that cannot register holds up nobody. A row that names a version of this very batch waits for all rows before it.
     """
-    c = _with(candidates, EXPLICIT)
-    c = c.withColumn("own_work", hashing.canonical_hash(F.lit("new_work"), F.col("ref_id"), F.col("source_fingerprint"), length=16))
+    texts = candidates.select("norm_title").unionByName(registry.select("norm_title"))
+    candidates, registry = _brief(_with(candidates, EXPLICIT).select(*STATED)), _brief(registry)
+    c = candidates.withColumn("own_work", hashing.canonical_hash(F.lit("new_work"), F.col("ref_id"), F.col("source_fingerprint"), length=16))
     c = written(_never_registers(c, _with(registry, RECORD)), "intake")
     rows = c.drop("own_work", "never", "waits")
     known = written(_with(registry, RECORD).select("source_version_id", "work_id", "ref_id", "source_fingerprint", "norm_doi", "norm_title", "norm_stable", "source_kind", "relation", "prior_source_version_id", F.lit(None).cast("long").alias("registered")), "registry")
@@ -204,7 +223,11 @@ def intake_in_order(candidates: DataFrame, registry: DataFrame) -> tuple[DataFra
     out = decisions[0] if decisions else classify_intake(rows, known)
     for d in decisions[1:]:
         out = out.unionByName(d)
-    return out, known.drop("registered")
+    # Titles went as digests; their texts join the registry where it is asked for them.
+    digest = F.concat(F.lit("k"), F.sha2("norm_title", 256))
+    full = texts.where("norm_title is not null").groupBy(digest.alias("_k")).agg(F.any_value("norm_title").alias("_text"))
+    grown = known.withColumn("_k", F.coalesce(F.concat(F.lit("k"), "norm_title"), F.concat(F.lit("n"), "source_version_id"))).join(full, "_k", "left")
+    return out, grown.select(*(F.col("_text").alias(x) if x == "norm_title" else F.col(x) for x in known.columns if x != "registered"))
 
 
 def finalize_bind(registry: DataFrame, commits: DataFrame) -> DataFrame:
