@@ -13,7 +13,7 @@ from .best import FOUND, Best
 from .bm25 import ranked
 
 #: Queries in one pass over the vectors; more are answered in further passes. Scores that a task holds at a time.
-PASS, CELLS = 4096, 4_000_000
+PASS, CELLS = 4096, 1_000_000
 #: Decimal digits of a score; ranks are taken on rounded scores, so that ties are ties in every order of summation.
 DIGITS = 6
 
