@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .common import keyed_text, map_rows, sole_cache
 
 SPACE = "▁"
-#: Chunks, and pairs of pieces, that a worker remembers; a full table is emptied.
-CACHE, CHUNKS = 400_000, 700_000
+#: Pairs of pieces, chunks, and ends of texts that a worker remembers; a full table is emptied.
+CACHE, CHUNKS, ENDS = 400_000, 700_000, 200_000
 #: Longer chunks are not remembered.
 LONGEST = 64
 NONE = float("-inf")
@@ -26,6 +26,9 @@ class PieceBpe:
     the last piece before it the merges would leave apart, and there is just one such piece. So the counts follow from
     left to right. No piece holds a space mark behind another sign; a text thus falls into chunks, runs of space marks
     with what follows up to the next, that are counted one by one.
+
+    From sign to sign goes the tail, the longest end of the prefix that starts some piece: only the pieces that end it are
+    tried, and each knows the pieces before it that it was tried with.
     """
 
     def __init__(self, path: str):
@@ -38,9 +41,12 @@ class PieceBpe:
                 self.score[sp.id_to_piece(i)] = sp.get_score(i)
         if any(SPACE in p.lstrip(SPACE) for p in self.score) or sp.encode("a  b", out_type=str)[0] != SPACE + "a":
             raise ValueError("the vocabulary must mark spaces in front of words and keep them all")
-        self.width = max(map(len, self.score))
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.heads = {p[:n] for p in self.score for n in range(len(p) + 1)}
+        self.apart: dict[str, dict[str, bool]] = {p: {} for p in self.score}
+        self.n_pairs = 0
+        self.ends: dict[str, tuple[str, tuple]] = {}
         self.chunks: dict[str, bytes] = {}
+        self.totals: dict[str, int] = {}
 
     def encode(self, chunk: str) -> list[str]:
         """Merge the best-scored neighbours, the leftmost of equal ones, until none can be merged."""
@@ -59,35 +65,59 @@ class PieceBpe:
                 found[at] = score(parts[at] + parts[at + 1], NONE)
         return parts
 
-    def _apart(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > CACHE:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.encode(left + right) == ([left, right] if left else [right])
+    def _try(self, left: str, piece: str) -> bool:
+        """Whether the merges leave the two apart; kept with the piece."""
+        if self.n_pairs >= CACHE:
+            self._forget_pairs()
+        known = self.apart[piece][left] = self.encode(left + piece) == ([left, piece] if left else [piece])
+        self.n_pairs += 1
         return known
 
+    def _forget_pairs(self) -> None:
+        for known in self.apart.values():
+            known.clear()
+        self.n_pairs = 0
+
+    def _end(self, text: str) -> tuple[str, tuple]:
+        """The tail of a text, and (length, piece, what the piece knows) of each piece that ends it, the longest first."""
+        tail = text
+        while tail not in self.heads:
+            tail = tail[1:]
+        if tail != text:
+            found = self.ends.get(tail) or self._end(tail)
+        else:
+            found = tail, tuple((len(p), p, self.apart[p]) for p in (tail[n:] for n in range(len(tail))) if p in self.apart)
+        if len(self.ends) >= ENDS:
+            self.ends.clear()
+        self.ends[text] = found
+        return found
+
     def prefixes(self, chunk: str) -> array:
         """Tokens of chunk[:i] for each i from 0 to its length; a sign outside the vocabulary counts its UTF-8 bytes."""
-        counts, last, score, width, apart = array("I", [0]), [""], self.score, self.width, self._apart
-        for end in range(1, len(chunk) + 1):
-            for start in range(end - width if end > width else 0, end):
-                piece = chunk[start:end]
-                if piece in score:
-                    if apart(last[start], piece):
-                        counts.append(counts[start] + 1)
-                        break
-                elif start == end - 1:
-                    counts.append(counts[start] + len(piece.encode()))
+        counts, last, ends, tail = array("I", [0]), [""], self.ends.get, ""
+        for end, sign in enumerate(chunk, 1):
+            tail, pieces = ends(tail + sign) or self._end(tail + sign)
+            for size, piece, known in pieces:
+                left = last[end - size]
+                apart = known.get(left)
+                if apart is None:
+                    apart = self._try(left, piece)
+                if apart:
+                    counts.append(counts[end - size] + 1)
+                    last.append(piece)
+                    break
             else:
-                if len(counts) == end:
+                if sign in self.score:
                     raise ValueError(f"no piece ends {chunk[:end]!r}")
-            last.append(piece)
+                counts.append(counts[-1] + len(sign.encode()))
+                last.append(sign)
         return counts
 
     def forget(self) -> None:
+        self.totals.clear()
         self.chunks.clear()
-        self.pairs.clear()
+        self.ends.clear()
+        self._forget_pairs()
 
     def split(self, text: str) -> list[str]:
         """The chunks of a text, each without its first space mark; the library puts one before the text."""
@@ -107,12 +137,21 @@ class PieceBpe:
                 found = self.chunks[word] = bytes(found.tolist())
         return found
 
+    def total(self, word: str) -> int:
+        """The last count of a chunk, without its table."""
+        found = self.prefixes(SPACE + word)[-1]
+        if len(word) <= LONGEST:
+            if len(self.totals) > CHUNKS:
+                self.totals.clear()
+            self.totals[word] = found
+        return found
+
     def count(self, text: str) -> int:
         sole_cache("pieces", self.forget)
-        words, known = self.split(text), self.chunks.get
+        known = self.totals.get
         total = 0
-        for word in words:
-            total += (known(word) or self.table(word))[-1]
+        for word in self.split(text):
+            total += known(word) or self.total(word)
         return total
 
     def counts(self, text: str) -> array:
