@@ -37,7 +37,9 @@ def cuts(ids) -> list[int]:
 
     base, inverse = _powers(n)
     with np.errstate(over="ignore"):
-        prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(ids.astype(np.uint64) + np.uint64(1)) * base[:n])))
+        mixed = _mixed()[ids] if int(ids.max()) < 1 << 16 else mix(ids.astype(np.uint64) + np.uint64(1))
+        prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(np.multiply(mixed, base[:n], out=mixed), out=prefix[1:])
         rolled = (prefix[ROLL:] - prefix[:-ROLL]) * inverse[: n - ROLL + 1]
     marks = (np.flatnonzero(mix(rolled) & np.uint64(MEAN - 1) == 0) + ROLL).tolist()
     out, last = [], 0
@@ -51,6 +53,16 @@ def cuts(ids) -> list[int]:
     return [*out, n] if last < n else out
 
 
+@functools.cache
+def _mixed():
+    """mix(id + 1) of each id of 16 bits."""
+    import numpy as np
+
+    from .shingles import mix
+
+    return mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+
+
 @functools.cache
 def _power_table(size: int):
     import numpy as np
